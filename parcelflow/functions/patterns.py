@@ -12,6 +12,8 @@ WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 S = f"[{WS}]"
+# Whitespace that is not just one space, which collapsing would leave as it is.
+LOOSE_S = rf"[{WS}]{{2,}}|[\t-\r\x1c-\x1f{WS[WS.index('x85') - 1:]}]"
 NOT_S = f"[^{WS}]"
 W = r"[\p{L}\p{N}_]"
 D = r"\p{Nd}"

@@ -6,14 +6,15 @@ its input would double the tree at every step.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from .columns import let
 from .patterns import (
-    BOUNDARY, D, END, NOT_S, S, W, WORD_END, WORD_START, WS, WS_CHARS, quote, quote_replacement, word,
+    BOUNDARY, D, END, LOOSE_S, NOT_S, W, WORD_END, WORD_START, WS, WS_CHARS, quote, quote_replacement, word,
 )
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -22,18 +23,22 @@ PHONE_MARK = "[REDACTED_PHONE]"
 ORDER_MARK = "[REDACTED_ORDER]"
 
 EMAIL = BOUNDARY + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + WORD_END
+# The lookaheads only skip positions where the pattern could not start.
 PHONE = (
-    rf"(?:(?:\+?{D}{{1,3}})?[{WS}-]?)?(?:\(?{D}{{2,4}}\)?[{WS}-]?)?"
-    rf"{D}{{3,4}}[{WS}-]?{D}{{3,4}}"
+    rf"(?=(?:\+|[{WS}-]?\(?){D})"
+    rf"(?:(?:\+?{D}{{1,3}})?[{WS}-]?)?(?:\(?{D}{{2,4}}\)?[{WS}-]?)?{D}{{3,4}}[{WS}-]?{D}{{3,4}}"
 )
-ORDER_NUMBER = rf"{BOUNDARY}#?{D}{{6,}}-?{D}*{BOUNDARY}"
+ORDER_NUMBER = rf"(?=#?{D}{{6}}){BOUNDARY}#?{D}{{6,}}-?{D}*{BOUNDARY}"
 URL = rf"https?://{NOT_S}+"
 HANDLE = rf"@{W}+"
 CARET_TAG = rf"\^[A-Z]{{1,3}}{WORD_END}"
 HASHTAG = rf"#{W}+"
-DM_TAIL = rf"(?iu){WORD_START}dm{WORD_END}[^\n]*{END}"
+DM_TAIL = rf"(?iu)dm(?<!{W}dm){WORD_END}[^\n]*{END}"
 DIRECT_MESSAGE_TAIL = rf"{WORD_START}[dD]irect message{WORD_END}[^\n]*{END}"
 
+# Runs of other characters than those of words, unless they are just one space.
+NOT_WORDS = r"[^\p{L}\p{N}_]{2,}|[^\p{L}\p{N}_ ]"
+
 STEP_TEMPLATE = (
     "Thanks for reaching out. Here's what I'll do:\n"
     "1) Check the latest scan and status.\n"
@@ -49,12 +54,13 @@ ASCII_EXPANSIONS = (("→", "->"), ("←", "<-"), ("…", "..."))
 
 @F.arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    # Not Arrow's own utf8_normalize, whose NFKC leaves characters decomposed.
+    return pa.array([t and unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 @F.arrow_udf(StringType())
 def _casefold(text: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else t.casefold() for t in text.to_pylist()], pa.string())
+    return pa.array([t and t.casefold() for t in text.to_pylist()], pa.string())
 
 
 def _non_ascii(c: Column) -> Column:
@@ -67,7 +73,7 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"{S}+", " "))
+    return strip(F.regexp_replace(c, LOOSE_S, " "))
 
 
 def nfkc(c: Column) -> Column:
@@ -84,7 +90,12 @@ def normalize_text(c: Column) -> Column:
 
 
 def redact_emails(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL, quote_replacement(EMAIL_MARK))
+    def redact(t: Column) -> Column:
+        return F.when(
+            t.contains("@"), F.regexp_replace(t, EMAIL, quote_replacement(EMAIL_MARK))
+        ).otherwise(t)
+
+    return let(c, redact)
 
 
 def redact_phones(c: Column) -> Column:
@@ -138,7 +149,7 @@ def enforce_max_tokens(c: Column, max_tokens: int = 1024) -> Column:
 
 def dedup_key(c: Column) -> Column:
     """Casefolded words separated by single spaces."""
-    return collapse(F.regexp_replace(casefold(c), rf"[^\p{{L}}\p{{N}}_{WS}]", " "))
+    return strip(F.regexp_replace(casefold(c), NOT_WORDS, " "))
 
 
 def ascii_safe(c: Column) -> Column:
@@ -151,10 +162,7 @@ def ascii_safe(c: Column) -> Column:
 
 def contains_any(c: Column, keywords: list[str]) -> Column:
     """True if the lower-cased text holds any lower-cased keyword as a substring."""
-    def any_of(low: Column) -> Column:
-        hit = F.lit(False)
-        for k in keywords:
-            hit = hit | low.contains(k.lower())
-        return hit
-
-    return F.coalesce(let(F.lower(c), any_of), F.lit(False))
+    if not keywords:
+        return F.lit(False)
+    options = "|".join(quote(k.lower()) for k in keywords)
+    return F.coalesce(F.lower(c).rlike(options), F.lit(False))

@@ -15,16 +15,14 @@ def pair_digest(*texts: Column) -> Column:
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The row with the smallest ``order`` (unique, numeric) for each key.
 
-    Only digest and order are aggregated, with a partial step before the shuffle, so a key that
-    holds a third of all rows sends one row per task.  The payload moves once, by (digest, order),
-    which spreads the copies of a hot key.
+    Only key and order are aggregated, with a partial step before the shuffle, so a key that holds
+    a third of all rows sends one row per task.  The payload moves once, by the unique order.
     """
-    keyed = df.withColumn("digest", key)
-    first = keyed.groupBy("digest").agg(F.min(order).alias(order))
-    return keyed.join(first, ["digest", order], "left_semi").drop("digest")
+    first = df.select(key.alias("digest"), order).groupBy("digest").agg(F.min(order).alias(order))
+    return df.join(first.select(order), order, "left_semi").select(*df.columns)
 
 
 def dedup_pairs(df: DataFrame, order: str = "ord") -> DataFrame:
-    return keep_first(
-        df, pair_digest(F.col("input"), F.col("assistant_response")), order
-    )
+    """Distinct pairs by normalised texts; ``input`` and ``assistant_response`` should be stored
+    columns, as the key looks at each text several times."""
+    return keep_first(df, pair_digest(F.col("input"), F.col("assistant_response")), order)

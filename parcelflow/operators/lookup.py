@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 BINS = 65536
 SALTS = 64
+HOT_SHARE = 0.001
 
 
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold more than ``share`` of the rows, so fewer than ``1 / share`` of them.
 
     Keys are first counted in a fixed number of hash bins; only the few keys that fall in a full
@@ -35,16 +36,16 @@ def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot_share: float | None = None
+    facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (unique by ``key``).
 
-    Without ``hot_share`` the join is left to adaptive execution, which splits skewed partitions.
-    With it, rows of hot keys are spread over salts and only their lookup rows are repeated.
+    Rows of the ``hot`` keys (from ``hot_keys``) are spread over salts and only their lookup rows
+    are repeated.  Without ``hot`` skew is left to adaptive execution.
     """
-    if hot_share is None:
+    if hot is None:
         return facts.join(lookup, key, how)
-    hot = F.broadcast(hot_keys(facts, key, hot_share).withColumn("hot", F.lit(True)))
+    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))  # fewer than 1 / share keys
     # The salt hangs on the row's content, so a recomputed task gives the same salts.
     spread = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
     salted = facts.join(hot, key, "left").withColumn(

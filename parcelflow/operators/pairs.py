@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import non_empty
 from ..functions.text import strip
-from .lookup import lookup_join
+from .lookup import HOT_SHARE, hot_keys, lookup_join
 
 MISSING_IDS = ["nan", "NaN", "None"]
 
@@ -34,12 +34,12 @@ def reply_pairs(
     *,
     validate: bool = True,
     split_ids: bool = False,
-    hot_share: float | None = None,
+    hot_share: float | None = HOT_SHARE,
 ) -> DataFrame:
     """(src_key, input_raw, assistant_raw) for each inbound tweet whose reply exists.
 
-    ``split_ids`` also follows comma-separated response ids.  ``hot_share`` salts replies that more
-    than this share of the customer tweets point at.
+    ``split_ids`` also follows comma-separated response ids.  Replies that more than
+    ``hot_share`` of the customer tweets point at are salted.
     """
     inbound = to_bool(F.col("inbound"))
     response = F.col("response_tweet_id")
@@ -61,6 +61,7 @@ def reply_pairs(
     if validate:
         check_unique(companies, "reply_id")
     answered = companies.filter("reply_id IS NOT NULL AND assistant_raw IS NOT NULL")
-    return lookup_join(customers, answered, "reply_id", hot_share=hot_share).select(
+    hot = hot_keys(customers, "reply_id", hot_share) if hot_share else None
+    return lookup_join(customers, answered, "reply_id", hot=hot).select(
         "src_key", "input_raw", "assistant_raw"
     )

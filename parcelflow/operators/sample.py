@@ -2,7 +2,7 @@
 
 A seeded hash of the row key stands for the random order.  To take the n first rows of a group,
 hashes are counted by prefix, the prefix bin that holds the n-th row is found on that small table,
-and only the rows of that bin are ranked.  The result is one cut per group; being chosen is then a
+and only the rows of that bin are ranked.  That gives one cut per group; being chosen is then a
 plain comparison per row, so the payload is neither shuffled nor sorted.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PREFIX_HEX = 4  # 65,536 bins per group
 MAX_GROUPS = 10_000
+ABOVE_ALL = "~"  # sorts after every hash
 
 
 def hash_order(seed: str, *key: Column) -> Column:
@@ -20,53 +21,63 @@ def hash_order(seed: str, *key: Column) -> Column:
     return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary")), F.lit(":"), text)
 
 
-def cuts(df: DataFrame, group: str, order: str, quotas: DataFrame) -> DataFrame:
-    """(group, cut): the ``n``-th smallest ``order`` for each group of ``quotas`` (group, n).
+def cut_points(
+    df: DataFrame, group: str, order: str, sizes: dict[str, int]
+) -> dict[str, str]:
+    """The n-th smallest ``order`` of each group in ``sizes`` (group -> n).
 
-    Groups with no more than n rows get the cut "~", which is above every hash; groups with n < 1
-    do not appear.
+    Runs two small jobs over the two columns and collects one row per group.  Groups with no more
+    than n rows get ABOVE_ALL; groups without rows or with n < 1 do not appear.
     """
-    rows = df.select(group, order).withColumn("bin", F.substring(order, 1, PREFIX_HEX))
-    upto = Window.partitionBy(group).orderBy("bin")  # at most 16 ** PREFIX_HEX rows
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"{len(sizes)} groups; cuts are meant for up to {MAX_GROUPS}")
+    spark = df.sparkSession
+    wanted = [(g, n) for g, n in sizes.items() if n > 0]
+    if not wanted:
+        return {}
+    quotas = F.broadcast(spark.createDataFrame(wanted, "grp string, n bigint"))
+    rows = df.select(F.col(group).alias("grp"), F.col(order).alias("key"))
+    rows = rows.withColumn("bin", F.substring("key", 1, PREFIX_HEX))
+    upto = Window.partitionBy("grp").orderBy("bin")  # at most 16 ** PREFIX_HEX rows
     bins = (
-        rows.groupBy(group, "bin").agg(F.count("*").alias("in_bin"))
+        rows.groupBy("grp", "bin").agg(F.count("*").alias("in_bin"))
+        .join(quotas, "grp")
         .withColumn("through", F.sum("in_bin").over(upto))
-        .join(quotas.filter("n >= 1"), group)
     )
     holds_cut = (F.col("through") >= F.col("n")) & (F.col("through") - F.col("in_bin") < F.col("n"))
-    cut_bins = bins.filter(holds_cut).select(
-        group, "bin", (F.col("n") - F.col("through") + F.col("in_bin")).alias("nth")
-    )
-    ranked = rows.join(F.broadcast(cut_bins), [group, "bin"]).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(group).orderBy(order))
-    )
-    inside = ranked.filter("rank = nth").select(group, F.col(order).alias("cut"))
-    short = (
-        bins.groupBy(group).agg(F.max("through").alias("rows"), F.max("n").alias("n"))
-        .filter("rows < n")
-        .select(group, F.lit("~").alias("cut"))
+    found = (
+        bins.groupBy("grp")
+        .agg(
+            F.max(F.when(holds_cut, F.col("bin"))).alias("bin"),
+            F.max(F.when(holds_cut, F.col("n") - F.col("through") + F.col("in_bin"))).alias("nth"),
+        )
+        .collect()
     )
-    return inside.unionByName(short)
+    cuts = {r["grp"]: ABOVE_ALL for r in found if r["bin"] is None}
+    at = [(r["grp"], r["bin"], r["nth"]) for r in found if r["bin"] is not None]
+    if at:
+        cut_bins = F.broadcast(spark.createDataFrame(at, "grp string, bin string, nth bigint"))
+        ranked = rows.join(cut_bins, ["grp", "bin"]).withColumn(
+            "rank", F.row_number().over(Window.partitionBy("grp").orderBy("key"))
+        )
+        cuts.update((r["grp"], r["key"]) for r in ranked.filter("rank = nth").collect())
+    return cuts
+
+
+def is_chosen(group: Column, order: Column, cuts: dict[str, str]) -> Column:
+    """Whether a row is among the first of its group, given the cuts."""
+    if not cuts:
+        return F.lit(False)
+    table = F.create_map(*[F.lit(v) for kv in cuts.items() for v in kv])
+    return F.coalesce(order <= F.try_element_at(table, group), F.lit(False))
 
 
 def flag_smallest(
-    df: DataFrame, group: str, order: str, quotas: DataFrame, flag: str = "picked"
+    df: DataFrame, group: str, order: str, sizes: dict[str, int], flag: str = "picked"
 ) -> DataFrame:
-    """Add a boolean that marks the n smallest rows of each group, with n from ``quotas``.
+    """Add a boolean that marks the n smallest rows of each group in ``sizes``.
 
-    ``quotas`` has one row per group and comes from a caller's list or a global count, so it and
-    the cuts are small.
+    ``df`` is read three times, twice for its two columns only; hand in a stored table.
     """
-    cut = cuts(df, group, order, quotas)
-    return (
-        df.join(F.broadcast(cut), group, "left")
-        .withColumn(flag, F.coalesce(F.col(order) <= F.col("cut"), F.lit(False)))
-        .drop("cut")
-    )
-
-
-def quota_table(df: DataFrame, sizes: dict[str, int], group: str) -> DataFrame:
-    """The quotas of named groups as a table."""
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"{len(sizes)} groups; the quota table is meant for up to {MAX_GROUPS}")
-    return df.sparkSession.createDataFrame(list(sizes.items()), f"`{group}` string, n bigint")
+    cuts = cut_points(df, group, order, sizes)
+    return df.withColumn(flag, is_chosen(F.col(group), F.col(order), cuts))

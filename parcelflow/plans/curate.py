@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Curation
 from ..functions import text as T
-from ..operators.dedup import pair_digest
-from ..operators.sample import flag_smallest, hash_order, quota_table
+from ..operators.dedup import keep_first, pair_digest
+from ..operators.sample import flag_smallest, hash_order
 from ..sources.datasets import load_pairs
 from ..sources.pairs import write_manifest, write_pairs
 from ..staging import stage
@@ -44,34 +44,22 @@ def select_rows(rows: DataFrame, cfg: Curation) -> DataFrame:
     Each source gives its quota of seeded-random rows; the rest up to ``mini_size`` comes from all
     rows not yet chosen; the first of the final order are the validation set.
     """
-    def everything(n):
-        return F.lit("all").alias("pool"), n.cast("bigint").alias("n")
+    def key(purpose: str):
+        return hash_order(f"{cfg.seed}/{purpose}", F.col("ord"))
 
     quotas = cfg.quotas()
-    picked = flag_smallest(
-        rows.withColumn("pick_key", hash_order(f"{cfg.seed}/pick", F.col("ord"))),
-        "source", "pick_key", quota_table(rows, quotas, "source"),
-    )
-    pool = picked.withColumn("pool", F.when(~F.col("picked"), F.lit("all"))).withColumn(
-        "more_key", hash_order(f"{cfg.seed}/top-up", F.col("ord"))
-    )
-    room = pool.agg(F.count_if("picked").alias("taken")).select(
-        *everything(F.lit(cfg.mini_size) - F.col("taken"))
-    )
+    picked = flag_smallest(rows.withColumn("pick_key", key("pick")), "source", "pick_key", quotas)
+    pool = picked.withColumn("pool", F.when(~F.col("picked"), F.lit("all")))
+    room = cfg.mini_size - pool.filter("picked").count()
     chosen = (
-        flag_smallest(pool, "pool", "more_key", room, "topped")
+        flag_smallest(pool.withColumn("more_key", key("top-up")), "pool", "more_key", {"all": room}, "topped")
         .filter("picked OR topped")
-        .select(
-            "ord", "source", F.lit("all").alias("pool"),
-            hash_order(f"{cfg.seed}/final", F.col("ord")).alias("shuffle_key"),
-        )
+        .select("ord", "source", F.lit("all").alias("pool"), key("final").alias("shuffle_key"))
     )
-    if sum(quotas.values()) > cfg.mini_size:
-        size = chosen.sparkSession.createDataFrame([("all", cfg.mini_size)], "pool string, n bigint")
-        chosen = flag_smallest(chosen, "pool", "shuffle_key", size, "kept").filter("kept").drop("kept")
-    n_val = F.greatest(F.lit(1), F.floor(F.col("rows") * F.lit(float(cfg.val_ratio))))
-    val = chosen.agg(F.count("*").alias("rows")).select(*everything(n_val))
-    return flag_smallest(chosen, "pool", "shuffle_key", val, "is_val").select(
+    if room < 0:
+        chosen = flag_smallest(chosen, "pool", "shuffle_key", {"all": cfg.mini_size}, "kept").filter("kept")
+    n_val = max(1, int(chosen.count() * cfg.val_ratio))
+    return flag_smallest(chosen, "pool", "shuffle_key", {"all": n_val}, "is_val").select(
         "ord", "source", F.when(F.col("is_val"), "val").otherwise("train").alias("split"), "shuffle_key"
     )
 
@@ -79,16 +67,16 @@ def select_rows(rows: DataFrame, cfg: Curation) -> DataFrame:
 def curate(pairs: DataFrame, cfg: Curation) -> DataFrame:
     """RAW_PAIRS to (input, assistant_response, source, split, shuffle_key).
 
-    The texts are cleaned once and staged.  Deduplication and selection then read only digest and
-    order; the texts are touched again only for the rows that were chosen.
+    The texts are cleaned once and staged.  Deduplication reads them for a digest; selection reads
+    only ``ord`` and ``source``; the texts are joined back for the rows that were chosen.
     """
-    cleaned = map_pairs(keyword_filter(pairs, cfg), cfg)
-    digest = pair_digest(F.col("input"), F.col("assistant_response"))
-    staged = stage(cleaned.withColumn("digest", digest), "cleaned")
-    # ``ord`` is unique, so the smallest one of a digest names its row.
-    first = staged.groupBy("digest").agg(F.min("ord").alias("ord")).select("ord")
-    kept = stage(staged.select("ord", "source").join(first, "ord", "left_semi"), "kept")
-    return staged.drop("source", "digest", "src_key").join(select_rows(kept, cfg), "ord").drop("ord")
+    cleaned = stage(map_pairs(keyword_filter(pairs, cfg), cfg), "cleaned")
+    texts = pair_digest(F.col("input"), F.col("assistant_response"))
+    kept = stage(keep_first(cleaned.select("ord", "source", "input", "assistant_response"), texts, "ord")
+                 .select("ord", "source"), "kept")
+    return cleaned.select("ord", "input", "assistant_response").join(
+        select_rows(kept, cfg), "ord"
+    ).drop("ord")
 
 
 def manifest(curated: DataFrame, cfg: Curation) -> DataFrame:

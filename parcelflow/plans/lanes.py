@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import lanes as L
+from ..operators.lookup import hot_keys, lookup_join
 
 
 def eta_by_lane(lane_counts: DataFrame) -> DataFrame:
@@ -30,3 +31,45 @@ def quote_by_zone(weighed: DataFrame) -> DataFrame:
             F.sum(F.col("billable_kg").cast("decimal(18,2)") * n.cast("decimal(16,0)")).alias("billed_kg"),
         )
     )
+
+
+def lane_counts(
+    lines: DataFrame,
+    orders: DataFrame,
+    customers: DataFrame,
+    suppliers: DataFrame,
+    parts: DataFrame | None = None,
+    measures: tuple[str, ...] = (),
+) -> DataFrame:
+    """Shipments per (s_nationkey, c_nationkey, o_orderpriority, *measures).
+
+    Equal shipments are counted before every join, so a hot order or customer brings at most one
+    row per lane and measure.  Suppliers and parts come first, where a hot key still stands for
+    many orders; those two are salted.  ``parts`` replaces l_partkey by the measure p_size.
+    """
+    n = F.sum("n").alias("n")
+    kept = [m for m in measures if m != "p_size"]
+    keys = ["l_orderkey", "l_suppkey", *kept]
+    if parts is not None:
+        counted = lines.groupBy(*keys, "l_partkey").agg(F.count("*").alias("n"))
+        sizes = parts.select(F.col("p_partkey").alias("l_partkey"), "p_size")
+        sized = lookup_join(counted, sizes, "l_partkey", hot=hot_keys(lines, "l_partkey"))
+        counted = sized.groupBy(*keys, "p_size").agg(n)
+    else:
+        counted = lines.groupBy(*keys).agg(F.count("*").alias("n"))
+    origins = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    by_order = (
+        lookup_join(counted, origins, "l_suppkey", hot=hot_keys(lines, "l_suppkey"))
+        .groupBy("l_orderkey", "s_nationkey", *measures).agg(n)
+    )
+    placed = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+    by_customer = (
+        by_order.join(placed, "l_orderkey")
+        .groupBy("o_custkey", "o_orderpriority", "s_nationkey", *measures).agg(n)
+    )
+    homes = customers.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return (
+        by_customer.join(homes, "o_custkey")
+        .groupBy("s_nationkey", "c_nationkey", "o_orderpriority", *measures)
+        .agg(F.sum("n").cast("bigint").alias("shipments"))
+    )

@@ -46,16 +46,20 @@ def read_tweets(
     )
 
 
+def _whole(n: int, kind: str) -> Column:
+    return F.lit(str(n)).cast(kind)
+
+
 def file_order() -> Column:
     """Order of a Parquet row by file and position: stable under splits and recomputation."""
-    file = F.xxhash64("_metadata.file_path").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")
+    file = F.xxhash64("_metadata.file_path").cast("decimal(20,0)") + _whole(2**63, "decimal(20,0)")
     position = F.col("_metadata.row_index").cast("decimal(13,0)")
-    return (file * F.lit(2**40).cast("decimal(13,0)") + position).cast("decimal(38,0)")
+    return (file * _whole(2**40, "decimal(13,0)") + position).cast("decimal(38,0)")
 
 
 def content_order(*columns: str) -> Column:
     """Order by content, for sources without keys or positions; equal rows share it."""
-    return F.xxhash64(*columns).cast("decimal(38,0)") + F.lit(2**63).cast("decimal(38,0)")
+    return F.xxhash64(*columns).cast("decimal(38,0)") + _whole(2**63, "decimal(38,0)")
 
 
 def read_instructions(
@@ -103,7 +107,7 @@ def reader_for(kind: str):
 
 def number_source(pairs: DataFrame, name: str, position: int) -> DataFrame:
     """RAW_PAIRS rows of one source; sources come in list order, rows in their local order."""
-    start = F.lit(position * SOURCE_STEP).cast("decimal(38,0)")
+    start = _whole(position * SOURCE_STEP, "decimal(38,0)")
     return pairs.select(
         F.lit(name).alias("source"),
         "src_key",
