@@ -2,57 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BINS = 65536
 SALTS = 64
 HOT_SHARE = 0.001
+HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows, so fewer than ``1 / share`` of them.
+def hot_keys(
+    df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
+) -> list:
+    """Keys with more than ``share`` of the rows and more than ``min_rows``.
 
-    Keys are first counted in a fixed number of hash bins; only the few keys that fall in a full
-    bin are then counted one by one.  Both passes read the key column alone.
+    There are fewer than ``1 / share`` of them.  Keys are first counted in a fixed number of hash
+    bins; only where a bin is that full are its keys counted one by one.  Both jobs read the key
+    column alone.
     """
     binned = (
         df.select(key)
         .filter(F.col(key).isNotNull())
         .withColumn("bin", F.pmod(F.xxhash64(key), F.lit(BINS)))
     )
-    total = F.sum("rows").over(Window.partitionBy())  # over at most BINS rows
-    full = (
-        binned.groupBy("bin").agg(F.count("*").alias("rows"))
-        .withColumn("enough", total * share)
-        .filter("rows > enough")
-        .select("bin", "enough")
-    )
-    return (
-        binned.join(F.broadcast(full), "bin")  # fewer than 1 / share bins
-        .groupBy(key).agg(F.count("*").alias("rows"), F.max("enough").alias("enough"))
-        .filter("rows > enough")
-        .select(key)
-    )
+    bins = binned.groupBy("bin").count().collect()  # at most BINS rows
+    enough = max(share * sum(r["count"] for r in bins), min_rows)
+    full = [r["bin"] for r in bins if r["count"] > enough]
+    if not full:
+        return []
+    counts = binned.filter(F.col("bin").isin(full)).groupBy(key).count()
+    return [r[key] for r in counts.filter(F.col("count") > enough).collect()]
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None
+    facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot: list | None = None
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (unique by ``key``).
 
     Rows of the ``hot`` keys (from ``hot_keys``) are spread over salts and only their lookup rows
-    are repeated.  Without ``hot`` skew is left to adaptive execution.
+    are repeated.  The rest is left to Spark, which splits partitions that come out skewed.
     """
-    if hot is None:
+    if not hot:
         return facts.join(lookup, key, how)
-    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))  # fewer than 1 / share keys
+
+    def if_hot(then: Column, otherwise: Column) -> Column:
+        return F.when(F.col(key).isin(hot), then).otherwise(otherwise)
+
     # The salt hangs on the row's content, so a recomputed task gives the same salts.
     spread = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
-    salted = facts.join(hot, key, "left").withColumn(
-        "salt", F.when(F.col("hot"), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = lookup.join(hot, key, "left").withColumn("salt", F.explode(copies))
-    return salted.drop("hot").join(repeated.drop("hot"), [key, "salt"], how).drop("salt")
+    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salted = facts.withColumn("salt", if_hot(spread, F.lit(0)))
+    repeated = lookup.withColumn("salt", F.explode(if_hot(copies, F.array(F.lit(0)))))
+    return salted.join(repeated, [key, "salt"], how).drop("salt")

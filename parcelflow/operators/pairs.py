@@ -61,7 +61,7 @@ def reply_pairs(
     if validate:
         check_unique(companies, "reply_id")
     answered = companies.filter("reply_id IS NOT NULL AND assistant_raw IS NOT NULL")
-    hot = hot_keys(customers, "reply_id", hot_share) if hot_share else None
+    hot = hot_keys(customers, "reply_id", hot_share) if hot_share else []
     return lookup_join(customers, answered, "reply_id", hot=hot).select(
         "src_key", "input_raw", "assistant_raw"
     )
