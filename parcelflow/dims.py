@@ -1,11 +1,8 @@
-"""Small fixed tables for lanes, services and prices.
-
-They are a few dozen rows, so joins to them are broadcast.
-"""
+"""Small fixed tables for regions, services and prices, as literal lookups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, functions as F
 
 # --- fixed values -------------------------------------------------------------------------------
 GCC = ["AE", "SA", "KW", "QA", "BH", "OM", "JO"]
@@ -14,34 +11,27 @@ EU = [
     "GR",
 ]
 DEFAULT_SERVICE = "standard"
-SERVICE_SLA = [("standard", 3, 7), ("express", 1, 3), ("economy", 5, 12)]
-ZONE_BUMP = [("INTRA_COUNTRY", -1, 0), ("INTRA_REGION", 0, 1), ("INTERCONTINENT", 2, 5)]
-RATE_CARD = [
-    ("INTRA_COUNTRY", "3.5", "1.0"), ("INTRA_REGION", "6.0", "2.0"), ("INTERCONTINENT", "12.0", "4.0"),
-]
-SERVICE_MULTIPLIER = [("express", "1.6"), ("standard", "1.0"), ("economy", "0.8")]
+# Business days at least and at most, per service; and what a zone adds to each.
+MIN_DAYS = {"standard": 3, "express": 1, "economy": 5}
+MAX_DAYS = {"standard": 7, "express": 3, "economy": 12}
+MIN_BUMP = {"INTRA_COUNTRY": -1, "INTRA_REGION": 0, "INTERCONTINENT": 2}
+MAX_BUMP = {"INTRA_COUNTRY": 0, "INTRA_REGION": 1, "INTERCONTINENT": 5}
+# USD for the first half kilogram and for each further one; factor per service.
+FIRST_HALF = {"INTRA_COUNTRY": "3.5", "INTRA_REGION": "6.0", "INTERCONTINENT": "12.0"}
+NEXT_HALF = {"INTRA_COUNTRY": "1.0", "INTRA_REGION": "2.0", "INTERCONTINENT": "4.0"}
+MULTIPLIER = {"express": "1.6", "standard": "1.0", "economy": "0.8"}
 VOLUMETRIC_DIVISOR = 5000.0
 # ------------------------------------------------------------------------------------------------
 
 
-def country_region(spark: SparkSession) -> DataFrame:
-    rows = [(cc, "GCC") for cc in GCC] + [(cc, "EU") for cc in EU]
-    return spark.createDataFrame(rows, "cc string, region string")
-
-
-def service_sla(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SERVICE_SLA, "service string, lo int, hi int")
-
-
-def zone_bump(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ZONE_BUMP, "zone string, lo_bump int, hi_bump int")
-
-
-def rate_card(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(RATE_CARD, "zone string, base string, step string")
-    return rows.selectExpr("zone", "CAST(base AS decimal(6,2)) base", "CAST(step AS decimal(6,2)) step")
+def lookup(table: dict[str, object], key: Column, kind: str, default: object = None) -> Column:
+    """Value of ``key`` in a fixed table, as an expression: no join, and no job to ship the table."""
+    entries = F.create_map(
+        *[part for k, v in table.items() for part in (F.lit(k), F.lit(v).cast(kind))]
+    )
+    return F.coalesce(F.try_element_at(entries, key), F.lit(default).cast(kind))
 
 
-def service_multiplier(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(SERVICE_MULTIPLIER, "service string, mult string")
-    return rows.selectExpr("service", "CAST(mult AS decimal(4,2)) mult")
+def region(cc: Column) -> Column:
+    """GCC, EU or null for an upper-case country code."""
+    return F.when(cc.isin(GCC), F.lit("GCC")).when(cc.isin(EU), F.lit("EU"))

@@ -6,88 +6,68 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dims
 
-SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves
+HALVER = 134217729.0  # 2**27 + 1: multiplying by it splits a double into two short halves
 
 
-def round_cents(x: Column) -> Column:
-    """Two-decimal rounding of a double's exact binary value, ties to even (as Python's round).
+def with_cents(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Add ``source`` rounded to two decimals by its exact binary value, ties to even.
 
-    Decides on the distance to the midpoint, whose own rounding error is recovered exactly.
+    That is Python's rule; SQL rounding goes by the printed decimals.  A value is compared with the
+    midpoint of its cents, and where both are the same double, the midpoint's own rounding error,
+    which is recovered exactly, decides.
     """
-    def halves(v: Column) -> Column:
-        floor = F.floor(v * 100)
+    v, floor, mid, high = F.col(source), F.col("_floor"), F.col("_mid"), F.col("_high")
+    one = F.lit(1)
+    scaled = mid * 200.0
+    error = (high * 200.0 - scaled) + (mid - high) * 200.0
+    excess = (scaled - (2 * floor + 1)) + error  # above zero if the stored midpoint is too large
+    odd = F.pmod(floor, F.lit(2)) == 1
+    up = (v > mid) | ((v == mid) & ((excess > 0) | ((excess == 0) & odd)))
+    return (
+        df.withColumn("_floor", F.floor(v * 100))
         # The product can land one step off the true floor.
-        floor = floor - F.when(floor / F.lit(100.0) > v, 1).otherwise(0)
-        floor = floor + F.when((floor + 1) / F.lit(100.0) <= v, 1).otherwise(0)
-        return F.struct(v.alias("v"), floor.alias("floor"), ((2 * floor + 1) / F.lit(200.0)).alias("mid"))
-
-    def split(h: Column) -> Column:
-        big = h["mid"] * SPLIT
-        return F.struct(h["v"].alias("v"), h["floor"].alias("floor"), h["mid"].alias("mid"),
-                        (big - (big - h["mid"])).alias("high"))
-
-    def decide(h: Column) -> Column:
-        product = h["mid"] * 200.0
-        error = (h["high"] * 200.0 - product) + (h["mid"] - h["high"]) * 200.0
-        # Above zero: the stored midpoint is above the true one.
-        above = (product - (2 * h["floor"] + 1)) + error
-        odd = F.pmod(h["floor"], F.lit(2)) == 1
-        up = (h["v"] > h["mid"]) | ((h["v"] == h["mid"]) & ((above > 0) | ((above == 0) & odd)))
-        return (h["floor"] + F.when(up, 1).otherwise(0)) / F.lit(100.0)
-
-    from ..functions.columns import let
-
-    return let(let(let(x, halves), split), decide)
-
-
-def _upper(c: str) -> Column:
-    return F.upper(F.coalesce(F.col(c), F.lit("")))
+        .withColumn("_floor", floor - F.when(floor / F.lit(100.0) > v, one).otherwise(0))
+        .withColumn("_floor", floor + F.when((floor + 1) / F.lit(100.0) <= v, one).otherwise(0))
+        .withColumn("_mid", (2 * floor + 1) / F.lit(200.0))
+        .withColumn("_high", mid * HALVER - (mid * HALVER - mid))
+        .withColumn(target, (floor + F.when(up, one).otherwise(0)) / F.lit(100.0))
+        .drop("_floor", "_mid", "_high")
+    )
 
 
-def with_zone(shipments: DataFrame) -> DataFrame:
-    """Upper-case the country codes and add the zone of the lane.
+def zone(origin: Column, dest: Column) -> Column:
+    """Zone of a lane from upper-case country codes.
 
     Same country, also if both are empty, is INTRA_COUNTRY; the same named region INTRA_REGION;
     everything else INTERCONTINENT, two countries outside all regions included.
     """
-    regions = dims.country_region(shipments.sparkSession)
-    origin = F.broadcast(regions.select(F.col("cc").alias("origin_cc"), F.col("region").alias("o_region")))
-    dest = F.broadcast(regions.select(F.col("cc").alias("dest_cc"), F.col("region").alias("d_region")))
     return (
-        shipments.withColumn("origin_cc", _upper("origin_cc"))
-        .withColumn("dest_cc", _upper("dest_cc"))
-        .join(origin, "origin_cc", "left")
-        .join(dest, "dest_cc", "left")
-        .withColumn(
-            "zone",
-            F.when(F.col("origin_cc") == F.col("dest_cc"), F.lit("INTRA_COUNTRY"))
-            .when(F.col("o_region") == F.col("d_region"), F.lit("INTRA_REGION"))
-            .otherwise(F.lit("INTERCONTINENT")),
-        )
-        .drop("o_region", "d_region")
+        F.when(origin == dest, F.lit("INTRA_COUNTRY"))
+        .when(dims.region(origin) == dims.region(dest), F.lit("INTRA_REGION"))
+        .otherwise(F.lit("INTERCONTINENT"))
     )
 
 
-def with_service(shipments: DataFrame) -> DataFrame:
-    """Lower-case the service; null and empty mean standard."""
-    name = F.coalesce(F.nullif(F.col("service"), F.lit("")), F.lit(dims.DEFAULT_SERVICE))
-    return shipments.withColumn("service", F.lower(name))
+def country(cc: Column) -> Column:
+    return F.upper(F.coalesce(cc, F.lit("")))
 
 
-def with_eta(shipments: DataFrame) -> DataFrame:
-    """Add min_days and max_days; needs zone and service.  Unknown services get standard days."""
-    spark = shipments.sparkSession
-    default = next(r for r in dims.SERVICE_SLA if r[0] == dims.DEFAULT_SERVICE)
-    low = F.coalesce("lo", F.lit(default[1])) + F.col("lo_bump")
-    high = F.coalesce("hi", F.lit(default[2])) + F.col("hi_bump")
-    least = F.greatest(F.lit(1), low)
-    return (
-        shipments.join(F.broadcast(dims.service_sla(spark)), "service", "left")
-        .join(F.broadcast(dims.zone_bump(spark)), "zone")
-        .withColumn("min_days", least)
-        .withColumn("max_days", F.greatest(least, high))
-        .drop("lo", "hi", "lo_bump", "hi_bump")
+def service_name(service: Column) -> Column:
+    """Lower case; null and empty mean standard."""
+    return F.lower(F.coalesce(F.nullif(service, F.lit("")), F.lit(dims.DEFAULT_SERVICE)))
+
+
+def eta_days(zone_name: Column, service: Column) -> tuple[Column, Column]:
+    """At least one business day and no fewer at most; unknown services get standard days."""
+    standard = dims.DEFAULT_SERVICE
+    low = dims.lookup(dims.MIN_DAYS, service, "int", dims.MIN_DAYS[standard]) + dims.lookup(
+        dims.MIN_BUMP, zone_name, "int"
     )
+    high = dims.lookup(dims.MAX_DAYS, service, "int", dims.MAX_DAYS[standard]) + dims.lookup(
+        dims.MAX_BUMP, zone_name, "int"
+    )
+    least = F.greatest(F.lit(1), low)
+    return least, F.greatest(least, high)
 
 
 def billable_kg(kg: Column, length: Column, width: Column, height: Column) -> Column:
@@ -98,29 +78,37 @@ def billable_kg(kg: Column, length: Column, width: Column, height: Column) -> Co
     return F.greatest(actual, F.when(sides, volume.cast("double")))
 
 
-def with_quote(shipments: DataFrame, billable: str = "billable") -> DataFrame:
-    """Add price_usd (decimal) and billable_kg (rounded); needs zone and service."""
-    spark = shipments.sparkSession
-    halves = F.greatest(F.lit(1), F.ceil(F.col(billable) / F.lit(0.5)))
-    mult = F.coalesce("mult", F.lit("1.0").cast("decimal(4,2)"))
-    price = (F.col("base") + F.col("step") * (halves - 1).cast("decimal(18,0)")) * mult
+def price_usd(zone_name: Column, service: Column, billable: Column) -> Column:
+    """First half kilogram at the base price, each further one a step, times the service factor."""
+    halves = F.greatest(F.lit(1), F.ceil(billable / F.lit(0.5)))
+    first = dims.lookup(dims.FIRST_HALF, zone_name, "decimal(6,2)")
+    step = dims.lookup(dims.NEXT_HALF, zone_name, "decimal(6,2)")
+    factor = dims.lookup(dims.MULTIPLIER, service, "decimal(4,2)", "1.0")
+    return F.round((first + step * (halves - 1).cast("decimal(16,0)")) * factor, 2).cast("decimal(20,2)")
+
+
+def _with_lane(shipments: DataFrame) -> DataFrame:
     return (
-        shipments.join(F.broadcast(dims.rate_card(spark)), "zone")
-        .join(F.broadcast(dims.service_multiplier(spark)), "service", "left")
-        .withColumn("price_usd", F.round(price, 2).cast("decimal(20,2)"))
-        .withColumn("billable_kg", round_cents(F.col(billable)))
-        .drop("base", "step", "mult")
+        shipments.withColumn("origin_cc", country(F.col("origin_cc")))
+        .withColumn("dest_cc", country(F.col("dest_cc")))
+        .withColumn("service", service_name(F.col("service")))
+        .withColumn("zone", zone(F.col("origin_cc"), F.col("dest_cc")))
     )
 
 
 def estimate_eta(shipments: DataFrame) -> DataFrame:
-    """Delivery days for rows with origin_cc, dest_cc, service."""
-    return with_eta(with_service(with_zone(shipments)))
+    """Add zone, min_days and max_days to rows with origin_cc, dest_cc, service."""
+    low, high = eta_days(F.col("zone"), F.col("service"))
+    return _with_lane(shipments).withColumn("min_days", low).withColumn("max_days", high)
 
 
 def rate_quote(shipments: DataFrame) -> DataFrame:
-    """Price for rows with origin_cc, dest_cc, service, weight_kg and l_cm, w_cm, h_cm."""
+    """Add zone, price_usd and billable_kg to rows with origin_cc, dest_cc, service, weight_kg and
+    l_cm, w_cm, h_cm."""
     weight = billable_kg(F.col("weight_kg"), F.col("l_cm"), F.col("w_cm"), F.col("h_cm"))
-    return with_quote(with_service(with_zone(shipments.withColumn("billable", weight)))).drop(
-        "billable"
+    priced = (
+        _with_lane(shipments)
+        .withColumn("_billable", weight)
+        .withColumn("price_usd", price_usd(F.col("zone"), F.col("service"), F.col("_billable")))
     )
+    return with_cents(priced, "_billable", "billable_kg").drop("_billable")

@@ -8,68 +8,47 @@ from ..operators import lanes as L
 from ..operators.lookup import hot_keys, lookup_join
 
 
-def eta_by_lane(lane_counts: DataFrame) -> DataFrame:
-    """Days per lane and service; input is one row per lane with a ``shipments`` count."""
-    return L.estimate_eta(lane_counts).select(
-        "origin_cc", "dest_cc", "service", "shipments", "min_days", "max_days"
-    )
-
-
-def quote_by_zone(weighed: DataFrame) -> DataFrame:
-    """Shipments, billed kilograms and price per zone and service.
-
-    Input rows are shipments of equal measure with a ``shipments`` count, so equal shipments are
-    priced once.
-    """
-    n = F.col("shipments")
-    return (
-        L.rate_quote(weighed)
-        .groupBy("zone", "service")
-        .agg(
-            F.sum(n).alias("shipments"),
-            F.sum(F.col("price_usd") * n.cast("decimal(16,0)")).alias("price_usd"),
-            F.sum(F.col("billable_kg").cast("decimal(18,2)") * n.cast("decimal(16,0)")).alias("billed_kg"),
-        )
-    )
-
-
-def lane_counts(
+def shipments(
     lines: DataFrame,
     orders: DataFrame,
     customers: DataFrame,
     suppliers: DataFrame,
     parts: DataFrame | None = None,
-    measures: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Shipments per (s_nationkey, c_nationkey, o_orderpriority, *measures).
+    """Order lines with s_nationkey, c_nationkey, o_orderpriority and, with ``parts``, p_size.
 
-    Equal shipments are counted before every join, so a hot order or customer brings at most one
-    row per lane and measure.  Suppliers and parts come first, where a hot key still stands for
-    many orders; those two are salted.  ``parts`` replaces l_partkey by the measure p_size.
+    Every join looks one row up per line, so hot orders, customers, suppliers and parts are salted
+    and nothing is grouped on the way.
     """
-    n = F.sum("n").alias("n")
-    kept = [m for m in measures if m != "p_size"]
-    keys = ["l_orderkey", "l_suppkey", *kept]
+    placed = orders.select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderpriority"
+    )
+    homes = customers.select("c_custkey", "c_nationkey")
+    placed = lookup_join(placed, homes, "c_custkey", hot=hot_keys(placed, "c_custkey")).drop("c_custkey")
+    origins = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    found = lookup_join(lines, origins, "l_suppkey", hot=hot_keys(lines, "l_suppkey"))
     if parts is not None:
-        counted = lines.groupBy(*keys, "l_partkey").agg(F.count("*").alias("n"))
         sizes = parts.select(F.col("p_partkey").alias("l_partkey"), "p_size")
-        sized = lookup_join(counted, sizes, "l_partkey", hot=hot_keys(lines, "l_partkey"))
-        counted = sized.groupBy(*keys, "p_size").agg(n)
-    else:
-        counted = lines.groupBy(*keys).agg(F.count("*").alias("n"))
-    origins = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    by_order = (
-        lookup_join(counted, origins, "l_suppkey", hot=hot_keys(lines, "l_suppkey"))
-        .groupBy("l_orderkey", "s_nationkey", *measures).agg(n)
-    )
-    placed = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
-    by_customer = (
-        by_order.join(placed, "l_orderkey")
-        .groupBy("o_custkey", "o_orderpriority", "s_nationkey", *measures).agg(n)
+        found = lookup_join(found, sizes, "l_partkey", hot=hot_keys(lines, "l_partkey"))
+    return lookup_join(found, placed, "l_orderkey", hot=hot_keys(lines, "l_orderkey"))
+
+
+def eta_by_lane(rows: DataFrame) -> DataFrame:
+    """Shipments and days per lane and service; the days are found once per lane."""
+    counts = rows.groupBy("origin_cc", "dest_cc", "service").agg(F.count("*").alias("shipments"))
+    return L.estimate_eta(counts).select(
+        "origin_cc", "dest_cc", "service", "shipments", "min_days", "max_days"
     )
-    homes = customers.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+
+
+def quote_by_zone(rows: DataFrame) -> DataFrame:
+    """Shipments, billed kilograms and price per zone and service."""
     return (
-        by_customer.join(homes, "o_custkey")
-        .groupBy("s_nationkey", "c_nationkey", "o_orderpriority", *measures)
-        .agg(F.sum("n").cast("bigint").alias("shipments"))
+        L.rate_quote(rows)
+        .groupBy("zone", "service")
+        .agg(
+            F.count("*").alias("shipments"),
+            F.sum("price_usd").alias("price_usd"),
+            F.sum(F.col("billable_kg").cast("decimal(18,2)")).alias("billed_kg"),
+        )
     )

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import answers as A, citations as C, intents as I
-from ..functions.columns import non_empty
+from ..functions.columns import let, non_empty
 from ..functions.tracking import parse_tracking
-from ..operators.history import with_history
-from ..operators.lanes import estimate_eta, rate_quote
+from ..operators import lanes as L
+from ..operators.history import entry_line, has_later_spans, recall, with_first
 from ..operators.similarity import HIT_LIST as HITS, collect_hits, small_chunk_hits, topk
+from ..staging import stage
 
 # (user text, contexts, tracking id) -> reply
 Generate = Callable[[Column, Column, Column], Column]
@@ -80,56 +81,48 @@ def intent_counts(messages: DataFrame) -> DataFrame:
     )
 
 
-def _aside(df: DataFrame, columns: dict[str, Column], job, result: str, fields: dict[str, str], when: Column):
-    """Run a lane job on columns of its own and add its outcome as one struct."""
-    own = [c for c in df.columns if c not in columns]
-    hidden = {c: f"_own_{c}" for c in df.columns if c in columns}
-    renamed = df.withColumnsRenamed(hidden)
-    source = {name: expr for name, expr in columns.items()}
-    done = job(renamed.withColumns(source))
-    struct = F.struct(*[F.col(c).alias(alias) for c, alias in fields.items()])
-    return done.select(
-        *own, *[F.col(h).alias(c) for c, h in hidden.items()], F.when(when, struct).alias(result)
-    )
-
-
 def with_estimates(messages: DataFrame) -> DataFrame:
-    """Add the ``eta`` and ``quote`` structs to understood messages that need them."""
-    wants_eta = F.array_contains("needs", "eta")
-    lanes = messages.withColumn("_lane", I.lane(F.col("text")))
-    with_eta = _aside(
-        lanes,
-        {
-            "origin_cc": F.col("_lane.origin_cc"),
-            "dest_cc": F.col("_lane.dest_cc"),
-            "service": I.service_word(F.col("text")),
-        },
-        estimate_eta,
-        "eta",
-        {
-            "origin_cc": "origin_cc", "dest_cc": "dest_cc", "service": "service",
-            "min_days": "min_days", "max_days": "max_days",
-        },
-        wants_eta,
-    ).drop("_lane")
-    given = {
-        name: F.coalesce(F.col(f"_own_{name}"), F.lit(default).cast(_type(default)))
-        if name in messages.columns
-        else F.lit(default).cast(_type(default))
-        for name, default in QUOTE_DEFAULTS.items()
-    }
-    return _aside(
-        with_eta,
-        given,
-        rate_quote,
-        "quote",
-        {"service": "service", "zone": "zone", "billable_kg": "billable_kg", "price_usd": "price_usd"},
-        F.array_contains("needs", "quote"),
-    )
+    """Add the ``eta`` and ``quote`` structs to understood messages that need them.
 
+    The ETA's lane and service come from the text; the quote's from columns of those names, where
+    the rows have them, else from the defaults.
+    """
+    lane = I.lane(F.col("text"))
+    columns = set(messages.columns)
+
+    def given(name: str) -> Column:
+        default = QUOTE_DEFAULTS[name]
+        fallback = F.lit(default).cast("string" if isinstance(default, str) else "double")
+        return F.coalesce(F.col(name), fallback) if name in columns else fallback
+
+    def eta(asked: Column) -> Column:
+        origin, dest, service = asked["lane"]["origin_cc"], asked["lane"]["dest_cc"], asked["service"]
+        low, high = L.eta_days(L.zone(origin, dest), service)
+        return F.struct(
+            origin.alias("origin_cc"), dest.alias("dest_cc"), service.alias("service"),
+            low.alias("min_days"), high.alias("max_days"),
+        )
 
-def _type(default) -> str:
-    return "string" if isinstance(default, str) else "double"
+    asked = F.struct(lane.alias("lane"), I.service_word(F.col("text")).alias("service"))
+    quoted = (
+        messages.withColumn(
+            "eta", F.when(F.array_contains("needs", "eta"), let(asked, eta))
+        )
+        .withColumn("_service", L.service_name(given("service")))
+        .withColumn("_zone", L.zone(L.country(given("origin_cc")), L.country(given("dest_cc"))))
+        .withColumn(
+            "_kg", L.billable_kg(given("weight_kg"), given("l_cm"), given("w_cm"), given("h_cm"))
+        )
+    )
+    quote = F.struct(
+        F.col("_service").alias("service"), F.col("_zone").alias("zone"), F.col("_billable").alias("billable_kg"),
+        L.price_usd(F.col("_zone"), F.col("_service"), F.col("_kg")).alias("price_usd"),
+    )
+    return (
+        L.with_cents(quoted, "_kg", "_billable")
+        .withColumn("quote", F.when(F.array_contains("needs", "quote"), quote))
+        .drop("_service", "_zone", "_kg", "_billable")
+    )
 
 
 def with_hits(messages: DataFrame, chunks: DataFrame | None, k: int = RETRIEVED) -> DataFrame:
@@ -181,52 +174,45 @@ def answer_messages(
     return respond(with_hits(with_estimates(understand(messages)), chunks, k), generate)
 
 
+def both_answers(ready: DataFrame) -> DataFrame:
+    """Add answer_first and answer_later: the answer without and with a history before it.
+
+    The model-free reply hangs on whether there is a history, not on its wording.
+    """
+    none, some = F.array().cast(A.NO_TEXTS), F.array(F.lit("earlier"))
+    later = respond(ready.withColumn("history", some)).withColumnRenamed("answer", "answer_later")
+    return respond(later.withColumn("history", none)).withColumnRenamed("answer", "answer_first")
+
+
 def converse(messages: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Answer whole conversations with memory: batch form of the streaming job.
 
-    The model-free reply hangs on whether there is a history, not on its wording, so all answers
-    are found first and then become each other's history.
+    One shuffle by conversation serves both steps, which row is the first and what came before.
     """
-    first = messages.groupBy("conv_id").agg(F.min("turn").alias("turn")).withColumn("first", F.lit(True))
-    some = F.array(F.lit("earlier"))
-    ready = with_hits(with_estimates(understand(messages)), chunks)
-    answered = respond(
-        ready.join(first, ["conv_id", "turn"], "left").withColumn(
-            "history", F.when(F.col("first"), F.array().cast("array<string>")).otherwise(some)
-        )
-    ).select("msg_id", "conv_id", "turn", "text", "answer", "citations")
-    # Two entries per exchange, the message and its answer.
-    entries = answered.select(
-        "conv_id",
-        "msg_id",
-        F.inline(
-            F.array(
-                F.struct((F.col("turn") * 2).alias("turn"), F.lit("user").alias("role"), F.col("text")),
-                F.struct(
-                    (F.col("turn") * 2 + 1).alias("turn"), F.lit("assistant").alias("role"),
-                    F.col("answer").alias("text"),
-                ),
-            )
-        ),
-        F.col("answer"),
-        F.col("citations"),
+    ready = both_answers(with_hits(with_estimates(understand(messages)), chunks)).select(
+        "msg_id", "conv_id", "turn", "text", "answer_first", "answer_later", "citations"
     )
-    return (
-        with_history(entries)
-        .filter(F.col("role") == "user")
-        .select(
-            "msg_id", "conv_id", (F.col("turn") / 2).cast("bigint").alias("turn"), "answer",
-            "citations", "history",
-        )
+    later_spans = has_later_spans(messages)
+    if later_spans:
+        ready = stage(ready, "ready")  # the long way reads it several times
+    answered = with_first(ready, later_spans=later_spans).withColumn(
+        "answer", F.when(F.col("first"), F.col("answer_first")).otherwise(F.col("answer_later"))
+    )
+    lines = F.array(
+        entry_line(F.lit("user"), F.col("text")), entry_line(F.lit("assistant"), F.col("answer"))
+    )
+    return recall(answered.withColumn("lines", lines), per_row=2, later_spans=later_spans).select(
+        "msg_id", "conv_id", "turn", "answer", "citations", "history"
     )
 
 
 def plain_answers(messages: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """The plain retrieval path: every message searches, the reply counts its hits."""
-    asking = messages.select(F.col("msg_id").alias("query_id"), "vec")
-    hits = collect_hits(topk(asking, chunks.drop("carrier"), k), chunks)
-    found = messages.join(hits.withColumnRenamed("query_id", "msg_id"), "msg_id", "left").withColumn(
-        "hits", F.coalesce("hits", F.array().cast(HITS))
+    found = with_hits(
+        messages.withColumn("carrier", F.lit(None).cast("string")).withColumn(
+            "needs", F.array(F.lit("retrieval"))
+        ),
+        chunks, k,
     )
     label = F.transform("hits", lambda h: C.citation_label(h["source"], h["chunk_id"]))
     ids = parse_tracking(F.col("text"))["ids"]

@@ -6,9 +6,9 @@ rows.  Messages, raw answers and shipments grow with orders and lineitem.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.plans.lanes import lane_counts
+from parcelflow.plans.lanes import shipments
 from parcelflow.sources.spread import spread
 
 TABLES = (
@@ -17,7 +17,7 @@ TABLES = (
 ).split()
 
 # Tables whose texts, or texts made from them, go through long chains of functions.
-SPREAD = ("documents", "conversations", "orders")
+SPREAD = ("documents", "conversations", "orders", "lineitem")
 
 TEN = "CAST(1000000000 + o_orderkey AS STRING)"
 EIGHT = "CAST(10000000 + o_orderkey AS STRING)"
@@ -154,21 +154,18 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lanes(spark: SparkSession, sf_dir: str, weighed: bool = False) -> DataFrame:
-    """Shipment lanes with a count, under the names of the lane jobs."""
-    tables = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier")}
-    parts = table(spark, sf_dir, "part") if weighed else None
-    measures = ("p_size", "l_quantity", "l_returnflag") if weighed else ()
-    counts = lane_counts(
-        tables["lineitem"], tables["orders"], tables["customer"], tables["supplier"], parts, measures
+    """One row per order line under the names of the lane jobs."""
+    lines, orders, customers, suppliers = (
+        table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier")
     )
-    lane = [
+    parts = table(spark, sf_dir, "part") if weighed else None
+    measures = ["l_quantity", "l_returnflag"] if weighed else []
+    keys = ["l_orderkey", "l_suppkey", *(["l_partkey"] if weighed else [])]
+    rows = shipments(lines.select(*keys, *measures), orders, customers, suppliers, parts)
+    return rows.selectExpr(
         f"{_cc('s_nationkey')} AS origin_cc", f"{_cc('c_nationkey')} AS dest_cc",
-        f"{SERVICE} AS service", "shipments",
-    ]
-    named = counts.selectExpr(*lane, *(MEASURES if weighed else []))
-    # Several priorities share a service.
-    keys = [c for c in named.columns if c != "shipments"]
-    return named.groupBy(*keys).agg(F.sum("shipments").alias("shipments"))
+        f"{SERVICE} AS service", *(MEASURES if weighed else []),
+    )
 
 
 def with_message_vectors(spark: SparkSession, sf_dir: str, messages: DataFrame) -> DataFrame:

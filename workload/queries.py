@@ -12,7 +12,7 @@ from parcelflow.functions import chat, citations as C, guard as G, intents as I,
 from parcelflow.operators.chunks import chunk_text
 from parcelflow.operators.dedup import keep_first, pair_digest
 from parcelflow.operators.history import with_history
-from parcelflow.operators.lanes import billable_kg, round_cents
+from parcelflow.operators.lanes import billable_kg, with_cents
 from parcelflow.operators.pairs import reply_pairs
 from parcelflow.operators.sample import flag_smallest, hash_order
 from parcelflow.operators.similarity import topk
@@ -484,9 +484,9 @@ def quote_by_zone(spark, sf):
 @query
 def billable_weight(spark, sf):
     kg = billable_kg(F.col("weight_kg"), F.col("l_cm"), F.col("w_cm"), F.col("h_cm"))
-    return derived(spark, sf, "line_weights").select(
-        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
-        round_cents(kg).alias("billable_kg"),
+    rows = derived(spark, sf, "line_weights").withColumn("kg", kg)
+    return with_cents(rows, "kg", "billable_kg").select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "billable_kg"
     )
 
 
