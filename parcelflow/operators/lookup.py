@@ -24,11 +24,12 @@ def hot_keys(
         .filter(F.col(key).isNotNull())
         .withColumn("bin", F.pmod(F.xxhash64(key), F.lit(BINS)))
     )
-    bins = binned.groupBy("bin").count().collect()  # at most BINS rows
-    enough = max(share * sum(r["count"] for r in bins), min_rows)
-    full = [r["bin"] for r in bins if r["count"] > enough]
-    if not full:
+    bins = binned.groupBy("bin").count()
+    seen = bins.agg(F.sum("count").alias("rows"), F.max("count").alias("fullest")).first()
+    enough = max(share * (seen["rows"] or 0), min_rows)
+    if (seen["fullest"] or 0) <= enough:
         return []
+    full = [r["bin"] for r in bins.filter(F.col("count") > enough).collect()]  # under 1 / share
     counts = binned.filter(F.col("bin").isin(full)).groupBy(key).count()
     return [r[key] for r in counts.filter(F.col("count") > enough).collect()]
 

@@ -10,7 +10,7 @@ from ..functions import answers as A, citations as C, intents as I
 from ..functions.columns import let, non_empty
 from ..functions.tracking import parse_tracking
 from ..operators import lanes as L
-from ..operators.history import entry_line, has_later_spans, recall, with_first
+from ..operators.history import conversation_spans, entry_line, recall, with_first
 from ..operators.similarity import HIT_LIST as HITS, collect_hits, small_chunk_hits, topk
 from ..staging import stage
 
@@ -189,19 +189,19 @@ def converse(messages: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
 
     One shuffle by conversation serves both steps, which row is the first and what came before.
     """
+    spans = conversation_spans(messages)
     ready = both_answers(with_hits(with_estimates(understand(messages)), chunks)).select(
         "msg_id", "conv_id", "turn", "text", "answer_first", "answer_later", "citations"
     )
-    later_spans = has_later_spans(messages)
-    if later_spans:
-        ready = stage(ready, "ready")  # the long way reads it several times
-    answered = with_first(ready, later_spans=later_spans).withColumn(
+    if spans is not None:
+        ready = stage(ready, "ready")  # read once more for what the spans hand over
+    answered = with_first(ready, spans).withColumn(
         "answer", F.when(F.col("first"), F.col("answer_first")).otherwise(F.col("answer_later"))
     )
     lines = F.array(
         entry_line(F.lit("user"), F.col("text")), entry_line(F.lit("assistant"), F.col("answer"))
     )
-    return recall(answered.withColumn("lines", lines), per_row=2, later_spans=later_spans).select(
+    return recall(answered.withColumn("lines", lines), spans, per_row=2).select(
         "msg_id", "conv_id", "turn", "answer", "citations", "history"
     )
 

@@ -5,24 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.answers import HISTORY_HEADING, MAX_CONTEXTS
 from ..functions.text import ASCII_EXPANSIONS, ASCII_ONE_TO_ONE
-from ..operators.history import HISTORY_SIZE, MAX_CONTENT
+from ..operators.history import HISTORY_SIZE, MAX_CONTENT, entry_line
 
 # (user text, contexts, tracking id) -> reply
 GenerateText = Callable[[str, list[str], str | None], str]
 
-INPUT_COLUMNS = [
-    "msg_id", "conv_id", "turn", "text", "contexts", "parts", "tracking_id", "citations",
-    "answer_first", "answer_later", "clear",
-]
-OUTPUT = (
-    "msg_id bigint, conv_id bigint, turn bigint, answer string, citations array<string>, "
-    "history array<string>"
-)
+# What the ready-made answers need, and what a generator needs on top.
+COLUMNS = ["msg_id", "turn", "user_line", "citations", "clear", "answer_first", "answer_later"]
+GENERATOR_COLUMNS = ["text", "contexts", "parts", "tracking_id"]
+OUTPUT = "msg_id bigint, conv_id bigint, turn bigint, answer string, citations string, history array<string>"
 STATE = "lines array<string>"
 
 
@@ -33,11 +29,11 @@ def _ascii(text: str) -> str:
     return text
 
 
-def _generated(row, lines: list[str], generate: GenerateText) -> str:
+def _generated(row: dict, lines: list[str], generate: GenerateText) -> str:
     previous = [HISTORY_HEADING + "\n".join(lines)] if lines else []
-    contexts = (previous + list(row.contexts))[:MAX_CONTEXTS]
-    reply = _ascii(generate(row.text, contexts, row.tracking_id).strip())
-    return _ascii("\n".join([*row.parts, *([reply] if reply else [])]))
+    contexts = (previous + list(row["contexts"]))[:MAX_CONTEXTS]
+    reply = _ascii(generate(row["text"], contexts, row["tracking_id"]).strip())
+    return _ascii("\n".join([*row["parts"], *([reply] if reply else [])]))
 
 
 def answer_with_memory(
@@ -45,11 +41,13 @@ def answer_with_memory(
 ) -> DataFrame:
     """Answers in turn order per conversation, each seeing the last entries before it.
 
-    ``ready`` has INPUT_COLUMNS.  The memory is read before a message and gets two entries after
-    it.  A row with ``clear`` empties it first; with ``idle_ms`` it is also dropped after that much
-    silence.  Without ``generate``, the ready-made answers are used, which differ only in whether
-    there is a history.
+    ``ready`` comes from ``ready_messages``.  The memory is read before a message and gets two
+    entries after it.  A row with ``clear`` empties it first; with ``idle_ms`` it is also dropped
+    after that much silence.  Without ``generate``, the ready-made answers are used, which differ
+    only in whether there is a history.
     """
+    columns = COLUMNS + (GENERATOR_COLUMNS if generate else [])
+
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -57,27 +55,48 @@ def answer_with_memory(
             state.remove()
             return
         lines = list(state.get[0]) if state.exists else []
-        out = []
-        # One conversation's messages of one micro-batch.
-        for row in pd.concat(list(batches)).sort_values("turn").itertuples(index=False):
-            if row.clear:
+        # One conversation's messages of one micro-batch, which the source bounds.
+        records = [
+            dict(zip(columns, values))
+            for part in batches
+            for values in zip(*(part[c].tolist() for c in columns))
+        ]
+        records.sort(key=lambda r: r["turn"])
+        answers, histories = [], []
+        for row in records:
+            if row["clear"]:
                 lines = []
-            if generate is None:
-                answer = row.answer_later if lines else row.answer_first
-            else:
+            if generate is not None:
                 answer = _generated(row, lines, generate)
-            out.append((row.msg_id, row.conv_id, row.turn, answer, row.citations, lines))
-            new = [f"user: {row.text[:MAX_CONTENT]}", f"assistant: {answer[:MAX_CONTENT]}"]
-            lines = (lines + new)[-HISTORY_SIZE:]
+            else:
+                answer = row["answer_later"] if lines else row["answer_first"]
+            answers.append(answer)
+            histories.append(lines)
+            lines = (lines + [row["user_line"], f"assistant: {answer[:MAX_CONTENT]}"])[-HISTORY_SIZE:]
         state.update((lines,))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
-            out, columns=["msg_id", "conv_id", "turn", "answer", "citations", "history"]
+            {
+                "msg_id": [r["msg_id"] for r in records],
+                "conv_id": key[0],
+                "turn": [r["turn"] for r in records],
+                "answer": answers,
+                "citations": [r["citations"] for r in records],
+                "history": histories,
+            }
         )
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    # Citations pass through as text, which costs less to hand over than nested values.
+    prepared = ready.withColumns(
+        {
+            "user_line": entry_line(F.lit("user"), F.col("text")),
+            "citations": F.to_json("citations"),
+        }
+    )
     return (
-        ready.select(*INPUT_COLUMNS).groupBy("conv_id")
+        prepared.select("conv_id", *columns).groupBy("conv_id")
         .applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
+        .withColumn("citations", F.from_json("citations", "array<string>"))
     )
