@@ -34,3 +34,20 @@ def reply_citations(citations: Column, hits: Column) -> Column:
     refs = F.filter(citations["ref"], lambda r: F.char_length(r) > 0)
     rebuilt = F.transform(hits, lambda h: citation_label(h["source"], h["chunk_id"]))
     return F.when(F.size(refs) > 0, refs).otherwise(rebuilt)
+
+
+def hit_fields(
+    source: Column, file: Column, chunk_id: Column, point_id: Column, score: Column, kb: bool = True
+) -> dict[str, Column]:
+    """Source, chunk and score of a stored hit, with fallbacks for missing ones.
+
+    Source falls back to the file, then to ``kb`` (or the empty string); chunk to the point id,
+    then to the empty string; score to zero.
+    """
+    return {
+        "source": F.coalesce(non_empty(source), non_empty(file), F.lit("kb" if kb else "")),
+        "chunk_id": F.coalesce(
+            non_empty(chunk_id.cast("string")), non_empty(point_id.cast("string")), F.lit("")
+        ),
+        "score": F.coalesce(score.cast("double"), F.lit(0.0)),
+    }

@@ -34,7 +34,7 @@ INTENTS_NEEDING_ID = ["tracking", "link_request", "delivery_issue", "address"]
 
 LABELLED_ID = (
     rf"(?iu){WORD_START}(?:awb|waybill|tracking|order){S}*(?:no\.?|number|id)?"
-    rf"{S}*[:#-]?{S}*[A-Z0-9\-]{{8,}}"
+    rf"{S}*[:#-]?{S}*[A-Z0-9\x{{130}}\-]{{8,}}"
 )
 LONG_NUMBER = rf"{WORD_START}{D}{{8,}}{WORD_END}"
 EVAL_ID = rf"(?:awb|waybill|tracking|order){S}*(?:no|number|id)|{LONG_NUMBER}"
@@ -60,11 +60,14 @@ def _any_word(c: Column, words: list[str]) -> Column:
 
 
 def infer_intent(text: Column) -> Column:
-    """First rule that matches, in rule order."""
-    return F.coalesce(
-        *[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in INTENT_RULES],
-        F.lit(DEFAULT_INTENT),
-    )
+    """First rule that matches the lower-cased text, in rule order."""
+    def first_rule(low: Column) -> Column:
+        return F.coalesce(
+            *[F.when(low.rlike(pattern), F.lit(name)) for name, pattern in INTENT_RULES],
+            F.lit(DEFAULT_INTENT),
+        )
+
+    return let(F.lower(text), first_rule)
 
 
 def has_any_id(text: Column, provided: Column) -> Column:

@@ -14,7 +14,9 @@ CARRIER_ALIASES = [
 ]
 # A block is a run of letters and digits that holds a digit; neighbours join over "-" or space.
 # Only the end of a run can be followed by a separator or a boundary, hence the atomic group.
-_BLOCK = rf"(?>[A-Z0-9]*{D}[A-Z0-9]*)"
+# Under ignore-case Python's [A-Z] also takes the dotted capital I, Java's does not.
+_CHAR = r"[A-Z0-9\x{130}]"
+_BLOCK = rf"(?>{_CHAR}*{D}{_CHAR}*)"
 ID_CANDIDATE = rf"(?iu){WORD_START}({_BLOCK}(?:[-{WS}]{_BLOCK}){{0,8}}){WORD_END}"
 DATE_LIKE = rf"{WORD_START}{D}{{4}}-{D}{{1,2}}-{D}{{1,2}}{WORD_END}"
 REFERENCE_LIKE = word(rf"(?:INV|ORDER|PO|REF)[-:{WS}]?{D}{{3,}}")

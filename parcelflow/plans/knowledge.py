@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_text
 from ..operators.similarity import topk
@@ -22,7 +22,7 @@ def chunk_files(
     return chunks.withColumn("vec", vec.cast("array<float>"))
 
 
-def ingest(spark, pattern: str, path: str, embed: Embed) -> DataFrame:
+def ingest(spark: SparkSession, pattern: str, path: str, embed: Embed) -> DataFrame:
     """Rebuild the chunk table from markdown files; returns the chunk count per file."""
     chunks = chunk_files(read_markdown(spark, pattern), embed)
     overwrite_chunks(chunks, path)
