@@ -43,7 +43,8 @@ def answer_with_memory(
 
     ``ready`` comes from ``ready_messages``.  The memory is read before a message and gets two
     entries after it.  A row with ``clear`` empties it first; with ``idle_ms`` it is also dropped
-    after that much silence.  Without ``generate``, the ready-made answers are used, which differ
+    after that much silence (for queries that keep running: Spark never sees a query with
+    processing-time timeouts as finished).  Without ``generate``, the ready-made answers are used, which differ
     only in whether there is a history.
     """
     columns = COLUMNS + (GENERATOR_COLUMNS if generate else [])

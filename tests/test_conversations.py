@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,7 +128,7 @@ def run_stream(spark, tmp_path, rows, **options):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in rows:
         part.coalesce(1).write.mode("append").parquet(inbox)
-    job = stream_pipeline(stream_messages(spark, inbox, bytes_per_batch=1), **options)
+    job = stream_pipeline(stream_messages(spark, inbox, bytes_per_batch=5000), **options)
     query = (
         job.writeStream.outputMode("append").format("parquet").option("path", out)
         .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
@@ -147,12 +148,36 @@ def test_stream_with_a_generator(spark, tmp_path):
     def count(text, contexts, tracking_id):
         return f"{len(contexts)} “{tracking_id}” {contexts[0][:15] if contexts else ''} "
 
-    streamed = run_stream(spark, tmp_path, [messages(spark)], generate=count, idle_ms=3_600_000)
+    streamed = run_stream(spark, tmp_path, [messages(spark)], generate=count)
     answers = {r["msg_id"]: r["answer"] for r in streamed.collect()}
     assert answers[1] == '0 "None"'
     assert answers[4] == '- Parsed tracking ID: AB12CD34 (carrier: Shipping_B).\n1 "AB12CD34" Previous turns:'
 
 
+def test_memory_is_dropped_after_silence(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    messages(spark).filter("turn = 1").coalesce(1).write.parquet(inbox)
+    query = (
+        stream_pipeline(stream_messages(spark, inbox), idle_ms=1).writeStream.outputMode("append")
+        .format("memory").queryName("silence").option("checkpointLocation", str(tmp_path / "progress"))
+        .trigger(processingTime="1 second").start()
+    )
+    try:
+        wait_for(lambda: query.lastProgress and query.lastProgress.batchId >= 3)
+        messages(spark).filter("turn = 2").coalesce(1).write.mode("append").parquet(inbox)
+        wait_for(lambda: spark.table("silence").count() == 4)
+    finally:
+        query.stop()
+    assert all(r["history"] == [] for r in spark.table("silence").collect())
+
+
+def wait_for(done, seconds=60):
+    end = time.time() + seconds
+    while not done():
+        assert time.time() < end
+        time.sleep(0.5)
+
+
 def test_clear_empties_the_memory(spark, tmp_path):
     schema = f"{MESSAGES}, clear boolean"
     rows = spark.createDataFrame([(*r, r[0] == 3) for r in MESSAGE_ROWS], schema)
