@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..staging import stage
+from .lookup import hot_keys, lookup_join
+
 MAX_BROADCAST_VECTORS = 10_000
-BLOCK_VECTORS = 8_192
-QUERY_STEP = 256
+BLOCK_BYTES = 64 << 20  # of one block of vectors as doubles
+SCORES_AT_ONCE = 1 << 22  # query x chunk scores held by a task
 # Scores are compared to nine digits: vectors are 32-bit, so anything finer is noise.
 SCORE_DIGITS = 9
 
@@ -47,8 +50,9 @@ def _best(queries: _Vectors, chunks: _Vectors, k: int) -> Iterator[tuple[int, np
     """(query row, chunk rows, scores) of the k best chunks; chunk rows are in tie order."""
     if not len(chunks):
         return
-    for start in range(0, len(queries), QUERY_STEP):
-        stop = min(start + QUERY_STEP, len(queries))
+    step = max(1, SCORES_AT_ONCE // len(chunks))
+    for start in range(0, len(queries), step):
+        stop = min(start + step, len(queries))
         scores = np.round(queries.unit[start:stop] @ chunks.unit.T, SCORE_DIGITS)
         wanted = queries.carrier[start:stop]
         limited = np.array([w is not None for w in wanted])
@@ -87,8 +91,7 @@ _TIE_ORDER = [("source", "ascending"), ("chunk_id", "ascending")]
 
 def _small(df: DataFrame, cap: int) -> pa.Table | None:
     """The rows if there are at most ``cap``, else None."""
-    rows = df.limit(cap + 1).toArrow()
-    return rows if rows.num_rows <= cap else None
+    return df.toArrow() if df.offset(cap).isEmpty() else None
 
 
 def _block(df: DataFrame, name: str, blocks: int, *key: str) -> DataFrame:
@@ -99,12 +102,13 @@ def _every(df: DataFrame, name: str, blocks: int) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
 
-def with_fallback_carrier(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def _or_all(queries: DataFrame, present: Column) -> DataFrame:
     """Clear the carrier of queries that no chunk matches, so that they search everything."""
-    present = chunks.filter(F.col("carrier").isNotNull()).select("carrier").distinct()
-    return queries.join(present.withColumn("found", F.lit(True)), "carrier", "left").withColumn(
-        "carrier", F.when(F.col("found"), F.col("carrier"))
-    ).drop("found")
+    return queries.withColumn("carrier", F.when(present, F.col("carrier")))
+
+
+def _carriers(chunks: pa.Table) -> list[str]:
+    return sorted({c for c in chunks["carrier"].to_pylist() if c is not None})
 
 
 def topk(
@@ -113,7 +117,7 @@ def topk(
     k: int,
     *,
     max_broadcast: int = MAX_BROADCAST_VECTORS,
-    block: int = BLOCK_VECTORS,
+    block: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, source, chunk_id, score): the k best chunks of each query.
 
@@ -121,22 +125,20 @@ def topk(
     carrier.  A query with a carrier sees that carrier's chunks, or all if there are none.  Ties go
     to the smaller (source, chunk_id).
     """
-    if "carrier" in queries.columns and "carrier" in chunks.columns:
-        queries = with_fallback_carrier(queries, chunks)
-        chunks = chunks.withColumn("carrier", F.col("carrier").cast("string"))
-        queries = queries.withColumn("carrier", F.col("carrier").cast("string"))
-    else:
-        queries = queries.withColumn("carrier", F.lit(None).cast("string"))
-        chunks = chunks.withColumn("carrier", F.lit(None).cast("string"))
-    queries = queries.select("query_id", "carrier", "vec").filter("vec IS NOT NULL")
-    chunks = chunks.select("source", "chunk_id", "carrier", "vec").filter("vec IS NOT NULL")
+    no_carrier = F.lit(None).cast("string")
+    limited = "carrier" in queries.columns and "carrier" in chunks.columns
+    carrier = F.col("carrier").cast("string") if limited else no_carrier
+    queries = queries.select("query_id", carrier.alias("carrier"), "vec").filter("vec IS NOT NULL")
+    chunks = chunks.select("source", "chunk_id", carrier.alias("carrier"), "vec").filter("vec IS NOT NULL")
 
     spark = chunks.sparkSession
     types = {**dict(queries.dtypes), **dict(chunks.dtypes), "score": "double"}
     ddl = ", ".join(f"{c} {types[c]}" for c in HIT_COLUMNS)
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-    if (held := _small(chunks, max_broadcast)) is not None:
+    held = _small(chunks, max_broadcast)
+    if held is not None:
+        queries = _or_all(queries, F.col("carrier").isin(_carriers(held)))
         shared = spark.sparkContext.broadcast(held)
 
         def scan_queries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,27 +148,16 @@ def topk(
                 yield from hits.to_batches()
 
         found = queries.mapInArrow(scan_queries, ddl)
-    elif (held := _small(queries, max_broadcast)) is not None:
-        shared = spark.sparkContext.broadcast(held)
-
-        def scan_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asking = _Vectors(shared.value)
-            for batch in batches:
-                against = _Vectors(pa.Table.from_batches([batch]), _TIE_ORDER)
-                yield from _hits(asking, against, k, schema).to_batches()
-
-        found = chunks.mapInArrow(scan_chunks, ddl)
     else:
-        query_blocks = -(-queries.count() // block)
-        chunk_blocks = -(-chunks.count() // block)
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            return _hits(_Vectors(left), _Vectors(right, _TIE_ORDER), k, schema)
-
-        left = _every(_block(queries, "qb", query_blocks, "query_id"), "cb", chunk_blocks)
-        right = _every(_block(chunks, "cb", chunk_blocks, "source", "chunk_id"), "qb", query_blocks)
-        found = (
-            left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, ddl)
+        if limited:
+            present = chunks.filter("carrier IS NOT NULL").select("carrier").distinct()
+            found_carrier = present.withColumn("found", F.lit(True))
+            hot = hot_keys(queries, "carrier")
+            queries = _or_all(
+                lookup_join(queries, found_carrier, "carrier", "left", hot), F.col("found")
+            ).drop("found")
+        found = _scan_chunks(queries, chunks, k, ddl, schema, max_broadcast) or _meet_in_blocks(
+            queries, chunks, k, ddl, schema, block
         )
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source", "chunk_id")
@@ -177,6 +168,41 @@ def topk(
     )
 
 
+def _scan_chunks(
+    queries: DataFrame, chunks: DataFrame, k: int, ddl: str, schema: pa.Schema, max_broadcast: int
+) -> DataFrame | None:
+    """Hits per partition of the chunks, if the queries are few enough to hold."""
+    held = _small(queries, max_broadcast)
+    if held is None:
+        return None
+    shared = queries.sparkSession.sparkContext.broadcast(held)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = _Vectors(shared.value)
+        for batch in batches:
+            against = _Vectors(pa.Table.from_batches([batch]), _TIE_ORDER)
+            yield from _hits(asking, against, k, schema).to_batches()
+
+    return chunks.mapInArrow(scan, ddl)
+
+
+def _meet_in_blocks(
+    queries: DataFrame, chunks: DataFrame, k: int, ddl: str, schema: pa.Schema, block: int | None
+) -> DataFrame:
+    """Hits per pair of a query block and a chunk block; a group never holds more than the two."""
+    if block is None:
+        block = max(1024, BLOCK_BYTES // (8 * len(queries.first()["vec"])))
+    query_blocks = -(-queries.count() // block)
+    chunk_blocks = -(-chunks.count() // block)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _hits(_Vectors(left), _Vectors(right, _TIE_ORDER), k, schema)
+
+    left = _every(_block(queries, "qb", query_blocks, "query_id"), "cb", chunk_blocks)
+    right = _every(_block(chunks, "cb", chunk_blocks, "source", "chunk_id"), "qb", query_blocks)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, ddl)
+
+
 HIT_LIST = "array<struct<rank:int,text:string,score:double,source:string,chunk_id:string>>"
 
 
@@ -192,7 +218,7 @@ def small_chunk_hits(
     if held is None:
         return None
     shared = chunks.sparkSession.sparkContext.broadcast(held)
-    carriers = set(held["carrier"].to_pylist()) - {None}
+    carriers = set(_carriers(held))
     prepared: list[_Vectors] = []  # one per Python worker
 
     @F.arrow_udf(HIT_LIST)
@@ -227,12 +253,22 @@ def small_chunk_hits(
     return find
 
 
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the text of their chunk.
+
+    A chunk that many queries hit is a hot key, so the hits are staged and looked up with salts.
+    """
+    def ref() -> Column:
+        return F.concat_ws("\x01", "source", "chunk_id").alias("_ref")
+
+    staged = stage(hits.select("*", ref()), "hits")
+    texts = chunks.select(ref(), "text")
+    return lookup_join(staged, texts, "_ref", hot=hot_keys(staged, "_ref")).drop("_ref")
+
+
 def collect_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, hits): each query's hits with their texts, in rank order; at most k per query."""
-    texts = chunks.select("source", "chunk_id", "text")
     hit = F.struct("rank", "text", "score", "source", "chunk_id")
-    return (
-        hits.join(texts, ["source", "chunk_id"])
-        .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    return with_texts(hits, chunks).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(hit)).alias("hits")
     )

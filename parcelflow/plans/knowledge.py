@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_text
-from ..operators.similarity import topk
+from ..operators.similarity import topk, with_texts
 from ..sources.knowledge import overwrite_chunks, read_markdown
 
 Embed = Callable[[Column], Column]
@@ -36,13 +36,9 @@ def ingest_counts(chunks: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Flat hits (query_id, rank, source, chunk_id, text, score) without a carrier filter."""
-    hits = topk(queries.select("query_id", "vec"), chunks, k)
-    texts = chunks.select("source", "chunk_id", "text")
-    return hits.join(texts, ["source", "chunk_id"])
+    return with_texts(topk(queries.select("query_id", "vec"), chunks, k), chunks)
 
 
 def search_kb(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     """As ``search``, within the query's carrier where that has any chunk."""
-    hits = topk(queries.select("query_id", "vec", "carrier"), chunks, k)
-    texts = chunks.select("source", "chunk_id", "text")
-    return hits.join(texts, ["source", "chunk_id"])
+    return with_texts(topk(queries.select("query_id", "vec", "carrier"), chunks, k), chunks)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import INSTRUCTION_COLUMNS, TWEET_COLUMNS, Dataset
 from ..operators.pairs import reply_pairs
+from ..staging import stage
 
 # --- fixed values -------------------------------------------------------------------------------
 # Cells that a default CSV load of the reference's kind takes as missing.
@@ -83,7 +84,8 @@ def read_instructions(
 
 
 def _tweet_pairs(spark: SparkSession, d: Dataset) -> DataFrame:
-    pairs = reply_pairs(read_tweets(spark, d.path, d.mapping))
+    # The join passes over the tweets several times; the CSV is parsed once.
+    pairs = reply_pairs(stage(read_tweets(spark, d.path, d.mapping), "tweets"))
     number = F.expr("try_cast(src_key AS decimal(20,0))")
     return pairs.withColumn("local_ord", F.coalesce(number.cast("decimal(38,0)"), content_order("src_key")))
 

@@ -1,4 +1,7 @@
-"""Written intermediate tables: they cut lineage and survive the loss of executors."""
+"""Written intermediate tables: they cut lineage and survive the loss of executors.
+
+They stay in the shared folder until its owner clears it, as results may still read them.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +18,8 @@ def staging_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    scratch = tempfile.mkdtemp(prefix="parcelflow-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parcelflow-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
