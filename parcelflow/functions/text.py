@@ -14,7 +14,8 @@ from pyspark.sql.types import StringType
 
 from .columns import let
 from .patterns import (
-    BOUNDARY, D, END, LOOSE_S, NOT_S, W, WORD_END, WORD_START, WS, WS_CHARS, quote, quote_replacement, word,
+    BOUNDARY, D, END, NOT_S, NOT_W, S, W, WORD_END, WORD_START, WS, WS_CHARS, quote, quote_replacement,
+    run_but_one_space, starts_with_any, word,
 )
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -36,9 +37,6 @@ HASHTAG = rf"#{W}+"
 DM_TAIL = rf"(?iu)dm(?<!{W}dm){WORD_END}[^\n]*{END}"
 DIRECT_MESSAGE_TAIL = rf"{WORD_START}[dD]irect message{WORD_END}[^\n]*{END}"
 
-# Runs of other characters than those of words, unless they are just one space.
-NOT_WORDS = r"[^\p{L}\p{N}_]{2,}|[^\p{L}\p{N}_ ]"
-
 STEP_TEMPLATE = (
     "Thanks for reaching out. Here's what I'll do:\n"
     "1) Check the latest scan and status.\n"
@@ -73,7 +71,7 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, LOOSE_S, " "))
+    return F.trim(F.regexp_replace(c, run_but_one_space(S), " "))
 
 
 def nfkc(c: Column) -> Column:
@@ -125,7 +123,8 @@ def alias_carriers(c: Column, names: list[str], alias: str) -> Column:
     clash = len(set(words)) != len(words) or set(words) & set(alias.lower().split())
     groups = [[n] for n in names] if clash else [names] if names else []
     for group in groups:
-        c = F.regexp_replace(c, word("|".join(map(quote, group))), quote_replacement(alias))
+        pattern = starts_with_any(group) + word("|".join(map(quote, group)))
+        c = F.regexp_replace(c, pattern, quote_replacement(alias))
     return F.regexp_replace(c, r"(?iu)shipping_a", "Shipping_A")
 
 
@@ -149,7 +148,7 @@ def enforce_max_tokens(c: Column, max_tokens: int = 1024) -> Column:
 
 def dedup_key(c: Column) -> Column:
     """Casefolded words separated by single spaces."""
-    return strip(F.regexp_replace(casefold(c), NOT_WORDS, " "))
+    return F.trim(F.regexp_replace(casefold(c), run_but_one_space(NOT_W), " "))
 
 
 def ascii_safe(c: Column) -> Column:
