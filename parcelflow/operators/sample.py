@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PREFIX_HEX = 4  # 65,536 bins per group
-MAX_GROUPS = 10_000
+MAX_GROUPS = 1_000
 ABOVE_ALL = "~"  # sorts after every hash
 
 

@@ -24,7 +24,7 @@ SCORES_AT_ONCE = 1 << 22  # query x chunk scores held by a task
 # Scores are compared to nine digits: vectors are 32-bit, so anything finer is noise.
 SCORE_DIGITS = 9
 
-HIT_COLUMNS = ["query_id", "source", "chunk_id", "score"]
+HIT_COLUMNS = ["query_id", "rank", "source", "chunk_id", "score"]
 
 
 class _Vectors:
@@ -73,11 +73,13 @@ def _hits(queries: _Vectors, chunks: _Vectors, k: int, schema: pa.Schema) -> pa.
     found = list(_best(queries, chunks, k))
     sizes = [len(rows) for _, rows, _ in found]
     query_rows = np.repeat([q for q, _, _ in found], sizes).astype(np.int64)
+    ranks = np.concatenate([np.arange(1, n + 1) for n in sizes] or [np.empty(0)]).astype(np.int32)
     chunk_rows = np.concatenate([r for _, r, _ in found] or [np.empty(0)]).astype(np.int64)
     scores = np.concatenate([s for _, _, s in found] or [np.empty(0)]).astype(np.float64)
     return pa.table(
         [
             queries.table["query_id"].take(pa.array(query_rows)),
+            pa.array(ranks),
             chunks.table["source"].take(pa.array(chunk_rows)),
             chunks.table["chunk_id"].take(pa.array(chunk_rows)),
             pa.array(scores),
@@ -121,7 +123,7 @@ def topk(
 ) -> DataFrame:
     """(query_id, rank, source, chunk_id, score): the k best chunks of each query.
 
-    ``queries`` has query_id and vec, ``chunks`` has source, chunk_id and vec; both may have a
+    ``queries`` has query_id (unique) and vec, ``chunks`` has source, chunk_id and vec; both may have a
     carrier.  A query with a carrier sees that carrier's chunks, or all if there are none.  Ties go
     to the smaller (source, chunk_id).
     """
@@ -132,7 +134,7 @@ def topk(
     chunks = chunks.select("source", "chunk_id", carrier.alias("carrier"), "vec").filter("vec IS NOT NULL")
 
     spark = chunks.sparkSession
-    types = {**dict(queries.dtypes), **dict(chunks.dtypes), "score": "double"}
+    types = {**dict(queries.dtypes), **dict(chunks.dtypes), "rank": "int", "score": "double"}
     ddl = ", ".join(f"{c} {types[c]}" for c in HIT_COLUMNS)
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -147,25 +149,20 @@ def topk(
                 hits = _hits(_Vectors(pa.Table.from_batches([batch])), against, k, schema)
                 yield from hits.to_batches()
 
-        found = queries.mapInArrow(scan_queries, ddl)
-    else:
-        if limited:
-            present = chunks.filter("carrier IS NOT NULL").select("carrier").distinct()
-            found_carrier = present.withColumn("found", F.lit(True))
-            hot = hot_keys(queries, "carrier")
-            queries = _or_all(
-                lookup_join(queries, found_carrier, "carrier", "left", hot), F.col("found")
-            ).drop("found")
-        found = _scan_chunks(queries, chunks, k, ddl, schema, max_broadcast) or _meet_in_blocks(
-            queries, chunks, k, ddl, schema, block
-        )
-
+        # Each query saw all chunks, so its hits are final as they are.
+        return queries.mapInArrow(scan_queries, ddl)
+
+    if limited:
+        present = chunks.filter("carrier IS NOT NULL").select("carrier").distinct()
+        known = present.withColumn("known", F.lit(True))
+        looked_up = lookup_join(queries, known, "carrier", "left", hot_keys(queries, "carrier"))
+        queries = _or_all(looked_up, F.col("known")).drop("known")
+    found = _scan_chunks(queries, chunks, k, ddl, schema, max_broadcast)
+    if found is None:
+        found = _meet_in_blocks(queries, chunks, k, ddl, schema, block)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source", "chunk_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "source", "chunk_id", "score")
-    )
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select(*HIT_COLUMNS)
 
 
 def _scan_chunks(

@@ -11,7 +11,7 @@ from ..operators.pairs import reply_pairs
 from ..staging import stage
 
 # --- fixed values -------------------------------------------------------------------------------
-# Cells that a default CSV load of the reference's kind takes as missing.
+# Cells that pandas reads as missing by default.
 MISSING_CELLS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",

@@ -183,6 +183,22 @@ def test_build_dataset_from_files(spark, tmp_path):
     assert any("é" in text for text in raw)
 
 
+def test_settings_from_yaml(tmp_path):
+    yaml = pytest.importorskip("yaml")
+    settings = {
+        "datasets": [{"name": "a", "kind": "hf", "hf_repo": "x/y", "split": "train", "mapping": {"user_col": "q"}}],
+        "output": {"mini_size": 7, "val_ratio": 0.5, "max_tokens": 10},
+        "filters": {"shipping_keywords": ["k"]},
+        "anonymize": {"carrier_aliases": ["c"], "replace_with": "C"},
+        "tone": {"normalize_agent_style": False, "prepend_steps": True},
+    }
+    path = tmp_path / "job.yaml"
+    path.write_text(yaml.safe_dump(settings))
+    cfg = load(str(path))
+    assert cfg == from_mapping(settings)
+    assert cfg.datasets[0].path == "x/y" and cfg.quotas() == {"bitext_hf": 4, "kaggle_twitter": 1, "synthetic": 0}
+
+
 def test_instructions_from_json_lines(spark, tmp_path):
     path = str(tmp_path / "c")
     rows = [("track", "a"), ("track", "a"), ("track", "b")]

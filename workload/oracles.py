@@ -2,6 +2,8 @@
 
 DuckDB's regex engine has ASCII word boundaries and no look-around.  Where a text may hold other
 letters, words are marked first or those letters are mapped to a neutral word character.
+
+Patterns, marks and sentences are fixed values that the results depend on.
 """
 
 from __future__ import annotations
