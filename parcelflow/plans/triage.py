@@ -14,6 +14,8 @@ from ..operators.history import conversation_spans, entry_line, recall, with_fir
 from ..operators.similarity import HIT_LIST as HITS, collect_hits, small_chunk_hits, topk
 from ..staging import stage
 
+# text -> vector, a vectorised UDF; it gets null for messages that do not search
+Embed = Callable[[Column], Column]
 # (user text, contexts, tracking id) -> reply
 Generate = Callable[[Column, Column, Column], Column]
 
@@ -125,8 +127,20 @@ def with_estimates(messages: DataFrame) -> DataFrame:
     )
 
 
-def with_hits(messages: DataFrame, chunks: DataFrame | None, k: int = RETRIEVED) -> DataFrame:
-    """Add ``hits`` to understood messages with a ``vec``; only those that need retrieval search."""
+def with_vectors(messages: DataFrame, embed: Embed | None) -> DataFrame:
+    """Add ``vec`` to understood messages; only texts that need retrieval are embedded."""
+    if embed is None:
+        return messages
+    asked = F.when(F.array_contains("needs", "retrieval"), F.col("text"))
+    return messages.withColumn("vec", embed(asked))
+
+
+def with_hits(
+    messages: DataFrame, chunks: DataFrame | None, k: int = RETRIEVED, embed: Embed | None = None
+) -> DataFrame:
+    """Add ``hits`` to understood messages with a ``vec`` (or an ``embed`` that makes one); only
+    those that need retrieval search."""
+    messages = with_vectors(messages, embed)
     none = F.array().cast(HITS)
     if chunks is None or "vec" not in messages.columns:
         return messages.withColumn("hits", none)
@@ -169,9 +183,10 @@ def answer_messages(
     chunks: DataFrame | None = None,
     generate: Generate | None = None,
     k: int = RETRIEVED,
+    embed: Embed | None = None,
 ) -> DataFrame:
     """MESSAGES rows (optionally with vec, history, quote columns) to answers with citations."""
-    return respond(with_hits(with_estimates(understand(messages)), chunks, k), generate)
+    return respond(with_hits(with_estimates(understand(messages)), chunks, k, embed), generate)
 
 
 def both_answers(ready: DataFrame) -> DataFrame:
@@ -184,13 +199,15 @@ def both_answers(ready: DataFrame) -> DataFrame:
     return respond(later.withColumn("history", none)).withColumnRenamed("answer", "answer_first")
 
 
-def converse(messages: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+def converse(
+    messages: DataFrame, chunks: DataFrame | None = None, embed: Embed | None = None
+) -> DataFrame:
     """Answer whole conversations with memory: batch form of the streaming job.
 
     One shuffle by conversation serves both steps, which row is the first and what came before.
     """
     spans = conversation_spans(messages)
-    ready = both_answers(with_hits(with_estimates(understand(messages)), chunks)).select(
+    ready = both_answers(with_hits(with_estimates(understand(messages)), chunks, embed=embed)).select(
         "msg_id", "conv_id", "turn", "text", "answer_first", "answer_later", "citations"
     )
     if spans is not None:

@@ -3,6 +3,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from parcelflow.functions import answers as A
 from parcelflow.operators.history import conversation_spans, with_first, with_history
@@ -96,7 +97,10 @@ def test_contexts_keep_history_first_and_four_at_most(spark):
     assert out == ["Previous turns:\nuser: x", "a", "b", "c"]
 
 
-def test_retrieval_only_where_needed(spark):
+@pytest.mark.parametrize("held", [True, False])
+def test_retrieval_only_where_needed(spark, monkeypatch, held):
+    if not held:  # as with a large chunk table
+        monkeypatch.setattr(triage, "small_chunk_hits", lambda chunks, k: None)
     rows = messages(spark).withColumn("vec", F.array(F.lit(1.0), F.lit(0.0)))
     chunks = spark.createDataFrame(
         [("a.md", "0", "text a", [1.0, 0.1], "Shipping_B"), ("b.md", "1", "text b", [1.0, 0.0], None)],
@@ -144,6 +148,24 @@ def test_stream_equals_batch_over_several_micro_batches(spark, tmp_path):
     assert sorted(streamed.select(*columns).collect()) == sorted(triage.converse(rows).select(*columns).collect())
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def word_lengths(texts):
+    return texts.map(lambda t: None if t is None else [float(len(t)), float(t.count("a"))])
+
+
+def test_stream_retrieves_like_the_batch(spark, tmp_path):
+    rows = messages(spark)
+    chunks = spark.createDataFrame(
+        [("a.md", "0", "text a", [1.0, 0.5], "Shipping_B"), ("b.md", "1", "text b", [1.0, 0.0], None)],
+        "source string, chunk_id string, text string, vec array<double>, carrier string",
+    )
+    streamed = run_stream(spark, tmp_path, [rows], chunks=chunks, embed=word_lengths)
+    columns = ["msg_id", "answer", "citations", "history"]
+    found = sorted(streamed.select(*columns).collect())
+    assert found == sorted(triage.converse(rows, chunks, word_lengths).select(*columns).collect())
+    assert [len(r["citations"]) for r in found] == [2, 0, 0, 1, 2, 0]
+
+
 def test_stream_with_a_generator(spark, tmp_path):
     def count(text, contexts, tracking_id):
         return f"{len(contexts)} “{tracking_id}” {contexts[0][:15] if contexts else ''} "
