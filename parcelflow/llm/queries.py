@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import bpe, quality_rules
 from .common import documents
+from .settings import TOKENIZERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ledger(documents(spark, sf_dir)).select(
         "doc_id", *quality_rules.MEASUREMENTS, "fail_bits", "base_failed", "kept"
     )
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their text, as counts and hashes."""
+    return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), TOKENIZERS["word_bpe_49k"]))
