@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelflow.staging import staging_dir
@@ -43,7 +44,7 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
     """Slices of about ``limit`` bytes, so that working arrays stay small."""
-    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
@@ -57,7 +58,7 @@ def whole_texts(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One string array with null as empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    return pa.compute.fill_null(texts.cast(pa.string()), "")
+    return pc.fill_null(texts.cast(pa.string()), "")
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality_rules
+from . import bpe, pii, quality_rules
 from .common import documents
 from .settings import TOKENIZERS
 
@@ -31,3 +31,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and their text, as counts and hashes."""
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), TOKENIZERS["word_bpe_49k"]))
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, and spans plain and disguised."""
+    return pii.digests(pii.scan(documents(spark, sf_dir)))
