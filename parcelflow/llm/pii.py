@@ -254,12 +254,12 @@ def span_digests(found: Column, kinds: tuple[str, ...]) -> list[Column]:
         )
 
     plain = F.filter(found, lambda s: s["plain"])
-    counts = [
-        F.size(F.filter(plain, lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
-        for kind in kinds
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return [
-        *counts,
+        *map(count, kinds),
         F.sha2(listed(plain).cast("binary"), 256).alias("base_sha256"),
         listed(found).alias("spans"),
         (F.size(found) - F.size(plain)).cast("bigint").alias("n_added"),
