@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, pii, quality_rules
+from . import bpe, hilbert, pii, quality_rules
 from .common import documents
 from .settings import TOKENIZERS
 
@@ -37,3 +37,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts, and spans plain and disguised."""
     return pii.digests(pii.scan(documents(spark, sf_dir)))
+
+
+@query
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document along the curve, with equal row counts."""
+    sharded = hilbert.shard_rows(hilbert.document_rows(documents(spark, sf_dir)))
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
