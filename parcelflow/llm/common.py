@@ -69,3 +69,24 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if its counted rows allow it; else Spark shuffles both sides."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def span_digests(found: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """Counts of plain spans by kind, the hash of the plain ones, all spans as text, those added."""
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    plain = F.filter(found, lambda s: s["plain"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return [
+        *map(count, kinds),
+        F.sha2(listed(plain).cast("binary"), 256).alias("base_sha256"),
+        listed(found).alias("spans"),
+        (F.size(found) - F.size(plain)).cast("bigint").alias("n_added"),
+    ]

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, whole_texts
+from .common import bounded_batches, span_digests, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -245,22 +245,3 @@ def scan(docs: DataFrame) -> DataFrame:
 def digests(found: DataFrame) -> DataFrame:
     """Counts of plain spans by kind, the hash of the plain ones, all spans as text."""
     return found.select("doc_id", *span_digests(F.col("spans"), KINDS))
-
-
-def span_digests(found: Column, kinds: tuple[str, ...]) -> list[Column]:
-    def listed(spans: Column) -> Column:
-        return F.array_join(
-            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
-        )
-
-    plain = F.filter(found, lambda s: s["plain"])
-
-    def count(kind: str) -> Column:
-        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-
-    return [
-        *map(count, kinds),
-        F.sha2(listed(plain).cast("binary"), 256).alias("base_sha256"),
-        listed(found).alias("spans"),
-        (F.size(found) - F.size(plain)).cast("bigint").alias("n_added"),
-    ]

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, hilbert, pii, quality_rules
-from .common import documents
+from . import bpe, hilbert, pii, quality_rules, secret_scan
+from .common import documents, span_digests
 from .settings import TOKENIZERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,10 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve",
     )
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, and spans of the base kinds and of well-known tokens."""
+    found = secret_scan.scan(documents(spark, sf_dir))
+    return found.select("doc_id", *span_digests(F.col("spans"), tuple(r.kind for r in secret_scan.BASE)))
