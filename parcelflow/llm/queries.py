@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, hilbert, pii, quality_rules, secret_scan
+from . import bpe, hilbert, line_dedup, pii, quality_rules, secret_scan
 from .common import documents, span_digests
 from .settings import TOKENIZERS
 
@@ -54,3 +54,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, and spans of the base kinds and of well-known tokens."""
     found = secret_scan.scan(documents(spark, sf_dir))
     return found.select("doc_id", *span_digests(F.col("spans"), tuple(r.kind for r in secret_scan.BASE)))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line, exactly or within two edits."""
+    return line_dedup.report(documents(spark, sf_dir))
