@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, hilbert, line_dedup, pii, quality_rules, secret_scan
+from . import bpe, hilbert, line_dedup, minhash, pii, quality_rules, secret_scan
 from .common import documents, span_digests
 from .settings import TOKENIZERS
 
@@ -60,3 +60,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line, exactly or within two edits."""
     return line_dedup.report(documents(spark, sf_dir))
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: shingles of four words, similarity of 0.8 or more."""
+    return minhash.near_duplicates(documents(spark, sf_dir), minhash.Settings(words=4))
