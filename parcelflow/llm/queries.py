@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, hilbert, line_dedup, minhash, pii, quality_rules, secret_scan
+from . import bpe, decontaminate, hilbert, line_dedup, minhash, pii, quality_rules, secret_scan
 from .common import documents, span_digests
 from .settings import TOKENIZERS
 
@@ -66,3 +66,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: shingles of four words, similarity of 0.8 or more."""
     return minhash.near_duplicates(documents(spark, sf_dir), minhash.Settings(words=4))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, verbatim or with other values."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark).drop("text_key")
