@@ -101,21 +101,23 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start, end - start
 
 
-def segments(line: Column, space: Column, threshold: int) -> Column:
+def segments(line: Column, size: Column, space: Column, threshold: int, indexed_only: bool = False) -> Column:
     """Array of (key, indexed, start, long): the line's segments, and the substrings it probes with.
 
-    A substring can align with segment i of a line shorter by ``less`` only if the edits before it and
+    ``size`` is the line's length, as a column, so that it is counted once.  A substring can align with segment i of a line shorter by ``less`` only if the edits before it and
     after it add up to at most the threshold, which bounds how far it lies from the segment.
     """
     out = []
     for less in range(threshold + 1):
-        length = F.length(line) - less
+        length = size - less
         for i in range(threshold + 1):
             start, long = _segment(length, i, threshold + 1)
             low = max(-i, less - (threshold - i))
             high = min(i, less + (threshold - i))
             for shift in range(low, high + 1):
                 own = less == 0 and shift == 0  # the segment itself: indexed, and a probe as well
+                if indexed_only and not own:
+                    continue
                 at = start + shift
                 key = F.xxhash64(space, length, F.lit(i), F.substring(line, at + 1, long))
                 fits = (at >= 0) & (long > 0) & (length > 0)
@@ -139,10 +141,10 @@ def letters_allow(a: Column, b: Column, threshold: int) -> Column:
     return reduce(Column.__add__, [apart(i) for i in range(len(LETTERS))]) <= 2 * threshold
 
 
-def _pairs(keyed: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b), a < b, that share a key where at least one of them is indexed."""
+def _pairs(keyed: DataFrame, indexed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b), a < b, of a keyed line and an indexed one that share a key."""
     left = keyed.select("key", F.col("id").alias("l"), F.col("letters").alias("l_letters"), F.col("indexed").alias("both"))
-    right = keyed.filter("indexed").select("key", F.col("id").alias("r"), F.col("letters").alias("r_letters"))
+    right = indexed.select("key", F.col("id").alias("r"), F.col("letters").alias("r_letters"))
     once = (F.col("l") != F.col("r")) & (~F.col("both") | (F.col("l") < F.col("r")))
     near = letters_allow(F.col("l_letters"), F.col("r_letters"), threshold)
     met = left.join(right.hint("shuffle_hash"), (left["key"] == right["key"]) & once & near)
@@ -177,20 +179,22 @@ def candidate_pairs(lines: DataFrame, use: Settings) -> DataFrame:
     rows = lines.select("id", "letters", F.col("line").alias("rest"), F.lit(0).cast("bigint").alias("space"))
     found = []
     while True:
-        exploded = rows.select(
-            "id", "letters", "rest",
-            F.explode(segments(F.col("rest"), F.col("space"), use.threshold)).alias("s"),
+        sized = rows.withColumn("size", F.length("rest"))
+        parts = lambda only: segments(
+            F.col("rest"), F.col("size"), F.col("space"), use.threshold, only
         )
-        keyed = exploded.select("id", "letters", "rest", "s.*")
-        sampled = keyed.filter(F.col("indexed") & (F.pmod("id", F.lit(use.sample)) == 0))
+        keyed = sized.select("id", "letters", "rest", F.inline(parts(False)))
+        indexed = sized.select("id", "letters", F.inline(parts(True)))
+        sampled = indexed.filter(F.pmod("id", F.lit(use.sample)) == 0)
         counted = sampled.groupBy("key").count().filter(F.col("count") > use.hot / use.sample)
         hot = stage(counted.select("key"), "hot-segments")
         if hot.isEmpty():
-            found.append(_pairs(keyed.drop("rest", "start", "long"), use.threshold))
+            found.append(_pairs(keyed, indexed, use.threshold))
             break
         few = maybe_broadcast(hot)
-        cold = keyed.drop("rest", "start", "long").join(few, "key", "left_anti")
-        found.append(_pairs(cold, use.threshold))
+        found.append(
+            _pairs(keyed.join(few, "key", "left_anti"), indexed.join(few, "key", "left_anti"), use.threshold)
+        )
         rest = F.concat(
             F.substring("rest", F.lit(1), F.col("start")), F.lit("\n"),
             F.substring("rest", F.col("start") + F.col("long") + 1, F.length("rest")),
@@ -205,7 +209,7 @@ def candidate_pairs(lines: DataFrame, use: Settings) -> DataFrame:
             "id", "letters", F.lit(True).alias("indexed"),
             F.explode(deletions(F.col("rest"), use.threshold)).alias("v"), "space",
         ).withColumn("key", F.xxhash64("space", "v")).drop("v", "space")
-        found.append(_pairs(variants, use.threshold))
+        found.append(_pairs(variants, variants, use.threshold))
         rows = rows.filter(F.length("rest") > use.short)
         if rows.isEmpty():
             break
