@@ -6,9 +6,9 @@ its class, or if a line within ``threshold`` edits has an earlier place.
 
 The edit join: a line is cut into threshold + 1 segments, one of which two such lines must share.  The
 segments of each line are indexed with its length; a line probes, for each length up to ``threshold``
-below its own, the substrings that can align with a segment.  Pairs that meet and whose letter counts
-allow it are verified with an edit distance that keeps a band of 2 * threshold + 1 diagonals in the bits
-of one number.  Segments that more than HOT lines share do not pair their lines: those lines are joined
+below its own, the substrings that can align with a segment.  What meets another line's segment is kept
+first, a row for a row; only then are lines paired, if their letter counts allow it, and verified with an
+edit distance that keeps a band of 2 * threshold + 1 diagonals in the bits of one number.  Segments that more than HOT lines share do not pair their lines: those lines are joined
 again by what is left of them, with that segment as the name of their group, down to short rests, which
 are joined by the strings they have in common after threshold deletions.  That is as exact, and no group
 meets all pairs.
@@ -22,24 +22,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelflow.staging import stage
 
-from .common import fresh_name, maybe_broadcast, small_enough
+from .common import fresh_name, maybe_broadcast
 
 MIN_CHARS = 24
 THRESHOLD = 2
 #: A segment shared by more lines than this is refined instead of paired.
 HOT = 1_000
-#: One line in so many tells which segments are hot; both ways are exact, so a miss costs time only.
-SAMPLE = 16
 #: Rests up to this length are joined by deletions.
 SHORT = 24
 #: Documents that keep less than this share of their characters are dropped.
 LEAST_LEFT = 0.1
-LETTERS = "etnaiors"
 LOWEST_ID = -(1 << 63)
 
 
@@ -48,7 +46,6 @@ class Settings:
     min_chars: int = MIN_CHARS
     threshold: int = THRESHOLD
     hot: int = HOT
-    sample: int = SAMPLE
     short: int = SHORT
 
 
@@ -79,17 +76,10 @@ def classes_of(lines: DataFrame) -> DataFrame:
 
 
 def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """One line of each class, with letter counts; ``repeated`` are the classes of several lines."""
+    """One line of each class; ``repeated`` are the classes of several lines."""
     known = maybe_broadcast(repeated.select("id", "id2", "first"))
     kept = lines.join(known, ["id", "id2"], "left").filter("first is null or first = place")
-    counts = [
-        F.shiftleft(
-            (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c)))).bitwiseAND(F.lit(127)).cast("bigint"),
-            8 * i,
-        )
-        for i, c in enumerate(LETTERS)
-    ]
-    return kept.select("id", "place", "line", reduce(Column.bitwiseOR, counts).alias("letters"))
+    return kept.select("id", "place", "line")
 
 
 # --- segment join ----------------------------------------------------------------------------------
@@ -101,11 +91,12 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start, end - start
 
 
-def segments(line: Column, size: Column, space: Column, threshold: int, indexed_only: bool = False) -> Column:
-    """Array of (key, indexed, start, long): the line's segments, and the substrings it probes with.
+def segments(code: Column, size: Column, space: Column, threshold: int, indexed_only: bool = False) -> Column:
+    """Array of (key, indexed, start, long): a line's segments, and the substrings it probes with.
 
-    ``size`` is the line's length, as a column, so that it is counted once.  A substring can align with segment i of a line shorter by ``less`` only if the edits before it and
-    after it add up to at most the threshold, which bounds how far it lies from the segment.
+    ``code`` is the line in UTF-32, where a substring needs no search for its start; ``size`` its length in
+    characters.  A substring can align with segment i of a line shorter by ``less`` only if the edits before
+    it and after it add up to at most the threshold, which bounds how far it lies from the segment.
     """
     out = []
     for less in range(threshold + 1):
@@ -119,7 +110,7 @@ def segments(line: Column, size: Column, space: Column, threshold: int, indexed_
                 if indexed_only and not own:
                     continue
                 at = start + shift
-                key = F.xxhash64(space, length, F.lit(i), F.substring(line, at + 1, long))
+                key = F.xxhash64(space, length, F.lit(i), F.substring(code, 4 * at + 1, 4 * long))
                 fits = (at >= 0) & (long > 0) & (length > 0)
                 out.append(
                     F.when(
@@ -130,25 +121,61 @@ def segments(line: Column, size: Column, space: Column, threshold: int, indexed_
     return F.array_compact(F.array(*out))
 
 
-def letters_allow(a: Column, b: Column, threshold: int) -> Column:
-    """Whether letter counts (modulo 128) are as near as so many edits leave them; two for each edit."""
+def members(rows: DataFrame, threshold: int) -> DataFrame:
+    """(key, id, indexed, space, start, long, only) of the segments and substrings that meet another's segment.
 
-    def apart(i: int) -> Column:
-        x, y = (F.shiftright(c, 8 * i).bitwiseAND(F.lit(127)) for c in (a, b))
-        d = F.abs(x - y)
-        return F.least(d, 128 - d)
+    ``rows`` are (id, rest, space).  Each row meets one row for its key, not its lines, so there are no more
+    rows out than in.  ``only`` is the line of a segment that just one line has; it has no row of its own.
+    """
+    coded = rows.withColumn("code", F.encode("rest", "UTF-32"))
+    coded = coded.withColumn("size", (F.octet_length("code") / 4).cast("int"))
+    parts = lambda only: F.inline(
+        segments(F.col("code"), F.col("size"), F.col("space"), threshold, only)
+    )
+    indexed = coded.select("id", parts(True)).groupBy("key").agg(
+        F.min("id").alias("lead"), F.max("id").alias("last")
+    )
+    keyed = coded.select("id", "space", parts(False))
+    met = keyed.join(indexed.hint("shuffle_hash"), "key").filter("id != lead or id != last")
+    return met.withColumn("only", F.when(F.col("lead") == F.col("last"), F.col("lead"))).drop("lead", "last")
 
-    return reduce(Column.__add__, [apart(i) for i in range(len(LETTERS))]) <= 2 * threshold
 
+def letter_counts(line: Column) -> list[Column]:
+    """Counts of the Latin letters modulo 16, four bits each, in two numbers."""
+
+    def count(letter: str) -> Column:
+        return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))).cast("bigint")
+
+    return [
+        reduce(
+            Column.bitwiseOR,
+            [F.shiftleft(count(c).bitwiseAND(F.lit(15)), 4 * i) for i, c in enumerate(letters)],
+        )
+        for letters in (ascii_lowercase[:15], ascii_lowercase[15:])
+    ]
 
-def _pairs(keyed: DataFrame, indexed: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b), a < b, of a keyed line and an indexed one that share a key."""
-    left = keyed.select("key", F.col("id").alias("l"), F.col("letters").alias("l_letters"), F.col("indexed").alias("both"))
-    right = indexed.select("key", F.col("id").alias("r"), F.col("letters").alias("r_letters"))
-    once = (F.col("l") != F.col("r")) & (~F.col("both") | (F.col("l") < F.col("r")))
-    near = letters_allow(F.col("l_letters"), F.col("r_letters"), threshold)
-    met = left.join(right.hint("shuffle_hash"), (left["key"] == right["key"]) & once & near)
-    return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+
+def letters_allow(a: list[str], b: list[str], threshold: int) -> Column:
+    """Whether letter counts (modulo 16) are as near as so many edits leave them: two for each edit."""
+
+    def apart(x: Column, y: Column, i: int) -> Column:
+        d = (F.shiftright(x, 4 * i) - F.shiftright(y, 4 * i)).bitwiseAND(F.lit(15))
+        return F.least(d, 16 - d)
+
+    parts = [apart(F.col(x), F.col(y), i) for x, y, n in zip(a, b, (15, 11)) for i in range(n)]
+    return reduce(Column.__add__, parts) <= 2 * threshold
+
+
+def _pairs(met: DataFrame, letters: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b), a < b, that share a key where one of them is indexed and whose letters allow it."""
+    alone = met.filter("only is not null").select("key", F.col("only").alias("id"), F.lit(True).alias("indexed"))
+    known = met.select("key", "id", "indexed").union(alone).distinct().join(letters, "id")
+    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("key", "id", "indexed", "l1", "l2")]
+    left, right = known.select(*side("x")), known.filter("indexed").select(*side("y"))
+    once = (F.col("x_id") != F.col("y_id")) & (~F.col("x_indexed") | (F.col("x_id") < F.col("y_id")))
+    near = letters_allow(["x_l1", "x_l2"], ["y_l1", "y_l2"], threshold)
+    met = left.join(right, (F.col("x_key") == F.col("y_key")) & once & near)
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
 
 def deletions(rest: Column, threshold: int) -> Column:
@@ -173,43 +200,35 @@ def deletions(rest: Column, threshold: int) -> Column:
 def candidate_pairs(lines: DataFrame, use: Settings) -> DataFrame:
     """Pairs of lines that may lie within the threshold; none that does is missing.
 
-    ``lines`` is a stored table of (id, line, letters).
+    ``lines`` is a stored table of (id, line).
     """
-    spark = lines.sparkSession
-    rows = lines.select("id", "letters", F.col("line").alias("rest"), F.lit(0).cast("bigint").alias("space"))
-    found = []
+    rows = lines.select("id", F.col("line").alias("rest"), F.lit(0).cast("bigint").alias("space"))
+    found, letters = [], None
     while True:
-        sized = rows.withColumn("size", F.length("rest"))
-        parts = lambda only: segments(
-            F.col("rest"), F.col("size"), F.col("space"), use.threshold, only
-        )
-        keyed = sized.select("id", "letters", "rest", F.inline(parts(False)))
-        indexed = sized.select("id", "letters", F.inline(parts(True)))
-        sampled = indexed.filter(F.pmod("id", F.lit(use.sample)) == 0)
-        counted = sampled.groupBy("key").count().filter(F.col("count") > use.hot / use.sample)
-        hot = stage(counted.select("key"), "hot-segments")
+        met = stage(members(rows, use.threshold), "members")
+        if letters is None:  # of the few lines that share anything
+            ids = stage(met.select("id").union(met.select("only")).distinct(), "sharing")
+            sharing = lines.join(maybe_broadcast(ids), "id", "left_semi")
+            l1, l2 = letter_counts(F.col("line"))
+            letters = stage(sharing.select("id", l1.alias("l1"), l2.alias("l2")), "letters")
+        crowded = met.filter("indexed").groupBy("key").count().filter(F.col("count") > use.hot)
+        hot = stage(crowded.select("key"), "hot-segments")
+        few = maybe_broadcast(hot)
+        found.append(_pairs(met.join(few, "key", "left_anti"), letters, use.threshold))
         if hot.isEmpty():
-            found.append(_pairs(keyed, indexed, use.threshold))
             break
-        few = maybe_broadcast(hot)
-        found.append(
-            _pairs(keyed.join(few, "key", "left_anti"), indexed.join(few, "key", "left_anti"), use.threshold)
-        )
         rest = F.concat(
             F.substring("rest", F.lit(1), F.col("start")), F.lit("\n"),
             F.substring("rest", F.col("start") + F.col("long") + 1, F.length("rest")),
         )
-        refined = keyed.join(few, "key", "left_semi").select(
-            "id", "letters", rest.alias("rest"), F.col("key").alias("space")
-        )
-        rows = stage(refined.distinct(), "refined")
+        refined = met.join(few, "key", "left_semi").join(rows, ["id", "space"])
+        rows = stage(refined.select("id", rest.alias("rest"), F.col("key").alias("space")).distinct(), "refined")
         # Rests of about this length go both ways, so that no pair is parted.
         short = rows.filter(F.length("rest") <= use.short + use.threshold)
-        variants = short.select(
-            "id", "letters", F.lit(True).alias("indexed"),
-            F.explode(deletions(F.col("rest"), use.threshold)).alias("v"), "space",
-        ).withColumn("key", F.xxhash64("space", "v")).drop("v", "space")
-        found.append(_pairs(variants, variants, use.threshold))
+        variants = short.select("id", "space", F.explode(deletions(F.col("rest"), use.threshold)).alias("v"))
+        variants = variants.select("id", F.lit(True).alias("indexed"), F.xxhash64("space", "v").alias("key"))
+        variants = variants.withColumn("only", F.lit(None).cast("bigint"))
+        found.append(_pairs(variants, letters, use.threshold))
         rows = rows.filter(F.length("rest") > use.short)
         if rows.isEmpty():
             break
@@ -219,11 +238,24 @@ def candidate_pairs(lines: DataFrame, use: Settings) -> DataFrame:
 # --- verification ----------------------------------------------------------------------------------
 
 
+def equal_start(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two texts, by halving steps."""
+
+    def longer(so_far: Column, power: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), power)
+        same = F.substring(a, so_far + 1, step) == F.substring(b, so_far + 1, step)
+        fits = so_far + step <= F.least(F.length(a), F.length(b))
+        return F.when(fits & same, so_far + step).otherwise(so_far)
+
+    return F.aggregate(F.sequence(F.lit(24), F.lit(0), F.lit(-1)), F.lit(0), longer)
+
+
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of two arrays of characters if it is at most ``threshold``, else some number above.
 
-    Bit r of the band stands for row j - threshold + r of column j.  The lengths must differ by no more
-    than the threshold, and ``a`` must be longer than it.
+    Bit r of the band stands for row j - threshold + r of column j.  A column without any diagonal that
+    stays equal adds one to all of them; after more than ``threshold`` of those nothing is worked out any
+    more.  The lengths must differ by no more than the threshold, and ``a`` must be longer than it.
     """
     k, width = threshold, 2 * threshold + 1
     mask = (1 << width) - 1
@@ -232,7 +264,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     def inverse(x: Column) -> Column:
         return F.bitwise_not(x).bitwiseAND(F.lit(mask))
 
-    def step(s: Column, j: Column) -> Column:
+    def matched(s: Column, j: Column) -> Column:
         letter = F.get(b, j - 1)
         same = [
             F.when((j - k + r >= 1) & (F.get(a, F.greatest(j - k + r - 1, F.lit(0))) == letter), 1 << r).otherwise(0)
@@ -242,34 +274,36 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
         vp, vn = s["vp"], s["vn"]
         carried = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)
         d0 = carried.bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(mask))
-        return F.struct(
-            d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), s["score"].alias("score"), j.alias("j")
-        )
-
-    def advance(s: Column) -> Column:
-        d0, vp, vn, j = s["d0"], s["vp"], s["vn"], s["j"]
-        hp = vn.bitwiseOR(inverse(d0.bitwiseOR(vp)))
-        hn = d0.bitwiseAND(vp)
-        row = (F.size(a) - j + k).cast("int")  # the bit of the last row of ``a``
-        down = 1 - bit(d0, 2 * k)
-        along = F.expr("0")
+        return F.struct(s.alias("s"), d0.alias("d0"), j.alias("j"))
+
+    def advance(x: Column) -> Column:
+        s, d0 = x["s"], x["d0"]
+        hp = s["vn"].bitwiseOR(inverse(d0.bitwiseOR(s["vp"])))
+        hn = d0.bitwiseAND(s["vp"])
+        row = (F.size(a) - x["j"] + k).cast("int")  # the bit of the last row of ``a``
+        along = F.lit(0)
         for r in range(width):
             along = F.when(row == r, bit(hp, r) - bit(hn, r)).otherwise(along)
         lower = F.shiftright(d0, 1)
         return F.struct(
             hn.bitwiseOR(inverse(lower.bitwiseOR(hp))).alias("vp"),
             lower.bitwiseAND(hp).alias("vn"),
-            (s["score"] + F.when(row >= 2 * k, down).otherwise(along)).cast("bigint").alias("score"),
+            (s["score"] + F.when(row >= 2 * k, 1 - bit(d0, 2 * k)).otherwise(along)).cast("bigint").alias("score"),
+            (s["misses"] + (d0 == 0).cast("int")).alias("misses"),
         )
 
     start = F.struct(
         F.lit(((1 << (k + 1)) - 1) << k).cast("bigint").alias("vp"),
         F.lit(0).cast("bigint").alias("vn"),
         F.lit(k).cast("bigint").alias("score"),
+        F.lit(0).alias("misses"),
     )
-    # A one-element transform binds the first half of a step, so that it is worked out once.
-    both = lambda s, j: F.get(F.transform(F.array(step(s, j)), advance), 0)
-    return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, both, lambda s: s["score"])
+
+    def step(s: Column, j: Column) -> Column:
+        # A one-element transform binds the first half of a step, so that it is worked out once.
+        return F.when(s["misses"] > k, s).otherwise(F.get(F.transform(F.array(matched(s, j)), advance), 0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, step, lambda s: F.greatest(s["score"], s["misses"]))
 
 
 def linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
@@ -282,9 +316,17 @@ def linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     side = lambda c: texts.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"), F.col("line").alias(f"{c}_line"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     near = F.abs(F.length("a_line") - F.length("b_line")) <= threshold
-    # Bound by a one-element transform, as a lambda works out what it names anew in each step.
-    letters = F.array(F.struct(F.split("a_line", "").alias("a"), F.split("b_line", "").alias("b")))
-    distance = F.get(F.transform(letters, lambda x: banded_distance(x["a"], x["b"], threshold)), 0)
+
+    # Bound by one-element transforms, as a lambda works out what it names anew in each step.
+    def bound(values: Column, then) -> Column:
+        return F.get(F.transform(F.array(values), then), 0)
+
+    def cut(at: Column) -> Column:  # equal starts change nothing but take time; a few characters stay
+        begin = F.greatest(at - threshold, F.lit(1))
+        letters = [F.split(F.substring(c, begin, F.length(c)), "").alias(c) for c in ("a_line", "b_line")]
+        return bound(F.struct(*letters), lambda x: banded_distance(x["a_line"], x["b_line"], threshold))
+
+    distance = bound(equal_start(F.col("a_line"), F.col("b_line")), cut)
     return met.filter(F.when(near, distance <= threshold).otherwise(False)).select("a", "b", "a_place", "b_place")
 
 

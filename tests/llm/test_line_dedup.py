@@ -74,7 +74,7 @@ def test_banded_distance(spark, threshold):
 
 @pytest.mark.parametrize("threshold, hot", [(1, 1000), (2, 1000), (2, 0), (1, 1), (3, 2)])
 def test_dropped_lines_against_brute_force(docs_of, threshold, hot):
-    use = L.Settings(min_chars=8, threshold=threshold, hot=hot, sample=1, short=9)
+    use = L.Settings(min_chars=8, threshold=threshold, hot=hot, short=9)
     texts = made_texts(10 * threshold + hot % 7)
     rows = L.report(docs_of(texts), use).orderBy("doc_id").collect()
     assert [r["dropped"] for r in rows] == brute(texts, use)
@@ -84,11 +84,11 @@ def test_candidates_miss_no_pair(spark):
     draw = random.Random(1)
     base = "".join(draw.choice("abcdefgh") for _ in range(30))
     lines = sorted({edited(draw, base, draw.randint(0, 3), "abcdefgh") for _ in range(80)})
-    df = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string").withColumn("letters", F.lit(0).cast("bigint"))
+    df = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
     want = {
         (i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and distance(a, b) <= 2
     }
-    for use in (L.Settings(), L.Settings(hot=3, sample=1), L.Settings(hot=0, sample=1, short=100)):
+    for use in (L.Settings(), L.Settings(hot=3), L.Settings(hot=0, short=100)):
         got = {tuple(r) for r in L.candidate_pairs(df, use).collect()}
         assert want <= got
 
