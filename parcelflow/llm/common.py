@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -61,6 +62,14 @@ def whole_texts(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(texts.cast(pa.string()), "")
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words (runs of other than ASCII white space) of a piece, and the text each belongs to."""
+    split = pc.ascii_split_whitespace(texts)
+    words, text = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)
+    return words.filter(real), text[real.to_numpy(zero_copy_only=False)]
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` (a stored table) has few enough rows to be broadcast."""
     return df.limit(rows + 1).count() <= rows

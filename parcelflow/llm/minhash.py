@@ -3,11 +3,12 @@
 A document's set holds the hashes (64 bits) of its distinct shingles.  Documents with the same set are
 one class and go on as one.  Many universal hash functions give the minima of the signature; bands of
 them name buckets.  In a bucket every document is held against the one that shares most buckets with
-others, which a group of near copies has at its centre; so a group of any size costs as many pairs as it
-has documents.  What is linked by then needs no other pair.  Documents that a bucket still holds apart
-are compared with all its documents of other components, so no link between different sets is lost but
-by the bands themselves: with 32 bands of 4 a pair at 0.8 shares none with a chance of 5 in 100 million.
-Pairs pass by their sizes and signatures before the sets are compared in full.
+others, which a group of near copies has at its centre; signatures are compared first, then the sets.  So a
+group of any size costs as many pairs as it has documents.  What is linked by then needs no other pair.
+Documents that are still apart are held against a centre of their own, and the rest against all documents
+around the same centre, by what their sets have more and less than the centre's.  So no link between
+different sets is lost but by the bands themselves: with 32 bands of 4 a pair at 0.8 shares none with a
+chance of 5 in 100 million.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.  Rows
 without an id are not linked either: their component is null and they are kept.  Rows that repeat an id
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelflow.staging import stage
 
-from .common import bounded_batches, fresh_name, maybe_broadcast, pieces, whole_texts
+from .common import bounded_batches, fresh_name, maybe_broadcast, pieces, whole_texts, words_of
 from .components import components
 
 
@@ -59,10 +60,7 @@ def _draw(n: int, seed: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a piece."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat, doc = split.flatten(), pc.list_parent_indices(split).to_numpy()
-    real = pc.greater(pc.binary_length(flat), 0)
-    flat, doc = flat.filter(real), doc[real.to_numpy(zero_copy_only=False)]
+    flat, doc = words_of(pc.ascii_lower(texts))
     coded = flat.dictionary_encode()
     known = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     hashes = known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64)
@@ -122,23 +120,14 @@ def sketch(text: Column, use: Settings) -> Column:
 
 
 def shingle_set(text: Column, words: int) -> Column:
-    """A text's set as packed sorted 64-bit numbers."""
+    """A text's set as sorted numbers."""
 
-    def packed(texts: pa.Array) -> pa.Array:
-        sets = [s.tobytes() for p in pieces(whole_texts(texts)) for s in shingle_sets(p, words)]
-        return pa.array(sets, pa.binary())
+    def listed(texts: pa.Array) -> pa.Array:
+        sets = [s for p in pieces(whole_texts(texts)) for s in shingle_sets(p, words)]
+        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
-    return F.arrow_udf(packed, "binary").asNondeterministic()(text)
-
-
-def _common(left: pa.Array, right: pa.Array) -> pa.Array:
-    sets = ((np.frombuffer(x.as_buffer(), "<u8") for x in pair) for pair in zip(left, right))
-    return pa.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets], pa.int64())
-
-
-def common_members(a: Column, b: Column) -> Column:
-    """Number of members that two packed sets share."""
-    return F.arrow_udf(_common, "bigint").asNondeterministic()(a, b)
+    return F.arrow_udf(listed, "array<bigint>").asNondeterministic()(text)
 
 
 # --- candidates ------------------------------------------------------------------------------------
@@ -174,62 +163,101 @@ def may_link(a: str, b: str, use: Settings) -> Column:
     return n & (agreeing(F.col(f"{a}.minima"), F.col(f"{b}.minima")) >= use.percent / 100 - use.slack)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, use: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; the sets are made anew for their documents only."""
-    pairs = stage(pairs.distinct(), "pairs")
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired")
+def sets_of(ids: DataFrame, docs: DataFrame, use: Settings) -> DataFrame:
+    """(id, members) of the documents with the given ids, made anew from their texts."""
     own = docs.select(F.col("doc_id").alias("id"), "text")
-    wanted = own.join(maybe_broadcast(ids), "id", "left_semi")
-    sets = stage(wanted.select("id", shingle_set(F.col("text"), use.words).alias("members")), "sets")
+    wanted = own.join(maybe_broadcast(stage(ids.distinct(), "wanted")), "id", "left_semi")
+    return stage(wanted.select("id", shingle_set(F.col("text"), use.words).alias("members")), "sets")
+
+
+def alike(both: Column, sizes: Column, use: Settings) -> Column:
+    """Whether two sets with ``both`` common members and ``sizes`` members together are linked."""
+    return both * 100 >= use.percent * (sizes - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, use: Settings) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_set"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    counted = met.select(
-        "a", "b", common_members(F.col("a_set"), F.col("b_set")).alias("both"),
-        (F.octet_length("a_set") / 8 + F.octet_length("b_set") / 8).cast("bigint").alias("sizes"),
+    met = stage(pairs.distinct(), "pairs").join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("a_set", "b_set")).alias("both")
+    counted = met.select("a", "b", both, (F.size("a_set") + F.size("b_set")).alias("sizes"))
+    return stage(counted.filter(alike(F.col("both"), F.col("sizes"), use)).select("a", "b"), "links")
+
+
+def star_links(rows: DataFrame, known: DataFrame, sets: DataFrame, use: Settings) -> DataFrame:
+    """Links between the ids of ``rows`` (id, lead) and their leads; signatures are compared first."""
+    met = rows.filter("id != lead").join(known, "id").alias("x").join(
+        known.select(F.col("id").alias("lead"), "n", "minima").alias("y"), "lead"
     )
-    return stage(
-        counted.filter(F.col("both") * 100 >= use.percent * (F.col("sizes") - F.col("both"))).select("a", "b"),
-        "links",
+    near = met.filter(may_link("x", "y", use)).select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    return verified(near, sets, use)
+
+
+def best_of(rows: DataFrame, group: str, reach: DataFrame) -> DataFrame:
+    """Per group the id that meets most others over all bands (of equal ones the smallest), as ``best``."""
+    rank = F.struct("reach", (-F.col("id")).alias("minus_id"))
+    best = rows.join(reach, "id").groupBy(group).agg(F.max(rank).alias("best"))
+    return stage(best.select(group, (-F.col("best.minus_id")).alias("best")), "best")
+
+
+def placed_in(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (id, lead) with the components of both: ``part`` and ``main``."""
+    found = stage(components(links), "components")
+    own = found.select(F.col("node").alias("id"), F.col("component").alias("part"))
+    leads = found.select(F.col("node").alias("lead"), F.col("component").alias("main"))
+    out = rows.join(own, "id", "left").join(leads, "lead", "left").select(
+        "id", "lead", F.coalesce("part", "id").alias("part"), F.coalesce("main", "lead").alias("main")
     )
+    return stage(out, "placed")
 
 
 def links_of(classes: DataFrame, docs: DataFrame, use: Settings) -> DataFrame:
     """Links (a, b) that connect all classes that can be connected; ``classes``: (id, n, minima), stored."""
     members = shared_buckets(classes, use)
     known = classes.select("id", "n", "minima")
-
-    # Held against the centre of its bucket: the class that meets most others over all bands.
-    reach = members.groupBy("id").agg(F.sum("size").alias("reach"))
-    rank = F.struct("reach", (-F.col("id")).alias("minus_id"))
-    leads = members.join(reach, "id").groupBy("bucket").agg(F.max(rank).alias("lead"))
-    leads = stage(leads.select("bucket", (-F.col("lead.minus_id")).alias("lead")), "leads")
-    stars = members.join(maybe_broadcast(leads), "bucket").filter("id != lead")
-    stars = stars.select("id", "lead").distinct()
-    met = stars.join(known, "id").alias("x").join(
-        known.select(F.col("id").alias("lead"), "n", "minima").alias("y"), "lead"
+    reach = stage(members.groupBy("id").agg(F.sum("size").alias("reach")), "reach")
+
+    # Held against the centre of its bucket.
+    leads = best_of(members, "bucket", reach).withColumnRenamed("best", "lead")
+    families = members.join(maybe_broadcast(leads), "bucket").select("id", "lead").distinct()
+    families = stage(families, "families")
+    sets = sets_of(families.select("id"), docs, use)
+    links = star_links(families, known, sets, use)
+
+    # Those it holds apart, against a centre of their own.
+    strays = placed_in(families, links).filter("part != main")
+    second = best_of(strays, "lead", reach)
+    again = strays.join(maybe_broadcast(second), "lead").select("id", F.col("best").alias("lead")).distinct()
+    links = stage(links.union(star_links(again, known, sets, use)), "links")
+
+    # Those still apart, against all others that share the centre of a bucket with them.  What each set
+    # has more and less than the centre's tells how two of them differ.
+    placed = placed_in(families, links)
+    open_leads = maybe_broadcast(stage(placed.filter("part != main").select("lead").distinct(), "open"))
+    around = placed.join(open_leads, "lead", "left_semi").join(sets, "id").join(
+        sets.select(F.col("id").alias("lead"), F.col("members").alias("centre")), "lead"
     )
-    near = met.filter(may_link("x", "y", use)).select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    links = verified(near, docs, use)
-
-    # Buckets that still hold several components: their strays against all others.
-    found = stage(components(links), "components")
-    part = F.coalesce("component", "id")
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", part.alias("part"))
-    placed = stage(placed, "placed")
-    main = leads.join(found, leads["lead"] == found["node"], "left").select(
-        "bucket", F.coalesce("component", "lead").alias("main")
+    apart = F.concat(F.array_except("members", "centre"), F.array_except("centre", "members"))
+    rows = around.select(
+        "id", "lead", "part", F.size("members").alias("n"), apart.alias("apart"), (F.col("part") != F.col("main")).alias("stray")
     )
-    open_ones = placed.join(main, "bucket").filter("part != main")
-    strays = stage(open_ones.select("bucket", "id", "part"), "strays")
-    open_buckets = strays.select("bucket").distinct()
-    others = placed.join(maybe_broadcast(stage(open_buckets, "open")), "bucket", "left_semi")
-    x = strays.join(known, "id").alias("x")
-    y = others.join(known, "id").alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part"))
-    crossed = x.join(y, apart & may_link("x", "y", use)).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    rows = stage(rows.withColumn("d", F.size("apart")), "around")
+    side = lambda c, df: df.select(*[F.col(x).alias(f"{c}_{x}") for x in df.columns])
+    x, y = side("x", rows.filter("stray")), side("y", rows)
+    sizes = F.col("x_n") + F.col("y_n")
+
+    def near(least_apart: Column) -> Column:
+        return alike((sizes - least_apart) / 2, sizes, use)
+
+    exact = F.col("x_d") + F.col("y_d") - 2 * F.size(F.array_intersect("x_apart", "y_apart"))
+    once = ~F.col("y_stray") | (F.col("x_id") < F.col("y_id"))
+    met = x.join(
+        y,
+        (F.col("x_lead") == F.col("y_lead")) & (F.col("x_part") != F.col("y_part")) & once
+        & F.when(near(F.abs(F.col("x_d") - F.col("y_d"))), near(exact)).otherwise(False),
     )
-    return links.union(verified(crossed, docs, use))
+    crossed = met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    return links.union(crossed.distinct())
 
 
 # --- the operator ----------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_batches, fresh_name, pieces, whole_texts
+from .common import bounded_batches, fresh_name, pieces, whole_texts, words_of
 
 MEASUREMENTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -99,10 +99,7 @@ def _measure(texts: pa.Array) -> dict[str, np.ndarray]:
     before = np.concatenate(([0], np.cumsum(np.isin(bytes_of[ends[0] : ends[-1]], list(SYMBOLS)))))
     out["n_symbols"] = np.diff(before[ends - ends[0]])
 
-    split = pc.ascii_split_whitespace(texts)
-    words, doc = split.flatten(), pc.list_parent_indices(split).to_numpy()
-    real = pc.greater(pc.binary_length(words), 0)
-    words, doc = words.filter(real), doc[real.to_numpy(zero_copy_only=False)]
+    words, doc = words_of(texts)
     coded = words.dictionary_encode()
     code, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     length = pc.utf8_length(known).to_numpy().astype(np.int64)
