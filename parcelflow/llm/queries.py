@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, hilbert, line_dedup, minhash, pii, quality_rules, secret_scan
+from . import bpe, decontaminate, hilbert, line_dedup, minhash, pii, pitman_yor, quality_rules, secret_scan
 from .common import documents, span_digests
 from .settings import TOKENIZERS
 
@@ -73,3 +73,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, verbatim or with other values."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark).drop("text_key")
+
+
+@query
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, by the model and by the unigram base."""
+    docs = documents(spark, sf_dir)
+    return pitman_yor.score(docs, pitman_yor.learn(docs))
