@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, hilbert, line_dedup, minhash, pii, pitman_yor, quality_rules, secret_scan
+from . import bpe, decontaminate, hilbert, licenses, line_dedup, minhash, pii, pitman_yor, quality_rules, secret_scan
 from .common import documents, span_digests
 from .settings import TOKENIZERS
 
@@ -80,3 +80,14 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document, by the model and by the unigram base."""
     docs = documents(spark, sf_dir)
     return pitman_yor.score(docs, pitman_yor.learn(docs))
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or that of the nearest directory.
+
+    The table has no paths: a document lies in its source, in a folder of a thousand ids, in one of fifty.
+    """
+    folder = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50)]
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), *folder, F.col("doc_id").cast("string"))
+    return licenses.scan(documents(spark, sf_dir).withColumn("path", path))
