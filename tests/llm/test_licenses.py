@@ -67,7 +67,7 @@ def test_frequencies_and_documents(spark, files_of):
         assert got[term] == sum(term in L.terms_of(t) for t in texts.values()), term
     rows = L.scan(docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))).collect()
     own = {r["doc_id"]: r["license"] for r in rows if r["how"] in ("file", "header")}
-    said = {i for i, t in texts.items() if re.search("(?i)licensed under|MIT License", t)}
+    said = {i for i, t in texts.items() if re.search("(?i)licensed under|MIT License|all rights reserved", t)}
     assert set(own) == said and len(rows) == len(texts)
 
 
