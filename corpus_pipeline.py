@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each hand their kept documents to the next as Parquet."""
+"""The corpus pipeline: stages that each hand the documents they keep to the next as Parquet.
+
+Each stage takes (spark, docs, sf_dir), works on all of ``docs``, and returns their columns, but for the last
+one, which returns the encoded documents.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import quality_rules
+from parcelflow.llm import bpe, decontaminate, line_dedup, minhash, quality_rules
+from parcelflow.llm.settings import TOKENIZERS
 from parcelflow.staging import staging_dir
 
 
@@ -15,9 +20,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one, and without those of which nothing is left."""
+    return line_dedup.without_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity of 0.8 or more."""
+    return minhash.without_copies(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark, verbatim or with other values."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document that is left (packed unsigned 32-bit integers), with counts and hashes."""
+    rows = bpe.encode_documents(docs, TOKENIZERS["word_bpe_49k"])
+    return bpe.digests(rows, "ids")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", repeated_lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark_passages),
+    ("bpe_encoding", encoded),
+]
 
-#: Language models of words, edit distance over lines and merges of a tokenizer are not for SQL.
+#: Components, edit joins over all lines and merges of a tokenizer are not for SQL; see tests/llm.
 ORACLE_SQL = None
 
 

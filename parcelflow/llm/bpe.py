@@ -276,10 +276,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return rows.withColumn("decoded", tokenizer.decode(F.col("ids")))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Counts and hashes of what ``encode_documents`` gives."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and hashes of what ``encode_documents`` gives, with further columns of it."""
     return encoded.select(
-        "doc_id",
+        "doc_id", *more,
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
