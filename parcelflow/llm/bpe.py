@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from .common import bounded_batches, pieces, whole_texts
 
 #: Distinct words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Bytes of text encoded at a time.
+AT_ONCE = 1 << 20
 NO_RANK = np.int64(1) << 60
 
 # The white space of Unicode and the word pattern of the published tokenizer.
@@ -240,7 +242,7 @@ class Tokenizer:
         def encoded(parts):
             encoder = Encoder(held.value)
             for texts in parts:
-                ids = [x for p in pieces(whole_texts(texts)) for x in encoder.encode(p.to_pylist())]
+                ids = [x for p in pieces(whole_texts(texts), AT_ONCE) for x in encoder.encode(p.to_pylist())]
                 yield pa.array(ids, pa.binary())
 
         return F.arrow_udf(_iterator(encoded), T.BinaryType()).asNondeterministic()(text)
@@ -258,7 +260,7 @@ class Tokenizer:
 
 
 def _cut(packed: pa.Array) -> list[pa.Array]:
-    return list(pieces(pc.fill_null(packed, b"")))
+    return list(pieces(pc.fill_null(packed, b""), AT_ONCE))
 
 
 def _iterator(f):
