@@ -12,14 +12,15 @@ def pair_digest(*texts: Column) -> Column:
     return F.unhex(F.sha2(F.to_json(F.array(*[dedup_key(t) for t in texts])), 256))
 
 
-def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The row with the smallest ``order`` (unique, numeric) for each key.
+def keep_first(df: DataFrame, key: Column, order: str, columns: list[str] | None = None) -> DataFrame:
+    """One row for each key: the smallest by ``order``, equal ones by the other columns.
 
-    Only key and order are aggregated, with a partial step before the shuffle, so a key that holds
-    a third of all rows sends one row per task.  The payload moves once, by the unique order.
+    ``order`` may repeat or be null.  Rows are combined before the shuffle, so a key that holds a third
+    of all rows sends one row per task.  ``columns`` (default: all) are what is kept and moved.
     """
-    first = df.select(key.alias("digest"), order).groupBy("digest").agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi").select(*df.columns)
+    columns = columns or df.columns
+    first = F.min(F.struct(order, *[c for c in columns if c != order]))
+    return df.groupBy(key.alias("digest")).agg(first.alias("row")).select("row.*").select(*columns)
 
 
 def dedup_pairs(df: DataFrame, order: str = "ord") -> DataFrame:

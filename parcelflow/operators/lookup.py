@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BINS = 65536
-SALTS = 64
-HOT_SHARE = 0.001
-HOT_ROWS = 1_000_000
+SALTS = 64  # of a hot key whose rows were not counted, and of null
+HOT_SHARE = 0.00001  # keeps the list of hot keys below 100,000
+HOT_ROWS = 1_000_000  # rows of a key that one task may get
+
+
+class HotKeys(list):
+    """Hot keys with their numbers of rows, and the rows that one salt should get."""
+
+    def __init__(self, counts: dict, per_salt: int):
+        super().__init__(counts)
+        self.salts = [max(2, -(-n // max(1, per_salt))) for n in counts.values()]
 
 
 def hot_keys(
@@ -15,7 +23,8 @@ def hot_keys(
 ) -> list:
     """Keys with more than ``share`` of the rows and more than ``min_rows``.
 
-    There are fewer than ``1 / share`` of them.  Keys are first counted in a fixed number of hash
+    Up to 10^11 rows that is any key with more than ``min_rows``, whatever its share; there are fewer
+    than ``1 / share`` of them.  Keys are first counted in a fixed number of hash
     bins; only where a bin is that full are its keys counted one by one.  Both jobs read the key
     column alone.
     """
@@ -29,9 +38,10 @@ def hot_keys(
     enough = max(share * (seen["rows"] or 0), min_rows)
     if (seen["fullest"] or 0) <= enough:
         return []
-    full = [r["bin"] for r in bins.filter(F.col("count") > enough).collect()]  # under 1 / share
+    full = [r["bin"] for r in bins.filter(F.col("count") > enough).collect()]  # at most BINS
     counts = binned.filter(F.col("bin").isin(full)).groupBy(key).count()
-    return [r[key] for r in counts.filter(F.col("count") > enough).collect()]
+    found = {r[key]: r["count"] for r in counts.filter(F.col("count") > enough).collect()}
+    return HotKeys(found, min_rows)
 
 
 def lookup_join(
@@ -39,18 +49,25 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (unique by ``key``).
 
-    Rows of the ``hot`` keys (from ``hot_keys``) are spread over salts and only their lookup rows
-    are repeated.  The rest is left to Spark, which splits partitions that come out skewed.
+    Rows of the ``hot`` keys (from ``hot_keys``) are spread over salts, as many as their number needs,
+    and only their lookup rows are repeated.  Rows without a key match nothing; where they stay (an
+    outer join) they are spread as well.  The rest is left to Spark, which splits partitions that come
+    out skewed.
     """
-    if not hot:
+    if not hot and how == "inner":
         return facts.join(lookup, key, how)
-
-    def if_hot(then: Column, otherwise: Column) -> Column:
-        return F.when(F.col(key).isin(hot), then).otherwise(otherwise)
-
+    salts = F.lit(1)
+    if hot:
+        kind = dict(lookup.dtypes)[key]
+        rows = [(str(k), n) for k, n in zip(hot, getattr(hot, "salts", [SALTS] * len(hot)))]
+        known = facts.sparkSession.createDataFrame(rows, "hot string, salts int")
+        known = F.broadcast(known.select(F.col("hot").cast(kind).alias(key), "salts"))  # see HOT_SHARE
+        facts, lookup = facts.join(known, key, "left"), lookup.join(known, key, "left")
+        salts = F.coalesce("salts", F.lit(1))
+    salts = F.when(F.col(key).isNull(), F.lit(SALTS)).otherwise(salts)
     # The salt hangs on the row's content, so a recomputed task gives the same salts.
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
-    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted = facts.withColumn("salt", if_hot(spread, F.lit(0)))
-    repeated = lookup.withColumn("salt", F.explode(if_hot(copies, F.array(F.lit(0)))))
+    salted = facts.withColumn("salt", F.pmod(F.xxhash64(*facts.columns), salts).cast("int"))
+    repeated = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    if hot:
+        salted, repeated = salted.drop("salts"), repeated.drop("salts")
     return salted.join(repeated, [key, "salt"], how).drop("salt")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import non_empty
 from ..functions.text import strip
-from .lookup import HOT_SHARE, hot_keys, lookup_join
+from .lookup import HOT_ROWS, HOT_SHARE, hot_keys, lookup_join
 
 MISSING_IDS = ["nan", "NaN", "None"]
 
@@ -35,11 +35,12 @@ def reply_pairs(
     validate: bool = True,
     split_ids: bool = False,
     hot_share: float | None = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(src_key, input_raw, assistant_raw) for each inbound tweet whose reply exists.
 
     ``split_ids`` also follows comma-separated response ids.  Replies that more than
-    ``hot_share`` of the customer tweets point at are salted.
+    ``hot_rows`` customer tweets point at are salted (``hot_share`` bounds their list, null turns it off).
     """
     inbound = to_bool(F.col("inbound"))
     response = F.col("response_tweet_id")
@@ -61,7 +62,7 @@ def reply_pairs(
     if validate:
         check_unique(companies, "reply_id")
     answered = companies.filter("reply_id IS NOT NULL AND assistant_raw IS NOT NULL")
-    hot = hot_keys(customers, "reply_id", hot_share) if hot_share else []
+    hot = hot_keys(customers, "reply_id", hot_share, hot_rows) if hot_share else []
     return lookup_join(customers, answered, "reply_id", hot=hot).select(
         "src_key", "input_raw", "assistant_raw"
     )

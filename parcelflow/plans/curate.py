@@ -9,8 +9,11 @@ from ..functions import text as T
 from ..operators.dedup import keep_first, pair_digest
 from ..operators.sample import flag_smallest, hash_order
 from ..sources.datasets import load_pairs
-from ..sources.pairs import write_manifest, write_pairs
-from ..staging import stage
+from ..sources.pairs import read_manifest, write_manifest, write_pairs
+from ..staging import scratch, stage
+
+# Chosen rows (a number, a word and a key each) sent to every task instead of moving the texts.
+MAX_SENT_ROWS = 200_000
 
 
 def keyword_filter(pairs: DataFrame, cfg: Curation) -> DataFrame:
@@ -39,13 +42,13 @@ def map_pairs(pairs: DataFrame, cfg: Curation) -> DataFrame:
 
 
 def select_rows(rows: DataFrame, cfg: Curation) -> DataFrame:
-    """(ord, source, split, shuffle_key) of the chosen rows; ``rows`` has ord and source.
+    """(row, split, shuffle_key) of the chosen rows; ``rows`` has row (unique), ord, content and source.
 
-    Each source gives its quota of seeded-random rows; the rest up to ``mini_size`` comes from all
+    Rows with the same ``ord`` are told apart by their content.  Each source gives its quota of seeded-random rows; the rest up to ``mini_size`` comes from all
     rows not yet chosen; the first of the final order are the validation set.
     """
     def key(purpose: str):
-        return hash_order(f"{cfg.seed}/{purpose}", F.col("ord"))
+        return F.concat(hash_order(f"{cfg.seed}/{purpose}", F.col("ord")), F.lit(":"), F.col("content"))
 
     quotas = cfg.quotas()
     picked = flag_smallest(rows.withColumn("pick_key", key("pick")), "source", "pick_key", quotas)
@@ -54,29 +57,35 @@ def select_rows(rows: DataFrame, cfg: Curation) -> DataFrame:
     chosen = (
         flag_smallest(pool.withColumn("more_key", key("top-up")), "pool", "more_key", {"all": room}, "topped")
         .filter("picked OR topped")
-        .select("ord", "source", F.lit("all").alias("pool"), key("final").alias("shuffle_key"))
+        .select("row", F.lit("all").alias("pool"), key("final").alias("shuffle_key"))
     )
+    chosen = stage(chosen, "chosen")  # no more than ``mini_size`` rows, or the quotas' sum
     if room < 0:
         chosen = flag_smallest(chosen, "pool", "shuffle_key", {"all": cfg.mini_size}, "kept").filter("kept")
     n_val = max(1, int(chosen.count() * cfg.val_ratio))
     return flag_smallest(chosen, "pool", "shuffle_key", {"all": n_val}, "is_val").select(
-        "ord", "source", F.when(F.col("is_val"), "val").otherwise("train").alias("split"), "shuffle_key"
+        "row", F.when(F.col("is_val"), "val").otherwise("train").alias("split"), "shuffle_key"
     )
 
 
 def curate(pairs: DataFrame, cfg: Curation) -> DataFrame:
     """RAW_PAIRS to (input, assistant_response, source, split, shuffle_key).
 
-    The texts are cleaned once and staged.  Deduplication reads them for a digest; selection reads
-    only ``ord`` and ``source``; the texts are joined back for the rows that were chosen.
+    The texts are cleaned once and staged under a row number.  Deduplication reads them for digests;
+    selection reads narrow rows; texts of rows that were not chosen do not move if the chosen ones are
+    few enough to be sent to the tasks.  Rows whose ``ord`` is shared, as of customers without an id or
+    with a repeated one, stay apart.
     """
-    cleaned = stage(map_pairs(keyword_filter(pairs, cfg), cfg), "cleaned")
-    texts = pair_digest(F.col("input"), F.col("assistant_response"))
-    kept = stage(keep_first(cleaned.select("ord", "source", "input", "assistant_response"), texts, "ord")
-                 .select("ord", "source"), "kept")
-    return cleaned.select("ord", "input", "assistant_response").join(
-        select_rows(kept, cfg), "ord"
-    ).drop("ord")
+    mapped = map_pairs(keyword_filter(pairs, cfg), cfg).withColumn("row", F.monotonically_increasing_id())
+    cleaned = stage(mapped, "cleaned")  # written, so that row numbers hold
+    texts = [F.col("input"), F.col("assistant_response")]
+    content = F.sha2(F.to_json(F.array(*texts)), 256)
+    narrow = ["ord", "content", "source", "row"]
+    kept = stage(keep_first(cleaned.withColumn("content", content), pair_digest(*texts), "ord", narrow), "kept")
+    chosen = stage(select_rows(kept, cfg), "split")
+    if chosen.offset(MAX_SENT_ROWS).isEmpty():
+        chosen = F.broadcast(chosen)
+    return cleaned.select("row", "input", "assistant_response", "source").join(chosen, "row").drop("row")
 
 
 def manifest(curated: DataFrame, cfg: Curation) -> DataFrame:
@@ -90,9 +99,9 @@ def manifest(curated: DataFrame, cfg: Curation) -> DataFrame:
 
 
 def build_dataset(spark: SparkSession, cfg: Curation, out: str) -> DataFrame:
-    """Read, curate and write one dataset version; returns the manifest."""
-    curated = stage(curate(load_pairs(spark, cfg.datasets), cfg), "curated")
-    write_pairs(curated, f"{out}/pairs", "shuffle_key")
-    counts = manifest(curated, cfg)
-    write_manifest(counts, f"{out}/manifest")
-    return counts
+    """Read, curate and write one dataset version; returns the manifest as written."""
+    with scratch(spark):
+        curated = stage(curate(load_pairs(spark, cfg.datasets), cfg), "curated")
+        write_pairs(curated, f"{out}/pairs", "shuffle_key")
+        write_manifest(manifest(curated, cfg), f"{out}/manifest")
+    return read_manifest(spark, f"{out}/manifest")

@@ -59,7 +59,7 @@ def file_order() -> Column:
 
 
 def content_order(*columns: str) -> Column:
-    """Order by content, for sources without keys or positions; equal rows share it."""
+    """Order by content, for sources without keys or positions; equal rows share it, and may others."""
     return F.xxhash64(*columns).cast("decimal(38,0)") + _whole(2**63, "decimal(38,0)")
 
 
@@ -78,7 +78,7 @@ def read_instructions(
     rows = spark.read.schema(f"`{user}` string, `{agent}` string").format(fmt).load(path)
     return (
         rows.select(F.col(user).alias("input_raw"), F.col(agent).alias("assistant_raw"))
-        .distinct()  # rows with equal content would share their order
+        .distinct()
         .withColumn("local_ord", content_order("input_raw", "assistant_raw"))
     )
 
@@ -86,8 +86,10 @@ def read_instructions(
 def _tweet_pairs(spark: SparkSession, d: Dataset) -> DataFrame:
     # The join passes over the tweets several times; the CSV is parsed once.
     pairs = reply_pairs(stage(read_tweets(spark, d.path, d.mapping), "tweets"))
-    number = F.expr("try_cast(src_key AS decimal(20,0))")
-    return pairs.withColumn("local_ord", F.coalesce(number.cast("decimal(38,0)"), content_order("src_key")))
+    # Whole numbers come first, in their order; other ids, and rows without one, after them.
+    number = F.when(F.col("src_key").rlike(r"^[0-9]{1,20}$"), F.col("src_key").cast("decimal(38,0)"))
+    other = content_order("src_key", "input_raw", "assistant_raw") + _whole(10**20, "decimal(38,0)")
+    return pairs.withColumn("local_ord", F.coalesce(number, other).cast("decimal(38,0)"))
 
 
 def _instruction_pairs(spark: SparkSession, d: Dataset) -> DataFrame:

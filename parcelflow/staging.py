@@ -1,15 +1,22 @@
 """Written intermediate tables: they cut lineage and survive the loss of executors.
 
-They stay in the shared folder until its owner clears it, as results may still read them.
+They lie in the shared folder named by ``spark.checkpoint.dir``.  Those of a job that ends with its own
+output are removed with ``scratch``; others stay until the folder's owner clears it, as results may still
+read them.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
 
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a scratch one on local masters only."""
@@ -22,9 +29,25 @@ def staging_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Stage into a folder of its own, which goes when the job has succeeded.
+
+    After a failure it stays, to look into.
+    """
+    path = f"{staging_dir(spark)}/job-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back, so later passes read only their columns."""
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -212,3 +212,33 @@ def test_unknown_kind_is_an_error():
     with pytest.raises(ValueError, match="unknown dataset kind"):
         reader_for("csv")
     assert reader_for("kaggle_anything") is reader_for("kaggle")
+
+
+def test_curation_keeps_pairs_with_missing_or_repeated_ids_once(spark):
+    from parcelflow.config import Curation
+    from parcelflow.plans.curate import curate
+    from parcelflow.sources.datasets import number_source
+
+    rows = [(None, "where is parcel a", "reply a"), (None, "where is parcel b", "reply b"),
+            (7, "lost parcel c", "reply c"), (7, "lost parcel d", "reply d"), (7, "lost parcel d", "reply d"),
+            (None, "where is parcel a", "reply a")]
+    pairs = spark.createDataFrame(rows, "local_ord decimal(38,0), input_raw string, assistant_raw string")
+    pairs = number_source(pairs.withColumn("src_key", F.lit("k")), "s", 0)
+    got = curate(pairs, Curation(keywords=("parcel",), ratios={"s": 0.5}, mini_size=10, prepend_steps=False))
+    assert sorted(r["input"][-1] for r in got.collect()) == ["a", "b", "c", "d"]
+
+
+def test_staged_tables_of_a_job_go_when_it_is_done(spark):
+    import os
+
+    from parcelflow.staging import scratch, stage
+
+    with scratch(spark) as folder:
+        assert stage(spark.range(3), "three").count() == 3
+        path = folder.removeprefix("file:")
+        assert os.listdir(path)
+    assert not os.path.exists(path)
+    with pytest.raises(ZeroDivisionError), scratch(spark) as folder:
+        stage(spark.range(3), "three")
+        1 / 0
+    assert os.path.exists(folder.removeprefix("file:"))

@@ -101,6 +101,17 @@ SQL = {
                     THEN CAST(conv_id * 1000000 + turn + 1 AS STRING) || '.0' END
                  AS response_tweet_id
         FROM conversations""",
+    # The same with customers' ids missing in some conversations and repeated in others.
+    "repeated_tweets": """
+        SELECT CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN NULL
+                    WHEN role = 'user' AND conv_id % 3 = 1 THEN CAST(turn AS STRING)
+                    ELSE CAST(conv_id * 1000000 + turn AS STRING) END AS tweet_id,
+               CASE WHEN role = 'user' THEN 'True' ELSE 'False' END AS inbound,
+               text,
+               CASE WHEN role = 'user'
+                    THEN CAST(conv_id * 1000000 + turn + 1 AS STRING) || '.0' END
+                 AS response_tweet_id
+        FROM conversations""",
     "instructions": f"""
         SELECT o_orderkey, {_pick(MESSAGE_TEXTS)} AS instruction, {_pick(RAW_ANSWERS)} AS response
         FROM orders""",

@@ -211,6 +211,16 @@ curated AS (
               THEN 'val' ELSE 'train' END AS split
   FROM chosen)"""
 ORACLES["curated_pairs"] = f"{CURATED} SELECT input, assistant_response, source, split FROM curated"
+CONTENT = "sha256(CAST(to_json([input, assistant_response]) AS VARCHAR))"
+REPEATED = CURATED.replace(SQL["tweets"], SQL["repeated_tweets"]).replace("ORDER BY ord)", f"ORDER BY ord NULLS FIRST, {CONTENT})")
+for purpose in ("pick", "top-up", "final"):
+    told_apart = f"md5('42/{purpose}:' || coalesce(CAST(ord AS VARCHAR), '')), ord, {CONTENT}"
+    REPEATED = REPEATED.replace(seeded(f"42/{purpose}", "ord"), told_apart)
+ORACLES["curated_pairs_repeated_ids"] = f"{REPEATED} SELECT input, assistant_response, source, split FROM curated"
+ORACLES["reply_pairs_hot"] = f"""
+{cte('messages')}
+SELECT CAST(msg_id AS VARCHAR) AS src_key, text AS input_raw, 'reply ' || CAST(msg_id % 8 AS VARCHAR) AS assistant_raw
+FROM messages WHERE msg_id % 8 < 6"""
 ORACLES["pairs_jsonl"] = f"{CURATED} SELECT input, assistant_response, split FROM curated"
 RATIO_TEXT = "|".join(f"{k}={v}" for k, v in sorted(CONFIG.ratios.items()))
 ORACLES["curated_manifest"] = f"""

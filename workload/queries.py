@@ -119,8 +119,8 @@ def keyword_filter_docs(spark, sf):
 
 # --- pairs and curation -------------------------------------------------------------------------
 
-def _pairs(spark, sf) -> DataFrame:
-    tweets = reply_pairs(derived(spark, sf, "tweets")).withColumn("local_ord", F.col("src_key").cast("bigint"))
+def _pairs(spark, sf, tweets: str = "tweets") -> DataFrame:
+    tweets = reply_pairs(derived(spark, sf, tweets)).withColumn("local_ord", F.col("src_key").cast("bigint"))
     corpus = derived(spark, sf, "instructions").select(
         F.col("o_orderkey").cast("string").alias("src_key"),
         F.col("instruction").alias("input_raw"),
@@ -216,6 +216,28 @@ def curated_pairs(spark, sf):
     return curate(_pairs(spark, sf), CONFIG).select("input", "assistant_response", "source", "split")
 
 
+@query
+def curated_pairs_repeated_ids(spark, sf):
+    """Curation where customers' ids are missing or repeated: every pair still counts once."""
+    pairs = _pairs(spark, sf, "repeated_tweets")
+    return curate(pairs, CONFIG).select("input", "assistant_response", "source", "split")
+
+
+@query
+def reply_pairs_hot(spark, sf):
+    """Every message as a reply to one of eight: nearly all replies are hot and salted."""
+    asked = derived(spark, sf, "messages").select(
+        F.col("msg_id").cast("string").alias("tweet_id"), F.lit("True").alias("inbound"), "text",
+        F.concat(F.lit("r"), (F.col("msg_id") % 8).cast("string")).alias("response_tweet_id"),
+    )
+    replies = spark.range(6).select(
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("tweet_id"), F.lit("False").alias("inbound"),
+        F.concat(F.lit("reply "), F.col("id").cast("string")).alias("text"),
+        F.lit(None).cast("string").alias("response_tweet_id"),
+    )
+    return reply_pairs(asked.unionByName(replies), hot_rows=50)
+
+
 @query
 def curated_manifest(spark, sf):
     """The manifest after a round trip through its file."""
