@@ -19,6 +19,7 @@ from ..staging import stage
 from .lookup import hot_keys, lookup_join
 
 MAX_BROADCAST_VECTORS = 10_000
+MAX_BROADCAST_BYTES = 256 << 20  # of vectors as doubles and texts
 BLOCK_BYTES = 64 << 20  # of one block of vectors as doubles
 SCORES_AT_ONCE = 1 << 22  # query x chunk scores held by a task
 # Scores are compared to nine digits: vectors are 32-bit, so anything finer is noise.
@@ -92,8 +93,23 @@ _TIE_ORDER = [("source", "ascending"), ("chunk_id", "ascending")]
 
 
 def _small(df: DataFrame, cap: int) -> pa.Table | None:
-    """The rows if there are at most ``cap``, else None."""
-    return df.toArrow() if df.offset(cap).isEmpty() else None
+    """The rows if there are at most ``cap`` and they are not too large, else None."""
+    if not df.offset(cap).isEmpty():
+        return None
+    text = F.octet_length("text") if "text" in df.columns else F.lit(0)
+    size = df.agg(F.sum(8 * F.size("vec") + F.coalesce(text, F.lit(0)))).first()[0] or 0
+    return df.toArrow() if size <= MAX_BROADCAST_BYTES else None
+
+
+def _best_of(hits: pa.Table, k: int) -> pa.Table:
+    """The k best hits of each query."""
+    ordered = hits.sort_by(
+        [("query_id", "ascending"), ("score", "descending"), *_TIE_ORDER]
+    )
+    query = ordered["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.empty(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return ordered.filter(pa.array(place < k))
 
 
 def _block(df: DataFrame, name: str, blocks: int, *key: str) -> DataFrame:
@@ -168,7 +184,7 @@ def topk(
 def _scan_chunks(
     queries: DataFrame, chunks: DataFrame, k: int, ddl: str, schema: pa.Schema, max_broadcast: int
 ) -> DataFrame | None:
-    """Hits per partition of the chunks, if the queries are few enough to hold."""
+    """The k best hits per query and task of the chunks, if the queries are few enough to hold."""
     held = _small(queries, max_broadcast)
     if held is None:
         return None
@@ -176,9 +192,13 @@ def _scan_chunks(
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asking = _Vectors(shared.value)
+        best = None
         for batch in batches:
             against = _Vectors(pa.Table.from_batches([batch]), _TIE_ORDER)
-            yield from _hits(asking, against, k, schema).to_batches()
+            hits = _hits(asking, against, k, schema)
+            best = hits if best is None else _best_of(pa.concat_tables([best, hits]), k)
+        if best is not None:
+            yield from best.to_batches()
 
     return chunks.mapInArrow(scan, ddl)
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import answers as A, citations as C, intents as I
+from ..functions import answers as A, citations as C, guard as G, intents as I
 from ..functions.columns import let, non_empty
 from ..functions.tracking import parse_tracking
 from ..operators import lanes as L
 from ..operators.history import conversation_spans, entry_line, recall, with_first
 from ..operators.similarity import HIT_LIST as HITS, collect_hits, small_chunk_hits, topk
 from ..staging import stage
+from ..streaming.memory import GenerateText, answer_in_turn
 
 # text -> vector, a vectorised UDF; it gets null for messages that do not search
 Embed = Callable[[Column], Column]
@@ -148,6 +149,8 @@ def with_hits(
     if find is not None:
         wanted = F.when(F.array_contains("needs", "retrieval"), F.col("vec"))
         return messages.withColumn("hits", find(wanted, F.col("carrier")))
+    # Read by several jobs: written, so that messages are understood and embedded once.
+    messages = stage(messages, "understood")
     asking = messages.filter(F.array_contains("needs", "retrieval")).select(
         F.col("msg_id").alias("query_id"), "vec", "carrier"
     )
@@ -159,15 +162,23 @@ def _default_generate(ids: Column, carrier: Column, tracking: Column) -> Generat
     return lambda text, contexts, tracking_id: A.offline_reply(contexts, ids, carrier, tracking)
 
 
-def respond(messages: DataFrame, generate: Generate | None = None) -> DataFrame:
-    """Add contexts, reply, answer and citations; needs history (or it counts as empty)."""
+def respond(
+    messages: DataFrame, generate: Generate | None = None, guarded: bool = False
+) -> DataFrame:
+    """Add contexts, reply, answer and citations; needs history (or it counts as empty).
+
+    ``guarded`` cleans the generator's reply into safe bullets, asks for a missing ID and refuses links.
+    """
     history = F.col("history") if "history" in messages.columns else F.array().cast("array<string>")
     make = generate or _default_generate(F.col("ids"), F.col("carrier"), F.col("tracking"))
+    reply = make(F.col("text"), F.col("contexts"), F.get("ids", F.lit(0)))
+    if generate and guarded:
+        reply = G.guard_answer(reply, F.col("missing_id"), F.col("wants_link"))
     return (
         messages.withColumn(
             "contexts", A.gather_contexts(F.col("hits.text"), A.eta_note(F.col("eta")), history)
         )
-        .withColumn("reply", make(F.col("text"), F.col("contexts"), F.get("ids", F.lit(0))))
+        .withColumn("reply", reply)
         .withColumn(
             "parts", A.answer_parts(F.col("ids"), F.col("carrier"), F.col("eta"), F.col("quote"))
         )
@@ -184,9 +195,10 @@ def answer_messages(
     generate: Generate | None = None,
     k: int = RETRIEVED,
     embed: Embed | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
     """MESSAGES rows (optionally with vec, history, quote columns) to answers with citations."""
-    return respond(with_hits(with_estimates(understand(messages)), chunks, k, embed), generate)
+    return respond(with_hits(with_estimates(understand(messages)), chunks, k, embed), generate, guarded)
 
 
 def both_answers(ready: DataFrame) -> DataFrame:
@@ -199,13 +211,38 @@ def both_answers(ready: DataFrame) -> DataFrame:
     return respond(later.withColumn("history", none)).withColumnRenamed("answer", "answer_first")
 
 
+def ready_messages(
+    messages: DataFrame,
+    chunks: DataFrame | None = None,
+    k: int = RETRIEVED,
+    embed: Embed | None = None,
+) -> DataFrame:
+    """Everything about a message that does not depend on its conversation's past.
+
+    Rows that have ``hits`` already keep them.
+    """
+    known = messages if "hits" in messages.columns else with_hits(
+        with_estimates(understand(messages)), chunks, k, embed
+    )
+    clear = F.coalesce("clear", F.lit(False)) if "clear" in messages.columns else F.lit(False)
+    return both_answers(known).withColumn("tracking_id", F.get("ids", F.lit(0))).withColumn("clear", clear)
+
+
 def converse(
-    messages: DataFrame, chunks: DataFrame | None = None, embed: Embed | None = None
+    messages: DataFrame,
+    chunks: DataFrame | None = None,
+    embed: Embed | None = None,
+    generate: GenerateText | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
     """Answer whole conversations with memory: batch form of the streaming job.
 
-    One shuffle by conversation serves both steps, which row is the first and what came before.
+    One shuffle by conversation serves both steps, which row is the first and what came before.  With a
+    generator, whose replies become part of the memory, or with ``clear`` flags, a conversation is walked
+    through in turn, a row at a time.
     """
+    if generate is not None or "clear" in messages.columns:
+        return answer_in_turn(ready_messages(messages, chunks, embed=embed), generate, guarded)
     spans = conversation_spans(messages)
     ready = both_answers(with_hits(with_estimates(understand(messages)), chunks, embed=embed)).select(
         "msg_id", "conv_id", "turn", "text", "answer_first", "answer_later", "citations"

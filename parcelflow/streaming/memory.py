@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.answers import HISTORY_HEADING, MAX_CONTEXTS
+from ..functions.guard import guard_text
 from ..functions.text import ASCII_EXPANSIONS, ASCII_ONE_TO_ONE
 from ..operators.history import HISTORY_SIZE, MAX_CONTENT, entry_line
 
@@ -17,7 +18,7 @@ GenerateText = Callable[[str, list[str], str | None], str]
 
 # What the ready-made answers need, and what a generator needs on top.
 COLUMNS = ["msg_id", "turn", "user_line", "citations", "clear", "answer_first", "answer_later"]
-GENERATOR_COLUMNS = ["text", "contexts", "parts", "tracking_id"]
+GENERATOR_COLUMNS = ["text", "contexts", "parts", "tracking_id", "missing_id", "wants_link"]
 OUTPUT = "msg_id bigint, conv_id bigint, turn bigint, answer string, citations string, history array<string>"
 STATE = "lines array<string>"
 
@@ -29,15 +30,75 @@ def _ascii(text: str) -> str:
     return text
 
 
-def _generated(row: dict, lines: list[str], generate: GenerateText) -> str:
+def _generated(row: dict, lines: list[str], generate: GenerateText, guarded: bool) -> str:
     previous = [HISTORY_HEADING + "\n".join(lines)] if lines else []
     contexts = (previous + list(row["contexts"]))[:MAX_CONTEXTS]
-    reply = _ascii(generate(row["text"], contexts, row["tracking_id"]).strip())
+    reply = generate(row["text"], contexts, row["tracking_id"])
+    if guarded:
+        reply = guard_text(reply, bool(row["missing_id"]), bool(row["wants_link"]))
+    reply = _ascii(reply.strip())
     return _ascii("\n".join([*row["parts"], *([reply] if reply else [])]))
 
 
+def _answered(
+    row: dict, lines: list[str], generate: GenerateText | None, guarded: bool
+) -> tuple[str, list[str], list[str]]:
+    """The answer to a message, the history it saw, and the memory after it."""
+    if row["clear"]:
+        lines = []
+    if generate is not None:
+        answer = _generated(row, lines, generate, guarded)
+    else:
+        answer = row["answer_later"] if lines else row["answer_first"]
+    after = (lines + [row["user_line"], f"assistant: {answer[:MAX_CONTENT]}"])[-HISTORY_SIZE:]
+    return answer, lines, after
+
+
+def _prepared(ready: DataFrame) -> DataFrame:
+    # Citations pass through as text, which costs less to hand over than nested values.
+    return ready.withColumns(
+        {
+            "user_line": entry_line(F.lit("user"), F.col("text")),
+            "citations": F.to_json("citations"),
+        }
+    )
+
+
+def answer_in_turn(
+    ready: DataFrame, generate: GenerateText | None = None, guarded: bool = False
+) -> DataFrame:
+    """``answer_with_memory`` over a whole table.
+
+    Conversations are dealt out and sorted; a task walks through its rows and holds the memory of one
+    conversation, so a long one takes time but no room.
+    """
+    columns = COLUMNS + (GENERATOR_COLUMNS if generate else [])
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, lines = object(), []
+        for part in parts:
+            answers, histories = [], []
+            for conv, *values in zip(part["conv_id"].tolist(), *(part[c].tolist() for c in columns)):
+                if conv != now:
+                    now, lines = conv, []
+                answer, seen, lines = _answered(dict(zip(columns, values)), lines, generate, guarded)
+                answers.append(answer)
+                histories.append(seen)
+            out = part[["msg_id", "conv_id", "turn"]].assign(answer=answers)
+            yield out.assign(citations=part["citations"], history=histories)
+
+    rows = _prepared(ready).select("conv_id", *columns)
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    return dealt.mapInPandas(walk, OUTPUT).withColumn(
+        "citations", F.from_json("citations", "array<string>")
+    )
+
+
 def answer_with_memory(
-    ready: DataFrame, generate: GenerateText | None = None, idle_ms: int | None = None
+    ready: DataFrame,
+    generate: GenerateText | None = None,
+    idle_ms: int | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
     """Answers in turn order per conversation, each seeing the last entries before it.
 
@@ -45,7 +106,7 @@ def answer_with_memory(
     entries after it.  A row with ``clear`` empties it first; with ``idle_ms`` it is also dropped
     after that much silence (for queries that keep running: Spark never sees a query with
     processing-time timeouts as finished).  Without ``generate``, the ready-made answers are used, which differ
-    only in whether there is a history.
+    only in whether there is a history.  ``guarded`` cleans what the generator says.
     """
     columns = COLUMNS + (GENERATOR_COLUMNS if generate else [])
 
@@ -65,15 +126,9 @@ def answer_with_memory(
         records.sort(key=lambda r: r["turn"])
         answers, histories = [], []
         for row in records:
-            if row["clear"]:
-                lines = []
-            if generate is not None:
-                answer = _generated(row, lines, generate)
-            else:
-                answer = row["answer_later"] if lines else row["answer_first"]
+            answer, seen, lines = _answered(row, lines, generate, guarded)
             answers.append(answer)
-            histories.append(lines)
-            lines = (lines + [row["user_line"], f"assistant: {answer[:MAX_CONTENT]}"])[-HISTORY_SIZE:]
+            histories.append(seen)
         state.update((lines,))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
@@ -89,15 +144,8 @@ def answer_with_memory(
         )
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    # Citations pass through as text, which costs less to hand over than nested values.
-    prepared = ready.withColumns(
-        {
-            "user_line": entry_line(F.lit("user"), F.col("text")),
-            "citations": F.to_json("citations"),
-        }
-    )
     return (
-        prepared.select("conv_id", *columns).groupBy("conv_id")
+        _prepared(ready).select("conv_id", *columns).groupBy("conv_id")
         .applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
         .withColumn("citations", F.from_json("citations", "array<string>"))
     )

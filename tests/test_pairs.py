@@ -222,7 +222,7 @@ def test_curation_keeps_pairs_with_missing_or_repeated_ids_once(spark):
     rows = [(None, "where is parcel a", "reply a"), (None, "where is parcel b", "reply b"),
             (7, "lost parcel c", "reply c"), (7, "lost parcel d", "reply d"), (7, "lost parcel d", "reply d"),
             (None, "where is parcel a", "reply a")]
-    pairs = spark.createDataFrame(rows, "local_ord decimal(38,0), input_raw string, assistant_raw string")
+    pairs = spark.createDataFrame(rows, "local_ord bigint, input_raw string, assistant_raw string")
     pairs = number_source(pairs.withColumn("src_key", F.lit("k")), "s", 0)
     got = curate(pairs, Curation(keywords=("parcel",), ratios={"s": 0.5}, mini_size=10, prepend_steps=False))
     assert sorted(r["input"][-1] for r in got.collect()) == ["a", "b", "c", "d"]
