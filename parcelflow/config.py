@@ -37,6 +37,7 @@ class Dataset:
     path: str
     mapping: dict[str, str] = field(default_factory=dict)
     format: str = ""  # of an instruction corpus: parquet or json
+    split: str = ""  # of an instruction corpus: the folder, or the start of the files, to read; all if empty
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,7 @@ def from_mapping(cfg: dict[str, Any]) -> Curation:
             path=d["path"] if "path" in d else d["hf_repo"],
             mapping=d.get("mapping", {}),
             format=d.get("format", ""),
+            split=d.get("split", ""),
         )
         for d in cfg["datasets"]
     )

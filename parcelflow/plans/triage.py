@@ -137,15 +137,20 @@ def with_vectors(messages: DataFrame, embed: Embed | None) -> DataFrame:
 
 
 def with_hits(
-    messages: DataFrame, chunks: DataFrame | None, k: int = RETRIEVED, embed: Embed | None = None
+    messages: DataFrame,
+    chunks: DataFrame | None,
+    k: int = RETRIEVED,
+    embed: Embed | None = None,
+    max_held: int | None = None,
 ) -> DataFrame:
     """Add ``hits`` to understood messages with a ``vec`` (or an ``embed`` that makes one); only
-    those that need retrieval search."""
+    those that need retrieval search.  ``max_held`` replaces the number of vectors that tasks may hold."""
     messages = with_vectors(messages, embed)
     none = F.array().cast(HITS)
     if chunks is None or "vec" not in messages.columns:
         return messages.withColumn("hits", none)
-    find = small_chunk_hits(chunks, k)
+    limit = {} if max_held is None else {"max_broadcast": max_held}
+    find = small_chunk_hits(chunks, k, **limit)
     if find is not None:
         wanted = F.when(F.array_contains("needs", "retrieval"), F.col("vec"))
         return messages.withColumn("hits", find(wanted, F.col("carrier")))
@@ -154,7 +159,7 @@ def with_hits(
     asking = messages.filter(F.array_contains("needs", "retrieval")).select(
         F.col("msg_id").alias("query_id"), "vec", "carrier"
     )
-    hits = collect_hits(topk(asking, chunks, k), chunks).withColumnRenamed("query_id", "msg_id")
+    hits = collect_hits(topk(asking, chunks, k, **limit), chunks).withColumnRenamed("query_id", "msg_id")
     return messages.join(hits, "msg_id", "left").withColumn("hits", F.coalesce("hits", none))
 
 
@@ -196,9 +201,11 @@ def answer_messages(
     k: int = RETRIEVED,
     embed: Embed | None = None,
     guarded: bool = False,
+    max_held: int | None = None,
 ) -> DataFrame:
     """MESSAGES rows (optionally with vec, history, quote columns) to answers with citations."""
-    return respond(with_hits(with_estimates(understand(messages)), chunks, k, embed), generate, guarded)
+    ready = with_hits(with_estimates(understand(messages)), chunks, k, embed, max_held)
+    return respond(ready, generate, guarded)
 
 
 def both_answers(ready: DataFrame) -> DataFrame:

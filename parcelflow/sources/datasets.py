@@ -63,19 +63,30 @@ def content_order(*columns: str) -> Column:
     return F.xxhash64(*columns).cast("decimal(38,0)") + _whole(2**63, "decimal(38,0)")
 
 
+def _split_reader(spark: SparkSession, path: str, split: str):
+    """Reader and path of one split: the folder of that name, else the files that begin with it."""
+    if not split:
+        return spark.read, path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{split}")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.read, f"{path}/{split}"
+    return spark.read.option("pathGlobFilter", f"{split}[-._]*").option("recursiveFileLookup", True), path
+
+
 def read_instructions(
-    spark: SparkSession, path: str, mapping: dict[str, str] | None = None, fmt: str = ""
+    spark: SparkSession, path: str, mapping: dict[str, str] | None = None, fmt: str = "", split: str = ""
 ) -> DataFrame:
     """(input_raw, assistant_raw, local_ord) of a downloaded corpus, Parquet or JSON lines."""
+    reader, path = _split_reader(spark, path, split)
     columns = {**INSTRUCTION_COLUMNS, **(mapping or {})}
     user, agent = columns["user_col"], columns["agent_col"]
     if (fmt or "parquet") == "parquet":
-        rows = spark.read.parquet(path)
+        rows = reader.parquet(path)
         return rows.select(
             F.col(user).alias("input_raw"), F.col(agent).alias("assistant_raw"),
             file_order().alias("local_ord"),
         )
-    rows = spark.read.schema(f"`{user}` string, `{agent}` string").format(fmt).load(path)
+    rows = reader.schema(f"`{user}` string, `{agent}` string").format(fmt).load(path)
     return (
         rows.select(F.col(user).alias("input_raw"), F.col(agent).alias("assistant_raw"))
         .distinct()
@@ -93,7 +104,7 @@ def _tweet_pairs(spark: SparkSession, d: Dataset) -> DataFrame:
 
 
 def _instruction_pairs(spark: SparkSession, d: Dataset) -> DataFrame:
-    return read_instructions(spark, d.path, d.mapping, d.format).withColumn(
+    return read_instructions(spark, d.path, d.mapping, d.format, d.split).withColumn(
         "src_key", F.col("local_ord").cast("string")
     )
 

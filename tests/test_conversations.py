@@ -231,3 +231,76 @@ def test_guard_report(spark):
     report = {r["intent"]: r for r in guard_report(guarded).collect()}
     assert report["tracking"]["ask_ids"] == 1 and report["customs"]["ask_ids"] == 0
     assert guard_answers(rows, any_intent=True).filter("require_id").count() == 3
+
+
+def test_guard_of_one_text_equals_the_column_form(spark):
+    import random
+
+    from parcelflow.functions import guard as G
+
+    draw = random.Random(4)
+    parts = ["1) Look. ", "2. Wait", "\n", "- call us .", "* star", "see a.com/x ", "www.x.org ", "https://t.io/z ",
+             "@me ", "dm ", "Thanks for reaching out friend", "It left! Is it? ", "**bold** ", "tracking number ",
+             "can't share links", " ", "ä.co ", "x.ly", "\x85", "٣) Drei", "today date: now", ""]
+    raws = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 9))) for _ in range(600)] + [None]
+    rows = [(i, r, i % 2 == 0, i % 3 == 0) for i, r in enumerate(raws)]
+    df = spark.createDataFrame(rows, "i int, raw string, ask boolean, refuse boolean")
+    answers = df.select("i", G.guard_answer(F.col("raw"), F.col("ask"), F.col("refuse")).alias("a")).collect()
+    got = {r["i"]: r["a"] for r in answers}
+    for i, raw, ask, refuse in rows:
+        assert got[i] == G.guard_text(raw, ask, refuse), raw
+
+
+def test_batch_equals_stream_with_a_generator_a_guard_and_clear(spark, tmp_path):
+    def talk(text, contexts, tracking_id):
+        return f"1) See a.com/{len(contexts)} {text}\n2) Then {contexts[0][-20:] if contexts else 'wait'}"
+
+    schema = f"{MESSAGES}, clear boolean"
+    rows = spark.createDataFrame([(*r, r[0] == 3) for r in MESSAGE_ROWS], schema)
+    inbox = str(tmp_path / "in")
+    rows.coalesce(1).write.parquet(inbox)
+    for n, options in enumerate([{}, {"generate": talk}, {"generate": talk, "guarded": True}]):
+        job = stream_pipeline(spark.readStream.schema(schema).parquet(inbox), **options)
+        out = str(tmp_path / f"out{n}")
+        job.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / f"progress{n}")
+        ).trigger(availableNow=True).start().awaitTermination()
+        streamed = sorted(spark.read.schema(job.schema).parquet(out).collect())
+        assert streamed == sorted(triage.converse(rows, **options).select(*job.columns).collect())
+    assert "a.com" not in "".join(r["answer"] for r in streamed)
+
+
+def test_embedding_with_a_chunk_table_too_large_to_hold(spark):
+    rows = messages(spark)
+    chunks = spark.createDataFrame(
+        [("a.md", str(i), f"text {i}", [1.0, i / 9], "Shipping_B" if i % 2 else None) for i in range(40)],
+        "source string, chunk_id string, text string, vec array<double>, carrier string",
+    )
+    small, large = (
+        sorted(
+            triage.answer_messages(rows, chunks, embed=word_lengths, max_held=n)
+            .select("msg_id", "answer", "citations").collect()
+        )
+        for n in (10_000, 2)
+    )
+    assert small == large and any(r["citations"] for r in small)
+
+
+def test_a_task_keeps_k_hits_for_each_query(spark):
+    from parcelflow.operators.similarity import _scan_chunks, topk
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        chunks = spark.range(200).selectExpr(
+            "'s' source", "cast(id as string) chunk_id", "cast(null as string) carrier", "array(1.0D, id / 100) vec"
+        ).coalesce(1)
+        queries = spark.range(3).selectExpr("id query_id", "cast(null as string) carrier", "array(id + 1.0D, 1.0D) vec")
+        ddl = "query_id bigint, rank int, source string, chunk_id string, score double"
+        found = _scan_chunks(queries, chunks, 4, ddl, to_arrow_schema(StructType.fromDDL(ddl)), 100)
+        assert found.count() == 12
+        best = {tuple(r) for r in topk(queries, chunks, 4).select("query_id", "chunk_id").collect()}
+        assert {(r["query_id"], r["chunk_id"]) for r in found.collect()} == best
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

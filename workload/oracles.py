@@ -574,6 +574,29 @@ remembered AS (
 SELECT msg_id, conv_id, turn, answer, history FROM remembered WHERE role = 'user'"""
 ORACLES["conversation_answers"] = MEMORY
 ORACLES["stream_answers"] = MEMORY
+ORACLES["triage_answers_blocks"] = ORACLES["answer_sink"] = ORACLES["triage_answers"]
+ORACLES["history_hot"] = ORACLES["history_last6"]
+SEARCHED = MEMORY.replace(ESTIMATED, ANSWERED).replace(
+    "+ CASE WHEN n_eta THEN 1 ELSE 0 END AS n_contexts\n  FROM estimated",
+    "+ coalesce(len(texts), 0) + CASE WHEN n_eta THEN 1 ELSE 0 END AS all_contexts,\n"
+    "         least(4, all_contexts) AS n_contexts\n  FROM answered",
+).replace(
+    "SELECT msg_id, conv_id, turn, answer, history FROM remembered WHERE role = 'user'",
+    "SELECT msg_id, r.conv_id, r.turn, answer, history, coalesce(array_to_string(refs, '|'), '') AS citations\n"
+    "FROM remembered r JOIN answered USING (msg_id) WHERE role = 'user'",
+)
+for name in ("conversation_retrieval", "stream_retrieval", "stream_retrieval_blocks"):
+    ORACLES[name] = SEARCHED
+ORACLES["corpus_splits"] = f"""
+{cte('instructions')}
+SELECT 'a' AS source, instruction AS input_raw, response AS assistant_raw FROM instructions WHERE o_orderkey % 5 <> 0
+UNION ALL
+SELECT DISTINCT 'b', instruction, response FROM instructions WHERE o_orderkey % 5 = 0"""
+ORACLES["chat_text_conversation"] = f"""
+SELECT conv_id,
+       CASE WHEN bool_or(role = 'system') THEN '' ELSE {lit(f'<|system|>{chr(10)}{SYSTEM}{chr(10)}')} END ||
+       string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
 
 # --- lanes --------------------------------------------------------------------------------------
 
@@ -668,6 +691,14 @@ intents AS (SELECT *, {intent_of('user_msg')} AS intent, {matches('user_msg', LI
 ruled AS (SELECT *, {missing('intent', 'user_msg', 'tracking')} AS require_id FROM intents),
 {guarded('ruled')}"""
 ORACLES["guard_answers"] = f"{RAW} SELECT msg_id, intent, answer FROM guarded"
+ORACLES["guarded_replies"] = f"""
+{KNOWN},
+said AS (
+  SELECT msg_id, '1) See https://track.example.com/x now.' || chr(10) || '2) ' || text || chr(10) || '3. Wait -' AS raw,
+         missing_id AS require_id, wants_link AS refuse_link
+  FROM known),
+{guarded('said')}
+SELECT msg_id, answer AS reply FROM guarded"""
 ORACLES["ascii_safe"] = f"""
 {cte('raw_answers')}, ruled AS (
   SELECT *, false AS require_id, {matches('user_msg', LINK)} AS refuse_link FROM raw_answers),

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelflow.config import V01, V02
+from parcelflow.config import V01, V02, from_mapping
 from parcelflow.functions import chat, citations as C, guard as G, intents as I, text as T
 from parcelflow.operators.chunks import chunk_text
 from parcelflow.operators.dedup import keep_first, pair_digest
@@ -18,11 +18,11 @@ from parcelflow.operators.sample import flag_smallest, hash_order
 from parcelflow.operators.similarity import topk
 from parcelflow.plans import guard, knowledge, lanes, triage
 from parcelflow.plans.curate import curate, keyword_filter, manifest, map_pairs
-from parcelflow.sources.datasets import number_source, read_tweets
+from parcelflow.sources.datasets import load_pairs, number_source, read_tweets
 from parcelflow.sources.knowledge import kb_files, overwrite_chunks, read_chunks
-from parcelflow.sources.messages import stream_messages
+from parcelflow.sources.messages import stream_messages, write_answers
 from parcelflow.sources.pairs import read_manifest, read_pairs, write_manifest, write_pairs
-from parcelflow.staging import staging_dir
+from parcelflow.staging import stage, staging_dir
 from parcelflow.streaming.pipeline import stream_pipeline
 
 from .inputs import derived, lanes as lane_input, table, with_message_vectors
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORDS = ["lost", "rate", "id", "eta"]
 CONFIG = replace(V01, keywords=(*V02.keywords, "ing", "lich", "ment"))
 SPLIT_RATIO = 0.12
+HELD = 10  # vectors, where the ways for large tables are forced
 QUOTAS = {"src0": 30, "src1": 10, "src2": 1000000, "src3": 0, "src4": 7}
 LABEL_MARK = "|"
 
@@ -145,6 +146,27 @@ def tweets_csv(spark, sf):
     return reply_pairs(read_tweets(spark, path))
 
 
+@query
+def corpus_splits(spark, sf):
+    """A settings file names a Parquet corpus by folder and a JSON corpus by files; one split of each is read."""
+    path = _scratch(spark, "corpora")
+    rows = derived(spark, sf, "instructions")
+    for split, part in (("train", rows.filter("o_orderkey % 5 <> 0")), ("test", rows.filter("o_orderkey % 5 = 0"))):
+        part.select("instruction", "response").write.parquet(f"{path}/parquet/{split}")
+        part.select("instruction", "response").write.json(f"{path}/json/{split}")
+    settings = {
+        "datasets": [
+            {"name": "a", "kind": "hf", "hf_repo": f"{path}/parquet", "split": "train"},
+            {"name": "b", "kind": "hf", "path": f"{path}/json", "split": "test", "format": "json"},
+        ],
+        "filters": {"shipping_keywords": []}, "anonymize": {"carrier_aliases": [], "replace_with": ""},
+        "tone": {"normalize_agent_style": False, "prepend_steps": False},
+        "output": {"max_tokens": 1, "mini_size": 1, "val_ratio": 0.5},
+    }
+    pairs = load_pairs(spark, from_mapping(settings).datasets)
+    return pairs.select("source", "input_raw", "assistant_raw")
+
+
 @query
 def union_of_sources(spark, sf):
     return _pairs(spark, sf).groupBy("source").agg(
@@ -426,6 +448,22 @@ def message_estimates(spark, sf):
     )
 
 
+@query
+def history_hot(spark, sf):
+    """History where every conversation is cut into spans of two rows."""
+    rows = with_history(table(spark, sf, "conversations"), share=1e-9, span_rows=2)
+    return rows.select("conv_id", "turn", "role", F.array_join("history", "\n").alias("history"))
+
+
+@query
+def chat_text_conversation(spark, sf):
+    """Training text of whole conversations."""
+    turns = F.collect_list(F.struct("turn", "role", "text"))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(
+        "conv_id", chat.conversation_text(F.col("turns")).alias("text")
+    )
+
+
 @query
 def history_last6(spark, sf):
     rows = with_history(table(spark, sf, "conversations"))
@@ -445,6 +483,34 @@ def triage_answers(spark, sf):
     return _answers(triage.answer_messages(_messages_with_vectors(spark, sf), derived(spark, sf, "chunks")))
 
 
+@query
+def triage_answers_blocks(spark, sf):
+    """The same where neither side of the search is small: blocks of both meet."""
+    found = triage.answer_messages(
+        _messages_with_vectors(spark, sf), derived(spark, sf, "chunks"), max_held=HELD
+    )
+    return _answers(found)
+
+
+@query
+def answer_sink(spark, sf):
+    """Answers after a round trip through their table."""
+    messages = _messages_with_vectors(spark, sf)
+    path = _scratch(spark, "answers")
+    write_answers(triage.answer_messages(messages, derived(spark, sf, "chunks")), path)
+    return _answers(spark.read.parquet(path))
+
+
+@query
+def guarded_replies(spark, sf):
+    """What a generator says, cleaned: a link and numbered steps in every reply."""
+    def generate(text, contexts, tracking_id):
+        return F.concat(F.lit("1) See https://track.example.com/x now.\n2) "), text, F.lit("\n3. Wait -"))
+
+    replies = triage.answer_messages(derived(spark, sf, "messages"), generate=generate, guarded=True)
+    return replies.select("msg_id", "reply")
+
+
 @query
 def plain_answers(spark, sf):
     return _answers(triage.plain_answers(_messages_with_vectors(spark, sf), derived(spark, sf, "chunks")))
@@ -470,6 +536,53 @@ def conversation_answers(spark, sf):
     return _with_memory(triage.converse(derived(spark, sf, "messages")))
 
 
+def _with_citations(answered: DataFrame) -> DataFrame:
+    return answered.select(
+        "msg_id", "conv_id", "turn", "answer", F.array_join("history", "\n").alias("history"),
+        _listed(F.col("citations")).alias("citations"),
+    )
+
+
+@query
+def conversation_retrieval(spark, sf):
+    """Conversations with memory and retrieval."""
+    answered = triage.converse(_messages_with_vectors(spark, sf), derived(spark, sf, "chunks"))
+    return _with_citations(answered)
+
+
+def _streamed(spark, sf, **options) -> DataFrame:
+    """The message job over three files that come one by one, with retrieval."""
+    inbox, out = _scratch(spark, "inbox"), _scratch(spark, "outbox")
+    messages = stage(_messages_with_vectors(spark, sf), "messages")
+    highest = messages.agg(F.max("turn")).first()[0] or 0
+    third = F.least(F.floor(F.col("turn") * 3 / (highest + 1)), F.lit(2))
+    for i in range(3):
+        messages.filter(third == i).coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    job = stream_pipeline(stream, derived(spark, sf, "chunks"), **options)
+    (
+        job.writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", _scratch(spark, "progress"))
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.schema(job.schema).parquet(out)
+
+
+@query
+def stream_retrieval(spark, sf):
+    """Several micro-batches with memory and retrieval, so that state is read back."""
+    return _with_citations(_streamed(spark, sf))
+
+
+@query
+def stream_retrieval_blocks(spark, sf):
+    """The same with a chunk table too large to be held: each micro-batch is searched like a table."""
+    answers = _with_citations(_streamed(spark, sf, max_held=HELD))
+    for running in spark.streams.active:
+        running.stop()
+    return answers
+
+
 @query
 def stream_answers(spark, sf):
     """The message job as a stream over message files, with conversation memory as state."""
