@@ -259,6 +259,24 @@ class Tokenizer:
         return F.arrow_udf(_iterator(decoded), T.StringType()).asNondeterministic()(ids)
 
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct of ids and of the text they decode to, by one function and so one worker a task."""
+        held = self.held
+
+        def both(parts):
+            encoder = Encoder(held.value)
+            for texts in parts:
+                done = []
+                for piece in pieces(whole_texts(texts), AT_ONCE):
+                    ids = pa.array(encoder.encode(piece.to_pylist()), pa.binary())
+                    decoded = [_decode(p, held.value).cast(pa.string()) for p in _cut(ids)]
+                    done.append(pa.StructArray.from_arrays([ids, pa.concat_arrays(decoded)], ["ids", "decoded"]))
+                yield pa.concat_arrays(done)
+
+        kind = "struct<ids: binary, decoded: string>"
+        return F.arrow_udf(_iterator(both), kind).asNondeterministic()(text)
+
+
 def _cut(packed: pa.Array) -> list[pa.Array]:
     return list(pieces(pc.fill_null(packed, b""), AT_ONCE))
 
@@ -274,8 +292,8 @@ def _iterator(f):
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, packed ids and decoded text of every row of ``docs``."""
     tokenizer = Tokenizer(docs.sparkSession, path)
-    rows = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    return rows.withColumn("decoded", tokenizer.decode(F.col("ids")))
+    rows = docs.select("doc_id", tokenizer.round_trip(F.col("text")).alias("both"))
+    return rows.select("doc_id", "both.ids", "both.decoded")
 
 
 def digests(encoded: DataFrame, *more: str) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from parcelflow.staging import staging_dir
 
 #: Texts handled at a time inside an Arrow batch, in bytes (a single longer text is one piece).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Arrow batches are cut at this size, so long texts do not add up in a worker.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 #: A side may be broadcast only if it has at most this many rows (of a few dozen bytes).
 BROADCAST_ROWS = 1_000_000
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelflow.staging import stage
+from parcelflow.staging import settled, stage
 
 from .common import fresh_name, maybe_broadcast
 
@@ -120,7 +120,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns as they are, whose text holds no passage of the benchmark."""
     key, own = fresh_name(docs, "found_text"), fresh_name(docs, "text_key")
-    found = contaminated(docs, benchmark).select(F.col("text_key").alias(key)).distinct()
-    found = maybe_broadcast(stage(found, "contaminated"))
+
+    def keys() -> DataFrame:
+        return contaminated(docs, benchmark).select(F.col("text_key").alias(key)).distinct()
+
+    found = maybe_broadcast(settled(docs.sparkSession, "contaminated", keys))
     marked = docs.withColumn(own, F.xxhash64(docs["text"]))
     return marked.join(found, F.col(own) == F.col(key), "left_anti").select(docs.columns)

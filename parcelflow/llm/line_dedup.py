@@ -26,7 +26,7 @@ from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelflow.staging import stage
+from parcelflow.staging import settled, stage
 
 from .common import fresh_name, maybe_broadcast
 
@@ -36,6 +36,8 @@ THRESHOLD = 2
 HOT = 1_000
 #: Rests up to this length are joined by deletions.
 SHORT = 24
+#: Numbers of dropped lines (four bytes each) that may be sent to every task.
+SENT_NUMBERS = 4_000_000
 #: Documents that keep less than this share of their characters are dropped.
 LEAST_LEFT = 0.1
 LOWEST_ID = -(1 << 63)
@@ -358,9 +360,15 @@ def dropped_lines(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("n")).alias("dropped"))
 
 
+def _sent(gone: DataFrame) -> DataFrame:
+    """Marked for broadcast if the rows and the line numbers in them are few enough."""
+    numbers = gone.agg(F.sum(F.size("dropped"))).first()[0] or 0
+    return maybe_broadcast(gone) if numbers <= SENT_NUMBERS else gone
+
+
 def report(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
     """Per row of ``docs``: number of lines, of dropped lines, and which ones."""
-    gone = stage(dropped_lines(docs, use), "dropped")
+    gone = _sent(settled(docs.sparkSession, "dropped", lambda: dropped_lines(docs, use)))
     none = F.array().cast("array<int>")
     rows = docs.select(
         document_key(docs).alias("doc"), "doc_id",
@@ -379,7 +387,7 @@ def without_repeats(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
 
     Columns stay; ``n_chars``, if there is one, follows the text.
     """
-    gone = stage(dropped_lines(docs, use), "dropped")
+    gone = _sent(settled(docs.sparkSession, "dropped", lambda: dropped_lines(docs, use)))
     key, marks, left = (fresh_name(docs, c) for c in ("line_key", "dropped", "left"))
     rows = docs.withColumn(key, document_key(docs)).join(
         gone.select(F.col("doc").alias(key), F.col("dropped").alias(marks)), key, "left"

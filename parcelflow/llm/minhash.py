@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelflow.staging import stage
+from parcelflow.staging import settled, stage
 
 from .common import bounded_batches, fresh_name, maybe_broadcast, pieces, whole_texts, words_of
 from .components import components
@@ -278,7 +278,9 @@ def near_duplicates(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
         .dropDuplicates(["id", "n"]),
         "classes",
     )
-    found = stage(components(links_of(classes, docs, use)), "components")
+    found = settled(
+        docs.sparkSession, "components", lambda: components(links_of(classes, docs, use))
+    )
     narrow = rows.select("doc_id", "n", "d1", "d2")
     own = narrow.join(maybe_broadcast(groups), ["d1", "d2"], "left").withColumn(
         "id", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
@@ -293,7 +295,11 @@ def near_duplicates(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
 
 def without_copies(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, columns as they are, without those that are not the first of their group."""
-    gone = near_duplicates(docs, use).filter(~F.col("kept")).select("doc_id").distinct()
     key = fresh_name(docs, "gone_id")
-    gone = stage(gone.withColumnRenamed("doc_id", key), "gone")
+
+    def copies() -> DataFrame:
+        rows = near_duplicates(docs, use).filter(~F.col("kept"))
+        return rows.select(F.col("doc_id").alias(key)).distinct()
+
+    gone = settled(docs.sparkSession, "gone", copies)
     return docs.join(maybe_broadcast(gone), docs["doc_id"] == F.col(key), "left_anti")

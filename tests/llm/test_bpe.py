@@ -58,6 +58,16 @@ def test_memory_of_words_starts_anew(monkeypatch, library):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text).ids
 
 
+def test_ids_and_texts_as_columns_of_their_own(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    tokenizer = bpe.Tokenizer(spark, PATH)
+    docs = docs_of([*ODD_TEXTS, "one Two three's"])
+    rows = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
+    rows = rows.withColumn("decoded", tokenizer.decode(F.col("ids"))).orderBy("doc_id").collect()
+    assert rows == bpe.encode_documents(docs, PATH).orderBy("doc_id").collect()
+
+
 def test_empty_table_null_ids_and_other_columns(docs_of):
     docs = docs_of([(None, "a b"), (None, None), (3, "a b")]).withColumnRenamed("lang", "ids")
     assert bpe.digests(bpe.encode_documents(docs, PATH)).select("n_tokens").orderBy("n_tokens").collect() == [
