@@ -122,7 +122,10 @@ class Vocabulary:
 
 
 def merge_rounds(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in one flat array, and how many ids each word has."""
+    """Ids of all words in one flat array, and how many ids each word has.
+
+    A pair is looked up when it comes about; each round looks up the pairs beside its merges only.
+    """
     sizes = np.array([len(w) for w in words], np.int64)
     flat = np.frombuffer(b"".join(words), np.uint8)
     symbols = vocab.inner[flat]
@@ -130,19 +133,27 @@ def merge_rounds(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
     symbols[ends] = vocab.last[flat[ends]]
     word = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(flat))  # where a symbol began: places keep the order of finished words
+    ranks, products = np.full(len(flat), NO_RANK), np.zeros(len(flat), np.int64)
+
+    def look_up(left: np.ndarray) -> None:
+        """Rank and product of the pairs that begin at ``left``."""
+        left = left[left + 1 < len(symbols)]
+        keys = (symbols[left] << 32) | symbols[left + 1]
+        at = np.minimum(np.searchsorted(vocab.pair_keys, keys), len(vocab.pair_keys) - 1)
+        known = (vocab.pair_keys[at] == keys) & (word[left] == word[left + 1])
+        ranks[left] = np.where(known, vocab.pair_ranks[at], NO_RANK)
+        products[left] = vocab.pair_products[at]
+
+    look_up(np.arange(len(flat)))
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(symbols):
-        keys = (symbols[:-1] << 32) | symbols[1:]
-        at = np.minimum(np.searchsorted(vocab.pair_keys, keys), len(vocab.pair_keys) - 1)
-        known = (vocab.pair_keys[at] == keys) & (word[:-1] == word[1:])
-        ranks = np.append(np.where(known, vocab.pair_ranks[at], NO_RANK), NO_RANK)
         starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         lowest = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, len(word))))
         active = lowest < NO_RANK
         if not active.all():
             done.append((symbols[~active], word[~active], place[~active]))
-            symbols, word, place, ranks, lowest = (
-                x[active] for x in (symbols, word, place, ranks, lowest)
+            symbols, word, place, ranks, products, lowest = (
+                x[active] for x in (symbols, word, place, ranks, products, lowest)
             )
             if not len(symbols):
                 break
@@ -151,11 +162,13 @@ def merge_rounds(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
         run = np.append(True, np.diff(chosen) > 1)
         first = chosen[np.maximum.accumulate(np.where(run, np.arange(len(chosen)), 0))]
         chosen = chosen[(chosen - first) % 2 == 0]
-        keys = (symbols[chosen] << 32) | symbols[chosen + 1]
-        symbols[chosen] = vocab.pair_products[np.searchsorted(vocab.pair_keys, keys)]
+        symbols[chosen] = products[chosen]
+        ranks[chosen] = NO_RANK  # unless there is a next symbol
         rest = np.ones(len(symbols), bool)
         rest[chosen + 1] = False
-        symbols, word, place = symbols[rest], word[rest], place[rest]
+        merged = chosen - np.arange(len(chosen))  # where they are once the others are gone
+        symbols, word, place, ranks, products = (x[rest] for x in (symbols, word, place, ranks, products))
+        look_up(np.unique(np.concatenate([merged, merged[merged > 0] - 1])))
     symbols, word, place = (np.concatenate(x) for x in zip(*done))
     return symbols[np.argsort(place)].astype(np.uint32), np.bincount(word, minlength=len(words))
 
@@ -165,7 +178,12 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a word's ids in ``ids``
+        self.ids = np.zeros(0, np.uint32)
 
     def split(self, text: str) -> list[str]:
         """Words of a text; special tokens stay as they are, marked by a leading line break."""
@@ -181,6 +199,8 @@ class Encoder:
         if text.isascii():
             return self.vocab.words.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
+        if _is_latin(text):  # then none of the characters that need care is there
+            return self.vocab.words.findall(text.lower())
         if HAS_LOWER.search(text):
             text = text.translate(LOWER)
         text = text.lower()
@@ -189,13 +209,21 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self._forget()
         new = [w for w in words if w not in self.known]
-        self.known |= {w: np.array([self.vocab.special[w[1:]]], np.uint32) for w in new if w[0] == "\n"}
-        new = [w for w in new if w[0] != "\n"]
-        if new:
-            ids, counts = merge_rounds([w.encode() for w in new], self.vocab)
-            self.known.update(zip(new, np.split(ids, np.cumsum(counts)[:-1])))
+        if not new:
+            return
+        special = [w for w in new if w[0] == "\n"]
+        plain = [w for w in new if w[0] != "\n"]
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if plain:
+            ids, sizes = merge_rounds([w.encode() for w in plain], self.vocab)
+        ids = np.append(ids, np.array([self.vocab.special[w[1:]] for w in special], np.uint32))
+        sizes = np.append(sizes, np.ones(len(special), np.int64))
+        self.known.update(zip([*plain, *special], range(len(self.known), len(self.known) + len(new))))
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.ids = np.append(self.ids, ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -205,19 +233,23 @@ class Encoder:
         if not words:
             return [b""] * len(texts)
         self.learn(words)
-        each = [self.known[w] for w in words]
-        size = np.array([len(x) for x in each], np.int64)
-        begin = np.cumsum(size) - size
-        code = coded.indices.to_numpy()
-        sizes = size[code]
+        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        sizes = self.size[code]
         ends = np.cumsum(sizes)
-        flat = np.concatenate(each)
-        ids = flat[np.arange(ends[-1]) + np.repeat(begin[code] - (ends - sizes), sizes)].astype("<u4")
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[code] - (ends - sizes), sizes)]
         per_text = np.append(0, ends)[np.cumsum([0, *(len(ws) for ws in split)])]
-        packed = ids.tobytes()
+        packed = ids.astype("<u4").tobytes()
         return [packed[4 * a : 4 * b] for a, b in zip(per_text[:-1], per_text[1:])]
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _decode(packed: pa.Array, vocab: Vocabulary) -> pa.Array:
     """Tokens of the ids with a space between them, as there is no decoder for word ends."""
     packed = pc.fill_null(packed.cast(pa.binary()), b"")
