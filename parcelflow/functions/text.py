@@ -7,6 +7,7 @@ its input would double the tree at every step.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -87,13 +88,20 @@ def normalize_text(c: Column) -> Column:
     return F.coalesce(collapse(nfkc(c)), F.lit(""))
 
 
-def redact_emails(c: Column) -> Column:
-    def redact(t: Column) -> Column:
-        return F.when(
-            t.contains("@"), F.regexp_replace(t, EMAIL, quote_replacement(EMAIL_MARK))
-        ).otherwise(t)
+def _where(c: Column, holds: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` the texts for which a cheap test holds; the others would stay as they are."""
+    return let(c, lambda t: F.when(holds(t), change(t)).otherwise(t))
+
+
+def _drop(c: Column, mark: str, pattern: str) -> Column:
+    """Drop what matches a pattern that needs ``mark``."""
+    return _where(c, lambda t: t.contains(mark), lambda t: F.regexp_replace(t, pattern, ""))
 
-    return let(c, redact)
+
+def redact_emails(c: Column) -> Column:
+    return _where(
+        c, lambda t: t.contains("@"), lambda t: F.regexp_replace(t, EMAIL, quote_replacement(EMAIL_MARK))
+    )
 
 
 def redact_phones(c: Column) -> Column:
@@ -105,13 +113,16 @@ def redact_order_numbers(c: Column) -> Column:
 
 
 def drop_links_and_tags(c: Column) -> Column:
-    for pattern in (URL, HANDLE, CARET_TAG):
-        c = F.regexp_replace(c, pattern, "")
+    for mark, pattern in (("http", URL), ("@", HANDLE), ("^", CARET_TAG)):
+        c = _drop(c, mark, pattern)
     return c
 
 
 def scrub_pii(c: Column) -> Column:
-    return drop_links_and_tags(redact_order_numbers(redact_phones(redact_emails(c))))
+    numbers = _where(
+        redact_emails(c), lambda t: t.rlike(D), lambda t: redact_order_numbers(redact_phones(t))
+    )
+    return drop_links_and_tags(numbers)
 
 
 def alias_carriers(c: Column, names: list[str], alias: str) -> Column:
@@ -135,8 +146,8 @@ def prepend_steps(c: Column) -> Column:
 
 def detwitterize_agent(c: Column, with_steps: bool) -> Column:
     c = drop_links_and_tags(c)
-    for pattern in (HASHTAG, DM_TAIL, DIRECT_MESSAGE_TAIL):
-        c = F.regexp_replace(c, pattern, "")
+    c = F.regexp_replace(_drop(c, "#", HASHTAG), DM_TAIL, "")
+    c = _drop(c, "irect message", DIRECT_MESSAGE_TAIL)
     c = F.replace(F.replace(collapse(c), F.lit("pls"), F.lit("please")), F.lit("thx"), F.lit("thanks"))
     return strip(prepend_steps(c) if with_steps else c)
 

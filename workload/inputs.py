@@ -23,10 +23,13 @@ TEN = "CAST(1000000000 + o_orderkey AS STRING)"
 EIGHT = "CAST(10000000 + o_orderkey AS STRING)"
 
 
+COUNTRIES = "AE SA KW QA JO DE FR IT ES NL SE PL US CA BR CN IN JP GB ZA AU MX KE EG TR".split()
+SERVICES = ["express", "standard", "economy"]
+
+
 def _cc(key: str) -> str:
     """Country code of a nation key: GCC, EU and other countries."""
-    codes = "AE SA KW QA JO DE FR IT ES NL SE PL US CA BR CN IN JP GB ZA AU MX KE EG TR".split()
-    return "CASE " + " ".join(f"WHEN {key} = {i} THEN '{c}'" for i, c in enumerate(codes)) + " END"
+    return "CASE " + " ".join(f"WHEN {key} = {i} THEN '{c}'" for i, c in enumerate(COUNTRIES)) + " END"
 
 
 MESSAGE_TEXTS = [

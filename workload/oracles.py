@@ -8,8 +8,8 @@ Patterns, marks and sentences are fixed values that the results depend on.
 
 from __future__ import annotations
 
-from .inputs import RAW_ANSWERS, SQL, cte  # noqa: F401
-from .queries import CONFIG, QUOTAS, SPLIT_RATIO, WORDS
+from .inputs import COUNTRIES, RAW_ANSWERS, SERVICES, SQL, cte  # noqa: F401
+from .queries import CONFIG, QUOTAS, SPLIT_RATIO, WIDE, WORDS
 
 ORACLES: dict[str, str] = {}
 
@@ -106,6 +106,9 @@ FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents
 ORACLES["detwitterize_agent"] = f"""
 {cte('raw_answers')}, t AS (SELECT msg_id, {detwitterize('raw')} AS t FROM raw_answers)
 SELECT msg_id, {with_steps('t')} AS text FROM t"""
+PLAIN = "replace(translate(text, " + lit(WIDE[0]) + ", 'ae1E'), 'ti', 'fi2')"
+ORACLES["normalize_wide"] = f"""
+SELECT doc_id, md5({norm('wide')}) AS text_md5 FROM (SELECT doc_id, {PLAIN} AS wide FROM documents)"""
 ORACLES["enforce_max_tokens"] = """
 SELECT doc_id, CAST(least(length(text), 400) AS BIGINT) AS chars, md5(substr(text, 1, 400)) AS text_md5
 FROM documents"""
@@ -620,6 +623,31 @@ def cents(x: str) -> str:
     return f"round_even(CAST(printf('%.34f', {x}) AS DECIMAL(38, 34)), 2)"
 
 
+LISTED = ", ".join(lit(c) for c in COUNTRIES)
+ORACLES["message_quotes"] = f"""
+{KNOWN},
+rows AS (
+  SELECT msg_id, [{LISTED}][1 + conv_id % 25] AS o, [{LISTED}][1 + msg_id % 25] AS d,
+         {SERVICES}[1 + msg_id % 3] AS service, greatest(0.01::DOUBLE, (msg_id % 40)::DOUBLE / 8) AS kg
+  FROM known WHERE n_quote),
+priced AS (
+  SELECT *, {zone('o', 'd')} AS zone, greatest(1, CAST(ceil(kg / 0.5::DOUBLE) AS BIGINT)) AS halves FROM rows)
+SELECT msg_id, service, zone, CAST({cents('kg')} AS DOUBLE) AS billable_kg,
+       CAST(CAST((CAST(CASE zone WHEN 'INTRA_COUNTRY' THEN 3.5 WHEN 'INTRA_REGION' THEN 6 ELSE 12 END AS DECIMAL(6, 2))
+         + CAST(CASE zone WHEN 'INTRA_COUNTRY' THEN 1 WHEN 'INTRA_REGION' THEN 2 ELSE 4 END AS DECIMAL(6, 2)) * (halves - 1))
+         * CAST(CASE service WHEN 'express' THEN 1.6 WHEN 'economy' THEN 0.8 ELSE 1 END AS DECIMAL(4, 2))
+         AS DECIMAL(18, 2)) AS DOUBLE) AS price_usd
+FROM priced"""
+ORACLES["cosine_columns"] = """
+SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+ORACLES["stored_hits"] = """
+SELECT vec_id,
+       CASE WHEN vec_id % 3 <> 0 THEN 'kb' || label WHEN vec_id % 2 <> 0 THEN 'file.md' ELSE 'kb' END AS source,
+       CASE WHEN vec_id % 5 <> 0 THEN CAST(vec_id AS VARCHAR) WHEN vec_id % 7 <> 0 THEN CAST(label AS VARCHAR)
+            ELSE '' END AS chunk_id,
+       CASE WHEN vec_id % 4 <> 0 THEN CAST(embedding[1] AS DOUBLE) ELSE 0 END AS score
+FROM embeddings"""
 ORACLES["quote_by_zone"] = f"""
 {cte('weighed_lanes')}, w AS (
   SELECT {zone('origin_cc', 'dest_cc')} AS zone, lower(service) AS service, shipments, {BILLABLE} AS kg

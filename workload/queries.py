@@ -8,7 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelflow.config import V01, V02, from_mapping
-from parcelflow.functions import chat, citations as C, guard as G, intents as I, text as T
+from parcelflow.functions import chat, citations as C, guard as G, intents as I, text as T, vectors
+from parcelflow.functions.citations import hit_fields
 from parcelflow.operators.chunks import chunk_text
 from parcelflow.operators.dedup import keep_first, pair_digest
 from parcelflow.operators.history import with_history
@@ -25,7 +26,7 @@ from parcelflow.sources.pairs import read_manifest, read_pairs, write_manifest,
 from parcelflow.staging import stage, staging_dir
 from parcelflow.streaming.pipeline import stream_pipeline
 
-from .inputs import derived, lanes as lane_input, table, with_message_vectors
+from .inputs import COUNTRIES, SERVICES, derived, lanes as lane_input, table, with_message_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WORDS = ["lost", "rate", "id", "eta"]
 CONFIG = replace(V01, keywords=(*V02.keywords, "ing", "lich", "ment"))
 SPLIT_RATIO = 0.12
+WIDE = ("aeoE", "ａｅ①Ｅ")  # the letters that stand for a, e, 1 and E
 HELD = 10  # vectors, where the ways for large tables are forced
 QUOTAS = {"src0": 30, "src1": 10, "src2": 1000000, "src3": 0, "src4": 7}
 LABEL_MARK = "|"
@@ -65,6 +67,14 @@ def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", _md5(text).alias("text_md5"))
 
 
+@query
+def normalize_wide(spark, sf):
+    """Texts with wide, circled, joined and superscript characters, which NFKC takes apart."""
+    odd = F.replace(F.translate("text", WIDE[0], WIDE[1]), F.lit("ti"), F.lit("ﬁ²"))
+    text = T.normalize_text(odd)
+    return table(spark, sf, "documents").select("doc_id", _md5(text).alias("text_md5"))
+
+
 @query
 def scrub_pii(spark, sf):
     scrubbed = T.scrub_pii(T.normalize_text(F.col("text")))
@@ -448,6 +458,46 @@ def message_estimates(spark, sf):
     )
 
 
+@query
+def message_quotes(spark, sf):
+    """Quotes of messages whose rows say the lane, the service and the weight."""
+    nation = lambda key: F.expr(f"CAST({key} % 25 AS BIGINT)")
+    codes = F.array(*[F.lit(c) for c in COUNTRIES])
+    rows = derived(spark, sf, "messages").withColumns(
+        {
+            "origin_cc": F.get(codes, nation("conv_id").cast("int")),
+            "dest_cc": F.get(codes, nation("msg_id").cast("int")),
+            "service": F.get(F.array(*map(F.lit, SERVICES)), (F.col("msg_id") % 3).cast("int")),
+            "weight_kg": (F.col("msg_id") % 40).cast("double") / 8,
+        }
+    )
+    quote = triage.with_estimates(triage.understand(rows)).filter("quote IS NOT NULL").select("msg_id", "quote.*")
+    return quote.select(
+        "msg_id", "service", "zone", F.col("billable_kg").cast("double").alias("billable_kg"),
+        F.col("price_usd").cast("double").alias("price_usd"),
+    )
+
+
+@query
+def cosine_columns(spark, sf):
+    """Similarity of neighbouring vectors by column arithmetic."""
+    rows = table(spark, sf, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    score = F.round(vectors.cosine(F.col("embedding"), F.col("other")), 9)
+    return rows.join(after, "vec_id").select("vec_id", score.alias("score"))
+
+
+@query
+def stored_hits(spark, sf):
+    """Fields of stored hits of which some are missing."""
+    missing = lambda c, n: F.when(F.col("vec_id") % n != 0, c)
+    fields = hit_fields(
+        missing(F.concat(F.lit("kb"), F.col("label").cast("string")), 3), missing(F.lit("file.md"), 2),
+        missing(F.col("vec_id"), 5), missing(F.col("label"), 7), missing(F.get("embedding", F.lit(0)), 4),
+    )
+    return table(spark, sf, "embeddings").select("vec_id", *[c.alias(n) for n, c in fields.items()])
+
+
 @query
 def history_hot(spark, sf):
     """History where every conversation is cut into spans of two rows."""
