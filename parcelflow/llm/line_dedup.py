@@ -89,15 +89,17 @@ def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Start from 0 and length of a segment."""
-    start, end = (F.floor(length * j / parts).cast("int") for j in (i, i + 1))
+    start, end = (F.call_function("div", length * j, F.lit(parts)).cast("int") for j in (i, i + 1))
     return start, end - start
 
 
-def segments(code: Column, size: Column, space: Column, threshold: int, indexed_only: bool = False) -> Column:
+def segments(
+    code: Column, size: Column, space: Column, threshold: int, indexed_only: bool = False, short: bool = True
+) -> Column:
     """Array of (key, indexed, start, long): a line's segments, and the substrings it probes with.
 
     ``code`` is the line in UTF-32, where a substring needs no search for its start; ``size`` its length in
-    characters.  A substring can align with segment i of a line shorter by ``less`` only if the edits before
+    characters; without ``short`` no line is so short that a part may be empty.  A substring can align with segment i of a line shorter by ``less`` only if the edits before
     it and after it add up to at most the threshold, which bounds how far it lies from the segment.
     """
     out = []
@@ -113,26 +115,22 @@ def segments(code: Column, size: Column, space: Column, threshold: int, indexed_
                     continue
                 at = start + shift
                 key = F.xxhash64(space, length, F.lit(i), F.substring(code, 4 * at + 1, 4 * long))
-                fits = (at >= 0) & (long > 0) & (length > 0)
-                out.append(
-                    F.when(
-                        fits,
-                        F.struct(key.alias("key"), F.lit(own).alias("indexed"), at.alias("start"), long.alias("long")),
-                    )
-                )
-    return F.array_compact(F.array(*out))
+                part = F.struct(key.alias("key"), F.lit(own).alias("indexed"), at.alias("start"), long.alias("long"))
+                out.append(F.when((at >= 0) & (long > 0) & (length > 0), part) if short else part)
+    return F.array_compact(F.array(*out)) if short else F.array(*out)
 
 
-def members(rows: DataFrame, threshold: int) -> DataFrame:
+def members(rows: DataFrame, threshold: int, shortest: int = 0) -> DataFrame:
     """(key, id, indexed, space, start, long, only) of the segments and substrings that meet another's segment.
 
     ``rows`` are (id, rest, space).  Each row meets one row for its key, not its lines, so there are no more
     rows out than in.  ``only`` is the line of a segment that just one line has; it has no row of its own.
     """
     coded = rows.withColumn("code", F.encode("rest", "UTF-32"))
-    coded = coded.withColumn("size", (F.octet_length("code") / 4).cast("int"))
+    coded = coded.withColumn("size", F.shiftright(F.octet_length("code"), 2))
+    short = shortest < (threshold + 1) ** 2 + threshold
     parts = lambda only: F.inline(
-        segments(F.col("code"), F.col("size"), F.col("space"), threshold, only)
+        segments(F.col("code"), F.col("size"), F.col("space"), threshold, only, short)
     )
     indexed = coded.select("id", parts(True)).groupBy("key").agg(
         F.min("id").alias("lead"), F.max("id").alias("last")
@@ -207,7 +205,7 @@ def candidate_pairs(lines: DataFrame, use: Settings) -> DataFrame:
     rows = lines.select("id", F.col("line").alias("rest"), F.lit(0).cast("bigint").alias("space"))
     found, letters = [], None
     while True:
-        met = stage(members(rows, use.threshold), "members")
+        met = stage(members(rows, use.threshold, min(use.min_chars, use.short + 1)), "members")
         if letters is None:  # of the few lines that share anything
             ids = stage(met.select("id").union(met.select("only")).distinct(), "sharing")
             sharing = lines.join(maybe_broadcast(ids), "id", "left_semi")
