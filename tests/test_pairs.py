@@ -242,3 +242,14 @@ def test_staged_tables_of_a_job_go_when_it_is_done(spark):
         stage(spark.range(3), "three")
         1 / 0
     assert os.path.exists(folder.removeprefix("file:"))
+
+
+def test_rows_without_a_key_are_spread_in_an_outer_join(spark):
+    facts = spark.range(4000).selectExpr("id", "if(id % 4 = 0, 'a', null) AS k")
+    lookup = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    for hot in (None, ["a"], hot_keys(facts, "k", share=0.1, min_rows=100)):
+        joined = lookup_join(facts, lookup, "k", "left", hot)
+        rows = {(r["id"], r["v"]) for r in joined.collect()}
+        assert rows == {(i, 1 if i % 4 == 0 else None) for i in range(4000)}
+    hot = hot_keys(facts, "k", share=0.1, min_rows=100)
+    assert hot == ["a"] and hot.salts == [10]
