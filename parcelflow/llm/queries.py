@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, decontaminate, hilbert, licenses, line_dedup, minhash, pii, pitman_yor, quality_rules, secret_scan
 from .common import documents, span_digests
+from .oracles import ORACLES  # noqa: F401
 from .settings import TOKENIZERS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f):
