@@ -32,7 +32,7 @@ AT_ONCE = 1 << 20
 NO_RANK = np.int64(1) << 60
 
 # The white space of Unicode and the word pattern of the published tokenizer.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 # Letters and numbers newer than Unicode 16, the version of the tokenizers library,
 # which are neither for it, and lower cases of Unicode 16 and 17 that this Python may lack.

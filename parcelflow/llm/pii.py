@@ -94,14 +94,19 @@ DIGIT_SETS = {  # decimal digits of other scripts, circled and mathematical ones
     for first in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6)
     for d in range(10)
 }
-UNSEEN = dict.fromkeys("­​‌‍⁠﻿", "")
-SIGNS = {"﹫": "@", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " "}
+UNSEEN = dict.fromkeys("\xad\u200b\u200c\u200d\u2060\ufeff", "")
+SIGNS = {
+    "﹫": "@", "․": ".", "。": ".", "\xa0": " ",
+    "‐": "-", "‑": "-", "‒": "-", "–": "-",
+}
 LOOKALIKES = {**CYRILLIC, **GREEK, **FULL_WIDTH, **DIGIT_SETS, **UNSEEN, **SIGNS}
 SPELLED = dict(zip("zero one two three four five six seven eight nine oh".split(), "01234567890"))
 
 LOOKALIKE = re.compile(f"[{re.escape(''.join(LOOKALIKES))}]")
 DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
 SPELLED_RUN = re.compile(rf"\b(?:plus[ -])?{DIGIT_WORD}(?:[ -]{DIGIT_WORD})+\b", re.I)
+#: A sign of spelled digits, to be looked for in lower case.
+TWO_DIGIT_WORDS = re.compile(f"{DIGIT_WORD}[ -]{DIGIT_WORD}")
 BRACKETED = r"[ ]?[\[({{<][ ]?{0}[ ]?[\])}}>][ ]?"
 AT = BRACKETED.format(r"(?:at|@|&#64;|&commat;)")
 DOT = BRACKETED.format(r"(?:dot|\.|&#46;|&period;|point)")
@@ -166,12 +171,24 @@ def _address(run: str) -> str:
     return DOT_SIGN.sub(".", AT_SIGN.sub("@", run, count=1))
 
 
-#: The chain, each with a pattern that tells whether it has anything to do.
+def _folds(text: str) -> bool:
+    return not text.isascii() and LOOKALIKE.search(text) is not None
+
+
+def _spells(text: str) -> bool:
+    return TWO_DIGIT_WORDS.search(text.lower()) is not None
+
+
+def _has_signs(text: str) -> bool:
+    return any(c in text for c in "[({<&") or "dot" in text.lower()
+
+
+#: The chain: a cheap test that passes wherever a pattern can match, and what to rewrite.
 CHAIN = [
-    [(LOOKALIKE, LOOKALIKES.get)],
-    [(SPELLED_RUN, _digits)],
-    [(DISGUISED_DOT, lambda _: "."), (DISGUISED_LOCAL, lambda _: ".")],
-    [(DISGUISED_EMAIL, _address)],
+    (_folds, [(LOOKALIKE, LOOKALIKES.get)]),
+    (_spells, [(SPELLED_RUN, _digits)]),
+    (_has_signs, [(DISGUISED_DOT, lambda _: "."), (DISGUISED_LOCAL, lambda _: ".")]),
+    (_has_signs, [(DISGUISED_EMAIL, _address)]),
 ]
 
 
@@ -179,8 +196,8 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
     """Identifiers of the rewritten text as (start, kind, end) of the source."""
     steps: list[Rewritten] = []
     now = text
-    for rules in CHAIN:
-        if any(p.search(now) for p, _ in rules):
+    for may_match, rules in CHAIN:
+        if may_match(now) and any(p.search(now) for p, _ in rules):
             steps.append(rewrite(now, rules))
             now = steps[-1].text
     if not steps:
