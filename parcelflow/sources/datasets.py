@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import INSTRUCTION_COLUMNS, TWEET_COLUMNS, Dataset
 from ..operators.pairs import reply_pairs
@@ -21,20 +21,69 @@ MISSING_CELLS = [
 SOURCE_STEP = 10**32  # room for the order of one source inside ``ord``
 
 
+CSV = {"quote": '"', "escape": '"'}
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files with a header and quoted line breaks, read in splits of any place.
+
+    A line begins a record if an even number of quotes lies before it in its file.  Quotes are counted
+    for each split first; the lines of a split then need only the parity it starts with.  Lines that are
+    records of their own are parsed where they are; only the parts of longer ones are brought together.
+    """
+    names = spark.read.options(header=True, **CSV).csv(path).columns
+    schema = ", ".join(f"`{n}` string" for n in names)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), quotes.alias("quotes"),
+    )
+    lines = stage(lines, "lines")  # written, so that line numbers hold
+    inside = Window.partitionBy("file", "split").orderBy("at")  # the lines of one split
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    odd = lambda c: F.coalesce(c, F.lit(0)) % 2
+    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("held"), F.min("at").alias("first"))
+    splits = splits.withColumn("open", odd(F.sum("held").over(earlier)))
+    counted = lines.join(splits, ["file", "split"]).withColumn(
+        "before", F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    begins = (F.col("open") + odd(F.col("before"))) % 2 == 0
+    marked = counted.filter(~((F.col("split") == 0) & (F.col("at") == F.col("first")))).select(
+        "file", "split", "at", "value", begins.alias("begins"), (begins & (F.col("quotes") % 2 == 0)).alias("whole")
+    )
+    whole = marked.filter("whole").select("value")
+    parts = marked.filter("not whole").withColumn("own", F.when(F.col("begins"), F.col("at")))
+    last = parts.groupBy("file", "split").agg(F.max("own").alias("last"))
+    carried = F.last("last", ignorenulls=True).over(earlier)
+    last = last.withColumn("carried", carried).drop("last")
+    record = F.coalesce(F.last("own", ignorenulls=True).over(inside), "carried")
+    pieces = parts.join(last, ["file", "split"]).withColumn("record", record)
+    joined = pieces.groupBy("file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("lines")
+    )
+    long = joined.select(F.array_join(F.col("lines.value"), "\n").alias("value"))
+    records = whole.union(long).filter(F.trim(F.col("value")) != "")
+    text = F.regexp_replace("value", r"\r\z", "")
+    return records.select(F.from_csv(text, schema, CSV).alias("r")).select("r.*")
+
+
 def read_tweets(
-    spark: SparkSession, path: str, mapping: dict[str, str] | None = None, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    mapping: dict[str, str] | None = None,
+    multi_line: bool = True,
+    splits: bool = False,
 ) -> DataFrame:
     """Tweets from CSV with a header, all columns as strings, under the TWEETS names.
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task; turn it off for
-    splittable files without them.
+    Quoted line breaks need ``multi_line``, which reads each file in one task, or ``splits``, which
+    reads large files in parallel and puts records together; turn both off for files without them.
     """
     columns = {**TWEET_COLUMNS, **(mapping or {})}
-    raw = (
-        spark.read.option("header", True).option("multiLine", multi_line)
-        .option("quote", '"').option("escape", '"')
-        .csv(path)
-    )
+    if splits:
+        raw = csv_records(spark, path)
+    else:
+        raw = spark.read.options(header=True, multiLine=multi_line, **CSV).csv(path)
 
     def cell(name: str) -> Column:
         return F.when(~F.col(columns[name]).isin(MISSING_CELLS), F.col(columns[name]))

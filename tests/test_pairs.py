@@ -253,3 +253,23 @@ def test_rows_without_a_key_are_spread_in_an_outer_join(spark):
         assert rows == {(i, 1 if i % 4 == 0 else None) for i in range(4000)}
     hot = hot_keys(facts, "k", share=0.1, min_rows=100)
     assert hot == ["a"] and hot.salts == [10]
+
+
+@pytest.mark.parametrize("size", [7, 40, 300, 10**6])
+def test_csv_in_splits_equals_the_whole_read(spark, tmp_path, size):
+    from parcelflow.sources.datasets import csv_records
+
+    rows = [(str(i), ['a', 'two\nlines', 'say ""hi""\n\n"', 'x, "y"', '', '"\n"', 'long ' * 9 + '\n' + 'é' * 9][i % 7], str(i % 3))
+            for i in range(60)]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if v else ""
+    for name, part in (("a.csv", rows[:35]), ("b.csv", rows[35:])):
+        lines = ["id,text,n", *(",".join(map(quoted, r)) for r in part)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = csv_records(spark, str(tmp_path)).collect()
+        whole = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    key = lambda r: tuple(x or "" for x in r)
+    assert len(got) == 60 and sorted(map(key, got)) == sorted(map(key, whole))

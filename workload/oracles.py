@@ -129,7 +129,7 @@ pairs AS (
   SELECT 'bitext_hf', CAST(o_orderkey AS VARCHAR),
          CAST('100000000000000000000000000000000' AS HUGEINT) + o_orderkey, instruction, response
   FROM instructions)"""
-for name in ("reply_pairs_conversations", "tweets_csv"):
+for name in ("reply_pairs_conversations", "tweets_csv", "tweets_csv_splits"):
     ORACLES[name] = f"{PAIRS} SELECT src_key, input_raw, assistant_raw FROM reply"
 ORACLES["union_of_sources"] = f"""
 {PAIRS} SELECT source, count(*) AS pairs, count(DISTINCT ord) AS orders FROM pairs GROUP BY source"""

@@ -156,6 +156,16 @@ def tweets_csv(spark, sf):
     return reply_pairs(read_tweets(spark, path))
 
 
+@query
+def tweets_csv_splits(spark, sf):
+    """The same from one file that is read in splits."""
+    path = _scratch(spark, "tweets")
+    derived(spark, sf, "tweets").coalesce(1).write.option("header", True).option("quote", '"').option(
+        "escape", '"'
+    ).csv(path)
+    return reply_pairs(read_tweets(spark, path, splits=True))
+
+
 @query
 def corpus_splits(spark, sf):
     """A settings file names a Parquet corpus by folder and a JSON corpus by files; one split of each is read."""
