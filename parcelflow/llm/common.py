@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelflow.staging import staging_dir
 
+# Arrow's own pool keeps what was freed; the system's gives it back, and workers stay alive for long.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Texts handled at a time inside an Arrow batch, in bytes (a single longer text is one piece).
 PIECE_BYTES = 1 << 20
 #: Arrow batches are cut at this size, so long texts do not add up in a worker.

@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -119,11 +118,16 @@ def _measure(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_bullet_lines"] = _sums(doc, n, _true(pc.match_substring_regex(bare, r"^[-*\x{2022}]")))
     out["n_ellipsis_lines"] = _sums(doc, n, _true(pc.match_substring_regex(bare, r"(\x{2026}|\.\.\.)$")))
     code = lines.dictionary_encode().indices.to_numpy().astype(np.int64)
-    apart = pd.unique(doc.astype(np.int64) * (len(lines) + 1) + code)
+    apart = pc.unique(pa.array(doc.astype(np.int64) * (len(lines) + 1) + code)).to_numpy()
     out["n_dup_lines"] = out["n_lines"] - _sums(apart // (len(lines) + 1), n)
     return out
 
 
+def _coded(values: np.ndarray) -> np.ndarray:
+    """A small code for each distinct value."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def _true(flags: pa.Array) -> np.ndarray:
     return flags.to_numpy(zero_copy_only=False)
 
@@ -132,10 +136,10 @@ def _repeat_words(code: np.ndarray, known: int, doc: np.ndarray, n: int) -> np.n
     """Words of each text that lie in a three-word window found twice or more in that text."""
     if len(code) < 3:
         return np.zeros(n, np.int64)
-    pair = pd.factorize(code[:-2] * known + code[1:-1])[0].astype(np.int64)
-    window = pd.factorize(pair * known + code[2:])[0].astype(np.int64)
+    pair = _coded(code[:-2] * known + code[1:-1])
+    window = _coded(pair * known + code[2:])
     inside = doc[:-2] == doc[2:]
-    own = pd.factorize(window[inside] * n + doc[:-2][inside])[0]
+    own = _coded(window[inside] * n + doc[:-2][inside])
     repeated = np.zeros(len(code), bool)
     repeated[np.flatnonzero(inside)] = np.bincount(own)[own] > 1 if len(own) else False
     covered = repeated.copy()
