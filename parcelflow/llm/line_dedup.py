@@ -87,57 +87,70 @@ def first_lines(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 # --- segment join ----------------------------------------------------------------------------------
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start from 0 and length of a segment."""
-    start, end = (F.call_function("div", length * j, F.lit(parts)).cast("int") for j in (i, i + 1))
-    return start, end - start
+def parts_of(threshold: int) -> list[tuple[int, int, int]]:
+    """(less, segment, shift) of the substrings of a line that may be a segment of an indexed line.
 
+    The indexed line has ``less`` fewer characters; ``shift`` is how far the substring lies from the place
+    of the segment there.  Edits before it and after it add up to the threshold at most, which bounds it.
+    Without either it is the line's own segment, which is indexed.
+    """
+    return [
+        (less, i, shift)
+        for less in range(threshold + 1)
+        for i in range(threshold + 1)
+        for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)
+    ]
 
-def segments(
-    code: Column, size: Column, space: Column, threshold: int, indexed_only: bool = False, short: bool = True
-) -> Column:
-    """Array of (key, indexed, start, long): a line's segments, and the substrings it probes with.
 
-    ``code`` is the line in UTF-32, where a substring needs no search for its start; ``size`` its length in
-    characters; without ``short`` no line is so short that a part may be empty.  A substring can align with segment i of a line shorter by ``less`` only if the edits before
-    it and after it add up to at most the threshold, which bounds how far it lies from the segment.
-    """
-    out = []
-    for less in range(threshold + 1):
-        length = size - less
-        for i in range(threshold + 1):
-            start, long = _segment(length, i, threshold + 1)
-            low = max(-i, less - (threshold - i))
-            high = min(i, less + (threshold - i))
-            for shift in range(low, high + 1):
-                own = less == 0 and shift == 0  # the segment itself: indexed, and a probe as well
-                if indexed_only and not own:
-                    continue
-                at = start + shift
-                key = F.xxhash64(space, length, F.lit(i), F.substring(code, 4 * at + 1, 4 * long))
-                part = F.struct(key.alias("key"), F.lit(own).alias("indexed"), at.alias("start"), long.alias("long"))
-                out.append(F.when((at >= 0) & (long > 0) & (length > 0), part) if short else part)
-    return F.array_compact(F.array(*out)) if short else F.array(*out)
+def _span(size: Column, part: tuple[int, int, int], threshold: int) -> tuple[Column, Column]:
+    """Start from 0 and length of a part of a line of ``size`` characters."""
+    less, i, shift = part
+    start, end = (
+        F.call_function("div", (size - less) * j, F.lit(threshold + 1)).cast("int") for j in (i, i + 1)
+    )
+    return start + shift, end - start
 
 
 def members(rows: DataFrame, threshold: int, shortest: int = 0) -> DataFrame:
-    """(key, id, indexed, space, start, long, only) of the segments and substrings that meet another's segment.
+    """(key, id, indexed, space, part, only) of the parts that meet another line's segment.
 
-    ``rows`` are (id, rest, space).  Each row meets one row for its key, not its lines, so there are no more
-    rows out than in.  ``only`` is the line of a segment that just one line has; it has no row of its own.
+    ``rows`` are (id, rest, space), of at least ``shortest`` characters.  Each row meets one row for its key,
+    not its lines, so there are no more rows out than in.  ``only`` is the line of a segment that just one
+    line has; it has no row of its own.  Substrings are taken from UTF-32, where they need no search for
+    their start.
     """
+    all_parts = parts_of(threshold)
+    own = [str(n) for n, (less, _, shift) in enumerate(all_parts) if not less and not shift]
     coded = rows.withColumn("code", F.encode("rest", "UTF-32"))
     coded = coded.withColumn("size", F.shiftright(F.octet_length("code"), 2))
-    short = shortest < (threshold + 1) ** 2 + threshold
-    parts = lambda only: F.inline(
-        segments(F.col("code"), F.col("size"), F.col("space"), threshold, only, short)
+    size = F.col("size")
+
+    def key(part: tuple[int, int, int]) -> Column:
+        start, long = _span(size, part, threshold)
+        found = F.xxhash64("space", size - part[0], F.lit(part[1]), F.substring("code", 4 * start + 1, 4 * long))
+        if shortest >= (threshold + 1) ** 2 + threshold:
+            return found
+        return F.when((start >= 0) & (long > 0) & (size > part[0]), found)
+
+    def keyed(names: list[str]) -> DataFrame:
+        wide = coded.select("id", "space", *[key(all_parts[int(n)]).alias(n) for n in names])
+        return wide.unpivot(["id", "space"], names, "part", "key").filter("key is not null")
+
+    indexed = keyed(own).groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
+    every = keyed([str(n) for n in range(len(all_parts))]).withColumn("part", F.col("part").cast("int"))
+    met = every.join(indexed.hint("shuffle_hash"), "key").filter("id != lead or id != last")
+    return met.select(
+        "key", "id", F.col("part").isin([int(n) for n in own]).alias("indexed"), "space", "part",
+        F.when(F.col("lead") == F.col("last"), F.col("lead")).alias("only"),
     )
-    indexed = coded.select("id", parts(True)).groupBy("key").agg(
-        F.min("id").alias("lead"), F.max("id").alias("last")
-    )
-    keyed = coded.select("id", "space", parts(False))
-    met = keyed.join(indexed.hint("shuffle_hash"), "key").filter("id != lead or id != last")
-    return met.withColumn("only", F.when(F.col("lead") == F.col("last"), F.col("lead"))).drop("lead", "last")
+
+
+def without_part(rest: Column, part: Column, threshold: int) -> Column:
+    """A text without one of its parts, with a line break in its place."""
+    size = F.length(rest)
+    spans = [_span(size, p, threshold) for p in parts_of(threshold)]
+    start, long = (F.get(F.array(*[x[k] for x in spans]), part) for k in (0, 1))
+    return F.concat(F.substring(rest, F.lit(1), start), F.lit("\n"), F.substring(rest, start + long + 1, size))
 
 
 def letter_counts(line: Column) -> list[Column]:
@@ -217,11 +230,8 @@ def candidate_pairs(lines: DataFrame, use: Settings) -> DataFrame:
         found.append(_pairs(met.join(few, "key", "left_anti"), letters, use.threshold))
         if hot.isEmpty():
             break
-        rest = F.concat(
-            F.substring("rest", F.lit(1), F.col("start")), F.lit("\n"),
-            F.substring("rest", F.col("start") + F.col("long") + 1, F.length("rest")),
-        )
         refined = met.join(few, "key", "left_semi").join(rows, ["id", "space"])
+        rest = without_part(F.col("rest"), F.col("part"), use.threshold)
         rows = stage(refined.select("id", rest.alias("rest"), F.col("key").alias("space")).distinct(), "refined")
         # Rests of about this length go both ways, so that no pair is parted.
         short = rows.filter(F.length("rest") <= use.short + use.threshold)
