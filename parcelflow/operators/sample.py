@@ -8,10 +8,12 @@ plain comparison per row, so the payload is neither shuffled nor sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-PREFIX_HEX = 4  # 65,536 bins per group
-MAX_GROUPS = 1_000
+PREFIX_HEX = 4  # 65,536 bins per group and step
+LONGEST_PREFIX = 32  # of the hexadecimal hash
+MAX_RANKED = 1_000_000
+MAX_LITERALS = 1_000  # groups whose cuts are written into the plan; more are joined
 ABOVE_ALL = "~"  # sorts after every hash
 
 
@@ -21,46 +23,60 @@ def hash_order(seed: str, *key: Column) -> Column:
     return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary")), F.lit(":"), text)
 
 
-def cut_points(
-    df: DataFrame, group: str, order: str, sizes: dict[str, int]
-) -> dict[str, str]:
-    """The n-th smallest ``order`` of each group in ``sizes`` (group -> n).
+def _cut_bins(rows: DataFrame, wanted: list[tuple[str, int]], length: int) -> list[Row]:
+    """(grp, bin, nth, in_bin): the prefix of ``length`` that holds the n-th row of each group.
 
-    Runs two small jobs over the two columns and collects one row per group.  Groups with no more
-    than n rows get ABOVE_ALL; groups without rows or with n < 1 do not appear.
+    ``bin`` is null for groups with fewer rows than that.
     """
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"{len(sizes)} groups; cuts are meant for up to {MAX_GROUPS}")
-    spark = df.sparkSession
-    wanted = [(g, n) for g, n in sizes.items() if n > 0]
-    if not wanted:
-        return {}
-    quotas = F.broadcast(spark.createDataFrame(wanted, "grp string, n bigint"))
-    rows = df.select(F.col(group).alias("grp"), F.col(order).alias("key"))
-    rows = rows.withColumn("bin", F.substring("key", 1, PREFIX_HEX))
-    upto = Window.partitionBy("grp").orderBy("bin")  # at most 16 ** PREFIX_HEX rows
+    quotas = F.broadcast(rows.sparkSession.createDataFrame(wanted, "grp string, n bigint"))
+    upto = Window.partitionBy("grp").orderBy("bin")  # a row for each prefix, not for each row
     bins = (
-        rows.groupBy("grp", "bin").agg(F.count("*").alias("in_bin"))
+        rows.groupBy("grp", F.substring("key", 1, length).alias("bin")).agg(F.count("*").alias("in_bin"))
         .join(quotas, "grp")
         .withColumn("through", F.sum("in_bin").over(upto))
     )
     holds_cut = (F.col("through") >= F.col("n")) & (F.col("through") - F.col("in_bin") < F.col("n"))
-    found = (
+    return (
         bins.groupBy("grp")
         .agg(
             F.max(F.when(holds_cut, F.col("bin"))).alias("bin"),
             F.max(F.when(holds_cut, F.col("n") - F.col("through") + F.col("in_bin"))).alias("nth"),
+            F.max(F.when(holds_cut, F.col("in_bin"))).alias("in_bin"),
         )
-        .collect()
+        .collect()  # one row for each of the wanted groups
     )
+
+
+def cut_points(
+    df: DataFrame, group: str, order: str, sizes: dict[str, int]
+) -> dict[str, str]:
+    """The n-th smallest ``order`` of each group in ``sizes`` (group -> n).
+
+    Runs small jobs over the two columns and collects one row per group; a prefix that holds more than
+    MAX_RANKED rows is counted again by longer ones, so no task ranks more (but for equal keys).  Groups
+    with no more than n rows get ABOVE_ALL; groups without rows or with n < 1 do not appear.
+    """
+    spark = df.sparkSession
+    wanted = [(g, n) for g, n in sizes.items() if n > 0]
+    if not wanted:
+        return {}
+    rows = df.select(F.col(group).alias("grp"), F.col(order).alias("key"))
+    found = _cut_bins(rows, wanted, PREFIX_HEX)
     cuts = {r["grp"]: ABOVE_ALL for r in found if r["bin"] is None}
-    at = [(r["grp"], r["bin"], r["nth"]) for r in found if r["bin"] is not None]
-    if at:
+    found = [r for r in found if r["bin"] is not None]
+    length = PREFIX_HEX
+    while found:
+        at = [(r["grp"], r["bin"], r["nth"]) for r in found]
         cut_bins = F.broadcast(spark.createDataFrame(at, "grp string, bin string, nth bigint"))
-        ranked = rows.join(cut_bins, ["grp", "bin"]).withColumn(
-            "rank", F.row_number().over(Window.partitionBy("grp").orderBy("key"))
-        )
-        cuts.update((r["grp"], r["key"]) for r in ranked.filter("rank = nth").collect())
+        inside = rows.withColumn("bin", F.substring("key", 1, length)).join(cut_bins, ["grp", "bin"])
+        if length >= LONGEST_PREFIX or max(r["in_bin"] for r in found) <= MAX_RANKED:
+            ranked = inside.withColumn(
+                "rank", F.row_number().over(Window.partitionBy("grp").orderBy("key"))
+            )
+            cuts.update((r["grp"], r["key"]) for r in ranked.filter("rank = nth").collect())
+            break
+        length += PREFIX_HEX
+        found = _cut_bins(inside.select("grp", "key"), [(g, n) for g, _, n in at], length)
     return cuts
 
 
@@ -80,4 +96,8 @@ def flag_smallest(
     ``df`` is read three times, twice for its two columns only; hand in a stored table.
     """
     cuts = cut_points(df, group, order, sizes)
-    return df.withColumn(flag, is_chosen(F.col(group), F.col(order), cuts))
+    if len(cuts) <= MAX_LITERALS:
+        return df.withColumn(flag, is_chosen(F.col(group), F.col(order), cuts))
+    table = df.sparkSession.createDataFrame(list(cuts.items()), "_group string, _cut string")
+    found = df.join(F.broadcast(table), F.col(group) == F.col("_group"), "left")  # a row for each size
+    return found.withColumn(flag, F.coalesce(F.col(order) <= F.col("_cut"), F.lit(False))).drop("_group", "_cut")

@@ -273,3 +273,18 @@ def test_csv_in_splits_equals_the_whole_read(spark, tmp_path, size):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     key = lambda r: tuple(x or "" for x in r)
     assert len(got) == 60 and sorted(map(key, got)) == sorted(map(key, whole))
+
+
+def test_crowded_prefixes_and_many_groups(spark, monkeypatch):
+    from parcelflow.operators import sample
+
+    rows = spark.range(3000).selectExpr("id AS i", "cast(id % 3 AS string) AS g").withColumn(
+        "key", hash_order("s", F.col("i"))
+    )
+    sizes = {"0": 17, "1": 400, "2": 5000}
+    want = {r["i"]: r["picked"] for r in flag_smallest(rows, "g", "key", sizes).collect()}
+    assert sum(want.values()) == 17 + 400 + 1000
+    monkeypatch.setattr(sample, "PREFIX_HEX", 1)
+    monkeypatch.setattr(sample, "MAX_RANKED", 3)
+    monkeypatch.setattr(sample, "MAX_LITERALS", 2)
+    assert {r["i"]: r["picked"] for r in flag_smallest(rows, "g", "key", sizes).collect()} == want
