@@ -637,9 +637,11 @@ def stream_retrieval(spark, sf):
 @query
 def stream_retrieval_blocks(spark, sf):
     """The same with a chunk table too large to be held: each micro-batch is searched like a table."""
+    before = {q.id for q in spark.streams.active}
     answers = _with_citations(_streamed(spark, sf, max_held=HELD))
     for running in spark.streams.active:
-        running.stop()
+        if running.id not in before:
+            running.stop()
     return answers
 
 
