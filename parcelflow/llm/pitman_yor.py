@@ -1,24 +1,18 @@
 """A language model of hierarchical Pitman-Yor processes, learned and applied by Spark jobs.
 
-A text is a row of words and an end.  Two hierarchies make up its probability.
-
-* Classes.  The CLASSES - 2 most frequent words, the end and the class of all other words form a fixed set.
-  Context restaurants serve the class that follows: one for each previous class, and for the SMALL most
-  frequent previous classes one for each class before that as well, which shares the former as its parent.
-  All of those share one parent, whose base is uniform.
-* Other words.  One restaurant serves all words outside the head.  Its base is uniform over its distinct
-  words and one more, which stands for every word never seen, as in the unigram base.
-
-Customers sit in Chinese restaurants.  Their seats are drawn by Gibbs sampling: in each move a customer of
-every dish is taken from its table and seated anew given all others (dishes of a restaurant at once, given
-the totals at the start of the move).  A table opened in a child is a customer of its parent.  Predictive
-probabilities are averaged over the kept sweeps; since they are linear in the parent's, a child's average
-is kept as a share of its own and a weight of its parent.
-
-Sizes.  Class tables are bounded by (CLASSES + SMALL ** 2) * CLASSES entries whatever the corpus, so they
-may pass the driver.  The words, which grow with the corpus, stay a table: they are counted by a shuffle,
-sampled where they lie, and joined to the texts by hash.  The KNOWN most frequent words (a fixed number) are
-broadcast with their probabilities, so no frequent word meets in one task.
+A text is a row of words and an end.  One hierarchy makes up its probability:
+every observed pair of words, and every word, is the context of a restaurant.
+
+A restaurant of two words has that of the latter word as its parent, and that has the root, whose base is uniform
+over the words learned, the end, and one more for every word never seen.  Customers are seated by Gibbs sampling
+(``contexts``, ``tables``): in a sweep all customers of every dish are seated anew, level by level.  Predictive
+probabilities are averaged over the kept sweeps, each level's shares and weights by themselves.
+
+Sizes.  Words and contexts are tables: n-grams are counted by partial aggregation and a shuffle into parts, texts'
+n-grams go to the same parts to be scored.  The KNOWN most frequent words (a fixed number) are broadcast with their
+counts; others are joined by hash.  Only totals pass the driver.
+
+``Seats`` moves one customer at a time and ``class_table`` holds restaurants of classes; ``learn`` uses neither.
 
 A null or empty text is the end alone.  Rows without an id are learned from.  Rows that repeat an id are
 scored one by one.  If nothing is left to learn from, all probabilities are those of the bases.  Empty
@@ -27,8 +21,10 @@ tables give empty results; other columns do not matter.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelflow.staging import stage
 
+from . import contexts
 from .common import bounded_batches, pieces, whole_texts, words_of
 
 CLASSES = 1024
@@ -58,6 +55,9 @@ class Settings:
     moves: int = 2  # of every dish in a sweep
     folds: int = 7
     held_fold: int = 2
+    part: int = 1 << 18  # tokens in a part, about
+    split: int = 1 << 20  # a word before more tokens than this is dealt by the next word as well
+    merge: int = 1 << 18  # tokens whose n-grams are counted together
 
 
 # --- Chinese restaurants ---------------------------------------------------------------------------
@@ -180,24 +180,12 @@ def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 @dataclass
 class Head:
-    """The most frequent words by hash: their counts, classes, and log probabilities outside the head."""
+    """The most frequent words by hash, and the end: their counts and log probabilities without a context."""
 
     hashes: np.ndarray  # ascending
     counts: np.ndarray
-    classes: np.ndarray
     scores: np.ndarray
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash, or -1."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def classes_of(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.find(hashes)
-        return np.where(at >= 0, self.classes[at], OTHER) if len(self.hashes) else np.full(len(at), OTHER)
-
 
 def _in_turn(classes: np.ndarray, text: np.ndarray, n: int, use: Settings):
     """Context and class of all tokens, ends included, and the text of each; a text begins after two ends.
@@ -251,25 +239,29 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.max("h").alias("h"))
 
 
-def class_counts(rows: DataFrame, head: Head, use: Settings) -> DataFrame:
-    """(context, own, n): how often a class follows a context in texts to learn from."""
-    shared = rows.sparkSession.sparkContext.broadcast(head)
+def context_grams(rows: DataFrame, dealer: contexts.Dealer, use: Settings) -> DataFrame:
+    """N-grams of texts to learn from as mail to the parts, counted in pieces of ``use.merge`` tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(dealer)
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        *columns, _ = contexts.merged(*np.concatenate(held, axis=1))
+        return contexts.dealt(shared.value.part(columns[0], columns[2]), columns, 0)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((use.classes + use.small**2) * use.classes, np.int64)
+        held, size = [], 0
         for batch in batches:
             for piece in pieces(whole_texts(batch.column("text"))):
                 words, code, text = _coded(piece)
-                classes = shared.value.classes_of(_hashes(words))
-                context, own, _ = _in_turn(classes[code], text, len(piece), use)
-                met, n = np.unique(context * use.classes + own, return_counts=True)
-                sums[met] += n
-        met = np.flatnonzero(sums)
-        yield _batch(context=met // use.classes, own=met % use.classes, n=sums[met])
+                one, context, own, _ = contexts.in_turn(_hashes(words)[code], text, len(piece))
+                held.append(np.stack([one, context, own, np.ones(len(own), np.uint64)]))
+                size += len(own)
+                if size >= use.merge:
+                    yield sent(held)
+                    held, size = [], 0
+        if size:
+            yield sent(held)
 
-    learned = rows.filter("not held").select("text")
-    parts = learned.mapInArrow(counted, "context bigint, own bigint, n bigint")
-    return parts.groupBy("context", "own").agg(F.sum("n").alias("n"))
+    return rows.filter("not held").select("text").mapInArrow(counted, contexts.MAIL)
 
 
 def _collected(df: DataFrame) -> dict[str, np.ndarray]:
@@ -334,11 +326,13 @@ def class_table(counts: DataFrame, use: Settings) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: words with their probabilities, the head, the class table, and totals."""
+    """What scoring needs: words with their probabilities, restaurants of contexts, and totals."""
 
     words: DataFrame  # h, c, score
+    parts: DataFrame  # mail: a state for each part
+    split: DataFrame  # h, score: the weight of the parent in restaurants that lie in several parts
+    dealer: contexts.Dealer
     head: Head
-    classes: np.ndarray
     tokens: int
     distinct: int
     ends: int
@@ -349,84 +343,56 @@ def learn(docs: DataFrame, use: Settings = Settings()) -> Model:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select("text", held_out(use).alias("held"))
-    words = stage(word_counts(rows), "words")
+    words = stage(word_counts(rows).select("h", "c"), "words")
     ends = rows.filter("not held").count()
     seen = words.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
 
-    tops = words.filter("c > 0").orderBy(F.col("c").desc(), "word").limit(use.classes - 2)
-    tops = stage(tops.select("h", "c"), "head")
-    top = _collected(tops)  # a fixed number of words
-    by_rank = np.lexsort((top["h"], -top["c"]))
-    rank = np.empty(len(by_rank), np.int64)
-    rank[by_rank] = np.arange(len(by_rank))
-    order = np.argsort(top["h"].view(np.uint64))
-    head = Head(top["h"].view(np.uint64)[order], top["c"][order], rank[order] + 2, np.zeros(len(order)))
-    classes = class_table(stage(class_counts(rows, head, use), "class-counts"), use)
-
-    others = words.join(F.broadcast(tops.select("h")), "h", "left_anti").select("h", "c")
-    others = stage(others, "other-words")
-    total = others.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    customers, kinds = total["n"] or 0, total["v"] or 0
-    base = 1 / (kinds + 1)
-
-    def seats_of(batch: pa.RecordBatch, tables: float):
-        """Of the words of a batch that were learned: places, average shares and tables."""
-        count = batch.column("c").to_numpy()
-        met = np.flatnonzero(count > 0)
-        rng = np.random.default_rng([9, int(count.sum()) % (1 << 31), batch.num_rows])
-        share, _, own = sample(
-            np.zeros(len(met), np.int64), 1, count[met], np.full(len(met), base), use, rng,
-            customers=np.array([float(customers)]), elsewhere=max(0.0, tables - len(met)),
-        )
-        return met, share, own
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _batch(n=[int(seats_of(batch, kinds)[2].sum())])
-
-    tables = others.mapInArrow(opened, "n bigint").agg(F.sum("n")).first()[0] or 0
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            met, share, _ = seats_of(batch, tables)
-            p = np.full(batch.num_rows, base * (use.strength + use.discount * tables) / (use.strength + customers))
-            p[met] += share
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("c"), pa.array(np.log10(p))], ["h", "c", "score"]
-            )
-
-    values = stage(others.mapInArrow(scored, "h bigint, c bigint, score double"), "word-scores")
-    known = values.orderBy(F.col("c").desc(), "h").limit(max(0, use.known - len(order)))
-    more = _collected(known)
-    hashes = np.concatenate([head.hashes, more["h"].view(np.uint64)])
+    hot = _collected(words.filter(F.col("c") > use.split))  # at most one in ``use.split`` tokens
+    hashes, often = hot["h"].view(np.uint64), hot["c"]
+    if ends > use.split:
+        hashes, often = np.append(hashes, contexts.END), np.append(often, ends)
     order = np.argsort(hashes)
-    everything = Head(
-        hashes[order],
-        np.concatenate([head.counts, more["c"]])[order],
-        np.concatenate([head.classes, np.full(len(more["h"]), OTHER)])[order],
-        np.concatenate([head.scores, more["score"]])[order],
-    )
-    return Model(values, everything, classes, int(tokens), int(distinct), int(ends))
+    dealer = contexts.Dealer(1 + tokens // use.part, hashes[order], 1 + often[order] // use.split)
+    grams = context_grams(rows, dealer, use)
+    base = 1 / (seen["v"] + 2)  # words, the end, and one for every word never seen
+    parts, by_key, weight = contexts.learned(grams, dealer, base, distinct, use)
+
+    by_key = stage(by_key, "by-key")
+    value = by_key.filter("word").select("h", "value")
+    p = F.coalesce("value", F.lit(0.0)) + F.lit(weight * base)
+    counted = words.join(value, "h", "left").select("h", "c", F.log10(p).alias("score"))
+    counted = stage(counted, "word-scores")
+    split = by_key.filter("not word").select("h", F.log10("value").alias("score"))
+    end = value.filter(F.col("h") == int(contexts.END.view(np.int64))).first()
+    end_score = np.log10((end["value"] if end else 0.0) + weight * base)
+    known = _collected(counted.orderBy(F.col("c").desc(), "h").limit(use.known))  # a fixed number of words
+    hashes = np.append(known["h"].view(np.uint64), contexts.END)
+    order = np.argsort(hashes)
+    head = Head(hashes[order], np.append(known["c"], ends)[order], np.append(known["score"], end_score)[order])
+    return Model(counted, parts, split, dealer, head, int(tokens), int(distinct), int(ends))
 
 
 PARTS = (
-    "row bigint, h bigint, n bigint, doc_id bigint, n_tokens bigint, n_known bigint, "
-    "base_score double, score double"
-)
+    "row bigint, h bigint, n bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, "
+) + contexts.MAIL
 
 
 def score(docs: DataFrame, model: Model, use: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.head, model.classes))
+    shared = spark.sparkContext.broadcast((model.head, model.dealer))
     end_count, smoothed = model.ends, model.tokens + model.distinct + 1
     base_of = lambda c: np.log10((c + 1) / smoothed)
+    some = lambda columns: pa.RecordBatch.from_arrays(
+        [columns.get(f.name, pa.nulls(len(next(iter(columns.values()))), f.type)) for f in SCHEMA], schema=SCHEMA
+    )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, table = shared.value
+        """Texts with what is known here, their rare words, and their n-grams as mail to the parts."""
+        head, dealer = shared.value
         for batch in batches:
-            at = 0
+            at, grams = 0, []
             for piece in pieces(whole_texts(batch.column("text"))):
                 n = len(piece)
                 row = batch.column("row").slice(at, n)
@@ -434,57 +400,88 @@ def score(docs: DataFrame, model: Model, use: Settings = Settings()) -> DataFram
                 at += n
                 words, code, text = _coded(piece)
                 hashes = _hashes(words)
-                place = head.find(hashes)
+                place = contexts.find(head.hashes, hashes)
                 met = place >= 0
-                kind = np.where(met, head.classes[place], OTHER) if len(head.hashes) else np.full(len(place), OTHER)
-                c = np.where(met, head.counts[place], 0) if len(head.hashes) else np.zeros(len(place))
-                word_score = np.where(met, head.scores[place], 0.0) if len(head.hashes) else np.zeros(len(place))
+                c = contexts.at_or(head.counts, place, 0)
                 word_base = np.where(met, base_of(c), 0.0)
-                context, own, of = _in_turn(kind[code], text, n, use)
                 sums = lambda values: np.bincount(text, weights=values, minlength=n)
-                total = np.bincount(of, weights=table[context, own], minlength=n) + sums(word_score[code])
                 known = sums((met & (c > 0))[code]).astype(np.int64) + (end_count > 0)
-                tokens = np.bincount(text, minlength=n) + 1
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [row, none, none, doc_id, pa.array(tokens), pa.array(known),
-                     pa.array(sums(word_base[code]) + base_of(end_count)), pa.array(total)],
-                    COLUMNS,
-                )
+                yield some({
+                    "row": row, "doc_id": doc_id, "n_tokens": pa.array(np.bincount(text, minlength=n) + 1),
+                    "n_known": pa.array(known), "base_score": pa.array(sums(word_base[code]) + base_of(end_count)),
+                })
+                rows = row.to_numpy()
                 rare = np.flatnonzero(~met[code])  # the rest is known to the table of words only
                 pair, often = np.unique(text[rare] * len(words) + code[rare], return_counts=True)
-                own_row = row.to_numpy()[pair // max(1, len(words))]
-                empty = [pa.nulls(len(pair), t) for t in (pa.int64(),) * 3 + (pa.float64(),) * 2]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own_row), pa.array(hashes[pair % max(1, len(words))].view(np.int64)),
-                     pa.array(often.astype(np.int64)), *empty],
-                    COLUMNS,
-                )
+                own_row = rows[pair // max(1, len(words))]
+                own_hash = hashes[pair % max(1, len(words))].view(np.int64)
+                yield some({"row": pa.array(own_row), "h": pa.array(own_hash), "n": pa.array(often.astype(np.int64))})
+                one, context, own, of = contexts.in_turn(hashes[code], text, n)
+                grams.append(np.stack([one, context, own, rows[of].astype(np.uint64)]))
+            if at:
+                columns = list(np.concatenate(grams, axis=1))
+                sent = contexts.dealt(dealer.part(columns[0], columns[2]), columns, batch.column("row")[0].as_py())
+                yield some(dict(zip(sent.schema.names, sent.columns)))
 
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     parts = stage(numbered.mapInArrow(scored, PARTS), "scored")  # written, so that row numbers hold
-    whole = parts.filter("h is null").drop("h", "n")
+    whole = parts.filter("n_tokens is not null").select("row", "doc_id", "n_tokens", "n_known", "base_score")
     rare = parts.filter("h is not null").select("row", "h", "n")
-    value = rare.join(model.words, "h")
+    mail = parts.filter("data is not null").select("dest", "kind", "src", "total", "data")
+
+    def answered(part: int, got: dict) -> list[tuple]:
+        head, dealer = shared.value
+        return contexts.scores(got, dealer, (head.hashes, 10.0 ** head.scores))
+
+    answers = stage(contexts.posted(mail.unionByName(model.parts), answered), "answers")
+
+    def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Of the texts sent together: sums by row, and the keys that are still to be added."""
+        got = contexts.by_kind(table)
+        row, value = (np.concatenate(c) for c in zip(*(pickle.loads(x) for _, x in got[contexts.SUMS])))
+        rows, place = np.unique(row, return_inverse=True)
+        none = pa.nulls(len(rows), pa.int64())
+        out = [[pa.array(rows.view(np.int64)), none, none.cast(pa.bool_()), none, pa.array(np.bincount(place, value))]]
+        if contexts.REST in got:
+            asked = zip(*(pickle.loads(x) for _, x in got[contexts.REST]))
+            row, h, split = (np.concatenate(c) for c in asked)
+            n, none = pa.array(np.ones(len(row), np.int64)), pa.nulls(len(row), pa.float64())
+            out.append([pa.array(row.view(np.int64)), pa.array(h.view(np.int64)), pa.array(split), n, none])
+        return pa.concat_tables(pa.table(dict(zip(("row", "h", "split", "n", "score"), x))) for x in out)
+
+    sums = answers.groupBy("dest").applyInArrow(summed, "row bigint, h bigint, split boolean, n bigint, score double")
+    sums = stage(sums, "sums")
+    asked = sums.filter("h is not null").groupBy("row", "h", "split").agg(F.sum("n").alias("n"))
+    asked = stage(asked, "asked")
     base = F.log10((F.col("c") + 1) / F.lit(float(smoothed)))
-    sums = value.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * base).alias("more_base"),
-        F.sum(F.col("n") * F.col("score")).alias("more_score"),
+    parts_of_row = [
+        rare.join(model.words, "h").select(
+            "row", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("more_known"),
+            (F.col("n") * base).alias("more_base"), F.lit(0.0).alias("score"),
+        ),
+        *(
+            asked.filter(F.col("split") == F.lit(split)).join(table, "h").select(
+                "row", F.lit(0).cast("bigint").alias("more_known"), F.lit(0.0).alias("more_base"),
+                (F.col("n") * F.col("score")).alias("score"),
+            )
+            for split, table in ((False, model.words), (True, model.split))
+        ),
+        sums.filter("h is null").select("row", F.lit(0).cast("bigint").alias("more_known"), F.lit(0.0).alias("more_base"), "score"),
+    ]
+    more = reduce(DataFrame.unionByName, parts_of_row).groupBy("row").agg(
+        *(F.sum(c).alias(c) for c in ("more_known", "more_base", "score"))
     )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return whole.join(sums, "row", "left").select(
+    return whole.join(more, "row").select(
         "doc_id", held_out(use).alias("held_out"), "n_tokens",
-        (F.col("n_known") + zero("more_known")).alias("n_known"),
+        (F.col("n_known") + F.col("more_known")).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + zero("more_base")).alias("base_score"),
-        (F.col("score") + zero("more_score")).alias("score"),
+        (F.col("base_score") + F.col("more_base")).alias("base_score"),
+        "score",
     )
 
 
-COLUMNS = [part.split()[0] for part in PARTS.split(", ")]
-
-
+TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+SCHEMA = pa.schema([(x.split()[0], TYPES[x.split()[1]]) for x in PARTS.split(", ")])
 def perplexity(scored: DataFrame) -> DataFrame:
     """Per fold: perplexity of the model and of the unigram base over all tokens."""
     per_token = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
