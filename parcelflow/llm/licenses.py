@@ -1,9 +1,10 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a text is compared with the templates, long lines in windows that overlap.  Weights of the
-templates' words come from their document frequencies over all files; a word that no template has weighs
-as one that no file has.  A line can reach the threshold only if it holds one of a template's heaviest
-words, so only such lines are weighed; that drops nothing.
+Every template is compared with all windows of a text that are about as long as the template, across line breaks.
+Templates are short notices, standard headers and licence texts; TITLES count only where none of those is found.
+An SPDX identifier counts as it stands.  Weights of the templates' words come from their document frequencies over
+all files; a word that no template has weighs as one that no file has.  A window can reach the threshold only if it
+holds one of the template's heaviest words, so only texts with such a word are weighed; that drops nothing.
 
 The best notice of a file is its own licence.  If the file is named as a licence file, or notices make up
 FILE_SHARE of its words, it also speaks for its directory and all below it that have none nearer.  A file
@@ -55,10 +56,71 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "Proprietary": "Copyright. All rights reserved",
 }
+PERMISSION = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction"
+)
+REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met"
+)
+GNU_HEADER = (
+    "is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License "
+    "as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later "
+    "version"
+)
+# Standard headers and licence texts.
+TEXTS = {
+    "MIT": PERMISSION + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in "
+    "all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+    "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+    "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES "
+    "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+    "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+    "or promote products derived from this software without specific prior written permission",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
+    "in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS "
+    "FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "GPL-3.0": GNU_HEADER.format("", 3),
+    "GPL-2.0": GNU_HEADER.format("", 2),
+    "LGPL-3.0": GNU_HEADER.format("Lesser ", 3),
+    "AGPL-3.0": GNU_HEADER.format("Affero ", 3),
+    "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation",
+    "GPL-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation",
+    "LGPL-3.0-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software "
+    "Foundation",
+    "AGPL-3.0-text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software "
+    "Foundation",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+    "MPL was not distributed with this file, You can obtain one at",
+}
+# What counts only in texts without any of the above; of equal ones the first.
+TITLES = {
+    "Apache-2.0": "Apache License Version 2.0",
+    "MIT": PERMISSION,
+    "MIT-title": "MIT License",
+    "BSD-2-Clause": REDISTRIBUTION,
+    "GPL-3.0": "GNU General Public License version 3",
+    "GPL-2.0": "GNU General Public License version 2",
+    "LGPL-3.0": "GNU Lesser General Public License version 3",
+    "AGPL-3.0": "GNU Affero General Public License version 3",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "ISC": "ISC License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "BSD-2-Clause-title": "BSD 2-Clause License",
+    "GPL-1.0-or-later": "GNU General Public License",  # without a version any may be chosen
+}
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)")
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z0-9]+)?$"
 THRESHOLD = 0.75
 FILE_SHARE = 0.3
-WINDOW, STEP = 24, 8  # words
 EDGES = ".,;:()[]{}\"'<>*#/!"
 BREAK = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -77,58 +139,95 @@ class Index:
     idf: dict[str, float]
     unknown: float
     signs: list[str]
+    own_signs: list[set[str]]  # of each template
+    sizes: list[int]  # words
+    full: int  # templates before TITLES
 
     @classmethod
     def build(cls, frequencies: dict[str, int], files: int, threshold: float = THRESHOLD) -> Index:
         unknown = log(files + 1) + 1
         idf = {t: log((files + 1) / (n + 1)) + 1 for t, n in frequencies.items()}
-        names, vectors, signs = [], [], set()
-        for name, text in TEMPLATES.items():
-            weights = {t: n * idf[t] for t, n in Counter(terms_of(text)).items()}
+        names, vectors, own_signs, sizes = [], [], [], []
+        for name, text in [*TEMPLATES.items(), *TEXTS.items(), *TITLES.items()]:
+            terms = terms_of(text)
+            weights = {t: n * idf.get(t, unknown) for t, n in Counter(terms).items()}
             norm = sqrt(sum(w * w for w in weights.values()))
             vector = {t: w / norm for t, w in weights.items()}
-            names.append(name.removesuffix("-long"))
+            names.append(re.sub("-(long|text|title)$", "", name))
             vectors.append(vector)
-            left = 1.0  # the square of what the words not yet taken can reach
+            sizes.append(len(terms))
+            left, signs = 1.0, set()  # the square of what the words not yet taken can reach
             for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
                 if left < threshold**2:
                     break
                 signs.add(term)
                 left -= w * w
-        return cls(names, vectors, idf, unknown, sorted(signs))
+            own_signs.append(signs)
+        every = sorted(set().union(*own_signs))
+        return cls(names, vectors, idf, unknown, every, own_signs, sizes, len(TEMPLATES) + len(TEXTS))
 
-    def best(self, terms: list[str]) -> tuple[float, int]:
-        """Best cosine of a passage and the place of its template."""
+    def cosine(self, terms: list[str], place: int) -> float:
+        """Of a passage and a template."""
         weights = {t: n * self.idf.get(t, self.unknown) for t, n in Counter(terms).items()}
         norm = sqrt(sum(w * w for w in weights.values())) or 1.0
-        scores = [sum(w * weights.get(t, 0.0) for t, w in v.items()) / norm for v in self.vectors]
+        return sum(w * weights.get(t, 0.0) for t, w in self.vectors[place].items()) / norm
+
+    def best(self, terms: list[str]) -> tuple[float, int]:
+        """Best cosine of a passage and the place of its template."""
+        scores = [self.cosine(terms, i) for i in range(len(self.vectors))]
         place = max(range(len(scores)), key=lambda i: (scores[i], -i))
         return scores[place], place
 
+    def windows(self, terms: list[str], weights: np.ndarray, place: int) -> tuple[float, list[tuple[int, int]]]:
+        """Best cosine of the windows about as long as a template, and all windows that match."""
+        vector, size = self.vectors[place], self.sizes[place]
+        square = np.concatenate([[0.0], np.cumsum(weights * weights)])
+        dot = np.concatenate([[0.0], np.cumsum(weights * np.array([vector.get(t, 0.0) for t in terms]))])
+        top, found = 0.0, []
+        step = 1 + size // 16
+        for length in sorted({min(len(terms), size + k * step) for k in (-1, 0, 1, 2)} - {0}):
+            # Repeated words only make the norm larger, so this is no less than the cosine.
+            bound = (dot[length:] - dot[:-length]) / np.sqrt(square[length:] - square[:-length])
+            for start in np.flatnonzero(bound >= THRESHOLD - 1e-9).tolist():
+                score = self.cosine(terms[start : start + length], place)
+                if score >= THRESHOLD:
+                    top = max(top, score)
+                    found.append((start, start + length))
+        return top, found
+
     def notice(self, text: str) -> tuple[str | None, float, int, int]:
         """Licence and score of the best passage, words in passages that match, words of the text."""
         low = text.lower()
-        if not any(s in low for s in self.signs):
+        stated = SPDX.search(text) if "spdx-license" in low else None
+        if not stated and not any(s in low for s in self.signs):
             return None, 0.0, 0, len(text.split())
-        found, matched, words = (0.0, 0), 0, 0
-        for line in text.split("\n"):
-            terms = terms_of(line)
-            words += len(terms)
-            low = line.lower()
-            if not any(s in low for s in self.signs):
+        terms = terms_of(text)
+        known, own = set(terms), None
+        best, place, covered = 0.0, -1, np.zeros(len(terms) + 1, np.int64)
+        for i in range(len(self.names)):
+            if i == self.full and place >= 0:
+                break
+            if known.isdisjoint(self.own_signs[i]):
                 continue
-            parts = [terms[i : i + WINDOW] for i in range(0, max(1, len(terms) - WINDOW + STEP), STEP)]
-            scored = [self.best(p) for p in parts]
-            top = max(scored, key=lambda x: (x[0], -x[1]))
-            if top[0] >= THRESHOLD:
-                matched += min(len(terms), WINDOW)
-                found = max(found, top, key=lambda x: (x[0], -x[1]))
-        return (self.names[found[1]] if found[0] else None), round(found[0], 9), matched, words
+            if own is None:
+                own = np.array([self.idf.get(t, self.unknown) for t in terms])
+            score, found = self.windows(terms, own, i)
+            for start, end in found:
+                covered[start] += 1
+                covered[end] -= 1
+            if round(score, 9) > best:
+                best, place = round(score, 9), i
+        matched = int((np.cumsum(covered) > 0).sum())
+        if stated:
+            name = re.sub(r"(-only|-or-later|\+)$", "", stated.group(1))
+            return name, 1.0, max(matched, 2), len(terms)
+        return (self.names[place] if place >= 0 else None), best, matched, len(terms)
 
 
 def frequencies(text: DataFrame) -> dict[str, int]:
     """In how many of the texts each word of the templates occurs; at most as many rows as there are words."""
-    vocabulary = sorted({t for x in TEMPLATES.values() for t in terms_of(x)})
+    texts = [*TEMPLATES.values(), *TEXTS.values(), *TITLES.values()]
+    vocabulary = sorted({t for x in texts for t in terms_of(x)})
     place = {t: i for i, t in enumerate(vocabulary)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

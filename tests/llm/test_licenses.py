@@ -75,3 +75,53 @@ def test_odd_rows(files_of):
     files = files_of([(f"a/{i}", t) for i, t in enumerate(ODD_TEXTS)]).withColumn("license", F.lit("x"))
     assert len(found(files)) == len(ODD_TEXTS)
     assert L.scan(files.limit(0)).count() == 0
+
+
+APACHE_HEADER = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+    "with the License. You may obtain a copy of the License at"
+)
+GNU = (
+    "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General "
+    "Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n"
+    "# (at your option) any later version.\n"
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        (APACHE_HEADER, "Apache-2.0"),
+        ("Copyright (c) 2020 Jane Doe. Released under the MIT License", "MIT"),
+        ("MIT License", "MIT"),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 Jane", "MIT"),
+        ("GNU GENERAL PUBLIC LICENSE", "GPL-1.0-or-later"),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "GPL-3.0"),
+        (L.TEXTS["MIT"], "MIT"),
+        ("// SPDX-License-Identifier: MPL-2.0\nint x;", "MPL-2.0"),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        (GNU, "GPL-3.0"),
+        (L.REDISTRIBUTION + ": 1. " + PROSE + "Neither the name of Jane nor the names of its contributors may be used to "
+         "endorse or promote products derived from this software without specific prior written permission.",
+         "BSD-3-Clause"),
+        (L.REDISTRIBUTION, "BSD-2-Clause"),
+    ],
+)
+def test_notices_among_other_words_and_headers(spark, text, name):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    if not INDEX:
+        INDEX.append(L.Index.build(L.frequencies(docs.select("text")), docs.count()))
+    assert INDEX[0].notice(text)[0] == name
+    assert INDEX[0].notice(PROSE + text + "\n" + PROSE)[0] == name
+
+
+INDEX = []
+
+
+def test_templates_in_long_lines_and_over_two():
+    index = L.Index.build({t: 5 for x in L.TEMPLATES.values() for t in L.terms_of(x)}, 100)
+    prose = PROSE.replace("\n", " ")
+    for name, text in L.TEMPLATES.items():
+        words = text.split()
+        for shown in (text, " ".join(words[:2]) + "\n" + " ".join(words[2:])):
+            assert index.notice(prose + shown + " " + prose)[0] == name.removesuffix("-long"), name
