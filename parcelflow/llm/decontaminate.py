@@ -7,7 +7,9 @@ a group counts from RUN windows (or all windows of a shorter item).  Its slots m
 the group a value of the item always stands for the same value of the document.  If all values are equal
 the passage is verbatim, else the question was asked with new values.
 
-A name is a capitalised word within a sentence (after a lower-case letter, comma, semicolon or colon).
+A name is a capitalised word within a sentence (after a lower-case letter, comma, semicolon or colon, and white
+space); a number may hold separators and decimals.  Windows are joined in a second form as well, in which names are
+lower-case words, so that a verbatim text is found whatever its case.
 Windows with fewer than LITERAL words that are no placeholders say too little and are not used; items
 without a usable window are never found.
 
@@ -35,9 +37,20 @@ UNITS = (
     "hours days weeks months years percent degrees dollars cents euros usd eur gbp mph kmh kb mb gb tb"
 ).split()
 MARK, VALUE = "\x01", "\x02"
-NAME = r"\p{Lu}(?<=[\p{Ll},;:] \p{Lu})\p{Ll}+"  # looks back only once it is at a capital
-NUMBER = rf"([0-9]+)(?:[ ]?((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))\b)?"
-BETWEEN = rf"[^\p{{L}}\p{{N}}{MARK}{VALUE}]+"
+POINT = "\x03"  # within a number
+NAME = r"\p{Lu}(?<=[\p{Ll},;:]\s{1,8}\p{Lu})\p{L}*?\p{Ll}\p{L}*"  # looks back only once it is at a capital
+SEPARATOR = r"([0-9])[.,'\u2019](?=[0-9])"
+NUMBER = rf"([0-9]+(?:{POINT}[0-9]+)*)(?:\s{{0,4}}((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))\b)?"
+BETWEEN = rf"[^\p{{L}}\p{{N}}{MARK}{VALUE}{POINT}]+"
+
+
+def _marked(text: Column, name: str, number: str) -> Column:
+    joined = F.regexp_replace(F.replace(text, F.lit(POINT), F.lit(" ")), SEPARATOR, f"$1{POINT}")
+    return F.regexp_replace(F.regexp_replace(joined, NAME, name), NUMBER, number)
+
+
+def _words(marked: Column) -> Column:
+    return F.array_remove(F.split(F.lower(marked), BETWEEN), "")
 
 
 def template(text: Column, values: bool = False) -> Column:
@@ -45,40 +58,59 @@ def template(text: Column, values: bool = False) -> Column:
 
     Both forms have the same words at the same places.
     """
-    name, number = (f" {MARK}n{VALUE}$0 ", f" {MARK}d{VALUE}$1 {MARK}u{VALUE}$2 ")
-    if not values:
-        name, number = f" {MARK}n ", f" {MARK}d {MARK}u "
-    marked = F.regexp_replace(F.regexp_replace(text, NAME, name), NUMBER, number)
-    return F.array_remove(F.split(F.lower(marked), BETWEEN), "")
+    if values:
+        return _words(_marked(text, f" {MARK}n{VALUE}$0 ", f" {MARK}d{VALUE}$1 {MARK}u{VALUE}$2 "))
+    return _words(_marked(text, f" {MARK}n ", f" {MARK}d {MARK}u "))
+
+
+def both_forms(text: Column) -> list[Column]:
+    """The template as ``words``, and as ``plain`` with names as words at the same places."""
+    marked = _marked(text, f" {MARK}n{VALUE}$0 ", f" {MARK}d {MARK}u ")
+    slots = F.regexp_replace(marked, rf"{VALUE}\p{{L}}+", "")
+    plain = F.replace(marked, F.lit(f"{MARK}n{VALUE}"), F.lit(""))
+    return [_words(slots).alias("words"), _words(plain).alias("plain")]
 
 
 def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, at, window): the hash of every usable window of ``words`` and where it begins."""
+    """(keys, at, form, window): the hash of every usable window and where it begins.
+
+    ``form`` is 0 for windows of ``words``, 1 for those of ``plain`` that differ.
+    """
     at = F.col("at")
-    words = [F.get("words", at + i) for i in range(WINDOW)]
-    literal = sum(((~w.startswith(MARK)).cast("int") for w in words[1:]), (~words[0].startswith(MARK)).cast("int"))
-    placed = rows.select(*keys, "words", F.posexplode("words").alias("at", "word"))
-    whole = placed.filter((at <= F.size("words") - WINDOW) & (literal >= LITERAL))
-    return whole.select(*keys, "at", F.xxhash64(*words).alias("window"))
 
+    def hashed(column: str) -> Column:
+        words = [F.get(column, at + i) for i in range(WINDOW)]
+        literal = sum(((~w.startswith(MARK)).cast("int") for w in words[1:]), (~words[0].startswith(MARK)).cast("int"))
+        return F.when(literal >= LITERAL, F.xxhash64(*words))
 
-def _keyed(docs: DataFrame, words: Column) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), words.alias("words"))
+    placed = rows.select(*keys, "words", "plain", F.posexplode("words").alias("at", "word"))
+    whole = placed.filter(at <= F.size("words") - WINDOW)
+    both = whole.select(*keys, "at", hashed("words").alias("slot"), hashed("plain").alias("bare"))
+    usable = both.filter("slot is not null or bare is not null")
+    forms = F.when(F.col("slot").eqNullSafe(F.col("bare")), F.array("slot")).otherwise(F.array("slot", "bare"))
+    return usable.select(*keys, "at", F.posexplode(forms).alias("form", "window")).filter("window is not null")
+
+
+def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), *columns)
 
 
 def found_groups(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, shift, places): matched windows of a document and item in line."""
-    items = benchmark.select("item_id", template(F.col("text")).alias("words"))
+    items = benchmark.select("item_id", *both_forms(F.col("text")))
     asked = stage(
-        windows(items, ["item_id"]).select("item_id", F.col("at").alias("item_at"), "window").distinct(),
+        windows(items, ["item_id"]).groupBy("item_id", F.col("at").alias("item_at"), "window").agg(F.min("form").alias("form")),
         "benchmark-windows",
     )
-    told = windows(_keyed(docs, template(F.col("text"))), ["doc_id", "text_key"])
-    met = told.join(maybe_broadcast(asked), "window")
+    told = windows(_keyed(docs, *both_forms(F.col("text"))), ["doc_id", "text_key"]).drop("form")
+    met = told.join(maybe_broadcast(asked.drop("form")), "window")
     groups = met.groupBy("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("at").alias("places")  # no more than the item has windows
     )
-    needed = asked.groupBy("item_id").agg(F.least(F.count("*"), F.lit(RUN)).alias("needed"))
+    # Windows that say enough only with their names are no more than others need.
+    slots = F.count_distinct(F.when(F.col("form") == 0, F.col("item_at")))
+    usable = F.when(slots > 0, slots).otherwise(F.count_distinct("item_at"))
+    needed = asked.groupBy("item_id").agg(F.least(usable, F.lit(RUN)).alias("needed"))
     return groups.join(needed, "item_id").filter(F.size("places") >= F.col("needed")).drop("needed")
 
 
@@ -89,7 +121,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     groups = stage(found_groups(docs, benchmark), "matches")
     keys = stage(groups.select("text_key").distinct(), "matched-texts")
-    own = _keyed(docs, F.col("text")).withColumnRenamed("words", "text")
+    own = _keyed(docs, F.col("text"))
     own = own.join(maybe_broadcast(keys), "text_key", "left_semi").select("text_key", "text")
     own = own.dropDuplicates(["text_key"]).select("text_key", template(F.col("text"), values=True).alias("own"))
     asked = benchmark.select("item_id", template(F.col("text"), values=True).alias("asked"))
@@ -103,7 +135,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.get(F.col("asked"), p - F.col("shift")).alias("asked"), F.get(F.col("own"), p).alias("own")
         ),
     )
-    slots = F.array_distinct(F.filter(pairs, lambda x: x["own"].startswith(MARK)))
+    # A name may be a word on one side, as letter case differs.
+    bare = lambda w: F.regexp_replace(w, f"^{MARK}n{VALUE}", "")
+    held = F.filter(pairs, lambda x: x["own"].startswith(MARK) | x["asked"].startswith(MARK))
+    slots = F.array_distinct(
+        F.transform(held, lambda x: F.struct(bare(x["asked"]).alias("asked"), bare(x["own"]).alias("own")))
+    )
     checked = rows.select("doc_id", "text_key", "item_id", F.size("places").alias("windows"), slots.alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda x: x["asked"]))
     consistent = checked.filter(F.size("slots") == F.size(values))

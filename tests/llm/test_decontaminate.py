@@ -63,3 +63,24 @@ def test_documents_against_plain_search(spark):
     asked = [norm(r["text"]) for r in items.collect()]
     want = {r["doc_id"] for r in docs.collect() if any(a in norm(r["text"]) for a in asked)}
     assert want and got == want
+
+
+EGGS = "There are 12 eggs in the basket that Maria carries; how many are left after breakfast?"
+FIELD = "A farmer sells 3 sacks of corn and 40 bags of wheat in one long week, how many in all"
+
+
+def test_case_line_breaks_and_forms_of_numbers(spark, docs_of):
+    benchmark = spark.createDataFrame([(1, EGGS), (2, FIELD)], "item_id bigint, text string")
+    docs = docs_of([
+        EGGS, EGGS.lower(), EGGS.upper(), EGGS.replace(" Maria", "\nMaria"), EGGS.replace(" Maria", " \r\n  Maria"),
+        FIELD.replace(" 3 ", " 2.50 ").replace("40", "1,200"), FIELD.replace(" 3 ", " 7 "),
+        EGGS.replace("Maria", "Paula").replace("12", "1,012.5"),
+    ])
+    assert found(docs, benchmark) == {
+        **{(i, 1): True for i in range(5)}, (5, 2): False, (6, 2): False, (7, 1): False
+    }
+
+
+def test_names_of_items_in_lower_case(spark, docs_of):
+    benchmark = spark.createDataFrame([(1, EGGS.lower())], "item_id bigint, text string")
+    assert found(docs_of([EGGS]), benchmark) == {(0, 1): True}
