@@ -111,12 +111,25 @@ BRACKETED = r"[ ]?[\[({{<][ ]?{0}[ ]?[\])}}>][ ]?"
 AT = BRACKETED.format(r"(?:at|@|&#64;|&commat;)")
 DOT = BRACKETED.format(r"(?:dot|\.|&#46;|&period;|point)")
 LABEL = r"[A-Za-z0-9-]+"
-# Endings that an address in plain words must have, as "look at the dot on it" is prose.
-ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|uk|de|fr|es|it|nl|eu|ch|at|us|ca|au|in|jp"
-#: Plain words count only together: name at host dot end.
+# Endings that an address in plain words must have, as "look at the dot on it" is prose.  Endings of
+# countries that are English words (as, be, do, is, me, my, no, so, to ...) are left to prose, but for a few.
+ENDINGS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|travel|jobs|museum|coop|aero|online|site|store|shop|tech|cloud|"
+    "xyz|blog|email|io|co|ai|app|dev|uk|de|fr|es|it|nl|eu|ch|at|us|ca|au|in|jp|"
+    "ac|ad|ae|af|ag|al|ao|aq|ar|aw|ax|az|ba|bb|bd|bf|bg|bh|bi|bj|bm|bn|bo|br|bs|bt|bw|by|bz|cc|cd|cf|cg|ci|ck|cl|cm|cn|"
+    "cr|cu|cv|cw|cx|cy|cz|dj|dk|dm|dz|ec|ee|eg|er|et|fi|fj|fk|fm|fo|ga|gd|ge|gf|gg|gh|gi|gl|gm|gn|gp|gq|gr|gs|gt|gu|gw|"
+    "gy|hk|hm|hn|hr|ht|hu|id|ie|il|im|iq|ir|je|jm|jo|ke|kg|kh|ki|km|kn|kp|kr|kw|ky|kz|la|lb|lc|li|lk|lr|ls|lt|lu|lv|ly|"
+    "mc|md|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mu|mv|mw|mx|mz|na|nc|ne|nf|ng|ni|np|nr|nu|nz|om|pe|pf|pg|ph|pk|pl|pm|pn|"
+    "pr|ps|pt|pw|py|qa|re|ro|rs|ru|rw|sa|sb|sc|sd|se|sg|sh|si|sk|sl|sm|sn|sr|ss|st|su|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|"
+    "tl|tm|tn|tr|tt|tv|tw|tz|ua|ug|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw"
+)
+ANY_DOT = rf"(?:{DOT}|[ ]dot[ ]|\.)"
+#: Plain words count only together: name at host dot end, or with a plain sign name@host dot end.
 DISGUISED_EMAIL = re.compile(
-    rf"(?<=[A-Za-z0-9_%+-])(?:(?:{AT}|&#64;|&commat;){LABEL}(?:(?:{DOT}|[ ]dot[ ]|\.){LABEL})+"
-    rf"|[ ]at[ ]{LABEL}(?:(?:{DOT}|[ ]dot[ ]){LABEL})*(?:{DOT}|[ ]dot[ ])(?:{ENDINGS})\b)",
+    rf"(?<=[A-Za-z0-9_%+-])(?:(?:{AT}|&#64;|&commat;){LABEL}(?:{ANY_DOT}{LABEL})+"
+    rf"|@{LABEL}(?:{ANY_DOT}{LABEL})*[ ]dot[ ](?:{ENDINGS})\b(?:{DOT}{LABEL})*"
+    rf"|@{LABEL}(?:{ANY_DOT}{LABEL})*{DOT}{LABEL}(?:(?:{DOT}|\.){LABEL})*"
+    rf"|[ ]at[ ]{LABEL}(?:{ANY_DOT}{LABEL})*(?:{DOT}|[ ]dot[ ])(?:{ENDINGS})\b)",
     re.I,
 )
 AT_SIGN = re.compile(rf"(?:{AT}|&#64;|&commat;|[ ]at[ ])", re.I)
@@ -168,7 +181,7 @@ def _digits(run: str) -> str:
 
 
 def _address(run: str) -> str:
-    return DOT_SIGN.sub(".", AT_SIGN.sub("@", run, count=1))
+    return DOT_SIGN.sub(".", run if run[0] == "@" else AT_SIGN.sub("@", run, count=1))
 
 
 def _folds(text: str) -> bool:

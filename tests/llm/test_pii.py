@@ -89,3 +89,21 @@ def test_mask(docs_of):
     docs = docs_of(["a@b.c and jane (at) x.org", None, "x"])
     masked = docs.select("doc_id", pii.mask(F.col("text"), pii.find(F.col("text"))).alias("m"))
     assert [r["m"] for r in masked.orderBy("doc_id").collect()] == ["<email> and <email>", None, "x"]
+
+
+@pytest.mark.parametrize(
+    "shown",
+    [
+        "jane@example[dot]com", "jane@example dot com", "jane@example (dot) org", "jane at mail.example dot com",
+        "jane at example dot se", "jane@mail.example[.]museum", "jane@mail dot example dot co dot uk",
+    ],
+)
+def test_dots_disguised_by_themselves(shown):
+    text = f"write to {shown}, or call"
+    found = [(s["kind"], text[s["start"] : s["end"]]) for s in pii.spans(text)]
+    assert ("email", shown) in found
+
+
+@pytest.mark.parametrize("text", ["look at the dot on it", "see a@b dot the rest", "meet at noon. dot it", "@all dot com"])
+def test_dots_in_prose(text):
+    assert pii.spans(text) == []
