@@ -145,7 +145,7 @@ def read_instructions(
 
 def _tweet_pairs(spark: SparkSession, d: Dataset) -> DataFrame:
     # The join passes over the tweets several times; the CSV is parsed once.
-    pairs = reply_pairs(stage(read_tweets(spark, d.path, d.mapping), "tweets"))
+    pairs = reply_pairs(stage(read_tweets(spark, d.path, d.mapping, splits=True), "tweets"))
     # Whole numbers come first, in their order; other ids, and rows without one, after them.
     number = F.when(F.col("src_key").rlike(r"^[0-9]{1,20}$"), F.col("src_key").cast("decimal(38,0)"))
     other = content_order("src_key", "input_raw", "assistant_raw") + _whole(10**20, "decimal(38,0)")
