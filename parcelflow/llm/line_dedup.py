@@ -49,6 +49,7 @@ class Settings:
     threshold: int = THRESHOLD
     hot: int = HOT
     short: int = SHORT
+    short_repeats: bool = False  # exact repeats of shorter lines with a word count as well
 
 
 # --- lines and exact classes -----------------------------------------------------------------------
@@ -61,10 +62,11 @@ def document_key(docs: DataFrame) -> Column:
     return (number * F.lit(1 << 31).cast("decimal(10,0)") + tie.cast("decimal(10,0)")).cast("decimal(30,0)")
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
+def lines_of(docs: DataFrame, use: Settings) -> DataFrame:
     """Lines that take part: document, number, text, place in the corpus, and 128 bits of hash."""
     rows = docs.select(document_key(docs).alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return rows.filter(F.length("line") >= least).select(
+    long = F.length("line") >= use.min_chars
+    return rows.filter(long | F.col("line").rlike(r"[\p{L}\p{N}]") if use.short_repeats else long).select(
         "doc", "n", "line",
         (F.col("doc") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("n")).cast("decimal(38,0)").alias("place"),
         F.xxhash64("line").alias("id"),
@@ -345,10 +347,10 @@ def linked(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
 
 def marked_classes(docs: DataFrame, use: Settings) -> DataFrame:
     """Classes of which lines go: (id, id2, first, near), near if even the first has an earlier neighbour."""
-    lines = lines_of(docs, use.min_chars)
+    lines = lines_of(docs, use)
     classes = stage(classes_of(lines), "line-classes")
     repeated = classes.filter("size > 1")
-    firsts = stage(first_lines(lines, repeated), "first-lines")
+    firsts = stage(first_lines(lines.filter(F.length("line") >= use.min_chars), repeated), "first-lines")
     links = linked(candidate_pairs(firsts, use), firsts, use.threshold)
     later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b").alias("id"), F.col("b_place").alias("first")))
     later = later.otherwise(F.struct(F.col("a").alias("id"), F.col("a_place").alias("first")))
@@ -363,7 +365,7 @@ def marked_classes(docs: DataFrame, use: Settings) -> DataFrame:
 def dropped_lines(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
     """(doc, dropped): numbers from 0 of the lines that go, for documents that lose any."""
     marked = stage(marked_classes(docs, use), "marked-lines")
-    lines = lines_of(docs, use.min_chars).drop("line")
+    lines = lines_of(docs, use).drop("line")
     gone = lines.join(maybe_broadcast(marked), ["id", "id2"]).filter("near or place != first")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("n")).alias("dropped"))
 

@@ -59,7 +59,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line, exactly or within two edits."""
-    found = line_dedup.report(documents(spark, sf_dir))
+    found = line_dedup.report(documents(spark, sf_dir), line_dedup.Settings(short_repeats=True))
     return found.withColumn("dropped", F.array_join("dropped", ","))
 
 

@@ -116,3 +116,10 @@ def test_odd_rows(docs_of):
     rows = L.report(docs).collect()
     assert len(rows) == len(ODD_TEXTS) + 3
     assert L.report(docs.limit(0)).count() == 0
+
+
+def test_exact_repeats_of_short_lines(docs_of):
+    docs = docs_of(["Read more\n|\nRead more", "Read more\n|\nRead morf\nx"])
+    dropped = lambda use: {r["doc_id"]: r["dropped"] for r in L.report(docs, use).collect()}
+    assert dropped(L.Settings(short_repeats=True)) == {0: [2], 1: [0]}
+    assert dropped(L.Settings()) == {0: [], 1: []}
