@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, hilbert, licenses, line_dedup, minhash, pii, pitman_yor, quality_rules, secret_scan
+from . import (
+    bpe, decontaminate, hilbert, licenses, line_dedup, merkle, minhash, packing, pii, pitman_yor, prefix_trie,
+    quality_rules, secret_scan,
+)
 from .common import documents, span_digests
 from .oracles import ORACLES  # noqa: F401
 from .settings import TOKENIZERS
@@ -92,3 +95,30 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50)]
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), *folder, F.col("doc_id").cast("string"))
     return licenses.scan(documents(spark, sf_dir).withColumn("path", path))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document, in sequences of 2048 tokens."""
+    return packing.pack(documents(spark, sf_dir), TOKENIZERS["word_bpe_49k"])
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and what it gives for those whose text was changed to lower case."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fields = [F.translate(f, upper, upper.lower()) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    proofs = merkle.manifest(documents(spark, sf_dir), changed=F.when(changed, merkle.leaf_hash(*fields)))
+    checked = merkle.verified(proofs, F.coalesce("changed", "leaf"))
+    proof = F.sha2(merkle.proof_text(F.col("path")).cast("binary"), 256).alias("proof_sha256")
+    return checked.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the conversations, each rebuilt on the first of its five."""
+    turns = prefix_trie.turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    return prefix_trie.trie(*prefix_trie.branched(turns, base, shared, 8))

@@ -1,8 +1,17 @@
-"""Where the vocabulary files lie; set PARCELFLOW_TOKENIZERS to the folder that holds them."""
+"""Where the vocabulary files lie: those of the installed package, or of the folder PARCELFLOW_TOKENIZERS names."""
 
 from __future__ import annotations
 
 import os
 
-FOLDER = os.environ.get("PARCELFLOW_TOKENIZERS", "/opt/tokenizers")
-TOKENIZERS = {"word_bpe_49k": f"{FOLDER}/word_bpe_49k.json"}
+
+def vocabulary(file: str) -> str:
+    folder = os.environ.get("PARCELFLOW_TOKENIZERS")
+    if folder:
+        return f"{folder}/{file}"
+    import public_tokenizers
+
+    return public_tokenizers.path(file)
+
+
+TOKENIZERS = {"word_bpe_49k": vocabulary("word_bpe_49k.json")}
