@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_text
 from ..operators.similarity import topk, with_texts
+from ..operators.vector_index import VectorIndex, search_index
 from ..sources.knowledge import overwrite_chunks, read_markdown
 
 Embed = Callable[[Column], Column]
@@ -34,11 +35,19 @@ def ingest_counts(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("source").agg(F.count("*").alias("chunks"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Flat hits (query_id, rank, source, chunk_id, text, score) without a carrier filter."""
-    return with_texts(topk(queries.select("query_id", "vec"), chunks, k), chunks)
+def search(queries: DataFrame, chunks: DataFrame, k: int = 5, index: VectorIndex | None = None) -> DataFrame:
+    """Flat hits (query_id, rank, source, chunk_id, text, score) without a carrier filter.
 
+    With ``index``, an index of ``chunks``, only the cells nearest to a query are read.
+    """
+    return _search(queries.select("query_id", "vec"), chunks, k, index)
 
-def search_kb(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
+
+def search_kb(queries: DataFrame, chunks: DataFrame, k: int = 4, index: VectorIndex | None = None) -> DataFrame:
     """As ``search``, within the query's carrier where that has any chunk."""
-    return with_texts(topk(queries.select("query_id", "vec", "carrier"), chunks, k), chunks)
+    return _search(queries.select("query_id", "vec", "carrier"), chunks, k, index)
+
+
+def _search(queries: DataFrame, chunks: DataFrame, k: int, index: VectorIndex | None) -> DataFrame:
+    hits = topk(queries, chunks, k) if index is None else search_index(queries, index, k)
+    return with_texts(hits, chunks)
