@@ -10,10 +10,11 @@ from ..functions import answers as A, citations as C, guard as G, intents as I
 from ..functions.columns import let, non_empty
 from ..functions.tracking import parse_tracking
 from ..operators import lanes as L
-from ..operators.history import conversation_spans, entry_line, recall, with_first
+from ..operators.history import HISTORY_SIZE, conversation_spans, entry_line, recall, with_first
 from ..operators.similarity import HIT_LIST as HITS, collect_hits, small_chunk_hits, topk
+from ..operators.vector_index import VectorIndex, search_index
 from ..staging import stage
-from ..streaming.memory import GenerateText, answer_in_turn
+from ..streaming.memory import GenerateText, GenerateTexts, many_of, answer_in_waves, memory_after
 
 # text -> vector, a vectorised UDF; it gets null for messages that do not search
 Embed = Callable[[Column], Column]
@@ -142,9 +143,11 @@ def with_hits(
     k: int = RETRIEVED,
     embed: Embed | None = None,
     max_held: int | None = None,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """Add ``hits`` to understood messages with a ``vec`` (or an ``embed`` that makes one); only
-    those that need retrieval search.  ``max_held`` replaces the number of vectors that tasks may hold."""
+    those that need retrieval search.  ``max_held`` replaces the number of vectors that tasks may hold.
+    With ``index``, an index of ``chunks``, a search that tasks cannot hold reads the nearest cells only."""
     messages = with_vectors(messages, embed)
     none = F.array().cast(HITS)
     if chunks is None or "vec" not in messages.columns:
@@ -159,7 +162,8 @@ def with_hits(
     asking = messages.filter(F.array_contains("needs", "retrieval")).select(
         F.col("msg_id").alias("query_id"), "vec", "carrier"
     )
-    hits = collect_hits(topk(asking, chunks, k, **limit), chunks).withColumnRenamed("query_id", "msg_id")
+    best = topk(asking, chunks, k, **limit) if index is None else search_index(asking, index, k, **limit)
+    hits = collect_hits(best, chunks).withColumnRenamed("query_id", "msg_id")
     return messages.join(hits, "msg_id", "left").withColumn("hits", F.coalesce("hits", none))
 
 
@@ -202,9 +206,10 @@ def answer_messages(
     embed: Embed | None = None,
     guarded: bool = False,
     max_held: int | None = None,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """MESSAGES rows (optionally with vec, history, quote columns) to answers with citations."""
-    ready = with_hits(with_estimates(understand(messages)), chunks, k, embed, max_held)
+    ready = with_hits(with_estimates(understand(messages)), chunks, k, embed, max_held, index)
     return respond(ready, generate, guarded)
 
 
@@ -241,15 +246,20 @@ def converse(
     embed: Embed | None = None,
     generate: GenerateText | None = None,
     guarded: bool = False,
+    generate_many: GenerateTexts | None = None,
+    memory: DataFrame | None = None,
 ) -> DataFrame:
     """Answer whole conversations with memory: batch form of the streaming job.
 
     One shuffle by conversation serves both steps, which row is the first and what came before.  With a
-    generator, whose replies become part of the memory, or with ``clear`` flags, a conversation is walked
-    through in turn, a row at a time.
+    generator, whose replies become part of the memory, with ``clear`` flags or with a ``memory`` (conv_id, lines)
+    to begin with, conversations advance in waves: the next message of many of them at once, which
+    ``generate_many`` answers in one call.
     """
-    if generate is not None or "clear" in messages.columns:
-        return answer_in_turn(ready_messages(messages, chunks, embed=embed), generate, guarded)
+    make = many_of(generate, generate_many)
+    if make is not None or memory is not None or "clear" in messages.columns:
+        ready = ready_messages(messages, chunks, embed=embed)
+        return answer_in_waves(ready, make, guarded, memory).drop("lines")
     spans = conversation_spans(messages)
     ready = both_answers(with_hits(with_estimates(understand(messages)), chunks, embed=embed)).select(
         "msg_id", "conv_id", "turn", "text", "answer_first", "answer_later", "citations"
@@ -267,6 +277,15 @@ def converse(
     )
 
 
+def memory_of(messages: DataFrame, answered: DataFrame) -> DataFrame:
+    """(conv_id, lines): what each conversation remembers after its last answer, to begin a stream with."""
+    said = messages.select("msg_id", entry_line(F.lit("user"), F.col("text")).alias("said"))
+    reply = entry_line(F.lit("assistant"), F.col("answer"))
+    lines = F.concat("history", F.array("said", reply))
+    lines = F.slice(lines, F.greatest(F.size(lines) - (HISTORY_SIZE - 1), F.lit(1)), HISTORY_SIZE)
+    return memory_after(answered.join(said, "msg_id").withColumn("lines", lines))
+
+
 def plain_answers(messages: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """The plain retrieval path: every message searches, the reply counts its hits."""
     found = with_hits(

@@ -1,26 +1,50 @@
-"""Bounded conversation memory as keyed state of a stream."""
+"""Bounded conversation memory: walked through in waves over a table, kept as state over a stream.
+
+A wave is the next message of many conversations.  Their replies need only what was said before in each of
+them, so a generator answers a whole wave in one call.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.answers import HISTORY_HEADING, MAX_CONTEXTS
-from ..functions.guard import guard_text
+from ..functions.guard import guard_texts
 from ..functions.text import ASCII_EXPANSIONS, ASCII_ONE_TO_ONE
 from ..operators.history import HISTORY_SIZE, MAX_CONTENT, entry_line
+from ..staging import stage
 
 # (user text, contexts, tracking id) -> reply
 GenerateText = Callable[[str, list[str], str | None], str]
+# the same for a wave of messages: columns in, one reply for each row out
+GenerateTexts = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
 
 # What the ready-made answers need, and what a generator needs on top.
 COLUMNS = ["msg_id", "turn", "user_line", "citations", "clear", "answer_first", "answer_later"]
 GENERATOR_COLUMNS = ["text", "contexts", "parts", "tracking_id", "missing_id", "wants_link"]
 OUTPUT = "msg_id bigint, conv_id bigint, turn bigint, answer string, citations string, history array<string>"
-STATE = "lines array<string>"
+MEMORY = "conv_id bigint, lines array<string>"
+#: Conversations whose memory a task holds at a time.
+WAVE = 10_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def one_by_one(generate: GenerateText) -> GenerateTexts:
+    """A generator of single replies as one of waves."""
+
+    def many(texts: pd.Series, contexts: pd.Series, tracking_ids: pd.Series) -> pd.Series:
+        return pd.Series([generate(*row) for row in zip(texts, contexts, tracking_ids)], dtype=object)
+
+    return many
+
+
+def many_of(generate: GenerateText | None, generate_many: GenerateTexts | None) -> GenerateTexts | None:
+    return generate_many or (one_by_one(generate) if generate else None)
 
 
 def _ascii(text: str) -> str:
@@ -30,28 +54,51 @@ def _ascii(text: str) -> str:
     return text
 
 
-def _generated(row: dict, lines: list[str], generate: GenerateText, guarded: bool) -> str:
-    previous = [HISTORY_HEADING + "\n".join(lines)] if lines else []
-    contexts = (previous + list(row["contexts"]))[:MAX_CONTEXTS]
-    reply = generate(row["text"], contexts, row["tracking_id"])
+def _replies(wave: dict[str, list], seen: list[list[str]], generate: GenerateTexts, guarded: bool) -> list[str]:
+    """What the generator says to a wave, all in one call."""
+    contexts = [
+        (([HISTORY_HEADING + "\n".join(s)] if s else []) + list(own))[:MAX_CONTEXTS]
+        for s, own in zip(seen, wave["contexts"])
+    ]
+    asked = (pd.Series(column, dtype=object) for column in (wave["text"], contexts, wave["tracking_id"]))
+    said = pd.Series(list(generate(*asked)), dtype=object)
     if guarded:
-        reply = guard_text(reply, bool(row["missing_id"]), bool(row["wants_link"]))
-    reply = _ascii(reply.strip())
-    return _ascii("\n".join([*row["parts"], *([reply] if reply else [])]))
-
-
-def _answered(
-    row: dict, lines: list[str], generate: GenerateText | None, guarded: bool
-) -> tuple[str, list[str], list[str]]:
-    """The answer to a message, the history it saw, and the memory after it."""
-    if row["clear"]:
-        lines = []
-    if generate is not None:
-        answer = _generated(row, lines, generate, guarded)
+        said = guard_texts(said, pd.Series(wave["missing_id"]), pd.Series(wave["wants_link"]))
+    return [_ascii(reply.strip()) for reply in said]
+
+
+def answer_wave(
+    wave: dict[str, list], lines: list[list[str]], generate: GenerateTexts | None, guarded: bool
+) -> tuple[list[str], list[list[str]], list[list[str]]]:
+    """Answers to one message of each of several conversations, the history each saw, and the memory after it.
+
+    ``wave`` holds the columns of the messages, ``lines`` the memory of each conversation before its message.
+    """
+    seen = [[] if clear else before for clear, before in zip(wave["clear"], lines)]
+    if generate is None:
+        both = zip(seen, wave["answer_first"], wave["answer_later"])
+        answers = [later if s else first for s, first, later in both]
     else:
-        answer = row["answer_later"] if lines else row["answer_first"]
-    after = (lines + [row["user_line"], f"assistant: {answer[:MAX_CONTENT]}"])[-HISTORY_SIZE:]
-    return answer, lines, after
+        replies = _replies(wave, seen, generate, guarded)
+        bodies = ([*parts, *([reply] if reply else [])] for parts, reply in zip(wave["parts"], replies))
+        answers = [_ascii("\n".join(body)) for body in bodies]
+    after = [
+        (s + [user, f"assistant: {answer[:MAX_CONTENT]}"])[-HISTORY_SIZE:]
+        for s, user, answer in zip(seen, wave["user_line"], answers)
+    ]
+    return answers, seen, after
+
+
+def _out(wave: dict[str, list], answers: list[str], seen: list[list[str]]) -> pd.DataFrame:
+    kept = {c: wave[c] for c in ("msg_id", "conv_id", "turn")}
+    return pd.DataFrame({**kept, "answer": answers, "citations": wave["citations"], "history": seen})
+
+
+def _plain(wave: dict[str, list]) -> dict[str, list]:
+    """Missing tracking ids as None, whatever the frame made of them."""
+    if "tracking_id" in wave:
+        wave["tracking_id"] = [i if isinstance(i, str) else None for i in wave["tracking_id"]]
+    return wave
 
 
 def _prepared(ready: DataFrame) -> DataFrame:
@@ -64,88 +111,136 @@ def _prepared(ready: DataFrame) -> DataFrame:
     )
 
 
-def answer_in_turn(
-    ready: DataFrame, generate: GenerateText | None = None, guarded: bool = False
+def answer_in_waves(
+    ready: DataFrame,
+    generate: GenerateTexts | None = None,
+    guarded: bool = False,
+    memory: DataFrame | None = None,
+    wave: int = WAVE,
 ) -> DataFrame:
-    """``answer_with_memory`` over a whole table.
+    """``answer_with_memory`` over a whole table: message by message, all conversations of a bucket at once.
 
-    Conversations are dealt out and sorted; a task walks through its rows and holds the memory of one
-    conversation, so a long one takes time but no room.
+    Conversations are dealt into buckets of about ``wave``.  A task sorts its buckets by the number of the message
+    in its conversation, so what it reads is one wave after the other, and holds the memories of one bucket.
+    A long conversation takes time, as each reply needs the one before, but no room.  Messages without a
+    conversation have no memory.  ``memory`` (conv_id, lines) is what conversations begin with.
+    Adds ``lines``, the memory after the message.
     """
     columns = COLUMNS + (GENERATOR_COLUMNS if generate else [])
+    tasks = int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Counted by sketch: a bucket may hold some more or some less.
+    buckets = max(tasks, -(-ready.agg(F.approx_count_distinct("conv_id")).first()[0] // wave))
+    rows = _prepared(ready).select("conv_id", *columns)
+    if memory is None:
+        rows = rows.withColumn("before", F.array().cast("array<string>"))
+    else:
+        rows = rows.join(memory.select("conv_id", F.col("lines").alias("before")), "conv_id", "left")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets))).repartition("bucket")
+    # Clustered by bucket already, so numbering and sorting move nothing.
+    number = F.row_number().over(Window.partitionBy("bucket", "conv_id").orderBy("turn", "msg_id"))
+    order = ["bucket", "wave", "conv_id"]
+    waves = dealt.withColumn("wave", number).sortWithinPartitions(*order)
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lines = object(), []
+        bucket, memories = None, {}
         for part in parts:
-            answers, histories = [], []
-            for conv, *values in zip(part["conv_id"].tolist(), *(part[c].tolist() for c in columns)):
-                if conv != now:
-                    now, lines = conv, []
-                answer, seen, lines = _answered(dict(zip(columns, values)), lines, generate, guarded)
-                answers.append(answer)
-                histories.append(seen)
-            out = part[["msg_id", "conv_id", "turn"]].assign(answer=answers)
-            yield out.assign(citations=part["citations"], history=histories)
+            for (at, _), rows in part.groupby(["bucket", "wave"], sort=False):
+                if at != bucket:
+                    bucket, memories = at, {}
+                wave_rows = {c: rows[c].tolist() for c in rows.columns}
+                convs = [None if c != c else c for c in wave_rows["conv_id"]]
+                first = [[] if b is None else list(b) for b in wave_rows["before"]]
+                lines = [[] if c is None else memories.get(c, b) for c, b in zip(convs, first)]
+                answers, seen, after = answer_wave(_plain(wave_rows), lines, generate, guarded)
+                memories.update(zip(convs, after))
+                yield _out(wave_rows, answers, seen).assign(lines=after)
+
+    answered = waves.mapInPandas(walk, f"{OUTPUT}, lines array<string>")
+    return answered.withColumn("citations", F.from_json("citations", "array<string>"))
+
+
+def memory_after(answered: DataFrame) -> DataFrame:
+    """(conv_id, lines): the memory of each conversation after its last message in ``answer_in_waves``."""
+    last = F.max_by("lines", F.struct("turn", "msg_id")).alias("lines")
+    return answered.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(last)
 
-    rows = _prepared(ready).select("conv_id", *columns)
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    return dealt.mapInPandas(walk, OUTPUT).withColumn(
-        "citations", F.from_json("citations", "array<string>")
-    )
+
+class ConversationMemory(StatefulProcessor):
+    """The last entries of a conversation as list state.
+
+    With ``idle_ms`` the entries live that long after the last message, and a timer removes what is left of the
+    conversation; initial rows (conv_id, lines) are taken over from a batch.
+    """
+
+    def __init__(self, columns: list[str], generate: GenerateTexts | None, guarded: bool, idle_ms: int | None):
+        self.columns, self.generate, self.guarded, self.idle_ms = columns, generate, guarded, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getListState("lines", "line string", self.idle_ms)
+
+    def _wait(self, timer_values) -> None:
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def _keep(self, lines: list[str], timer_values) -> None:
+        self.lines.put([(line,) for line in lines])
+        self._wait(timer_values)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        lines = [line for (line,) in self.lines.get()] if self.lines.exists() else []
+        # One conversation's messages of one micro-batch, which the source bounds.
+        batch = pd.concat(list(rows)).sort_values(["turn", "msg_id"], kind="stable")
+        columns = _plain({c: batch[c].tolist() for c in batch.columns})
+        answers, histories = [], []
+        for i in range(len(batch)):
+            one = {c: values[i:i + 1] for c, values in columns.items()}
+            (answer,), (seen,), (lines,) = answer_wave(one, [lines], self.generate, self.guarded)
+            answers.append(answer)
+            histories.append(seen)
+        self._keep(lines, timerValues)
+        yield _out(columns, answers, histories)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for lines in initialState["lines"]:
+            self._keep(list(lines)[-HISTORY_SIZE:], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.lines.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def answer_with_memory(
     ready: DataFrame,
-    generate: GenerateText | None = None,
+    generate: GenerateTexts | None = None,
     idle_ms: int | None = None,
     guarded: bool = False,
+    memory: DataFrame | None = None,
 ) -> DataFrame:
-    """Answers in turn order per conversation, each seeing the last entries before it.
+    """Answers of a stream in turn order per conversation, each seeing the last entries before it.
 
     ``ready`` comes from ``ready_messages``.  The memory is read before a message and gets two
     entries after it.  A row with ``clear`` empties it first; with ``idle_ms`` it is also dropped
-    after that much silence (for queries that keep running: Spark never sees a query with
-    processing-time timeouts as finished).  Without ``generate``, the ready-made answers are used, which differ
-    only in whether there is a history.  ``guarded`` cleans what the generator says.
+    after that much silence (for queries that keep running).  Without ``generate``, the ready-made answers are
+    used, which differ only in whether there is a history.  ``guarded`` cleans what the generator says.
+    ``memory`` (conv_id, lines) is what a batch before the stream hands over.
+
+    The state is kept in RocksDB, which list state and time-to-live need; the session is set to it.
     """
+    ready.sparkSession.conf.set(STATE_STORE, ROCKS)
     columns = COLUMNS + (GENERATOR_COLUMNS if generate else [])
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        lines = list(state.get[0]) if state.exists else []
-        # One conversation's messages of one micro-batch, which the source bounds.
-        records = [
-            dict(zip(columns, values))
-            for part in batches
-            for values in zip(*(part[c].tolist() for c in columns))
-        ]
-        records.sort(key=lambda r: r["turn"])
-        answers, histories = [], []
-        for row in records:
-            answer, seen, lines = _answered(row, lines, generate, guarded)
-            answers.append(answer)
-            histories.append(seen)
-        state.update((lines,))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(
-            {
-                "msg_id": [r["msg_id"] for r in records],
-                "conv_id": key[0],
-                "turn": [r["turn"] for r in records],
-                "answer": answers,
-                "citations": [r["citations"] for r in records],
-                "history": histories,
-            }
-        )
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    # Written, so that the first micro-batch reads it like any table.
+    start = None if memory is None else stage(memory.select("conv_id", "lines"), "memory").groupBy("conv_id")
     return (
         _prepared(ready).select("conv_id", *columns).groupBy("conv_id")
-        .applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
+        .transformWithStateInPandas(
+            ConversationMemory(columns, generate, guarded, idle_ms), OUTPUT, "Append",
+            "ProcessingTime" if idle_ms else "None", start,
+        )
         .withColumn("citations", F.from_json("citations", "array<string>"))
     )

@@ -11,7 +11,8 @@ from parcelflow.plans import triage
 from parcelflow.plans.guard import audit, guard_answers, guard_report
 from parcelflow.schemas import MESSAGES, RAW_ANSWERS, TURNS
 from parcelflow.sources.messages import read_messages, stream_answers, stream_messages, write_answers
-from parcelflow.streaming.pipeline import stream_pipeline
+from parcelflow.streaming import memory as M, pipeline as P
+from parcelflow.streaming.pipeline import answer_stream, read_stream_answers, stream_pipeline
 
 
 def turns():
@@ -233,9 +234,11 @@ def test_guard_report(spark):
     assert guard_answers(rows, any_intent=True).filter("require_id").count() == 3
 
 
-def test_guard_of_one_text_equals_the_column_form(spark):
+def test_guard_of_many_texts_equals_the_column_form(spark):
     import random
 
+    import pandas as pd
+
     from parcelflow.functions import guard as G
 
     draw = random.Random(4)
@@ -247,8 +250,10 @@ def test_guard_of_one_text_equals_the_column_form(spark):
     df = spark.createDataFrame(rows, "i int, raw string, ask boolean, refuse boolean")
     answers = df.select("i", G.guard_answer(F.col("raw"), F.col("ask"), F.col("refuse")).alias("a")).collect()
     got = {r["i"]: r["a"] for r in answers}
-    for i, raw, ask, refuse in rows:
-        assert got[i] == G.guard_text(raw, ask, refuse), raw
+    texts = G.guard_texts(*(pd.Series(column) for column in list(zip(*rows))[1:])).tolist()
+    for i, raw, _, _ in rows:
+        assert got[i] == texts[i], raw
+    assert G.guard_texts(*(pd.Series([], dtype=object) for _ in range(3))).tolist() == []
 
 
 def test_batch_equals_stream_with_a_generator_a_guard_and_clear(spark, tmp_path):
@@ -304,3 +309,133 @@ def test_a_task_keeps_k_hits_for_each_query(spark):
         assert {(r["query_id"], r["chunk_id"]) for r in found.collect()} == best
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def chatty(spark, n_convs=40, seed=3):
+    rng = random.Random(seed)
+    rows, msg = [], 0
+    for conv in range(n_convs):
+        for turn in range(60 if conv == 0 else rng.randint(1, 9)):
+            msg += 1
+            rows.append((msg, conv, turn, rng.choice(["Track my order", "When? JO to AE eta", "hello", "price?"]), None, None, rng.random() < 0.1))
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, f"{MESSAGES}, clear boolean")
+
+
+def teller():
+    def reply(text, contexts, tracking_id):
+        import zlib
+
+        return f"{len(contexts)}-{zlib.crc32(contexts[0].encode()) if contexts else 0}-{text[:4]}"
+
+    return reply
+
+
+telling = teller()  # not a function of this module, which executors cannot import
+
+COLUMNS = ["msg_id", "conv_id", "turn", "answer", "citations", "history"]
+
+
+def test_waves_equal_the_walk_in_few_calls(spark):
+    rows, table = chatty(spark)
+    ready = triage.ready_messages(table)
+    calls = spark.sparkContext.accumulator(0)
+
+    singly = M.one_by_one(telling)
+
+    def many(texts, contexts, ids):
+        calls.add(1)
+        return singly(texts, contexts, ids)
+
+    waves = M.answer_in_waves(ready, many, wave=1000)
+    found = {r["msg_id"]: r for r in waves.collect()}
+    first = {r["msg_id"]: r for r in ready.collect()}
+    assert len(found) == len(rows) and calls.value < len(rows) / 1.5
+    for conv in range(40):
+        lines = []
+        for msg, _, turn, text, _, _, clear in sorted((r for r in rows if r[1] == conv), key=lambda r: r[2]):
+            lines = [] if clear else lines
+            assert found[msg]["history"] == lines
+            context = [A.HISTORY_HEADING + "\n".join(lines)] if lines else []
+            reply = telling(text, context + list(first[msg]["contexts"]), None)
+            assert found[msg]["answer"].split("\n")[-1] == reply
+            lines = (lines + [f"user: {text}", f"assistant: {found[msg]['answer']}"])[-6:]
+            assert found[msg]["lines"] == lines
+
+
+@pytest.mark.parametrize("wave", [1, 7])
+def test_small_buckets_and_messages_without_a_conversation(spark, wave):
+    _, table = chatty(spark)
+    table = table.withColumn("conv_id", F.when(F.col("conv_id") != 3, F.col("conv_id")))
+    ready = triage.ready_messages(table)
+    few, many = (
+        sorted(M.answer_in_waves(ready, M.one_by_one(telling), wave=w).drop("lines").collect(), key=lambda r: r["msg_id"])
+        for w in (wave, 10_000)
+    )
+    assert few == many and all(r["history"] == [] for r in few if r["conv_id"] is None)
+
+
+def test_a_batch_hands_its_memory_to_a_stream(spark, tmp_path):
+    _, table = chatty(spark)
+    whole = {r["msg_id"]: r for r in triage.converse(table, generate=telling).select(*COLUMNS).collect()}
+    early = table.filter("turn < 3")
+    before = triage.converse(early, generate=telling)
+    memory = triage.memory_of(early, before)
+    inbox = str(tmp_path / "in")
+    for low, high in ((3, 5), (5, 100)):
+        table.filter(f"turn >= {low} AND turn < {high}").coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    job = stream_pipeline(stream, generate=telling, memory=memory)
+    writer = job.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    rows = before.select(*COLUMNS).unionByName(spark.read.schema(job.schema).parquet(str(tmp_path / "out")).select(*COLUMNS))
+    assert {r["msg_id"]: r for r in rows.collect()} == whole
+    # The same table begins a conversation in batch as well.
+    late = triage.converse(table.filter("turn >= 3"), generate=telling, memory=memory).select(*COLUMNS)
+    assert {r["msg_id"]: r for r in before.select(*COLUMNS).unionByName(late).collect()} == whole
+
+
+def test_one_query_answers_every_message_once_after_a_failure(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "WHOLE_MEMORY", 2)
+    _, table = chatty(spark)
+    table = table.withColumn("vec", F.array(F.lit(1.0), F.col("turn") / 9))
+    chunks = spark.createDataFrame(
+        [("a.md", str(i), f"text {i}", [1.0, i / 9], None) for i in range(40)],
+        "source string, chunk_id string, text string, vec array<double>, carrier string",
+    )
+    whole = {r["msg_id"]: r for r in triage.converse(table, chunks, generate=telling).select(*COLUMNS).collect()}
+    inbox, folder = str(tmp_path / "in"), str(tmp_path / "job")
+    for low, high in ((0, 1), (1, 2), (2, 4), (4, 100)):
+        table.filter(f"turn >= {low} AND turn < {high}").coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+
+    def run():
+        answer_stream(
+            stream, chunks, folder, generate=telling, max_held=2, trigger={"availableNow": True}
+        ).awaitTermination()
+
+    memory_of_batch = P.memory_after
+    for failing in ("before the memory is written", "while answering"):
+        with monkeypatch.context() as broken:
+            if failing == "while answering":
+                broken.setattr(P, "answer_in_waves", lambda *a, **k: 1 / 0)
+            else:
+                broken.setattr(P, "memory_after", lambda df: 1 / 0)
+            with pytest.raises(Exception):
+                run()
+    assert memory_of_batch is P.memory_after
+    running = len(spark.streams.active)
+    run()
+    assert len(spark.streams.active) == running
+    rows = read_stream_answers(spark, folder).collect()
+    assert len(rows) == len(whole) and {r["msg_id"]: r for r in rows} == whole
+
+
+def test_a_large_chunk_table_needs_the_one_query(spark, tmp_path):
+    messages(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
+    chunks = spark.createDataFrame(
+        [("a.md", str(i), "t", [1.0, 0.0], None) for i in range(3)],
+        "source string, chunk_id string, text string, vec array<double>, carrier string",
+    )
+    with pytest.raises(ValueError, match="answer_stream"):
+        stream_pipeline(stream_messages(spark, str(tmp_path / "in")), chunks, embed=word_lengths, max_held=2)

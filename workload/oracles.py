@@ -8,6 +8,8 @@ Patterns, marks and sentences are fixed values that the results depend on.
 
 from __future__ import annotations
 
+from parcelflow.functions.guard import ASK_ID_LINE as ASK_LINE, BLOCKED, REFUSE_LINK_LINE as REFUSAL
+
 from .inputs import COUNTRIES, RAW_ANSWERS, SERVICES, SQL, cte  # noqa: F401
 from .queries import CONFIG, QUOTAS, SPLIT_RATIO, WIDE, WORDS
 
@@ -295,6 +297,10 @@ scored AS (SELECT query_id, source, chunk_id, text, {SCORE} AS score FROM querie
 ranked AS (SELECT *, {RANK} AS rank FROM scored)"""
 ORACLES["knn_topk"] = f"""
 {KNN} SELECT query_id, rank, source, chunk_id, round(score, 4) AS score FROM ranked WHERE rank <= 5"""
+ORACLES["vector_index_exact"] = ORACLES["knn_topk"]
+ORACLES["vector_index_recall"] = """
+SELECT count(*) AS n_queries, 5 * count(*) AS n_wanted, true AS recall_reached
+FROM embeddings WHERE vec_id % 10 = 0"""
 ORACLES["search_hits"] = f"""
 {KNN} SELECT query_id, rank, text, source || '#' || chunk_id AS ref FROM ranked WHERE rank <= 3"""
 ORACLES["knn_carrier_fallback"] = f"""
@@ -307,6 +313,7 @@ scored AS (
   FROM queries q, chunks c WHERE q.carrier IS NULL OR q.carrier = c.carrier),
 ranked AS (SELECT *, {RANK} AS rank FROM scored)
 SELECT query_id, rank, source, chunk_id FROM ranked WHERE rank <= 4"""
+ORACLES["vector_index_carriers"] = ORACLES["knn_carrier_fallback"]
 ORACLES["citation_labels"] = f"""
 {cte('chunks')}, hits AS (
   SELECT chunk_id AS id, CASE WHEN CAST(chunk_id AS BIGINT) % 3 <> 0 THEN source END AS s,
@@ -511,14 +518,17 @@ def ascii_of(x: str) -> str:
     return f"replace(replace(replace({x}, '→', '->'), '←', '<-'), '…', '...')"
 
 
-def answer_of(n_contexts: str) -> str:
-    id_text = "'Parsed tracking ID: ' || ids[1] || ' (carrier: ' || coalesce(known_carrier, 'unknown') || ').'"
-    parts = f"""concat_ws(chr(10), CASE WHEN len(ids) > 0 THEN '- ' || {id_text} END,
+ID_TEXT = "'Parsed tracking ID: ' || ids[1] || ' (carrier: ' || coalesce(known_carrier, 'unknown') || ').'"
+PARTS = f"""nullif(concat_ws(chr(10), CASE WHEN len(ids) > 0 THEN '- ' || {ID_TEXT} END,
       CASE WHEN n_eta THEN '- ETA (handbook): ' || min_days || '–' || max_days || ' business days (' || service
         || ', ' || o || '→' || d || ').' END,
       CASE WHEN n_quote THEN '- Estimated label price: ~$8.0 USD (standard, zone: INTRA_REGION, billable 1.0 kg).'
-        || chr(10) || '- Note: This is a non-binding estimate; surcharges and contracts vary.' END,
-      '- ' || coalesce({id_text}, 'Please share a valid tracking ID (and carrier if known).'),
+        || chr(10) || '- Note: This is a non-binding estimate; surcharges and contracts vary.' END), '')"""
+
+
+def answer_of(n_contexts: str) -> str:
+    parts = f"""concat_ws(chr(10), {PARTS},
+      '- ' || coalesce({ID_TEXT}, 'Please share a valid tracking ID (and carrier if known).'),
       CASE WHEN {n_contexts} > 0 THEN '- Using ' || {n_contexts} || ' retrieved context chunk(s).' END,
       '- No live tracking is used; info is handbook-based.')"""
     return ascii_of(parts)
@@ -577,6 +587,36 @@ remembered AS (
 SELECT msg_id, conv_id, turn, answer, history FROM remembered WHERE role = 'user'"""
 ORACLES["conversation_answers"] = MEMORY
 ORACLES["stream_answers"] = MEMORY
+ORACLES["conversation_clear"] = ORACLES["stream_clear"] = (
+    MEMORY.replace("PARTITION BY conv_id", "PARTITION BY conv_id, part")
+    .replace("conv_id, turn, text,", "conv_id, part, turn, text,").replace("conv_id, turn, answer, turn * 2", "conv_id, part, turn, answer, turn * 2")
+    .replace(
+        "FROM estimated),",
+        "FROM (SELECT *, count(*) FILTER (msg_id % 5 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS part\n"
+        "        FROM estimated)),",
+    )
+)
+ORACLES["conversation_generator"] = ORACLES["stream_handover"] = f"""
+{ESTIMATED.replace('WITH ', 'WITH RECURSIVE ', 1)},
+ready AS (
+  SELECT msg_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, ids[1] AS first_id,
+         'user: ' || substr(text, 1, 500) AS said, CASE WHEN n_eta THEN [{NOTE}] ELSE [] END AS notes,
+         {ascii_of(PARTS)} AS parts
+  FROM estimated),
+walk(msg_id, conv_id, turn, i, answer, seen, lines) AS (
+  SELECT 0::BIGINT, conv_id, 0::BIGINT, 0::BIGINT, '', []::VARCHAR[], []::VARCHAR[] FROM ready WHERE i = 1
+  UNION ALL
+  SELECT msg_id, conv_id, turn, i, answer, seen,
+         list_concat(seen, [said, 'assistant: ' || substr(answer, 1, 500)])[-6:]
+  FROM (
+    SELECT *, concat_ws(chr(10), parts, len(contexts) || ' ' || coalesce(substr(md5(contexts[1]), 1, 8), '-') || ' '
+                || coalesce(first_id, '-')) AS answer
+    FROM (
+      SELECT r.*, w.lines AS seen, (CASE WHEN len(w.lines) > 0
+               THEN ['Previous turns:' || chr(10) || array_to_string(w.lines, chr(10))] ELSE [] END || notes)[1:4]
+               AS contexts
+      FROM walk w JOIN ready r ON r.conv_id = w.conv_id AND r.i = w.i + 1)))
+SELECT msg_id, conv_id, turn, answer, coalesce(array_to_string(seen, chr(10)), '') AS history FROM walk WHERE i > 0"""
 ORACLES["triage_answers_blocks"] = ORACLES["answer_sink"] = ORACLES["triage_answers"]
 ORACLES["history_hot"] = ORACLES["history_last6"]
 SEARCHED = MEMORY.replace(ESTIMATED, ANSWERED).replace(
@@ -670,8 +710,6 @@ FROM line_weights"""
 # --- guard --------------------------------------------------------------------------------------
 
 ASKS = r"(tracking|waybill|order)\s*(number|id)"
-ASK_LINE = "- Please share your tracking/waybill number and the carrier (e.g., Shipping_A)."
-REFUSAL = "- I can’t share tracking links. Use the carrier’s official site/app with your waybill number."
 
 
 def guarded(rows: str) -> str:
@@ -740,10 +778,6 @@ ORACLES["guard_conversations"] = f"""
 ruled AS (SELECT *, {missing('intent', 'input_raw', 'CAST(NULL AS VARCHAR)')} AS require_id FROM intents),
 {guarded('ruled')}
 SELECT msg_id, answer FROM guarded"""
-BLOCKED = [
-    "http://", "https://", "www.", ".com", ".net", ".org", ".io", ".co", ".ly", "@", " DM ",
-    "direct message", "^", " #", " link ", " url ", " website ",
-]
 LINKISH = rf"https?://|www\.|\.com|\.net|\.org|@{WORD}+"
 CONCISE = r"len(regexp_extract_all(answer, '(?m)^\s*[-*\d)]')) BETWEEN 2 AND 4"
 REPORT = f"""

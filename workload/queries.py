@@ -17,6 +17,7 @@ from parcelflow.operators.lanes import billable_kg, with_cents
 from parcelflow.operators.pairs import reply_pairs
 from parcelflow.operators.sample import flag_smallest, hash_order
 from parcelflow.operators.similarity import topk
+from parcelflow.operators.vector_index import index_for, load_index, search_index
 from parcelflow.plans import guard, knowledge, lanes, triage
 from parcelflow.plans.curate import curate, keyword_filter, manifest, map_pairs
 from parcelflow.sources.datasets import load_pairs, number_source, read_tweets
@@ -24,7 +25,7 @@ from parcelflow.sources.knowledge import kb_files, overwrite_chunks, read_chunks
 from parcelflow.sources.messages import stream_messages, write_answers
 from parcelflow.sources.pairs import read_manifest, read_pairs, write_manifest, write_pairs
 from parcelflow.staging import stage, staging_dir
-from parcelflow.streaming.pipeline import stream_pipeline
+from parcelflow.streaming.pipeline import answer_stream, read_stream_answers, stream_pipeline
 
 from .inputs import COUNTRIES, SERVICES, derived, lanes as lane_input, table, with_message_vectors
 
@@ -380,6 +381,52 @@ def knn_carrier_fallback(spark, sf):
     )
 
 
+def _vector_queries(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+@query
+def vector_index_exact(spark, sf):
+    """``knn_topk`` from the index: nearest cells first, then those that may hold a better hit."""
+    chunks = derived(spark, sf, "chunks").drop("carrier")
+    index = index_for(chunks, "index")
+    found = search_index(_vector_queries(spark, sf), load_index(spark, index.path), 5, exact=True)
+    return found.select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "source", "chunk_id",
+        F.round("score", 4).alias("score"),
+    )
+
+
+@query
+def vector_index_carriers(spark, sf):
+    """``knn_carrier_fallback`` from the index, where the questions are too many to be held: blocks of a cell meet."""
+    carrier = F.element_at(
+        F.array(*[F.lit(c) for c in ("Shipping_A", "Shipping_B", "Shipping_C", None)]),
+        (F.col("query_id") % 4 + 1).cast("int"),
+    )
+    queries = _vector_queries(spark, sf).withColumn("carrier", carrier)
+    index = index_for(derived(spark, sf, "chunks"), "index")
+    return search_index(queries, index, 4, exact=True, max_broadcast=HELD).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "source", "chunk_id"
+    )
+
+
+@query
+def vector_index_recall(spark, sf):
+    """Share of the exact hits that the probed cells hold, for a tenth of the vectors; their own row does not count."""
+    chunks = derived(spark, sf, "chunks").drop("carrier")
+    queries = _vector_queries(spark, sf).filter("query_id % 10 = 0")
+    index = index_for(chunks, "index")
+    other = F.col("chunk_id") != F.col("query_id").cast("string")
+    wanted = topk(queries, chunks, 6).filter(other).select("query_id", "chunk_id")
+    probed = search_index(queries, index, 6).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    met = wanted.join(probed, ["query_id", "chunk_id"], "left")
+    return met.agg(
+        F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_wanted"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"),
+    )
+
+
 @query
 def search_hits(spark, sf):
     queries = table(spark, sf, "embeddings").select(
@@ -596,6 +643,52 @@ def conversation_answers(spark, sf):
     return _with_memory(triage.converse(derived(spark, sf, "messages")))
 
 
+def _telling(texts, contexts, tracking_ids):
+    """Replies that hang on every word of the history."""
+    import hashlib
+
+    def reply(context, tracking_id):
+        mark = hashlib.md5(context[0].encode()).hexdigest()[:8] if len(context) else "-"
+        return f"{len(context)} {mark} {tracking_id or '-'}"
+
+    return [reply(c, t) for c, t in zip(contexts, tracking_ids)]
+
+
+@query
+def conversation_generator(spark, sf):
+    """Conversations with a generator, wave by wave: a reply hangs on all replies before it."""
+    tell = _telling
+    messages = derived(spark, sf, "messages")
+    return _with_memory(triage.converse(messages, generate_many=lambda *columns: tell(*columns)))
+
+
+@query
+def stream_handover(spark, sf):
+    """The same conversations, begun as a table and gone on with as a stream that takes over their memory."""
+    tell = _telling
+    many = lambda *columns: tell(*columns)
+    messages = stage(derived(spark, sf, "messages"), "messages")
+    middle = (messages.agg(F.max("turn")).first()[0] or 0) // 2
+    early, late = messages.filter(F.col("turn") <= middle), messages.filter(F.col("turn") > middle)
+    before = stage(triage.converse(early, generate_many=many), "early")
+    memory = stage(triage.memory_of(early, before), "memory")
+    after = _finished(_inbox(spark, late), lambda stream: stream_pipeline(stream, generate_many=many, memory=memory))
+    return _with_memory(before.unionByName(after))
+
+
+@query
+def stream_clear(spark, sf):
+    """Messages that empty the memory of their conversation, as a stream in three micro-batches."""
+    messages = stage(derived(spark, sf, "messages").withColumn("clear", F.col("msg_id") % 5 == 0), "messages")
+    return _with_memory(_finished(_inbox(spark, messages), stream_pipeline))
+
+
+@query
+def conversation_clear(spark, sf):
+    """The same over the whole table."""
+    return _with_memory(triage.converse(derived(spark, sf, "messages").withColumn("clear", F.col("msg_id") % 5 == 0)))
+
+
 def _with_citations(answered: DataFrame) -> DataFrame:
     return answered.select(
         "msg_id", "conv_id", "turn", "answer", F.array_join("history", "\n").alias("history"),
@@ -610,39 +703,46 @@ def conversation_retrieval(spark, sf):
     return _with_citations(answered)
 
 
-def _streamed(spark, sf, **options) -> DataFrame:
-    """The message job over three files that come one by one, with retrieval."""
-    inbox, out = _scratch(spark, "inbox"), _scratch(spark, "outbox")
-    messages = stage(_messages_with_vectors(spark, sf), "messages")
+def _inbox(spark, messages: DataFrame) -> DataFrame:
+    """A stream of three files that come one by one, by turn."""
+    folder = _scratch(spark, "inbox")
     highest = messages.agg(F.max("turn")).first()[0] or 0
     third = F.least(F.floor(F.col("turn") * 3 / (highest + 1)), F.lit(2))
     for i in range(3):
-        messages.filter(third == i).coalesce(1).write.mode("append").parquet(inbox)
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    job = stream_pipeline(stream, derived(spark, sf, "chunks"), **options)
+        messages.filter(third == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _finished(stream: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that a stream job says about what is there."""
+    spark, out = stream.sparkSession, job(stream)
+    path = _scratch(spark, "outbox")
     (
-        job.writeStream.outputMode("append").format("parquet").option("path", out)
+        out.writeStream.outputMode("append").format("parquet").option("path", path)
         .option("checkpointLocation", _scratch(spark, "progress"))
         .trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.schema(job.schema).parquet(out)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 @query
 def stream_retrieval(spark, sf):
     """Several micro-batches with memory and retrieval, so that state is read back."""
-    return _with_citations(_streamed(spark, sf))
+    messages = stage(_messages_with_vectors(spark, sf), "messages")
+    chunks = derived(spark, sf, "chunks")
+    return _with_citations(_finished(_inbox(spark, messages), lambda stream: stream_pipeline(stream, chunks)))
 
 
 @query
 def stream_retrieval_blocks(spark, sf):
-    """The same with a chunk table too large to be held: each micro-batch is searched like a table."""
-    before = {q.id for q in spark.streams.active}
-    answers = _with_citations(_streamed(spark, sf, max_held=HELD))
-    for running in spark.streams.active:
-        if running.id not in before:
-            running.stop()
-    return answers
+    """The same with a chunk table too large to be held: one query searches, answers and remembers."""
+    messages = stage(_messages_with_vectors(spark, sf), "messages")
+    folder = _scratch(spark, "answers")
+    job = answer_stream(
+        _inbox(spark, messages), derived(spark, sf, "chunks"), folder, max_held=HELD, trigger={"availableNow": True}
+    )
+    job.awaitTermination()
+    return _with_citations(read_stream_answers(spark, folder))
 
 
 @query
