@@ -17,9 +17,11 @@ not matter, and an empty table packs to no rows.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,21 +31,57 @@ from pyspark.sql import DataFrame, functions as F
 
 from parcelflow.staging import stage
 
+from .bpe import byte_symbols
 from .common import bounded_batches, pieces, whole_texts
 from .places import places
 
 #: Tokens of a sequence.
 CAPACITY = 2048
-#: Distinct words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 300_000
-#: Longer words are encoded each time.
-LONG_WORD = 64
-#: Words that the tokenizer is handed at a time.
-AT_ONCE = 4096
+#: Distinct words (of ten ids each) that a worker remembers; then it starts anew.
+REMEMBERED = 500_000
+#: Bytes of text encoded at a time; a word is looked up once in them.
+AT_ONCE = 4 << 20
+# Characters whose lower case and kind need no tables, and the parts of words of the tokenizer.
+PLAIN = re.compile("[!-~À-ÿ]+")
+LETTERS = "a-zß-öø-ÿ"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+|\n")
+#: The signs that stand for bytes in byte-level vocabularies.
+BYTE_SIGNS = str.maketrans(dict(enumerate(byte_symbols())))
+
+
+class _Known:
+    """Ids of keys, end to end in one array."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def add(self, keys: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys))))
+        self.sizes, self.flat = np.append(self.sizes, sizes), np.append(self.flat, flat)
+
+    def add_lists(self, keys: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.add(keys, sizes, np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())))
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+
+    def gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys at ``places``, end to end, and where each key's end."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        starts = (np.cumsum(self.sizes) - self.sizes)[places] - (ends - sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts, sizes)], ends
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, which sees each distinct word of a piece once."""
+    """Ids of texts by the tokenizers library, which sees each distinct word of a piece once.
+
+    The library spends most of its time on normalising.  Words of plain and accented Latin characters need lower
+    case and a split into letters, digits and signs only, so their parts go straight to the library's model; words with
+    any other character, or with the mark of special tokens, go through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,36 +92,41 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        out = []
-        for i in range(0, len(words), AT_ONCE):
-            found = self.tokenizer.encode_batch_fast(words[i:i + AT_ONCE], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4") for e in found]
-        return out
-
-    def _of_words(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        self.words, self.parts = _Known(), _Known()
+        self.parts.add_lists(["\n"], [[]])  # ends a word
+
+    def _learn_plain(self, words: list[str]) -> None:
+        parts = PARTS.findall("".join(f"{w}\n" for w in words).lower())
+        new = list(set(parts) - self.parts.place.keys())
+        if new:
+            # All parts are written in the signs of their bytes at once.
+            signs = "\n".join(new).encode().decode("latin-1").translate(BYTE_SIGNS).split(BYTE_SIGNS[10])
+            tokenize = self.tokenizer.model.tokenize
+            self.parts.add_lists(new, [[t.id for t in tokenize(part)] for part in signs])
+        places = self.parts.places(parts)
+        flat, ends = self.parts.gathered(places)
+        last = ends[places == 0]
+        self.words.add(words, np.diff(last, prepend=0), flat)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        if max(len(self.words.place), len(self.words.flat) // 10) > REMEMBERED:
             self._forget()
-        new = [w for w in words if w not in self.known]
-        fresh = dict(zip(new, self._encoded(new)))
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG_WORD)
-        return [self.known[w] if w in self.known else fresh[w] for w in words]
+        new = [w for w in words if w not in self.words.place]
+        plain = [w for w in new if PLAIN.fullmatch(w) and "<|" not in w]
+        if plain:
+            self._learn_plain(plain)
+        odd = [w for w in new if w not in self.words.place]
+        if odd:
+            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            self.words.add_lists(odd, [e.ids for e in found])
+        return self.words.places(words)
 
     def of_texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text; no word reaches over white space, so words are encoded on their own."""
         split = pc.ascii_split_whitespace(texts)
         words, text = split.flatten().dictionary_encode(), pc.list_parent_indices(split).to_numpy()
-        ids = self._of_words(words.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, "<u4")])
-        starts = np.cumsum(lengths) - lengths
-        used = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = lengths[used]
-        ends = np.cumsum(sizes)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[used] - (ends - sizes), sizes)
-        whole = flat[where]
+        places = self._places(words.dictionary.to_pylist())
+        whole, ends = self.words.gathered(places[words.indices.to_numpy(zero_copy_only=False)])
         at = np.concatenate([[0], ends])[np.searchsorted(text, np.arange(len(texts) + 1))]
         for i in range(len(texts)):
             yield whole[at[i]:at[i + 1]]
@@ -97,7 +140,7 @@ def piece_rows(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACIT
         encoder = WordIds(path)
         for batch in batches:
             done = 0
-            for texts in pieces(whole_texts(batch.column("text"))):
+            for texts in pieces(whole_texts(batch.column("text")), AT_ONCE):
                 rows = []
                 for number, ids in enumerate(encoder.of_texts(texts), done):
                     ids = np.append(ids, np.array([end], "<u4"))
