@@ -22,34 +22,70 @@ SOURCE_STEP = 10**32  # room for the order of one source inside ``ord``
 
 
 CSV = {"quote": '"', "escape": '"'}
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+#: A line that begins outside of quotes and ends inside of them.  A quote counts at the start of a cell and, in a
+#: quoted cell, where it is not doubled; what follows a closed cell up to the next comma is taken as it is.
+ENDS_OPEN = rf'^(?:(?:{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+{_QUOTED}$'
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
+def _state(rows: DataFrame, start: Column, within: list[str], order: str) -> DataFrame:
+    """Whether each row is ``entered`` inside of quotes, from what it makes of either state.
+
+    A row leaves from outside with ``from_out`` and from inside with ``from_in`` (1 is inside).  Where both are the
+    same, it settles the state; where they are crossed, it turns it.  So the state before a row is the
+    last settled one, turned as often as rows after it turn it.  ``start`` is the state before the first row.
+    """
+    before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.when((F.col("from_out") == 1) & (F.col("from_in") == 0), 1).otherwise(0)
+    rows = rows.withColumn("turned", F.coalesce(F.sum(turns).over(before), F.lit(0)))
+    settled = F.when(F.col("from_out") == F.col("from_in"), F.col("from_out") + F.col("turned"))
+    known = F.coalesce(F.last(settled, ignorenulls=True).over(before), start)
+    return rows.withColumn("entered", F.pmod(known + F.col("turned"), F.lit(2))).drop("turned")
+
+
+def csv_records(spark: SparkSession, path: str, open_files: str = "raise") -> DataFrame:
     """Rows of CSV files with a header and quoted line breaks, read in splits of any place.
 
-    A line begins a record if an even number of quotes lies before it in its file.  Quotes are counted
-    for each split first; the lines of a split then need only the parity it starts with.  Lines that are
-    records of their own are parsed where they are; only the parts of longer ones are brought together.
+    Every line is told what it makes of a reader that comes to it inside or outside of quotes; these functions are
+    put together within each split, then over the splits of a file, and give the state before each line.  Lines
+    that are records of their own are parsed where they are; only the parts of longer ones are brought together.
+
+    A file that ends inside of quotes is an error, as all lines after its last quote would be one record; with
+    ``open_files="keep"`` they are.  Lines end with a line feed, with or without a carriage return, which goes
+    inside of quotes too.
     """
     names = spark.read.options(header=True, **CSV).csv(path).columns
     schema = ", ".join(f"`{n}` string" for n in names)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    text = F.regexp_replace("value", r"\r\z", "")
+    has_quote = F.col("value").contains('"')
     lines = spark.read.option("lineSep", "\n").text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("at"), quotes.alias("quotes"),
+        F.monotonically_increasing_id().alias("at"),
+        (has_quote & text.rlike(ENDS_OPEN)).cast("int").alias("from_out"),
+        (~has_quote | F.concat(F.lit('"'), text).rlike(ENDS_OPEN)).cast("int").alias("from_in"),
     )
     lines = stage(lines, "lines")  # written, so that line numbers hold
     inside = Window.partitionBy("file", "split").orderBy("at")  # the lines of one split
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    odd = lambda c: F.coalesce(c, F.lit(0)) % 2
-    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("held"), F.min("at").alias("first"))
-    splits = splits.withColumn("open", odd(F.sum("held").over(earlier)))
-    counted = lines.join(splits, ["file", "split"]).withColumn(
-        "before", F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    )
-    begins = (F.col("open") + odd(F.col("before"))) % 2 == 0
-    marked = counted.filter(~((F.col("split") == 0) & (F.col("at") == F.col("first")))).select(
-        "file", "split", "at", "value", begins.alias("begins"), (begins & (F.col("quotes") % 2 == 0)).alias("whole")
+    # What a split makes of either state is what its last line leaves.
+    ends = []
+    for name, first in (("from_out", 0), ("from_in", 1)):
+        entered = _state(lines.select("file", "split", "at", "from_out", "from_in"), F.lit(first), ["file", "split"], "at")
+        left = F.when(F.col("entered") == 1, F.col("from_in")).otherwise(F.col("from_out"))
+        ends.append(entered.groupBy("file", "split").agg(F.max_by(left, "at").alias(name), F.min("at").alias("first")))
+    splits = ends[0].join(ends[1].drop("first"), ["file", "split"])
+    splits = stage(_state(splits, F.lit(0), ["file"], "split").withColumnRenamed("entered", "start"), "splits")
+    if open_files == "raise":
+        left = F.when(F.col("start") == 1, F.col("from_in")).otherwise(F.col("from_out"))
+        last = splits.groupBy("file").agg(F.max_by(left, "split").alias("open")).filter("open = 1")
+        bad = [r["file"] for r in last.select("file").limit(5).collect()]
+        if bad:
+            raise ValueError(f"CSV files that end inside of quotes: {', '.join(bad)}")
+    known = lines.join(splits.select("file", "split", "start", "first"), ["file", "split"])
+    states = _state(known, F.col("start"), ["file", "split"], "at")
+    begins = F.col("entered") == 0
+    marked = states.filter(~((F.col("split") == 0) & (F.col("at") == F.col("first")))).select(
+        "file", "split", "at", "value", begins.alias("begins"), (begins & (F.col("from_out") == 0)).alias("whole")
     )
     whole = marked.filter("whole").select("value")
     parts = marked.filter("not whole").withColumn("own", F.when(F.col("begins"), F.col("at")))
@@ -61,9 +97,9 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     joined = pieces.groupBy("file", "record").agg(
         F.array_sort(F.collect_list(F.struct("split", "at", "value"))).alias("lines")
     )
-    long = joined.select(F.array_join(F.col("lines.value"), "\n").alias("value"))
+    own_lines = F.transform("lines.value", lambda line: F.regexp_replace(line, r"\r\z", ""))
+    long = joined.select(F.array_join(own_lines, "\n").alias("value"))
     records = whole.union(long).filter(F.trim(F.col("value")) != "")
-    text = F.regexp_replace("value", r"\r\z", "")
     return records.select(F.from_csv(text, schema, CSV).alias("r")).select("r.*")
 
 

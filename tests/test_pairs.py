@@ -288,3 +288,47 @@ def test_crowded_prefixes_and_many_groups(spark, monkeypatch):
     monkeypatch.setattr(sample, "MAX_RANKED", 3)
     monkeypatch.setattr(sample, "MAX_LITERALS", 2)
     assert {r["i"]: r["picked"] for r in flag_smallest(rows, "g", "key", sizes).collect()} == want
+
+
+@pytest.mark.parametrize("size, breaks", [(90, "\n"), (1 << 20, "\n"), (80, "\r\n")])
+def test_csv_with_stray_quotes_equals_the_whole_read(spark, tmp_path, size, breaks):
+    import random
+
+    from parcelflow.sources.datasets import csv_records
+
+    draw = random.Random(size)
+    cells = [
+        "plain", "", 'my 5" box', 'a "quoted" word', '"closed"', '"with ""two"" inside"', '"one, two"', '"""edge"""',
+        f'"two{breaks}lines"', f'"a ""b""{breaks}{breaks}c, d"', '"junk"after', 'x""y', " ", '""', '"ends with """',
+    ]
+    for name in ("a.csv", "b.csv"):
+        rows = [[str(i), draw.choice(cells), draw.choice(cells)] for i in range(60)]
+        text = breaks.join(",".join(r) for r in [["id", "x", "y"], *rows]) + breaks
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = csv_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path)).collect()
+    assert len(got) == 120 and sorted(map(tuple, got), key=repr) == sorted(map(tuple, whole), key=repr)
+
+
+def test_a_stray_quote_loses_no_tweets(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(
+        'tweet_id,inbound,text,response_tweet_id\n1,True,my 5" box is late,2\n2,False,sorry,\n'
+        '3,True,"where, now?",4\n4,False,soon,\n5,True,ok 6" more,6\n6,False,fine,\n'
+    )
+    tweets = read_tweets(spark, str(path), splits=True).collect()
+    assert sorted(tweets) == sorted(read_tweets(spark, str(path)).collect()) and len(tweets) == 6
+
+
+def test_a_file_that_ends_inside_of_quotes_is_an_error(spark, tmp_path):
+    from parcelflow.sources.datasets import csv_records
+
+    path = tmp_path / "t.csv"
+    path.write_text('id,x\n1,"open\n2,b\n3,c\n')
+    with pytest.raises(ValueError, match="inside of quotes"):
+        csv_records(spark, str(path))
+    assert csv_records(spark, str(path), "keep").count() == 1
