@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow.staging import stage
 
+from .places import places
+
 BITS = 8
 SHARDS = 24
 IN_TASK = (1 << 33) - 1  # the lower bits of Spark's increasing ids count rows of a task
@@ -180,19 +182,49 @@ def shards_for(files: DataFrame, **bounds: tuple) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
-    """Write ``docs`` as one folder per shard, in the curve's order; returns the manifest.
+    """Write ``docs`` as one folder per shard, in the curve's order; returns the manifest of what was written.
 
-    A row's shard is told by the first keys of the shards, so texts move once and only to be written.
+    A row's shard is told by the first keys of the shards, so texts move once and only to be written.  Rows with the
+    key that begins a shard may lie on both sides of the cut: those are placed, and cut by their place.
     """
-    sharded = stage(shard_rows(document_rows(docs), shards), "sharded")
-    firsts = sharded.filter("slot = 0").orderBy("shard").select("shard", *ORDER[:3]).collect()
-    own = _key(*map(F.col, ORDER[:3]))
-    passed = [(own >= _key(*(F.lit(r[c]) for c in ORDER[:3]))).cast("int") for r in firsts]
-    shard = reduce(Column.__add__, passed, F.lit(-1))
-    out = with_curve(docs).withColumn("shard", shard)
-    ordered = out.repartitionByRange(_tasks(docs), "shard", "curve").sortWithinPartitions("shard", "curve")
-    ordered.drop("size", "text_crc32", "curve").write.partitionBy("shard").parquet(path)
-    return manifest(sharded)
+    order = stage(ranked(document_rows(docs)), "ranked")
+    cut = F.expr(f"cast(rank * {shards} div total as int)")
+    sharded = order.withColumn("shard", cut)
+    start = F.min(F.struct("rank", *ORDER[:3])).alias("first")
+    firsts = [r["first"] for r in sharded.groupBy("shard").agg(start).orderBy("shard").collect()]
+    out = with_curve(docs).withColumn("_key", _key_text())
+    if firsts:
+        own = _key(*map(F.col, ORDER[:3]))
+        passed = [(own >= _key(*(F.lit(r[c]) for c in ORDER[:3]))).cast("int") for r in firsts]
+        begun = F.broadcast(
+            order.withColumn("_key", _key_text()).join(_keys_of(sharded, firsts), "_key", "left_semi")
+            .groupBy("_key").agg(F.min("rank").alias("start"), F.max("total").alias("total"))
+        )  # a row per shard at most
+        split = stage(out.join(begun, "_key"), "split")
+        split = places(split, ["_key"], ["doc_id"], "_place", "_size").withColumn("rank", F.col("start") + F.col("_place"))
+        split = split.withColumn("shard", cut).select(*out.columns, "shard")
+        shard = reduce(Column.__add__, passed, F.lit(0)) - 1
+        # Shards that begin with the same key count it together; no row with such a key is left here.
+        ids = sorted({r["shard"] for r in sharded.select("shard").distinct().collect()})
+        shard = F.get(F.array(*map(F.lit, ids)), shard)
+        out = out.join(begun, "_key", "left_anti").withColumn("shard", shard).unionByName(split)
+    else:
+        out = out.withColumn("shard", F.lit(0))
+    ordered = out.repartitionByRange(_tasks(docs), "shard", "curve", "doc_id").sortWithinPartitions("shard", "curve")
+    ordered.drop("_key", "size", "text_crc32", "curve").write.partitionBy("shard").parquet(path)
+    spark = docs.sparkSession
+    return manifest(with_curve(spark.read.schema(docs.select("*", F.lit(0).alias("shard")).schema).parquet(path)))
+
+
+def _key_text() -> Column:
+    """What tells rows apart along the curve, as text; null has a sign of its own."""
+    return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ORDER])
+
+
+def _keys_of(sharded: DataFrame, firsts: list) -> DataFrame:
+    """The keys that shards begin with."""
+    at = [r["rank"] for r in firsts]
+    return F.broadcast(sharded.filter(F.col("rank").isin(at)).select(_key_text().alias("_key")).distinct())
 
 
 def _key(*parts: Column) -> Column:

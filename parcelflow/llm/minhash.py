@@ -11,8 +11,10 @@ different sets is lost but by the bands themselves: with 32 bands of 4 a pair at
 chance of 5 in 100 million.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing.  Rows
-without an id are not linked either: their component is null and they are kept.  Rows that repeat an id
-are looked up by their text.  Empty tables give empty results; other columns do not matter.
+without an id are not linked either: their component is null and they are kept.  Rows that repeat an id are
+told apart by their text: each set is a class of its own, under a number that is no id.  Texts are taken whole, of
+any length.  Of rows that share the smallest id of a group all are kept.  Empty tables give empty results; other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from parcelflow.staging import settled, stage
 
 from .common import bounded_batches, fresh_name, maybe_broadcast, pieces, whole_texts, words_of
 from .components import components
+from .places import places
 
 
 @dataclass(frozen=True)
@@ -163,10 +166,9 @@ def may_link(a: str, b: str, use: Settings) -> Column:
     return n & (agreeing(F.col(f"{a}.minima"), F.col(f"{b}.minima")) >= use.percent / 100 - use.slack)
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, use: Settings) -> DataFrame:
-    """(id, members) of the documents with the given ids, made anew from their texts."""
-    own = docs.select(F.col("doc_id").alias("id"), "text")
-    wanted = own.join(maybe_broadcast(stage(ids.distinct(), "wanted")), "id", "left_semi")
+def sets_of(ids: DataFrame, texts: DataFrame, use: Settings) -> DataFrame:
+    """(id, members) of the given classes, made anew from ``texts`` (id, text)."""
+    wanted = texts.join(maybe_broadcast(stage(ids.distinct(), "wanted")), "id", "left_semi")
     return stage(wanted.select("id", shingle_set(F.col("text"), use.words).alias("members")), "sets")
 
 
@@ -211,7 +213,7 @@ def placed_in(rows: DataFrame, links: DataFrame) -> DataFrame:
     return stage(out, "placed")
 
 
-def links_of(classes: DataFrame, docs: DataFrame, use: Settings) -> DataFrame:
+def links_of(classes: DataFrame, texts: DataFrame, use: Settings) -> DataFrame:
     """Links (a, b) that connect all classes that can be connected; ``classes``: (id, n, minima), stored."""
     members = shared_buckets(classes, use)
     known = classes.select("id", "n", "minima")
@@ -221,7 +223,7 @@ def links_of(classes: DataFrame, docs: DataFrame, use: Settings) -> DataFrame:
     leads = best_of(members, "bucket", reach).withColumnRenamed("best", "lead")
     families = members.join(maybe_broadcast(leads), "bucket").select("id", "lead").distinct()
     families = stage(families, "families")
-    sets = sets_of(families.select("id"), docs, use)
+    sets = sets_of(families.select("id"), texts, use)
     links = star_links(families, known, sets, use)
 
     # Those it holds apart, against a centre of their own.
@@ -263,43 +265,91 @@ def links_of(classes: DataFrame, docs: DataFrame, use: Settings) -> DataFrame:
 # --- the operator ----------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _numbered(firsts: DataFrame, docs: DataFrame, repeated: DataFrame, low: int) -> tuple[DataFrame, DataFrame]:
+    """Classes with a number of their own below ``low`` where their id has several rows, and the texts of all.
+
+    ``firsts`` has a row for each class: doc_id, text_key, d1, d2, n, minima.
+    """
+    alone = maybe_broadcast(repeated)
+    own = firsts.join(alone, "doc_id", "left_anti").withColumn("id", F.col("doc_id"))
+    texts = docs.join(alone, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text")
+    if repeated.isEmpty():
+        return own, texts
+    shared = firsts.join(alone, "doc_id", "left_semi").withColumn("whole", F.lit(""))
+    numbered = places(stage(shared, "shared"), ["whole"], ["d1", "d2"], "at", "all")
+    numbered = stage(numbered.withColumn("id", F.lit(low - 1) - F.col("at")).drop("whole", "at", "all"), "numbered")
+    told = docs.join(alone, "doc_id", "left_semi").withColumn("text_key", _text_key(F.col("text")))
+    told = told.join(numbered.select("doc_id", "text_key", "id"), ["doc_id", "text_key"]).select("id", "text")
+    return own.unionByName(numbered), texts.unionByName(told.dropDuplicates(["id"]))
+
+
+def _judged(docs: DataFrame, use: Settings) -> DataFrame:
+    """``near_duplicates`` with ``text_key`` and whether the id of the row is ``repeated``."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    rows = stage(docs.select("doc_id", sketch(F.col("text"), use).alias("s")).select("doc_id", "s.*"), "sketches")
+    text_key = _text_key(F.col("text")).alias("text_key")
+    sketched = docs.select("doc_id", text_key, sketch(F.col("text"), use).alias("s"))
+    rows = stage(sketched.select("doc_id", "text_key", "s.*"), "sketches")
+    ids = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count()
+    repeated = stage(ids.filter("count > 1").select("doc_id"), "repeated")
+    low = rows.agg(F.min("doc_id")).first()[0] or 0
     linkable = rows.filter("n > 0 and doc_id is not null")
     groups = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     groups = stage(groups.filter("copies > 1").drop("copies"), "copies")
     placed = linkable.join(maybe_broadcast(groups), ["d1", "d2"], "left")
-    classes = stage(
-        placed.filter("rep is null or rep = doc_id")
-        .select(F.col("doc_id").alias("id"), "n", "minima")
-        .dropDuplicates(["id", "n"]),
-        "classes",
-    )
+    firsts = placed.filter("rep is null or rep = doc_id").drop("rep").dropDuplicates(["d1", "d2"])
+    classes, texts = _numbered(firsts, docs, repeated, low)
+    classes = stage(classes.select("id", "n", "minima", "doc_id", "d1", "d2"), "classes")
     found = settled(
-        docs.sparkSession, "components", lambda: components(links_of(classes, docs, use))
+        docs.sparkSession, "components",
+        lambda: components(links_of(classes.select("id", "n", "minima"), texts, use)),
     )
-    narrow = rows.select("doc_id", "n", "d1", "d2")
+    narrow = rows.select("doc_id", "text_key", "n", "d1", "d2")
     own = narrow.join(maybe_broadcast(groups), ["d1", "d2"], "left").withColumn(
         "id", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     )
+    several = not repeated.isEmpty()
+    if several:
+        numbers = stage(classes.filter(F.col("id") < low).select("d1", "d2", F.col("id").alias("number")), "numbers")
+        own = own.join(maybe_broadcast(numbers), ["d1", "d2"], "left")
+        own = own.withColumn("id", F.when(F.col("n") > 0, F.coalesce("number", "id")).otherwise(F.col("id")))
     out = own.join(maybe_broadcast(found.withColumnRenamed("node", "id")), "id", "left")
-    part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id"))
+    out = out.withColumn("part", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id")))
+    if several:
+        # Numbers lie below all ids, so a group with one is known by it and has its smallest id still to be found.
+        out = stage(out.select("doc_id", "text_key", "n", "part"), "parts")
+        tops = out.filter(F.col("part") < low).groupBy("part").agg(F.min("doc_id").alias("top"))
+        out = out.join(maybe_broadcast(stage(tops, "tops")), "part", "left").withColumn("part", F.coalesce("top", "part"))
+        out = out.join(maybe_broadcast(repeated.withColumn("repeated", F.lit(True))), "doc_id", "left")
+    else:
+        out = out.withColumn("repeated", F.lit(False))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"),
-        (part.isNull() | (F.col("doc_id") == part)).alias("kept"),
+        "doc_id", F.col("n").alias("n_shingles"), F.col("part").alias("component_id"),
+        (F.col("part").isNull() | (F.col("doc_id") == F.col("part"))).alias("kept"),
+        "text_key", F.coalesce("repeated", F.lit(False)).alias("repeated"),
     )
 
 
+def near_duplicates(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
+    return _judged(docs, use).drop("text_key", "repeated")
+
+
 def without_copies(docs: DataFrame, use: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, columns as they are, without those that are not the first of their group."""
-    key = fresh_name(docs, "gone_id")
+    """The rows of ``docs``, columns as they are, without those that are not of the first id of their group.
+
+    Where an id has several rows, a row goes only if its own text is such a copy.
+    """
+    key, text_key = fresh_name(docs, "gone_id"), fresh_name(docs, "gone_text")
 
     def copies() -> DataFrame:
-        rows = near_duplicates(docs, use).filter(~F.col("kept"))
-        return rows.select(F.col("doc_id").alias(key)).distinct()
+        rows = _judged(docs, use).filter(~F.col("kept"))
+        return rows.select(F.col("doc_id").alias(key), F.when(F.col("repeated"), F.col("text_key")).alias(text_key)).distinct()
 
     gone = settled(docs.sparkSession, "gone", copies)
-    return docs.join(maybe_broadcast(gone), docs["doc_id"] == F.col(key), "left_anti")
+    own_text = F.col(text_key).isNull() | (F.col(text_key) == _text_key(docs["text"]))
+    return docs.join(maybe_broadcast(gone), (docs["doc_id"] == F.col(key)) & own_text, "left_anti")

@@ -56,3 +56,16 @@ def test_files_and_pruning(spark, tmp_path):
     wanted = [r["shard"] for r in H.shards_for(files, doc_id=(100, 120)).collect()]
     assert len(wanted) < 24
     assert set(r["shard"] for r in back.filter("doc_id between 100 and 120").collect()) <= set(wanted)
+
+
+def test_equal_rows_are_cut_by_their_place(spark, docs_of, tmp_path):
+    for n, rows in enumerate(([(5, "same")] * 48, [(5, "same")] * 40 + [(i, f"t{i}") for i in range(20)] + [(None, None)] * 9, [(1, "x")], [])):
+        docs = docs_of(rows).withColumn("curve", F.lit("clash"))
+        files = H.write_shards(docs, f"{tmp_path}/out{n}").collect()
+        assert sum(r["rows"] for r in files) == len(rows)
+        if rows:
+            back = spark.read.parquet(f"{tmp_path}/out{n}")
+            counts = {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()}
+            assert counts == {r["shard"]: r["rows"] for r in files}
+            assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == min(24, len(rows))
+            assert sorted(map(str, back.drop("shard").collect())) == sorted(map(str, docs.select(back.drop("shard").columns).collect()))

@@ -103,3 +103,28 @@ def test_strays_are_compared_with_all(spark, docs_of):
     rows = [(k, " ".join(words[k * 16 : k * 16 + 160])) for k in range(12)]
     got = M.near_duplicates(docs_of(rows), M.Settings(words=4)).collect()
     assert {r["component_id"] for r in got} == {b[2] for b in brute(rows)}
+
+
+def test_rows_that_share_an_id_are_told_apart(docs_of):
+    draw = random.Random(5)
+    a, b, c = (" ".join(f"{k}{draw.randint(0, 10**6)}" for _ in range(60)) for k in "abc")
+    near = c.split()
+    near[30] = "changed"
+    rows = [(1, a), (7, a), (7, b), (7, b), (3, c), (7, " ".join(near)), (9, b), (2, "of its own"), (2, ""), (5, "x"), (5, "x")]
+    docs = docs_of(rows)
+    kept = sorted((r["doc_id"], r["text"]) for r in M.without_copies(docs).collect())
+    assert kept == sorted([(1, a), (7, b), (7, b), (3, c), (2, "of its own"), (2, ""), (5, "x"), (5, "x")])
+    parts = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in M.near_duplicates(docs).collect()}
+    assert parts == {
+        (1, 56, 1, True), (7, 56, 1, False), (7, 56, 7, True), (3, 56, 3, True), (7, 56, 3, False), (9, 56, 7, False),
+        (2, 1, 2, True), (2, 0, 2, True), (5, 1, 5, True),
+    }
+
+
+def test_one_id_on_a_third_of_the_rows(docs_of):
+    draw = random.Random(6)
+    rows = [(i if i % 3 else 0, " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(20))) for i in range(120)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:60])]
+    got = M.near_duplicates(docs_of(rows)).collect()
+    assert len(got) == 180 and sum(r["kept"] for r in got) == 120
+    assert sorted((r["doc_id"], r["text"]) for r in M.without_copies(docs_of(rows)).collect()) == sorted(rows[:120])
