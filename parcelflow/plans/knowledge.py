@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.chunks import CHUNK_OVERLAP, CHUNK_SIZE, chunk_text
 from ..operators.similarity import topk, with_texts
 from ..operators.vector_index import VectorIndex, search_index
-from ..sources.knowledge import overwrite_chunks, read_markdown
+from ..sources.knowledge import carrier_folders, overwrite_chunks, read_chunks, read_markdown, replace_carriers
+from ..staging import stage
 
 Embed = Callable[[Column], Column]
 
@@ -30,6 +32,52 @@ def ingest(spark: SparkSession, pattern: str, path: str, embed: Embed) -> DataFr
     return ingest_counts(chunks)
 
 
+@dataclass(frozen=True)
+class Changes:
+    """What an ingest did: chunks in the table, texts that were embedded, carriers that were written."""
+
+    chunks: int
+    embedded: int
+    carriers: tuple[str | None, ...]
+
+
+def ingest_changes(chunks: DataFrame, path: str, embed: Embed) -> Changes:
+    """Bring a chunk table to the state of ``chunks`` (source, chunk_id, text, carrier), at the cost of what changed.
+
+    A text that the table holds anywhere keeps its vector; each other text is embedded once, however many chunks
+    have it.  Only carriers with a changed, new or missing chunk are written, and readers see the old state until
+    all is there.
+    """
+    spark = chunks.sparkSession
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    new = stage(chunks.select("source", "chunk_id", "text", "carrier", digest), "chunks")
+    old = read_chunks(spark, path).select("source", "chunk_id", "carrier", "vec", digest)
+    vectors = old.filter("vec IS NOT NULL").groupBy("digest").agg(F.any_value("vec").alias("vec"))
+    texts = new.groupBy("digest").agg(F.any_value("text").alias("text"))
+    fresh = stage(texts.join(vectors, "digest", "left_anti"), "fresh")
+    made = stage(fresh.select("digest", embed(F.col("text")).cast("array<float>").alias("vec")), "vectors")
+
+    key = ["source", "chunk_id"]
+    mark = F.lit(1)
+    both = new.select(*key, "carrier", "digest", mark.alias("now")).join(
+        old.select(*key, F.col("carrier").alias("was"), F.col("digest").alias("old"), mark.alias("before")), key, "full"
+    )
+    same = F.col("now").isNotNull() & F.col("before").isNotNull() & (F.col("digest") == F.col("old"))
+    same = same & F.col("carrier").eqNullSafe(F.col("was"))
+    moved = both.filter(~F.coalesce(same, F.lit(False)))
+    touched = moved.select(F.explode(F.array(
+        F.struct(F.col("now").alias("there"), "carrier"), F.struct(F.col("before").alias("there"), F.col("was").alias("carrier"))
+    )).alias("c")).filter("c.there IS NOT NULL").select("c.carrier").distinct()
+    changed = [r["carrier"] for r in touched.collect()]  # one row per carrier
+    if changed:
+        named = F.col("carrier").isin([c for c in changed if c is not None])
+        wanted = (named | F.col("carrier").isNull()) if None in changed else named
+        kept = {c: f for c, f in carrier_folders(spark, path).items() if c not in changed}
+        with_vectors = new.filter(wanted).join(vectors.unionByName(made), "digest")
+        replace_carriers(with_vectors, path, kept)
+    return Changes(new.count(), made.count(), tuple(sorted(changed, key=lambda c: c or "")))
+
+
 def ingest_counts(chunks: DataFrame) -> DataFrame:
     """Chunks per source, and in total under a null source."""
     return chunks.rollup("source").agg(F.count("*").alias("chunks"))

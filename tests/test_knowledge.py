@@ -139,3 +139,56 @@ def test_vector_columns(spark):
     row = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     out = row.select(V.cosine("a", "b"), V.cosine("a", "z"), V.normalize(F.col("a")), V.normalize(F.col("z"))).first()
     assert out[0] == pytest.approx(0.96) and out[1] == 0.0 and out[2] == pytest.approx([0.6, 0.8]) and out[3] == [0.0, 0.0]
+
+
+def lengths(text):
+    return F.array(F.char_length(text).cast("float"), F.crc32(text.cast("binary")).cast("float"))
+
+
+def test_an_ingest_costs_what_changed(spark, tmp_path):
+    from parcelflow.plans.knowledge import ingest_changes
+    from parcelflow.sources import knowledge as K
+
+    path = str(tmp_path / "kb")
+    columns = "source string, chunk_id string, text string, carrier string"
+    first = [(f"{c}.md", str(i), f"text {c} {i % 4}", c) for c in ("A", "B", "C") for i in range(6)]
+    first += [("plain.md", "0", "text A 1", None)]
+
+    def state(version=None):
+        return sorted(tuple(r) for r in read_chunks(spark, path, version).select("source", "chunk_id", "text", "carrier").collect())
+
+    done = ingest_changes(spark.createDataFrame(first, columns), path, lengths)
+    assert (done.chunks, done.embedded, done.carriers) == (19, 12, (None, "A", "B", "C"))
+    assert state() == sorted(first)
+    old_reader = read_chunks(spark, path)
+    again = ingest_changes(spark.createDataFrame(first, columns), path, lengths)
+    assert (again.embedded, again.carriers, K.versions(spark, path)) == (0, (), [1])
+
+    second = [r for r in first if r[0] != "C.md"]  # a carrier goes, a chunk changes, another gets a known text
+    second[0], second[7] = ("A.md", "0", "a new text", "A"), ("B.md", "1", "text A 3", "B")
+    before = K.carrier_folders(spark, path)
+    done = ingest_changes(spark.createDataFrame(second, columns), path, lengths)
+    assert (done.embedded, done.carriers) == (1, ("A", "B", "C"))
+    after = K.carrier_folders(spark, path)
+    assert after[None] == before[None] and after["A"] != before["A"] and "C" not in after
+    assert state() == sorted(second) and state(1) == sorted(first)
+    rows = read_chunks(spark, path).collect()
+    assert all(r["vec"][0] == len(r["text"]) for r in rows)
+    # Who opened the table before the change still reads what was there.
+    assert old_reader.count() == 19
+    K.remove_old_states(spark, path, keep=1)
+    assert state() == sorted(second) and K.versions(spark, path) == [2]
+
+    gone = ingest_changes(spark.createDataFrame([], columns), path, lengths)
+    assert gone.chunks == 0 and state() == []
+
+
+def test_two_writers_of_one_state(spark, tmp_path, monkeypatch):
+    from parcelflow.sources import knowledge as K
+
+    path = str(tmp_path / "kb")
+    chunks = spark.createDataFrame([("a.md", "0", "t", None, "A")], "source string, chunk_id string, text string, vec array<float>, carrier string")
+    assert overwrite_chunks(chunks, path)
+    monkeypatch.setattr(K, "versions", lambda s, p: [])  # did not see the other's
+    with pytest.raises(RuntimeError, match="another writer"):
+        K.replace_carriers(chunks, path)

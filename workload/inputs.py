@@ -115,6 +115,24 @@ SQL = {
                     THEN CAST(conv_id * 1000000 + turn + 1 AS STRING) || '.0' END
                  AS response_tweet_id
         FROM conversations""",
+    # Every turn names the next one.  Some conversations end in a turn that is not there, some begin again; some
+    # turns are answered twice.
+    "threaded_tweets": """
+        SELECT CAST(conv_id * 1000 + turn AS STRING) AS tweet_id,
+               CASE WHEN role = 'user' THEN 'True' ELSE 'False' END AS inbound,
+               text,
+               CASE WHEN conv_id % 7 = 3 AND turn = n - 1 THEN CAST(conv_id * 1000 AS STRING) || '.0'
+                    WHEN conv_id % 7 = 5 AND turn = 0
+                    THEN CAST(conv_id * 1000 + 1 AS STRING) || ',' || CAST(conv_id * 1000 + 2 AS STRING)
+                    WHEN conv_id % 7 = 5 AND turn = 1 THEN NULL
+                    ELSE CAST(conv_id * 1000 + turn + 1 AS STRING) || '.0' END AS response_tweet_id
+        FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) AS counted""",
+    "kb_markdown": """
+        SELECT 'file' || CAST(doc_id AS STRING) || '.md' AS source,
+               '# File ' || CAST(doc_id AS STRING) || chr(10) ||
+               replace(replace(replace(text, 'e. ', 'e.' || chr(10) || '## '),
+                               'n. ', 'n.' || chr(10) || '### Q: '), 's. ', 's.' || chr(10) || chr(10)) AS text
+        FROM documents WHERE text IS NOT NULL""",
     "instructions": f"""
         SELECT o_orderkey, {_pick(MESSAGE_TEXTS)} AS instruction, {_pick(RAW_ANSWERS)} AS response
         FROM orders""",

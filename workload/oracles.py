@@ -285,6 +285,70 @@ FROM parts WHERE chunk <> '' GROUP BY doc_id"""
 ORACLES["ingest_counts"] = f"""
 {KB_FILES}, parts AS ({chunked('files', 'source', 1000, 200)})
 SELECT source, count(*) AS chunks FROM parts WHERE chunk <> '' GROUP BY ROLLUP (source)"""
+SECOND = f"""{KB_FILES},
+numbered AS (SELECT *, CAST(nullif(regexp_extract(source, '_([0-9]+)\\.md$', 1), '') AS BIGINT) AS n FROM files),
+first_files AS (SELECT source, text, carrier FROM numbered WHERE NOT (carrier = 'Shipping_A' AND n % 50 = 1)),
+second_files AS (
+  SELECT source, CASE WHEN carrier = 'Shipping_B' AND n % 40 = 2 THEN text || ' changed' ELSE text END AS text, carrier
+  FROM numbered WHERE NOT (carrier = 'Shipping_A' AND n % 50 = 11)),
+before AS ({chunked('first_files', 'source', 1000, 200)}),
+now AS ({chunked('second_files', 'source', 1000, 200)})"""
+ORACLES["ingest_changes"] = f"""
+{SECOND}
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS chunk_id, carrier, md5(chunk) AS text_md5,
+       CAST(length(chunk) AS BIGINT) AS chars, CAST(strlen(chunk) AS BIGINT) AS bytes
+FROM now JOIN second_files USING (source) WHERE chunk <> ''"""
+ORACLES["ingest_report"] = f"""
+{SECOND}
+SELECT (SELECT count(*) FROM now WHERE chunk <> '') AS chunks,
+       (SELECT count(DISTINCT chunk) FROM now WHERE chunk <> '' AND chunk NOT IN (SELECT chunk FROM before)) AS embedded,
+       'Shipping_A|Shipping_B' AS carriers"""
+ORACLES["chunk_by_heading"] = rf"""
+WITH RECURSIVE kb_markdown AS ({SQL['kb_markdown']}),
+lines AS (
+  SELECT source, pos - 1 AS pos, l[pos] AS line, pos = len(l) AS last
+  FROM (SELECT source, l, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT source, string_split(text, chr(10)) AS l FROM kb_markdown))),
+marked AS (
+  SELECT *, length(regexp_extract(line, '(?s)^(#{{1,6}})[ 	]+(\S.*)$', 1)) AS heading,
+         regexp_replace(regexp_extract(line, '(?s)^(#{{1,6}})[ 	]+(\S.*)$', 2), '\s+$', '') AS title,
+         trim(regexp_replace(line, '[	]', ' ', 'g')) = '' AS blank
+  FROM lines),
+stacked AS (
+  SELECT *, coalesce(lag(blank) OVER w, false) AS after_blank, last_value(title IGNORE NULLS) OVER w AS any_title,
+         {", ".join(f"max(CASE WHEN heading = {n} THEN pos END) OVER w AS p{n}, last_value(CASE WHEN heading = {n} THEN title END IGNORE NULLS) OVER w AS t{n}" for n in range(1, 7))},
+         max(CASE WHEN heading > 0 THEN pos END) OVER w AS newest
+  FROM marked WINDOW w AS (PARTITION BY source ORDER BY pos)),
+asked AS (
+  SELECT *, [t FOR t IN [{", ".join(f"CASE WHEN p{n} > greatest(-1, {', '.join(['-1'] + [f'coalesce(p{m}, -1)' for m in range(1, n)])}) THEN t{n} END" for n in range(1, 7))}] IF t IS NOT NULL] AS headings,
+         coalesce(regexp_matches(CASE newest {" ".join(f"WHEN p{n} THEN t{n}" for n in range(1, 7))} END, '^Q\d*[:.)]'), false) AS question
+  FROM stacked),
+units AS (
+  SELECT source, topic, unit, string_agg(line || CASE WHEN last THEN '' ELSE chr(10) END, '' ORDER BY pos) AS body,
+         min_by(headings, pos) AS headings, bool_or(question) AS whole
+  FROM (
+    SELECT *, sum(CASE WHEN heading > 0 OR (after_blank AND NOT blank AND NOT question) THEN 1 ELSE 0 END) OVER w AS unit,
+           sum(CASE WHEN heading BETWEEN 1 AND 2 THEN 1 ELSE 0 END) OVER w AS topic
+    FROM asked WINDOW w AS (PARTITION BY source ORDER BY pos))
+  GROUP BY source, topic, unit),
+pieces AS (
+  SELECT source, topic, unit, headings, unnest(p) AS body, generate_subscripts(p, 1) AS piece
+  FROM (SELECT *, CASE WHEN whole THEN [body] ELSE regexp_extract_all(body, '(?s).{{1,600}}') END AS p FROM units)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY source, topic ORDER BY unit, piece) AS k FROM pieces),
+packed(source, topic, k, body, headings, chunk, held) AS (
+  SELECT source, topic, k, body, headings, 0, length(body) FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT o.source, o.topic, o.k, o.body, o.headings,
+         CASE WHEN held > 0 AND held + length(o.body) > 600 THEN chunk + 1 ELSE chunk END,
+         CASE WHEN held > 0 AND held + length(o.body) > 600 THEN 0 ELSE held END + length(o.body)
+  FROM packed p JOIN ordered o ON o.source = p.source AND o.topic = p.topic AND o.k = p.k + 1),
+chunks AS (
+  SELECT source, topic, chunk, string_agg(body, '' ORDER BY k) AS body, array_to_string(min_by(headings, k), ' > ') AS headings
+  FROM packed GROUP BY source, topic, chunk),
+bared AS (SELECT *, trim(regexp_replace(body, '^\s+|\s+$', '', 'g')) AS bare FROM chunks)
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY topic, chunk) - 1 AS chunk_id, headings,
+       md5(body) AS body_md5,
+       md5(CASE WHEN bare = '' THEN '' ELSE concat_ws(chr(10), nullif(headings, ''), bare) END) AS text_md5
+FROM bared"""
 ORACLES["chunk_table"] = f"""
 {cte('chunks')}
 SELECT carrier, source, count(*) AS chunks, min(chunk_id) AS first_id FROM chunks GROUP BY ALL"""
@@ -635,6 +699,28 @@ ORACLES["corpus_splits"] = f"""
 SELECT 'a' AS source, instruction AS input_raw, response AS assistant_raw FROM instructions WHERE o_orderkey % 5 <> 0
 UNION ALL
 SELECT DISTINCT 'b', instruction, response FROM instructions WHERE o_orderkey % 5 = 0"""
+THREADS = f"""
+WITH RECURSIVE threaded_tweets AS ({SQL['threaded_tweets']}),
+named AS (
+  SELECT tweet_id AS up, regexp_replace(unnest(string_split(response_tweet_id, ',')), '\\.0$', '') AS id
+  FROM threaded_tweets),
+ups AS (
+  SELECT id, min_by(up, length(up) * 1000000000000 + CAST(up AS BIGINT)) AS up FROM named
+  WHERE id <> up AND id IN (SELECT tweet_id FROM threaded_tweets)
+    -- the circles begin with the first turn
+    AND NOT (CAST(id AS BIGINT) % 1000 = 0 AND CAST(up AS BIGINT) // 1000 = CAST(id AS BIGINT) // 1000)
+  GROUP BY id),
+walk(tweet_id, thread, turn) AS (
+  SELECT tweet_id, tweet_id, 0::BIGINT FROM threaded_tweets WHERE tweet_id NOT IN (SELECT id FROM ups)
+  UNION ALL SELECT ups.id, thread, turn + 1 FROM walk JOIN ups ON ups.up = tweet_id)"""
+ORACLES["tweet_threads"] = f"{THREADS} SELECT tweet_id, thread, turn FROM walk"
+ORACLES["thread_chat_text"] = f"""
+{THREADS}
+SELECT thread, count(*) AS tweets,
+       md5({lit(f'<|system|>{chr(10)}{SYSTEM}{chr(10)}')} || string_agg(
+         CASE WHEN inbound = 'True' THEN '<|user|>' ELSE '<|assistant|>' END || chr(10) || text || chr(10), ''
+         ORDER BY turn, length(tweet_id), tweet_id)) AS text_md5
+FROM walk JOIN threaded_tweets USING (tweet_id) GROUP BY thread"""
 ORACLES["chat_text_conversation"] = f"""
 SELECT conv_id,
        CASE WHEN bool_or(role = 'system') THEN '' ELSE {lit(f'<|system|>{chr(10)}{SYSTEM}{chr(10)}')} END ||

@@ -15,6 +15,8 @@ from parcelflow.operators.dedup import keep_first, pair_digest
 from parcelflow.operators.history import with_history
 from parcelflow.operators.lanes import billable_kg, with_cents
 from parcelflow.operators.pairs import reply_pairs
+from parcelflow.operators.sections import chunk_sections
+from parcelflow.operators.threads import thread_texts, threads
 from parcelflow.operators.sample import flag_smallest, hash_order
 from parcelflow.operators.similarity import topk
 from parcelflow.operators.vector_index import index_for, load_index, search_index
@@ -306,6 +308,20 @@ def pairs_jsonl(spark, sf):
     return read_pairs(spark, path)
 
 
+@query
+def tweet_threads(spark, sf):
+    """Thread and turn of every tweet: chains, branches, replies that are not there, and circles."""
+    placed = threads(derived(spark, sf, "threaded_tweets"))
+    return placed.select("tweet_id", "thread", "turn")
+
+
+@query
+def thread_chat_text(spark, sf):
+    """Training text of whole threads."""
+    tweets = derived(spark, sf, "threaded_tweets")
+    return thread_texts(tweets, threads(tweets)).select("thread", "tweets", _md5(F.col("text")).alias("text_md5"))
+
+
 @query
 def pair_json(spark, sf):
     row = F.to_json(F.struct(F.col("input_raw").alias("input"), F.col("assistant_raw").alias("assistant_response")))
@@ -339,6 +355,51 @@ def chunk_documents_small(spark, sf):
     )
 
 
+@query
+def chunk_by_heading(spark, sf):
+    """Sections of markdown files packed to 600 characters, questions with their answers."""
+    chunks = chunk_sections(derived(spark, sf, "kb_markdown"), ["source"], size=600)
+    return chunks.select(
+        "source", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.array_join("headings", " > ").alias("headings"),
+        _md5(F.col("body")).alias("body_md5"), _md5(F.col("text")).alias("text_md5"),
+    )
+
+
+def _embedded(text: Column) -> Column:
+    return F.array(F.char_length(text).cast("float"), F.octet_length(text).cast("float"))
+
+
+def _second_ingest(spark, sf):
+    """A chunk table after an ingest and a second one, in which some files are changed, new or gone."""
+    path = _scratch(spark, "kb")
+    # Files of Shipping_C and those without a carrier are the same both times.
+    number = F.regexp_extract("source", r"_([0-9]+)\.md$", 1).cast("bigint")
+    files = kb_files(derived(spark, sf, "kb_files")).withColumn("n", number)
+    first = files.filter("NOT (carrier = 'Shipping_A' AND n % 50 = 1)")
+    text = F.when((F.col("carrier") == "Shipping_B") & (F.col("n") % 40 == 2), F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    second = files.filter("NOT (carrier = 'Shipping_A' AND n % 50 = 11)").withColumn("text", text)
+    knowledge.ingest_changes(knowledge.chunk_files(first.drop("n")).drop("vec"), path, _embedded)
+    return path, knowledge.ingest_changes(knowledge.chunk_files(second.drop("n")).drop("vec"), path, _embedded)
+
+
+@query
+def ingest_changes(spark, sf):
+    """The chunk table after the second ingest."""
+    path, _ = _second_ingest(spark, sf)
+    return read_chunks(spark, path).select(
+        "source", F.col("chunk_id").cast("bigint").alias("chunk_id"), "carrier", _md5(F.col("text")).alias("text_md5"),
+        F.get("vec", F.lit(0)).cast("bigint").alias("chars"), F.get("vec", F.lit(1)).cast("bigint").alias("bytes"),
+    )
+
+
+@query
+def ingest_report(spark, sf):
+    """What the second ingest cost: texts that were embedded, carriers that were written."""
+    _, done = _second_ingest(spark, sf)
+    row = (done.chunks, done.embedded, "|".join(c or "" for c in done.carriers))
+    return spark.createDataFrame([row], "chunks bigint, embedded bigint, carriers string")
+
+
 @query
 def ingest_counts(spark, sf):
     chunks = knowledge.chunk_files(kb_files(derived(spark, sf, "kb_files")))
