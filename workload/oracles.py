@@ -11,7 +11,7 @@ from __future__ import annotations
 from parcelflow.functions.guard import ASK_ID_LINE as ASK_LINE, BLOCKED, REFUSE_LINK_LINE as REFUSAL
 
 from .inputs import COUNTRIES, RAW_ANSWERS, SERVICES, SQL, cte  # noqa: F401
-from .queries import CONFIG, QUOTAS, SPLIT_RATIO, WIDE, WORDS
+from .queries import CONFIG, QUOTAS, SPLIT_RATIO, SYLLABLES, WIDE, WORDS
 
 ORACLES: dict[str, str] = {}
 
@@ -311,7 +311,8 @@ lines AS (
 marked AS (
   SELECT *, length(regexp_extract(line, '(?s)^(#{{1,6}})[ 	]+(\S.*)$', 1)) AS heading,
          regexp_replace(regexp_extract(line, '(?s)^(#{{1,6}})[ 	]+(\S.*)$', 2), '\s+$', '') AS title,
-         trim(regexp_replace(line, '[	]', ' ', 'g')) = '' AS blank
+         trim(regexp_replace(line, '[	
+]', ' ', 'g')) = '' AS blank
   FROM lines),
 stacked AS (
   SELECT *, coalesce(lag(blank) OVER w, false) AS after_blank, last_value(title IGNORE NULLS) OVER w AS any_title,
@@ -721,6 +722,16 @@ SELECT thread, count(*) AS tweets,
          CASE WHEN inbound = 'True' THEN '<|user|>' ELSE '<|assistant|>' END || chr(10) || text || chr(10), ''
          ORDER BY turn, length(tweet_id), tweet_id)) AS text_md5
 FROM walk JOIN threaded_tweets USING (tweet_id) GROUP BY thread"""
+ORACLES["phrases_conversations"] = f"""
+WITH syllables AS (SELECT unnest({SYLLABLES}) AS s, unnest(range(0, {len(SYLLABLES)})) AS i),
+phrases AS (
+  SELECT a.s || b.s || c.s AS phrase, min((a.i * {len(SYLLABLES)} + b.i) * {len(SYLLABLES)} + c.i) AS rank, count(*) AS n
+  FROM syllables a, syllables b, syllables c GROUP BY 1),
+held AS (
+  SELECT conv_id, turn, sum(n) AS phrases, min_by(phrase, rank) AS first
+  FROM conversations, phrases WHERE contains(text, phrase) GROUP BY conv_id, turn)
+SELECT conv_id, turn, phrases IS NOT NULL AS any, CAST(coalesce(phrases, 0) AS BIGINT) AS phrases, first
+FROM conversations LEFT JOIN held USING (conv_id, turn)"""
 ORACLES["chat_text_conversation"] = f"""
 SELECT conv_id,
        CASE WHEN bool_or(role = 'system') THEN '' ELSE {lit(f'<|system|>{chr(10)}{SYSTEM}{chr(10)}')} END ||

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from parcelflow.config import V01, V02, from_mapping
 from parcelflow.functions import chat, citations as C, guard as G, intents as I, text as T, vectors
 from parcelflow.functions.citations import hit_fields
+from parcelflow.functions.phrases import holds_any, ranks_of
 from parcelflow.operators.chunks import chunk_text
 from parcelflow.operators.dedup import keep_first, pair_digest
 from parcelflow.operators.history import with_history
@@ -131,6 +132,20 @@ def keyword_filter_docs(spark, sf):
     return docs.filter(T.contains_any(F.col("text"), WORDS)).select("doc_id")
 
 
+SYLLABLES = "the an er in re on ti ea or st ha nd ing ed ly is es en le la de qu".split()
+PHRASES = [a + b + c for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
+
+
+@query
+def phrases_conversations(spark, sf):
+    """Which of some ten thousand phrases each turn holds: the first in list order, and how many."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", ranks_of(F.col("text"), PHRASES).alias("ranks"))
+    return turns.select(
+        "conv_id", "turn", holds_any(F.col("text"), PHRASES).alias("any"), F.size("ranks").cast("bigint").alias("phrases"),
+        F.get(F.array(*map(F.lit, PHRASES)), F.get("ranks", F.lit(0))).alias("first"),
+    )
+
+
 # --- pairs and curation -------------------------------------------------------------------------
 
 def _pairs(spark, sf, tweets: str = "tweets") -> DataFrame:
