@@ -6,6 +6,11 @@ An SPDX identifier counts as it stands.  Weights of the templates' words come fr
 all files; a word that no template has weighs as one that no file has.  A window can reach the threshold only if it
 holds one of the template's heaviest words, so only texts with such a word are weighed; that drops nothing.
 
+Templates of neighbouring licences differ in a word or a number that weighs little.  So a window must also hold the
+marks of its template, the family's name and the version, no mark of a GNU licence that the template lacks, and it
+must not be denied ("not released under").  A version is the same with ``v`` before it or ``.0`` after it.
+An SPDX expression of several licences is given as it stands; ``NONE`` and ``NOASSERTION`` state none.
+
 The best notice of a file is its own licence.  If the file is named as a licence file, or notices make up
 FILE_SHARE of its words, it also speaks for its directory and all below it that have none nearer.  A file
 without a notice takes the licence of the nearest such directory.  Directories, not files, are joined with
@@ -52,6 +57,23 @@ TEMPLATES = {
     "CC-BY-NC-4.0-long": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "CC-BY-SA-4.0-long": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-4.0-long": "licensed under a Creative Commons Attribution 4.0 International License",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1",
+    "GPL-2.0-work": "Licensed under the GNU General Public License, version 2",
+    "GPL-3.0-work": "Licensed under the GNU General Public License, version 3",
+    "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-2.0": "Licensed under the GNU Library General Public License, version 2",
+    "BSD-4-Clause": "Use of this source code is governed by a BSD 4-clause license",
+    "Zlib": "Released under the Zlib License",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-3.0": "Licensed under CC BY 3.0",
+    "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0",
+    "CC-BY-ND-4.0-long": "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0-long": "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-ND-4.0-long": "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
     "CC0-1.0": "dedicated to the public domain under CC0 1.0 Universal",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "Proprietary": "Copyright. All rights reserved",
@@ -91,6 +113,8 @@ TEXTS = {
     "GPL-3.0": GNU_HEADER.format("", 3),
     "GPL-2.0": GNU_HEADER.format("", 2),
     "LGPL-3.0": GNU_HEADER.format("Lesser ", 3),
+    "LGPL-2.1": GNU_HEADER.format("Lesser ", 2.1),
+    "LGPL-2.0": GNU_HEADER.format("Library ", 2),
     "AGPL-3.0": GNU_HEADER.format("Affero ", 3),
     "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation",
     "GPL-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation",
@@ -115,9 +139,29 @@ TITLES = {
     "ISC": "ISC License",
     "BSD-3-Clause": "BSD 3-Clause License",
     "BSD-2-Clause-title": "BSD 2-Clause License",
+    "BSD-4-Clause": "BSD 4-Clause License",
+    "LGPL-2.1": "GNU Lesser General Public License version 2.1",
+    "LGPL-2.0": "GNU Library General Public License version 2",
+    "Apache-1.1": "Apache License Version 1.1",
+    "BSL-1.0": "Boost Software License Version 1.0",
+    "Zlib": "zlib License",
     "GPL-1.0-or-later": "GNU General Public License",  # without a version any may be chosen
 }
-SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)")
+# The names of families, and the words before a version.
+FAMILIES = {
+    "apache", "mit", "isc", "gnu", "lesser", "library", "affero", "mozilla", "bsd", "2-clause", "3-clause", "4-clause", "zlib",
+    "boost", "eclipse", "cc", "by", "by-nc", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd", "cc0", "attribution",
+    "attribution-noncommercial", "attribution-sharealike", "attribution-noderivatives",
+    "attribution-noncommercial-sharealike", "attribution-noncommercial-noderivatives", "unencumbered",
+}
+GNU_KINDS = {"lesser", "library", "affero"}
+BEFORE_VERSION = {"version", "v", "license"} | {f for f in FAMILIES if f.startswith(("by", "cc0", "attribution"))}
+DENIALS = {"not", "never", "isn't", "aren't", "wasn't"}
+GIVING = {"licensed", "released", "distributed", "covered", "governed", "available", "subject", "under"}
+#: Words after a denial that it reaches.
+DENIED = 8
+SPDX_ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*(\(*{SPDX_ID}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{SPDX_ID}\)*)*)")
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)(\.[a-z0-9]+)?$"
 THRESHOLD = 0.75
 FILE_SHARE = 0.3
@@ -126,8 +170,41 @@ BREAK = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def terms_of(text: str) -> list[str]:
-    """Words in lower case without marks around them."""
-    return [t for w in BREAK.split(text.lower()) if (t := w.strip(EDGES))]
+    """Words in lower case without marks around them; ``v2.0`` is ``version 2.0``."""
+    out = []
+    for word in BREAK.split(text.lower()):
+        if term := word.strip(EDGES):
+            out += ["version", term[1:]] if term[0] == "v" and term[1:2].isdigit() else [term]
+    return out
+
+
+def mark(term: str) -> str:
+    """A version without ``v`` before and zeros after it; any other word as it is."""
+    number = re.fullmatch(r"v?([0-9]{1,2}(?:\.[0-9]+)*)", term)
+    return re.sub(r"(\.0)+$", "", number.group(1)) if number else term
+
+
+def marks_of(terms: list[str]) -> set[str]:
+    """What tells a template from those of other licences: names of families, and versions."""
+    versions = {mark(b) for a, b in zip(terms, terms[1:]) if a in BEFORE_VERSION and mark(b)[:1].isdigit() and len(mark(b)) < 4}
+    return {t for t in terms if t in FAMILIES} | versions
+
+
+def denied(terms: list[str]) -> np.ndarray:
+    """Places of words that a denial reaches."""
+    out = np.zeros(len(terms), bool)
+    for i, t in enumerate(terms[:-1]):
+        if t in DENIALS and terms[i + 1] in GIVING:
+            out[i : i + 1 + DENIED] = True
+    return out
+
+
+def spdx_name(expression: str) -> str | None:
+    """A stated licence without what says which versions it may be; null if none is stated."""
+    ids = re.sub(rf"({SPDX_ID})", lambda m: re.sub(r"(-only|-or-later|\+)$", "", m.group(1)), expression)
+    if " " not in ids:
+        ids = ids.strip("()")
+    return None if ids.upper() in ("NONE", "NOASSERTION") else ids
 
 
 @dataclass
@@ -142,18 +219,20 @@ class Index:
     own_signs: list[set[str]]  # of each template
     sizes: list[int]  # words
     full: int  # templates before TITLES
+    marks: list[set[str]]  # that a passage must hold
 
     @classmethod
     def build(cls, frequencies: dict[str, int], files: int, threshold: float = THRESHOLD) -> Index:
         unknown = log(files + 1) + 1
         idf = {t: log((files + 1) / (n + 1)) + 1 for t, n in frequencies.items()}
-        names, vectors, own_signs, sizes = [], [], [], []
+        names, vectors, own_signs, sizes, marks = [], [], [], [], []
         for name, text in [*TEMPLATES.items(), *TEXTS.items(), *TITLES.items()]:
             terms = terms_of(text)
             weights = {t: n * idf.get(t, unknown) for t, n in Counter(terms).items()}
             norm = sqrt(sum(w * w for w in weights.values()))
             vector = {t: w / norm for t, w in weights.items()}
-            names.append(re.sub("-(long|text|title)$", "", name))
+            names.append(re.sub("-(long|text|title|work)$", "", name))
+            marks.append(marks_of(terms))
             vectors.append(vector)
             sizes.append(len(terms))
             left, signs = 1.0, set()  # the square of what the words not yet taken can reach
@@ -164,7 +243,7 @@ class Index:
                 left -= w * w
             own_signs.append(signs)
         every = sorted(set().union(*own_signs))
-        return cls(names, vectors, idf, unknown, every, own_signs, sizes, len(TEMPLATES) + len(TEXTS))
+        return cls(names, vectors, idf, unknown, every, own_signs, sizes, len(TEMPLATES) + len(TEXTS), marks)
 
     def cosine(self, terms: list[str], place: int) -> float:
         """Of a passage and a template."""
@@ -178,19 +257,25 @@ class Index:
         place = max(range(len(scores)), key=lambda i: (scores[i], -i))
         return scores[place], place
 
+    def told(self, terms: list[str], place: int) -> bool:
+        """Whether a passage holds the marks of a template and none of another kind of GNU licence."""
+        wanted, held = self.marks[place], {mark(t) for t in terms}
+        return wanted <= held and ("gnu" not in wanted or not (held & GNU_KINDS) - wanted)
+
     def windows(self, terms: list[str], weights: np.ndarray, place: int) -> tuple[float, list[tuple[int, int]]]:
         """Best cosine of the windows about as long as a template, and all windows that match."""
         vector, size = self.vectors[place], self.sizes[place]
         square = np.concatenate([[0.0], np.cumsum(weights * weights)])
         dot = np.concatenate([[0.0], np.cumsum(weights * np.array([vector.get(t, 0.0) for t in terms]))])
-        top, found = 0.0, []
+        top, found, void = 0.0, [], denied(terms)
         step = 1 + size // 16
         for length in sorted({min(len(terms), size + k * step) for k in (-1, 0, 1, 2)} - {0}):
             # Repeated words only make the norm larger, so this is no less than the cosine.
             bound = (dot[length:] - dot[:-length]) / np.sqrt(square[length:] - square[:-length])
             for start in np.flatnonzero(bound >= THRESHOLD - 1e-9).tolist():
-                score = self.cosine(terms[start : start + length], place)
-                if score >= THRESHOLD:
+                passage = terms[start : start + length]
+                score = self.cosine(passage, place)
+                if score >= THRESHOLD and not void[start] and self.told(passage, place):
                     top = max(top, score)
                     found.append((start, start + length))
         return top, found
@@ -218,8 +303,7 @@ class Index:
             if round(score, 9) > best:
                 best, place = round(score, 9), i
         matched = int((np.cumsum(covered) > 0).sum())
-        if stated:
-            name = re.sub(r"(-only|-or-later|\+)$", "", stated.group(1))
+        if stated and (name := spdx_name(stated.group(1))):
             return name, 1.0, max(matched, 2), len(terms)
         return (self.names[place] if place >= 0 else None), best, matched, len(terms)
 

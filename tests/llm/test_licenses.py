@@ -51,7 +51,7 @@ def test_ties(files_of):
 def test_signs_lose_nothing():
     index = L.Index.build({t: 5 for x in L.TEMPLATES.values() for t in L.terms_of(x)}, 100)
     for name, text in L.TEMPLATES.items():
-        assert index.notice(f"prose\n{text}.\nmore")[0] == name.removesuffix("-long")
+        assert index.notice(f"prose\n{text}.\nmore")[0] == re.sub("-(long|work)$", "", name)
         long = PROSE.replace("\n", " ") + text + " " + PROSE.replace("\n", " ")
         assert any(s in long.lower() for s in index.signs)
     for text in [PROSE, *[t for t in ODD_TEXTS if t]]:
@@ -124,4 +124,74 @@ def test_templates_in_long_lines_and_over_two():
     for name, text in L.TEMPLATES.items():
         words = text.split()
         for shown in (text, " ".join(words[:2]) + "\n" + " ".join(words[2:])):
-            assert index.notice(prose + shown + " " + prose)[0] == name.removesuffix("-long"), name
+            assert index.notice(prose + shown + " " + prose)[0] == re.sub("-(long|work)$", "", name), name
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under the Apache License, Version 1.1", "Apache-1.1"),
+        ("Licensed under the Apache License v2.0", "Apache-2.0"),
+        ("Licensed under CC BY 3.0", "CC-BY-3.0"), ("Licensed under CC BY 2.5", None),
+        ("Licensed under CC BY-ND 4.0", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+        ("Use of this source code is governed by a BSD 4-clause license", "BSD-4-Clause"),
+        ("Released under the Zlib License", "Zlib"), ("Released under the Foo License", None),
+        ("Licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+        ("Licensed under the GNU Library General Public License version 2", "LGPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+        ("Licensed under the GNU General Public License version 3.0", "GPL-3.0"),
+        ("Licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"),
+        (L.GNU_HEADER.format("Lesser ", 2.1), "LGPL-2.1"), (L.GNU_HEADER.format("", 2), "GPL-2.0"),
+        ("This project is not released under the MIT License", None),
+        ("You may not remove this. Released under the MIT License", "MIT"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "(MIT OR Apache-2.0)"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0 WITH Classpath-exception-2.0"),
+        ("// SPDX-License-Identifier: NONE", None), ("// SPDX-License-Identifier: (MIT)", "MIT"),
+    ],
+)
+def test_neighbouring_licences(spark, text, name):
+    if not INDEX:
+        docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        INDEX.append(L.Index.build(L.frequencies(docs.select("text")), docs.count()))
+    assert INDEX[0].notice(text)[0] == name
+    assert INDEX[0].notice(PROSE + text + "\n" + PROSE)[0] == name
+
+
+def test_against_a_plain_cosine_of_all_windows():
+    """Every window of every template's lengths, weighed one by one."""
+    import random
+    from collections import Counter
+    from math import sqrt
+
+    index = L.Index.build({t: 5 for x in L.TEMPLATES.values() for t in L.terms_of(x)}, 100)
+    all_texts = [*L.TEMPLATES.values(), *L.TEXTS.values(), *L.TITLES.values()]
+
+    def plain(text):
+        terms = L.terms_of(text)
+        best = (0.0, None)
+        for place, template in enumerate(all_texts):
+            if place == len(L.TEMPLATES) + len(L.TEXTS) and best[1]:
+                break
+            own = L.terms_of(template)
+            t = {w: n * index.idf.get(w, index.unknown) for w, n in Counter(own).items()}
+            step = 1 + len(own) // 16
+            for length in {min(len(terms), len(own) + k * step) for k in (-1, 0, 1, 2)} - {0}:
+                for start in range(len(terms) - length + 1):
+                    window = terms[start:start + length]
+                    v = {w: n * index.idf.get(w, index.unknown) for w, n in Counter(window).items()}
+                    dot = sum(x * v.get(w, 0.0) for w, x in t.items())
+                    norms = sqrt(sum(x * x for x in t.values())) * sqrt(sum(x * x for x in v.values()))
+                    score = round(dot / norms, 9)
+                    if dot / norms >= L.THRESHOLD and score > best[0] and not L.denied(terms)[start] and index.told(window, place):
+                        best = (score, index.names[place])
+        return best
+
+    draw = random.Random(8)
+    words = [w for t in all_texts[:20] for w in t.split()] + "some other plain words here".split()
+    for _ in range(12):
+        template = draw.choice(all_texts).split()
+        text = [draw.choice(words) for _ in range(draw.randint(0, 12))] + template + [draw.choice(words) for _ in range(draw.randint(0, 12))]
+        for _ in range(draw.randint(0, 2)):
+            text[draw.randrange(len(text))] = draw.choice(words)
+        got = index.notice(" ".join(text))
+        assert (got[1], got[0]) == plain(" ".join(text)), " ".join(text)
