@@ -12,8 +12,6 @@ Sizes.  Words and contexts are tables: n-grams are counted by partial aggregatio
 n-grams go to the same parts to be scored.  The KNOWN most frequent words (a fixed number) are broadcast with their
 counts; others are joined by hash.  Only totals pass the driver.
 
-``Seats`` moves one customer at a time and ``class_table`` holds restaurants of classes; ``learn`` uses neither.
-
 A null or empty text is the end alone.  Rows without an id are learned from.  Rows that repeat an id are
 scored one by one.  If nothing is left to learn from, all probabilities are those of the bases.  Empty
 tables give empty results; other columns do not matter.
@@ -37,22 +35,16 @@ from parcelflow.staging import stage
 from . import contexts
 from .common import bounded_batches, pieces, whole_texts, words_of
 
-CLASSES = 1024
-SMALL = 32
 KNOWN = 1 << 19
-END, OTHER = 0, 1  # classes; head words follow by frequency
 
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = CLASSES
-    small: int = SMALL
     known: int = KNOWN
     discount: float = 0.7
     strength: float = 1.0
     burn: int = 3
     kept: int = 4
-    moves: int = 2  # of every dish in a sweep
     folds: int = 7
     held_fold: int = 2
     part: int = 1 << 18  # tokens in a part, about
@@ -60,111 +52,7 @@ class Settings:
     merge: int = 1 << 18  # tokens whose n-grams are counted together
 
 
-# --- Chinese restaurants ---------------------------------------------------------------------------
-
-
-class Seats:
-    """Customers of many dishes at tables; several restaurants may be held at once.
-
-    ``place`` is the restaurant of a dish, ``count`` its customers (at least one).
-    """
-
-    def __init__(self, place, places, count, base, discount, strength, rng, tables_elsewhere=0.0):
-        self.place, self.places, self.count = place, places, count.astype(np.int64)
-        self.base, self.discount, self.strength, self.rng = base, discount, strength, rng
-        self.elsewhere = tables_elsewhere
-        self.many = np.flatnonzero(self.count > 1)  # a lone customer always has its own table
-        self.tables = np.ones(len(count), np.int64)
-        self._first_seats()
-
-    def totals(self) -> np.ndarray:
-        """Tables of each restaurant."""
-        return np.bincount(self.place, weights=self.tables, minlength=self.places) + self.elsewhere
-
-    def _opening(self) -> np.ndarray:
-        """Weight of a new table for each dish with several customers."""
-        return (self.strength + self.discount * self.totals()[self.place[self.many]]) * self.base[self.many]
-
-    def _first_seats(self) -> None:
-        """Seat customers in turn: the first one by one, later ones in batches that double."""
-        weight, count = self._opening(), self.count[self.many]
-        tables, seated, batch = np.ones(len(count), np.int64), 1, 1
-        open_dishes = np.arange(len(count))
-        while len(open_dishes):
-            n = np.minimum(batch, count[open_dishes] - seated)
-            middle = seated + (n - 1) / 2
-            w = weight[open_dishes]
-            chance = w / (w + np.maximum(middle - self.discount * tables[open_dishes], 1e-9))
-            tables[open_dishes] += self.rng.binomial(n, chance)
-            seated += batch
-            batch = 1 if seated < 32 else seated
-            open_dishes = open_dishes[count[open_dishes] > seated]
-        self.tables[self.many] = tables
-        # One table takes those beyond one customer a table; moves spread them.
-        self.owner = np.repeat(np.arange(len(count)), tables)
-        self.size = np.ones(len(self.owner), np.int64)
-        self.size[np.cumsum(tables) - tables] += count - tables
-
-    def _table_of(self, customer: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return np.searchsorted(ends, customer, side="right")
-
-    def move(self) -> None:
-        """Take one customer of every dish from its table and seat it anew."""
-        if not len(self.many):
-            return
-        count, rng = self.count[self.many], self.rng
-        ends = np.cumsum(self.size)
-        begin = np.cumsum(count) - count
-        left = self._table_of(begin + (rng.random(len(count)) * count).astype(np.int64), ends)
-        self.size[left] -= 1
-        self.tables[self.many] -= self.size[left] == 0
-        weight, rest = self._opening(), count - 1
-        tables = self.tables[self.many]
-        opens = rng.random(len(count)) * (weight + rest - self.discount * tables) < weight
-        ends = np.cumsum(self.size)
-        begin = np.cumsum(rest) - rest
-        todo = np.flatnonzero(~opens)
-        while len(todo):  # a table in proportion to its customers less the discount
-            at = self._table_of(begin[todo] + (rng.random(len(todo)) * rest[todo]).astype(np.int64), ends)
-            taken = rng.random(len(todo)) * self.size[at] < self.size[at] - self.discount
-            self.size[at[taken]] += 1
-            todo = todo[~taken]
-        self.tables[self.many] += opens
-        stay = self.size > 0
-        owner = np.concatenate([self.owner[stay], np.flatnonzero(opens)])
-        size = np.concatenate([self.size[stay], np.ones(int(opens.sum()), np.int64)])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.size = owner[order], size[order]
-
-    def shares(self, customers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the predictive probability: each dish's own share, each restaurant's weight of its parent."""
-        total = self.strength + customers
-        own = (self.count - self.discount * self.tables) / total[self.place]
-        return own, (self.strength + self.discount * self.totals()) / total
-
-
-def sample(place, places, count, base, use: Settings, rng, customers=None, elsewhere=0.0):
-    """Average shares, average weights, and the tables of the last sweep."""
-    if customers is None:
-        customers = np.bincount(place, weights=count, minlength=places)
-    seats = Seats(place, places, count, base, use.discount, use.strength, rng, elsewhere)
-    own, weight = np.zeros(len(count)), np.zeros(places)
-    for sweep in range(use.burn + use.kept):
-        for _ in range(use.moves):
-            seats.move()
-        if sweep >= use.burn:
-            a, b = seats.shares(customers)
-            own += a / use.kept
-            weight += b / use.kept
-    return own, weight, seats.tables
-
-
-def alone(dish: np.ndarray, count: np.ndarray, base: np.ndarray, use: Settings, rng):
-    """``sample`` for a single restaurant, of which ``base`` holds all dishes."""
-    return sample(np.zeros(len(dish), np.int64), 1, count, base[dish], use, rng)
-
-
-# --- words and classes of texts ---------------------------------------------------------------------
+# --- words of texts ---------------------------------------------------------------------------------
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -187,30 +75,6 @@ class Head:
     scores: np.ndarray
 
 
-def _in_turn(classes: np.ndarray, text: np.ndarray, n: int, use: Settings):
-    """Context and class of all tokens, ends included, and the text of each; a text begins after two ends.
-
-    A context is the previous class, or beyond ``use.classes`` a pair of small classes.
-    """
-    per_text = np.bincount(text, minlength=n)
-    own = np.full(len(classes) + n, END, np.int64)
-    ends = np.cumsum(per_text + 1) - 1
-    word = np.ones(len(own), bool)
-    word[ends] = False
-    own[word] = classes
-    one, two = np.full(len(own), END), np.full(len(own), END)
-    one[1:] = own[:-1]
-    two[1:] = one[:-1]
-    two[ends - per_text] = END  # nothing before the text counts
-    second = np.where(two < use.small, two, OTHER)
-    context = np.where(one < use.small, use.classes + one * use.small + second, one)
-    return context, own, np.repeat(np.arange(n), per_text + 1)
-
-
-def _batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
-
-
 # --- jobs ------------------------------------------------------------------------------------------
 
 
@@ -268,62 +132,6 @@ def _collected(df: DataFrame) -> dict[str, np.ndarray]:
     return {c: v.to_numpy() for c, v in zip(df.columns, df.toArrow().columns)}
 
 
-def class_table(counts: DataFrame, use: Settings) -> np.ndarray:
-    """log10 probability of a class in a context; a parent's customers are its children's tables."""
-    k, small = use.classes, use.small
-    met = _collected(counts.groupBy("own").agg(F.sum("n").alias("n")))  # at most k rows
-    root = np.full(k, 1 / k)
-    root[met["own"]] += met["n"]
-    root /= root.sum()
-
-    def seated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """All restaurants after one class: those of two classes, and their parent."""
-        last = key[0].as_py()
-        context, own, n = (table.column(c).to_numpy() for c in ("context", "own", "n"))
-        order = np.lexsort((own, context))
-        context, own, n = context[order], own[order], n[order]
-        rng = np.random.default_rng([5, last])
-        parts = []
-        if last < small:
-            contexts, place = np.unique(context, return_inverse=True)
-            sums = np.bincount(own, weights=n, minlength=k)
-            parent = (sums + root) / (sums.sum() + 1)
-            share, weight, tables = sample(place, len(contexts), n, parent[own], use, rng)
-            parts.append((context, own, share, weight[place], np.zeros(len(own), np.int64)))
-            sums = np.bincount(own, weights=tables, minlength=k).astype(np.int64)
-            own = np.flatnonzero(sums)
-            n = sums[own]
-        share, weight, tables = alone(own, n, root, use, rng)
-        parts.append((np.full(len(own), last), own, share, np.full(len(own), weight[0]), tables))
-        names = ("context", "own", "share", "weight", "tables")
-        return pa.table({name: np.concatenate(x) for name, x in zip(names, zip(*parts))})
-
-    last = F.when(F.col("context") < k, F.col("context")).otherwise(
-        F.floor((F.col("context") - k) / small).cast("bigint")
-    )
-    rows = stage(
-        counts.withColumn("last", last).groupBy("last").applyInArrow(
-            seated, "context bigint, own bigint, share double, weight double, tables bigint"
-        ),
-        "class-shares",
-    )
-    tops = _collected(rows.groupBy("own").agg(F.sum("tables").alias("n")).filter("n > 0"))  # at most k rows
-    top = np.full(k, 1 / k)
-    if len(tops["own"]):
-        share, weight, _ = alone(tops["own"], tops["n"], top, use, np.random.default_rng(6))
-        top *= weight[0]
-        top[tops["own"]] += share
-    found = _collected(rows.drop("tables"))  # at most (k + small ** 2) * k rows
-    weights = np.ones(k + small**2)
-    weights[found["context"]] = found["weight"]
-    shares = np.zeros((k + small**2, k))
-    shares[found["context"], found["own"]] = found["share"]
-    table = np.empty_like(shares)
-    table[:k] = weights[:k, None] * top + shares[:k]
-    table[k:] = weights[k:, None] * np.repeat(table[:small], small, axis=0) + shares[k:]
-    return np.log10(table).astype(np.float32)
-
-
 @dataclass
 class Model:
     """What scoring needs: words with their probabilities, restaurants of contexts, and totals."""

@@ -3,8 +3,6 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,57 +48,6 @@ def check(rows, docs, use=P.Settings()):
     return got
 
 
-def stirling(c, d):
-    s = [[0.0] * (c + 2) for _ in range(c + 1)]
-    s[0][0] = 1.0
-    for n in range(c):
-        for t in range(n + 2):
-            s[n + 1][t] = (s[n][t - 1] if t else 0) + (n - d * t) * s[n][t]
-    return s[c]
-
-
-def test_seats_follow_the_posterior():
-    """Mean tables of a small restaurant against the sum over all numbers of tables."""
-    d, theta, counts, base = 0.6, 1.0, np.array([5, 3, 1]), np.array([0.5, 0.2, 0.1])
-    weights = {}
-    for t in [(a, b, 1) for a in range(1, 6) for b in range(1, 4)]:
-        w = math.prod(theta + d * i for i in range(1, sum(t)))
-        for c, k, p in zip(counts, t, base):
-            w *= stirling(int(c), d)[k] * p**k
-        weights[t] = w
-    total = sum(weights.values())
-    want = [sum(t[i] * w for t, w in weights.items()) / total for i in range(3)]
-    seats = P.Seats(np.zeros(3, np.int64), 1, counts, base, d, theta, np.random.default_rng(1))
-    sums = np.zeros(3)
-    for i in range(6000):
-        seats.move()
-        assert np.array_equal(np.bincount(seats.owner, weights=seats.size), counts[seats.many])
-        assert np.array_equal(np.bincount(seats.owner), seats.tables[seats.many])
-        if i >= 1000:
-            sums += seats.tables / 5000
-    assert sums == pytest.approx(want, rel=0.1)
-
-
-def test_classes_are_distributions(spark):
-    use = P.Settings(classes=16, small=4)
-    draw = np.random.default_rng(3)
-    n = draw.zipf(1.5, 3000) % 16
-    rows = [(int(a), int(b), int(c)) for a, b, c in zip(draw.integers(0, 32, 300), n, draw.integers(1, 50, 300))]
-    counts = spark.createDataFrame(rows, "context bigint, own bigint, n bigint").groupBy("context", "own").agg(F.sum("n").alias("n"))
-    table = 10.0 ** P.class_table(counts, use)
-    assert table.shape == (32, 16) and table.sum(axis=1) == pytest.approx(np.ones(32), rel=1e-4)
-    most = max(rows, key=lambda r: r[2])
-    assert table[most[0], most[1]] > 1 / 16
-
-
-def test_contexts():
-    use = P.Settings(classes=8, small=3)
-    context, own, text = P._in_turn(np.array([2, 5, 6]), np.array([0, 0, 2]), 3, use)
-    assert own.tolist() == [2, 5, P.END, P.END, 6, P.END] and text.tolist() == [0, 0, 0, 1, 2, 2]
-    first = 8 + P.END * 3 + P.END
-    assert context.tolist() == [first, 8 + 2 * 3 + P.END, 5, first, first, 6]
-
-
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -114,7 +61,7 @@ def test_odd_rows_and_few_known_words(docs_of):
     rows = [*enumerate(ODD_TEXTS), (None, "some words"), (3, "a b"), (3, "a b")]
     docs = docs_of(rows).withColumn("row", F.lit(1)).withColumn("h", F.lit(2)).withColumn("held", F.lit(3))
     check(rows, docs)
-    check(rows, docs, P.Settings(classes=4, small=3, known=3))
+    check(rows, docs, P.Settings(known=3))
     empty = docs.limit(0)
     assert P.score(empty, P.learn(empty)).count() == 0
 
@@ -123,8 +70,3 @@ def test_nothing_to_learn_from(docs_of):
     only = [i for i in range(200) if held(i)][:3]
     rows = [(i, f"words of text {i}") for i in only]
     assert all(r["train_tokens"] == 0 for r in check(rows, docs_of(rows)).collect())
-
-
-def test_empty_batches():
-    words, code, text = P._coded(pa.array([], pa.string()))
-    assert len(P._in_turn(code, text, 0, P.Settings())[0]) == 0
