@@ -10,10 +10,11 @@ the passage is verbatim, else the question was asked with new values.
 A name is a capitalised word within a sentence (after a lower-case letter, comma, semicolon or colon, and white
 space); a number may hold separators and decimals.  Windows are joined in a second form as well, in which names are
 lower-case words, so that a verbatim text is found whatever its case.
-Windows with fewer than LITERAL words that are no placeholders say too little and are not used; items
-without a usable window are never found.
+Windows with fewer than LITERAL words that are no placeholders say too little and are not used.  Items shorter than
+a window are joined by their whole template, with windows of just their length, if SHORT_LITERAL of their words are no
+placeholders; other items without a usable window are never found, as their words could stand anywhere.
 
-Null and empty texts match nothing, an empty benchmark leaves all documents clean.  Rows that repeat an
+Texts of any length are taken whole.  Null and empty texts match nothing, an empty benchmark leaves all documents clean.  Rows that repeat an
 id are told apart by their text; rows equal in both are found together.  Null ids are reported as null.
 Other columns are carried by ``clean`` and not looked at.
 """
@@ -28,6 +29,7 @@ from .common import fresh_name, maybe_broadcast
 
 WINDOW = 8
 LITERAL = 4
+SHORT_LITERAL = 5  # in items shorter than a window
 RUN = 6  # windows, that is 13 words
 
 # Units that may follow a number.
@@ -71,20 +73,20 @@ def both_forms(text: Column) -> list[Column]:
     return [_words(slots).alias("words"), _words(plain).alias("plain")]
 
 
-def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, at, form, window): the hash of every usable window and where it begins.
+def windows(rows: DataFrame, keys: list[str], size: int = WINDOW, literals: int = LITERAL) -> DataFrame:
+    """(keys, at, form, window): the hash of every usable window of ``size`` words and where it begins.
 
     ``form`` is 0 for windows of ``words``, 1 for those of ``plain`` that differ.
     """
     at = F.col("at")
 
     def hashed(column: str) -> Column:
-        words = [F.get(column, at + i) for i in range(WINDOW)]
+        words = [F.get(column, at + i) for i in range(size)]
         literal = sum(((~w.startswith(MARK)).cast("int") for w in words[1:]), (~words[0].startswith(MARK)).cast("int"))
-        return F.when(literal >= LITERAL, F.xxhash64(*words))
+        return F.when(literal >= literals, F.xxhash64(*words))
 
     placed = rows.select(*keys, "words", "plain", F.posexplode("words").alias("at", "word"))
-    whole = placed.filter(at <= F.size("words") - WINDOW)
+    whole = placed.filter(at <= F.size("words") - size)
     both = whole.select(*keys, "at", hashed("words").alias("slot"), hashed("plain").alias("bare"))
     usable = both.filter("slot is not null or bare is not null")
     forms = F.when(F.col("slot").eqNullSafe(F.col("bare")), F.array("slot")).otherwise(F.array("slot", "bare"))
@@ -111,7 +113,17 @@ def found_groups(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = F.count_distinct(F.when(F.col("form") == 0, F.col("item_at")))
     usable = F.when(slots > 0, slots).otherwise(F.count_distinct("item_at"))
     needed = asked.groupBy("item_id").agg(F.least(usable, F.lit(RUN)).alias("needed"))
-    return groups.join(needed, "item_id").filter(F.size("places") >= F.col("needed")).drop("needed")
+    out = groups.join(needed, "item_id").filter(F.size("places") >= F.col("needed")).drop("needed")
+    lengths = items.select(F.size("words").alias("n")).filter(F.col("n").between(SHORT_LITERAL, WINDOW - 1)).distinct()
+    for n in sorted(r["n"] for r in lengths.collect()):  # fewer than WINDOW
+        short = windows(items.filter(F.size("words") == n), ["item_id"], n, SHORT_LITERAL)
+        short = stage(short.select("item_id", "window").distinct(), "short-items")
+        told = windows(_keyed(docs, *both_forms(F.col("text"))), ["doc_id", "text_key"], n, SHORT_LITERAL)
+        met = told.join(maybe_broadcast(short), "window")
+        # Every place is a passage of its own.
+        places = met.select("doc_id", "text_key", "item_id", F.col("at").alias("shift"), F.array("at").alias("places"))
+        out = out.unionByName(places.distinct())
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -127,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = benchmark.select("item_id", template(F.col("text"), values=True).alias("asked"))
     rows = groups.join(own, "text_key").join(asked, "item_id")
     covered = F.array_distinct(
-        F.flatten(F.transform("places", lambda p: F.sequence(p, p + (WINDOW - 1))))
+        F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.least(F.lit(WINDOW), F.size("asked")) - 1)))
     )
     pairs = F.transform(
         covered,

@@ -84,3 +84,15 @@ def test_case_line_breaks_and_forms_of_numbers(spark, docs_of):
 def test_names_of_items_in_lower_case(spark, docs_of):
     benchmark = spark.createDataFrame([(1, EGGS.lower())], "item_id bigint, text string")
     assert found(docs_of([EGGS]), benchmark) == {(0, 1): True}
+
+
+def test_items_shorter_than_a_window(spark, docs_of):
+    items = ["What is the capital city of France?", "Add 5 and 7 in your head", "too short to tell", "1 2 3 4 5 6 7"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = docs_of([
+        "He asked: What is the capital city of France? Nobody knew.", "what is the CAPITAL city of\nfrance",
+        "What is the capital city of Spain?", "What is the large city of France?", "Now add 5 and 7 in your head, please",
+        "Add 8 and 9 in your head", "it is too short to tell", "1 2 3 4 5 6 7", "What is the capital city", None,
+    ])
+    assert found(docs, benchmark) == {(0, 0): True, (1, 0): True, (2, 0): False, (4, 1): True, (5, 1): False}
+    assert [r["doc_id"] for r in D.clean(docs, benchmark).orderBy("doc_id").collect()] == [3, 6, 7, 8, 9]
