@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all of ``docs``, and returns their columns, but for the last
 one, which returns the encoded documents.
+
+Null and empty texts have too few words for the first stage and go there; a text of any length is taken whole.  Rows
+without an id are kept where their text is, as are rows that repeat an id: each is judged by its own text, so of
+copies the one with the smallest id stays, and rows that are equal in id and text stay or go together.  Columns
+beside those of documents are carried along, whatever their names, up to the last stage.  An empty table passes as one.
 """
 
 from __future__ import annotations
