@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from parcelflow.functions import vectors as V
 from parcelflow.operators.chunks import chunk_text
+from parcelflow.operators import similarity
 from parcelflow.operators.similarity import collect_hits, small_chunk_hits, topk
 from parcelflow.plans import knowledge
 from parcelflow.sources.knowledge import overwrite_chunks, read_chunks, read_markdown
@@ -192,3 +194,46 @@ def test_two_writers_of_one_state(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(K, "versions", lambda s, p: [])  # did not see the other's
     with pytest.raises(RuntimeError, match="another writer"):
         K.replace_carriers(chunks, path)
+
+
+@pytest.mark.parametrize("tile", [(3, 8), (256, 2048)])
+def test_tiles_keep_the_best_and_the_order_of_ties(monkeypatch, tile):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    monkeypatch.setattr(similarity, "RESCORED", 5)
+    rng = np.random.default_rng(1)
+    vecs = rng.normal(size=(300, 6)).astype(np.float32)
+    vecs[50:200] = vecs[50] * rng.integers(1, 4, size=(150, 1))  # copies of other lengths
+    vecs[7] = 0
+    carriers = [["A", None, "B"][i % 3] for i in range(300)]
+    rows = pa.table({"vec": pa.array(vecs.tolist(), pa.list_(pa.float32())), "carrier": pa.array(carriers, pa.string())})
+    asked = rows.slice(0, 60)
+    for k in (1, 4, 400):
+        query, chunk, score = similarity._best(similarity._Vectors(asked), similarity._Vectors(rows), k)
+        lengths = np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+        unit = vecs.astype(float) / np.where(lengths > 0, lengths, 1.0)
+        for q in range(60):
+            seen = [i for i in range(300) if carriers[q] in (None, carriers[i])]
+            wanted = sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in seen)[:k]
+            found = list(zip((-score[query == q]).tolist(), chunk[query == q].tolist()))
+            assert [i for _, i in found] == [i for _, i in wanted]
+            assert np.allclose([s for s, _ in found], [s for s, _ in wanted])
+
+
+def test_many_small_vectors_are_held(spark):
+    """What tasks hold is a matter of bytes, not of rows."""
+    chunks = spark.range(10_001).select(
+        F.lit("s").alias("source"), F.col("id").cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("carrier"),
+        F.lit("t").alias("text"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vec"),
+    )
+    find = small_chunk_hits(chunks, 1)
+    far = spark.range(1).select(find(F.array(F.lit(1.0), F.lit(0.0)), F.lit(None).cast("string")).alias("hits")).first()
+    assert [h["chunk_id"] for h in far["hits"]] == ["10000"]
+
+
+def test_queries_of_one_file_are_dealt_over_tasks(spark):
+    one = spark.range(100).coalesce(1).select(
+        F.col("id").alias("query_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec")
+    )
+    chunks = one.select(F.lit("s").alias("source"), F.col("query_id").alias("chunk_id"), "vec")
+    tasks = topk(one, chunks, 2).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
