@@ -1,6 +1,8 @@
 import random
 import time
+from collections.abc import Iterator
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -439,3 +441,52 @@ def test_a_large_chunk_table_needs_the_one_query(spark, tmp_path):
     )
     with pytest.raises(ValueError, match="answer_stream"):
         stream_pipeline(stream_messages(spark, str(tmp_path / "in")), chunks, embed=word_lengths, max_held=2)
+
+
+def streamed(spark, folder, table, **options):
+    table.coalesce(1).write.parquet(f"{folder}/in")
+    job = stream_pipeline(spark.readStream.schema(table.schema).parquet(f"{folder}/in"), **options)
+    writer = job.writeStream.format("parquet").option("path", f"{folder}/out")
+    writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(job.schema).parquet(f"{folder}/out").select(*COLUMNS)
+
+
+def test_a_stream_calls_for_buckets_of_conversations(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "STATE_BUCKETS", 2)
+    _, table = chatty(spark)
+    # Ids that a double does not hold, beside messages without a conversation, whose memory is one.
+    table = table.withColumn("conv_id", F.when(F.col("conv_id") != 3, (1 << 60) + F.col("conv_id")))
+    calls, singly = spark.sparkContext.accumulator(0), M.one_by_one(telling)
+
+    def many(texts, contexts, ids):
+        calls.add(1)
+        return singly(texts, contexts, ids)
+
+    found = {r["msg_id"]: r for r in streamed(spark, tmp_path, table, generate_many=many).collect()}
+    named = table.withColumn("conv_id", F.coalesce("conv_id", F.lit(7)))
+    whole = {r["msg_id"]: r for r in triage.converse(named, generate=telling).select(*COLUMNS).collect()}
+    assert {m: r.asDict() | {"conv_id": r["conv_id"] or 7} for m, r in found.items()} == {m: r.asDict() for m, r in whole.items()}
+    assert {r["conv_id"] for r in found.values()} == {None, *((1 << 60) + c for c in range(40) if c != 3)}
+    assert calls.value <= 60 + 2 * 9 + 9  # waves of two buckets and of what has no conversation
+
+
+def test_messages_of_one_file_are_understood_by_many_tasks(spark, tmp_path):
+    table = spark.range(4000).selectExpr(
+        "id msg_id", "id conv_id", "id turn", "'hello' text", "cast(null as string) tracking", "cast(null as string) carrier"
+    )
+    chunks = spark.createDataFrame(
+        [("a.md", "0", "t", [1.0], None)], "source string, chunk_id string, text string, vec array<double>, carrier string"
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        def partition(batches):
+            seen.add(1)
+            for batch in batches:
+                yield batch.map(lambda t: [1.0])
+
+        partition.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(partition, "array<double>")(F.coalesce(text, F.lit("")))
+
+    assert streamed(spark, tmp_path, table, chunks=chunks, embed=embed).count() == 4000
+    assert seen.value > 1
