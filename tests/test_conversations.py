@@ -490,3 +490,15 @@ def test_messages_of_one_file_are_understood_by_many_tasks(spark, tmp_path):
 
     assert streamed(spark, tmp_path, table, chunks=chunks, embed=embed).count() == 4000
     assert seen.value > 1
+
+
+def test_messages_that_search_are_dealt_over_tasks(spark):
+    rows = messages(spark).coalesce(1).withColumn("vec", F.array(F.lit(1.0), F.lit(0.0)))
+    chunks = spark.createDataFrame(
+        [("a.md", "0", "text a", [1.0, 0.1], None)], "source string, chunk_id string, text string, vec array<double>, carrier string"
+    )
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    for answered in (triage.answer_messages(rows, chunks), triage.plain_answers(rows, chunks)):
+        assert answered.rdd.getNumPartitions() >= tasks
+    assert triage.ready_messages(rows, chunks).rdd.getNumPartitions() >= tasks
+    assert triage.answer_messages(rows).rdd.getNumPartitions() == 1
