@@ -237,3 +237,22 @@ def test_queries_of_one_file_are_dealt_over_tasks(spark):
     chunks = one.select(F.lit("s").alias("source"), F.col("query_id").alias("chunk_id"), "vec")
     tasks = topk(one, chunks, 2).select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > 1
+
+
+def test_blocks_that_meet_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ROWS_OF_GROUP", 10)
+    queries = spark.range(2000).selectExpr("id query_id", "array(cast(cos(id) as float), cast(sin(id) as float)) vec")
+    chunks = spark.range(300).selectExpr(
+        "'s' source", "cast(id as string) chunk_id", "array(cast(cos(id / 7) as float), cast(sin(id / 7) as float)) vec"
+    )
+    groups, meet = spark.sparkContext.accumulator(0), similarity._hits
+
+    def counted(*args):
+        groups.add(1)
+        return meet(*args)
+
+    monkeypatch.setattr(similarity, "_hits", counted)
+    found = sorted(topk(queries, chunks, 3, max_broadcast=10).collect())
+    assert groups.value >= similarity.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(similarity, "_hits", meet)
+    assert found == sorted(topk(queries, chunks, 3).collect())
