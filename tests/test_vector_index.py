@@ -119,3 +119,34 @@ def test_search_and_answers_through_the_index(spark, chunks, index):
     messages = messages.withColumn("vec", F.array(*map(F.lit, vec)).cast("array<float>"))
     answered = triage.answer_messages(messages, chunks, max_held=2, index=index).first()
     assert answered["citations"][0] == "s3#3"
+
+
+def test_a_question_is_sent_once_to_a_group_of_cells(spark, tmp_path, monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = [("s", str(i), None, "t", draw.normal(size=8).tolist()) for i in range(2000)]
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    index = V.build_index(chunks, str(tmp_path / "i"), cells=40)
+    queries = chunks.filter("chunk_id % 4 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    written = {}
+
+    def staged(df, name):
+        written[name] = stage(df, name)
+        return written[name]
+
+    stage = V.stage
+    monkeypatch.setattr(V, "stage", staged)
+    found = V.search_index(queries, index, 3, exact=True, max_broadcast=10)
+    assert hits(found) == hits(topk(queries, chunks, 3))
+    # All cells make one group of 2,000 rows here: a question finds its k hits once, and goes on as one row.
+    assert index.probes > 5
+    assert written["chosen"].count() == written["asked"].count() == 500
+    assert written["hits"].count() <= 500 * 3
+    assert written["more"].count() <= 500
+
+
+@pytest.mark.parametrize("block", [1 << 20, 1])
+def test_large_groups_see_the_cells_asked_for_alone(spark, chunks, index, monkeypatch, block):
+    monkeypatch.setattr(V, "BLOCK_BYTES", block)
+    queries = queries_of(chunks)
+    few = hits(V.search_index(queries, index, 4, probes=2))
+    assert hits(V.search_index(queries, index, 4, probes=2, max_broadcast=5)) == few
