@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from parcelflow.functions import answers as A
+from parcelflow.functions.tracking import carrier_alias
 from parcelflow.operators.history import conversation_spans, with_first, with_history
 from parcelflow.plans import triage
 from parcelflow.plans.guard import audit, guard_answers, guard_report
@@ -502,3 +503,32 @@ def test_messages_that_search_are_dealt_over_tasks(spark):
         assert answered.rdd.getNumPartitions() >= tasks
     assert triage.ready_messages(rows, chunks).rdd.getNumPartitions() >= tasks
     assert triage.answer_messages(rows).rdd.getNumPartitions() == 1
+
+
+def test_clear_flags_need_no_python_and_equal_the_waves(spark):
+    flagged = chatty(spark)[1].withColumn("clear", F.when(F.col("msg_id") % 7 != 0, F.col("msg_id") % 5 == 0))
+    lone = flagged.filter("msg_id % 10 = 0").withColumns(
+        {"msg_id": F.col("msg_id") + 100_000, "conv_id": F.lit(None).cast(dict(flagged.dtypes)["conv_id"])}
+    )
+    flagged = flagged.unionByName(lone)
+    found = triage.converse(flagged)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    waves = M.answer_in_waves(triage.ready_messages(flagged)).drop("lines")
+    order = lambda df: sorted(df.select("msg_id", "conv_id", "turn", "answer", "citations", "history").collect(), key=lambda r: r["msg_id"])
+    assert order(found) == order(waves)
+    assert {len(r["history"]) for r in order(found)} == {0, 2, 4, 6}
+
+
+def test_a_generator_gets_what_it_reads_and_no_ready_answers(spark):
+    found = triage.converse(chatty(spark)[1], generate_many=lambda texts, contexts, ids: [f"re {t}" for t in texts])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "answer_first" not in plan and "missing_id" not in plan
+    assert "lines" not in plan
+    assert all("re " in r["answer"] for r in found.collect())
+
+
+def test_aliases_are_found_through_the_one_pass_for_all(spark):
+    texts = ["with shippingB", "SHIPPING_A!", "no carrier", "xShippingA", "ſhippingC and Shipping_B", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    found = [r["c"] for r in rows.orderBy("i").select(carrier_alias(F.col("text")).alias("c")).collect()]
+    assert found == ["Shipping_B", "Shipping_A", None, None, "Shipping_B", None]
