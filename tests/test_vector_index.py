@@ -1,10 +1,11 @@
 """Inverted-file index: exact answers, recall on clustered vectors, crowded cells, odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parcelflow.operators import vector_index as V
+from parcelflow.operators import similarity as S, vector_index as V
 from parcelflow.operators.similarity import topk
 from parcelflow.plans import knowledge, triage
 from parcelflow.schemas import MESSAGES
@@ -150,3 +151,32 @@ def test_large_groups_see_the_cells_asked_for_alone(spark, chunks, index, monkey
     queries = queries_of(chunks)
     few = hits(V.search_index(queries, index, 4, probes=2))
     assert hits(V.search_index(queries, index, 4, probes=2, max_broadcast=5)) == few
+
+
+@pytest.mark.parametrize("tile", [(16, 32), (256, 2048)])
+def test_many_tiles_and_groups_give_the_best_of_all_pairs(monkeypatch, tile):
+    monkeypatch.setattr(S, "TILE", tile)
+    monkeypatch.setattr(V, "TILE", tile)
+    draw = np.random.default_rng(8)
+    values = draw.normal(size=(9000, 8)).astype(np.float32)
+    cells = draw.integers(0, 30, 9000)
+
+    def held(n):
+        vec = pa.FixedSizeListArray.from_arrays(pa.array(values[:n].reshape(-1)), 8).cast(pa.list_(pa.float32()))
+        ids = [f"{i:05}" for i in range(n)]
+        return S._Vectors(pa.table({"source": ids, "chunk_id": ids, "carrier": pa.nulls(n, pa.string()), "vec": vec}))
+
+    questions, rows = held(300), held(9000)
+    scores = questions.unit() @ rows.unit().T
+    wanted = np.argsort(-scores, axis=1)[:, :5]
+    query, chunk, _ = S._best(questions, rows, 5)
+    assert np.array_equal(chunk.reshape(300, 5), wanted)
+    asks = draw.random((300, 30)) < 0.4
+    asks[:, 0] = True
+    wanted = np.argsort(np.where(asks[:, cells], -scores, np.inf), axis=1)[:, :5]
+    nothing, near = np.full(300, np.nan), asks.argmax(axis=1)
+    query, chunk, found = V._best_in_cells(questions, asks, nothing, near, rows, cells, 5)
+    assert np.array_equal(chunk.reshape(300, 5), wanted)
+    third = found.reshape(300, 5)[:, 2]
+    query, chunk, _ = V._best_in_cells(questions, asks, third, near, rows, cells, 5)
+    assert all(set(wanted[q, :3]) <= set(chunk[query == q]) <= set(wanted[q]) for q in range(300))
