@@ -41,6 +41,7 @@ class Stirling:
             row = np.logaddexp(np.append(stay, -np.inf), np.insert(row, 0, -np.inf))
             if c < EXACT:
                 self.exact[c + 1, 1 : c + 2] = row
+        self.by_tables = np.ascontiguousarray(self.exact.T)
         left = np.concatenate([np.linspace(-80, -3, 20000), np.log1p(-np.logspace(-0.0222, -9, 20000))])
         z = -np.expm1(left)
         self.left, self.rise = left, np.log(self._excess(left, z))  # falls
@@ -99,12 +100,12 @@ def draw(count, step, rng, discount, own=None, all_=None) -> np.ndarray:
         for some in np.array_split(at, max(1, len(at) * size // (1 << 20))):
             if not len(some):
                 continue
-            t = np.arange(1, size + 1)
-            grown = np.log((own[some, None] + t[:-1]) / (all_[some, None] + t[:-1])) + step[some, None]
-            weight = numbers.exact[count[some], 1 : size + 1].copy()
-            weight[:, 1:] += np.cumsum(grown, axis=1)
-            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            tables[some] = 1 + (weight < (rng.random(len(some)) * weight[:, -1])[:, None]).sum(axis=1)
+            t = np.arange(1, size)[:, None]  # a row for each number of tables, so that long rows are added
+            grown = np.log((own[some] + t) / (all_[some] + t)) + step[some]
+            weight = numbers.by_tables[1 : size + 1].take(count[some], axis=1)
+            weight[1:] += np.cumsum(grown, axis=0)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=0)), axis=0)
+            tables[some] = 1 + (weight < rng.random(len(some)) * weight[-1]).sum(axis=0)
         size *= 2
     large = np.flatnonzero(count > EXACT)
     for some in np.array_split(large, max(1, len(large) // 2048)):
@@ -132,7 +133,7 @@ def _large(numbers, c, step, own, all_, rng):
     high = first_where(lambda t: weight(t) < top - DROP, mode.copy(), c.copy())
     gap = np.maximum(1.0, (high - low) / (POINTS - 1))
     t = low[:, None] + gap[:, None] * np.arange(POINTS)
-    w = np.stack([weight(np.minimum(x, c)) for x in t.T], axis=1)
+    w = weight(np.minimum(t, c[:, None]).ravel(), np.repeat(np.arange(len(c)), POINTS)).reshape(t.shape)
     w = np.where(t <= high[:, None] + 1e-9, np.exp(w - w.max(axis=1, keepdims=True)), 0)
     w = np.cumsum(w, axis=1)
     pick = (w < (rng.random(len(c)) * w[:, -1])[:, None]).sum(axis=1)

@@ -1,12 +1,15 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelflow.llm import pitman_yor as P
+from parcelflow.llm import contexts as C, pitman_yor as P
 
 from .conftest import ODD_TEXTS
 
@@ -70,3 +73,70 @@ def test_nothing_to_learn_from(docs_of):
     only = [i for i in range(200) if held(i)][:3]
     rows = [(i, f"words of text {i}") for i in only]
     assert all(r["train_tokens"] == 0 for r in check(rows, docs_of(rows)).collect())
+
+
+def zipf_texts(texts, words):
+    draw = np.random.default_rng(5)
+    weights = 1 / np.arange(1, 5001)
+    at = draw.choice(5000, (texts, words), p=weights / weights.sum())
+    return [" ".join(f"w{x}" for x in row) for row in at]
+
+
+def test_rounds_write_only_what_can_change(docs_of, monkeypatch):
+    """All that learning writes, over eight rounds, is a few times the texts, and a later round a part of the first."""
+    written, stage = [], C.stage
+
+    def weighed(df, name):
+        out = stage(df, name)
+        files = [f.removeprefix("file:") for f in out.inputFiles()]
+        written.append((name, sum(os.path.getsize(urlparse(f).path) for f in files)))
+        return out
+
+    monkeypatch.setattr(C, "stage", weighed)
+    texts = zipf_texts(200, 500)
+    P.learn(docs_of(texts), P.Settings(part=1 << 14))
+    assert sum(size for _, size in written) < 8 * sum(map(len, texts))
+    first, *later = [size for name, size in written if name in ("parts", "moved")]
+    assert len(later) == 8 and max(later) < 0.6 * first
+
+
+def test_probabilities_of_learned_parts_add_up(docs_of):
+    """With split restaurants, words of no rank, and contexts that no round moves."""
+    texts = [*["a b c a b", "b c a", "c c c b a b a", "a a b", "b"] * 6, *zipf_texts(4, 30), "x y z", "once a b"]
+    use = P.Settings(part=40, split=20, merge=30, known=3)
+    docs = docs_of([(None, t) for t in texts])
+    model = P.learn(docs, use)
+    dealer, ranks = model.shared.value
+    got = {}
+    for x in model.parts.collect():
+        got.setdefault(x["dest"], {}).setdefault(x["kind"], []).append((x["src"], bytes(x["data"])))
+    parts = {p: C.rested(sorted_mail(x), dealer, ranks, max(1, dealer.parts // 4), use) for p, x in got.items()}
+    words = {r["h"]: r["score"] for r in model.words.collect()}
+    split = {r["h"]: r["score"] for r in model.split.collect()}
+    names = sorted({w for t in texts for w in tokens(t)})
+    hashes = dict(zip(names, P._hashes(P.pa.array(names))))
+    every = np.append(P._hashes(P.pa.array(names)), [C.END, np.uint64(1)])  # the last was never seen
+    unseen = math.log10(1 - sum(10**x for x in words.values()) - 10 ** model.head.scores[1])
+    known = ranks.hashes, 10 ** model.head.scores[ranks.ranks]
+    for two, one in (("a", "b"), ("c", "c"), ("x", "y"), ("once", "a"), ("b", "x"), ("z", "once")):
+        ones = np.full(len(every), hashes[one])
+        context = C.context_of(np.full(len(every), hashes[two]), ones)
+        part, total = dealer.part(ones, every), 0.0
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            blob = C.plain([x[mine] for x in (ones, context, every)] + [mine])
+            logs = np.zeros(len(every))
+            for _, kind, _, _, data in C.scores({C.GRAMS: [(0, blob)]}, dealer, known, s=parts.get(p)):
+                if kind == C.SUMS:
+                    rows, value = C.pickle.loads(data)
+                    np.add.at(logs, rows.astype(int), value)
+                else:
+                    for row, key, of_split in zip(*C.pickle.loads(data)):
+                        key = int(key.astype(np.int64))
+                        logs[int(row)] += split.get(key, 0.0) if of_split else words.get(key, unseen)
+            total += (10 ** logs[mine]).sum()
+        assert total == pytest.approx(1, rel=1e-3)
+
+
+def sorted_mail(got):
+    return {kind: sorted(letters) for kind, letters in got.items()}
