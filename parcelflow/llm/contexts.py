@@ -17,7 +17,9 @@ and are kept as ranks of the most frequent words, three bytes each before compre
 
 from __future__ import annotations
 
+import gc
 import pickle
+import time
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -531,8 +533,11 @@ def removed(df: DataFrame) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Spark deletes the shuffles of jobs that are over once the driver's garbage is collected."""
-    spark._jvm.System.gc()
+    """Spark deletes the shuffles of jobs that are over once the driver's garbage is collected, Python's first."""
+    gc.collect()
+    for _ in range(2):  # what the first frees may hold more
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def of_kind(df: DataFrame, *kinds: int) -> DataFrame:

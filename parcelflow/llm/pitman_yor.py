@@ -271,6 +271,7 @@ def score(docs: DataFrame, model: Model, use: Settings = Settings()) -> DataFram
         grams = numbered.mapInArrow(lambda batches, w=wave: scored(batches, w), contexts.MAIL)
         mail = grams.unionByName(model.parts.filter(F.col("dest") % WAVES == wave))
         answers.append(stage(contexts.posted(mail, answered), "answers"))
+        del grams, mail
         contexts.let_go(spark)
     sums = stage(reduce(DataFrame.unionByName, answers).groupBy("dest").applyInArrow(summed, SUMS), "sums")
     for table in answers:
