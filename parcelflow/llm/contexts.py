@@ -48,10 +48,66 @@ def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b))
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of 64-bit keys, equal ones in turn, and the keys in that order.
+
+    Numbers are sorted several times faster than places of them, so places take the last bits of the keys.
+    """
+    keys = keys.astype(np.uint64, copy=False)
+    if not len(keys):
+        return np.zeros(0, np.int64), keys
+    bits = np.uint64(len(keys).bit_length())
+    last = (np.uint64(1) << bits) - np.uint64(1)
+    fits = int(keys.max()) >> int(64 - bits) == 0
+    packed = keys << bits if fits else keys & ~last
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= last
+    order = packed.view(np.int64)
+    found = keys[order]
+    if not fits and (found[1:] < found[:-1]).any():  # keys that differ in their last bits only, which are few in hashes
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    return order, found
+
+
+class Places:
+    """Places in ascending hashes, looked for from the first one that begins with the same bits."""
+
+    STEPS = 16  # from there; hashes take fewer
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys.astype(np.uint64, copy=False), max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        begin = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        np.cumsum(begin[:-1], out=begin[1:])
+        begin[0] = 0
+        self.starts = np.minimum(begin, max(0, len(keys) - 1)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place, or -1."""
+        keys, size = self.keys, len(self.keys)
+        if not size:
+            return np.full(len(wanted), -1)
+        at = self.starts[wanted >> self.shift]
+        less = np.flatnonzero(keys[at] < wanted)
+        for _ in range(self.STEPS):
+            at[less] += 1
+            less = less[at[less] < size]
+            less = less[keys[at[less]] < wanted[less]]
+            if not len(less):
+                break
+        at[less] = np.searchsorted(keys, wanted[less])
+        at = np.minimum(at, size - 1)
+        return np.where(keys[at] == wanted, at, -1)
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place in ascending keys, or -1."""
     if not len(keys):
         return np.full(len(wanted), -1)
+    if len(wanted) > len(keys) // 4 > 256:
+        return Places(keys).find(wanted)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, at, -1)
 
@@ -133,7 +189,17 @@ def unsealed(data: bytes):
 
 def planes(x: np.ndarray) -> bytes:
     """Numbers below 2 ** 32, the first bytes of all, then the second ones and so on."""
-    return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    x = np.asarray(x, np.uint32)
+    return b"".join((x >> np.uint32(8 * i)).astype(np.uint8).tobytes() for i in range(4))
+
+
+def numbers(packed: bytes) -> np.ndarray:
+    """What ``planes`` has packed."""
+    first, *more = np.frombuffer(packed, np.uint8).reshape(4, -1)
+    out = first.astype(np.uint32)
+    for i, plane in enumerate(more, 1):
+        out |= plane.astype(np.uint32) << np.uint32(8 * i)
+    return out
 
 
 class Ranks:
@@ -141,22 +207,22 @@ class Ranks:
 
     def __init__(self, hashes: np.ndarray):
         self.by_rank = np.concatenate([np.zeros(1, np.uint64), hashes])
-        order = np.argsort(hashes)
-        self.hashes, self.ranks = hashes[order], order + 1
+        order, self.hashes = ordered(hashes)
+        self.ranks, self.places = order + 1, Places(self.hashes)
 
     def __reduce__(self):
         return Ranks, (self.by_rank[1:],)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        return at_or(self.ranks, find(self.hashes, hashes), 0).astype(np.uint32)
+        return at_or(self.ranks, self.places.find(hashes), 0).astype(np.uint32)
 
     def pack(self, ranks: np.ndarray, rest: np.ndarray, number: np.ndarray) -> bytes:
         """``ranks`` of all ``two``, ``one`` and words in turn; ``rest``: hashes of those that are 0."""
         return sealed((len(number), planes(np.append(ranks, number)), rest.tobytes()))
 
-    def packer(self, hashes: np.ndarray):
-        """Packs columns of places in ``hashes``, and a number."""
-        ranks = self.of(hashes)
+    def packer(self, hashes: np.ndarray, ranks: np.ndarray | None = None):
+        """Packs columns of places in ``hashes``, and a number; ``ranks`` are those of ``hashes``."""
+        ranks = self.of(hashes) if ranks is None else ranks
 
         def pack(columns: list[np.ndarray]) -> bytes:
             at = np.concatenate(columns[:3])
@@ -168,10 +234,7 @@ class Ranks:
     def grams(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ranks and hashes of ``two``, ``one`` and words, a row each, and the number."""
         n, packed, rest = unsealed(data)
-        got = np.empty((4 * n, 4), np.uint8)
-        for i, plane in enumerate(np.frombuffer(packed, np.uint8).reshape(4, -1)):
-            got[:, i] = plane
-        got = got.view("<u4").reshape(4, n)
+        got = numbers(packed).reshape(4, n)
         words = self.by_rank[got[:3]]
         words[got[:3] == 0] = np.frombuffer(rest, np.uint64)
         return got[:3], words, got[3]
@@ -192,24 +255,24 @@ def unpacked(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, np.uint64).reshape(4, -1) for b in blobs], axis=1)
 
 
-def runs(ordered: np.ndarray) -> np.ndarray:
-    """Where equal values begin."""
-    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where equal values, which stand together, begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
 
 
 def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values ascending, a place of each, and which one every value is."""
-    order = np.argsort(x)
-    first = runs(x[order])
+    order, found = ordered(x)
+    first = runs(found)
     which = np.empty(len(x), np.int64)
     which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
-    return x[order[first]], order[first], which
+    return found[first], order[first], which
 
 
 def counted(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of every distinct key, ascending by key, and its total."""
-    order = np.argsort(key)
-    first = runs(key[order])
+    order, found = ordered(key)
+    first = runs(found)
     return order[first], np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
@@ -282,7 +345,7 @@ def core(s: SimpleNamespace) -> SimpleNamespace:
 
 
 def whole(s: SimpleNamespace, c: SimpleNamespace, shared: np.ndarray, rare: np.ndarray, use) -> None:
-    """Averages of all of a new part: those of its core, those that follow from counts, and what buckets answered."""
+    """Averages of all of a new part: those that rounds moved, those that follow from counts, and what buckets answered."""
     d, a = use.discount, use.strength
     on = living(s)
     all3, tables3 = np.bincount(s.row_ctx, s.n, len(s.ctx)).astype(float), np.bincount(s.row_ctx, minlength=len(s.ctx))
@@ -523,13 +586,13 @@ def told_last(bucket: int, got: dict, alone: float, more: float, use) -> list[tu
     return out
 
 
-def removed(df: DataFrame) -> None:
-    """Delete a staged table that is read no more."""
-    jvm = df.sparkSession._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
-    let_go(df.sparkSession)
+def removed(*tables: DataFrame) -> None:
+    """Delete staged tables that are read no more."""
+    spark = tables[0].sparkSession
+    for file in (f for df in tables for f in df.inputFiles()[:1]):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    let_go(spark)
 
 
 def let_go(spark: SparkSession) -> None:
@@ -555,13 +618,14 @@ def learned(grams: DataFrame, words: DataFrame, shared, base: float, alone: int,
     def first(part: int, got: dict) -> list[tuple]:
         dealer, ranks = shared.value
         rank, words, n = (np.concatenate(c, axis=-1) for c in zip(*(ranks.grams(data) for _, data in got[GRAMS])))
+        at, total = counted(pair_of(context_of(*words[:2]), words[2]), n)
+        rank, words = rank[:, at], words[:, at]
         two, one, word = words
         context = context_of(two, one)
-        key = pair_of(context, word)
-        at, total = counted(key, n)
-        s = SimpleNamespace(**restaurants(one[at], context[at], word[at], total, key[at], dealer))
-        order = np.argsort((s.pair_one[s.row_pair].astype(np.int64) << 32) + rank[0, at])  # packs better
-        rank, words = rank[:, at[order]], words[:, at[order]]
+        s = SimpleNamespace(**restaurants(one, context, word, total, pair_of(context, word), dealer))
+        bits = np.uint64(len(ranks.by_rank).bit_length())
+        order, _ = ordered((s.pair_one[s.row_pair].astype(np.uint64) << bits) + rank[0])  # packs better
+        rank, words = rank[:, order], words[:, order]
         kept = ranks.pack(rank.ravel(), words[rank == 0], total[order])
         moved = core(s)
         return [
@@ -575,6 +639,8 @@ def learned(grams: DataFrame, words: DataFrame, shared, base: float, alone: int,
             yield mail([(b, RARE, -1, 0.0, sealed((h[at], c[at]))) for b, at in by_bucket(h, buckets)])
 
     parts = stage(posted(grams, first), "parts")
+    let_go(parts.sparkSession)  # the n-grams as they were dealt
+    moves = stage(of_kind(parts, CORE), "core")  # rounds read no n-grams
     told = of_kind(parts, SHARED).unionByName(words.mapInArrow(sent, MAIL))
     known = stage(posted(told, knowing), "known")
     post, kept, weight, share = parts, parts.limit(0), 0.0, 0.0
@@ -589,18 +655,16 @@ def learned(grams: DataFrame, words: DataFrame, shared, base: float, alone: int,
         root.tables = tables = alone + (of_kind(answers, TOTAL).agg(F.sum("total")).first()[0] or 0.0)
         weight += keeps * (use.strength + use.discount * tables) / (use.strength + root.all) / use.kept
         share += keeps * (1 - use.discount) / (use.strength + root.all) / use.kept
-        asked = of_kind(parts, CORE).unionByName(of_kind(post, STATE)).unionByName(of_kind(answers, ANSWERS))
+        asked = moves.unionByName(of_kind(post, STATE)).unionByName(of_kind(answers, ANSWERS))
         seat = lambda p, got, k=round_, r=root, y=keeps: seated(p, got, k, r, use, y, buckets)
         then = stage(posted(asked, seat), "moved")
         if round_:
-            removed(post)
-            removed(kept)
+            removed(post, kept)
         post, kept = then, answers
 
     value = lambda b, got: told_last(b, got, share, weight * base, use)
     last = stage(posted(of_kind(kept, STATE).unionByName(of_kind(parts, SHARED, RARE)), value), "last")
-    removed(kept)
-    removed(known)
+    removed(kept, known, moves)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -610,8 +674,11 @@ def learned(grams: DataFrame, words: DataFrame, shared, base: float, alone: int,
                 yield pa.RecordBatch.from_arrays(columns, ["h", "word", "value"])
 
     by_key = of_kind(last, STATE).select("data").mapInArrow(listed, "h bigint, word boolean, value double")
-    model = of_kind(parts, GRAMS, CORE).withColumn("kind", F.when(F.col("kind") == GRAMS, BASE).otherwise(F.col("kind")))
-    return model.unionByName(post).unionByName(of_kind(last, RARE, SHARED)), by_key, share, weight
+    by_key = stage(by_key, "by-key")
+    model = of_kind(parts, GRAMS).withColumn("kind", F.lit(BASE))
+    model = stage(model.unionByName(post).unionByName(of_kind(last, RARE, SHARED)), "model")
+    removed(parts, post, last)
+    return model, by_key, share, weight
 
 
 def rested(got: dict, dealer: Dealer, ranks: Ranks, buckets: int, use) -> SimpleNamespace | None:
@@ -623,7 +690,7 @@ def rested(got: dict, dealer: Dealer, ranks: Ranks, buckets: int, use) -> Simple
     for b, at in by_bucket(s.ctx[s.split_ctx], buckets):
         shared[:, at] = unsealed(told[b])
     rare = [unsealed(data) for _, data in got.get(RARE, ())]
-    whole(s, opened(got[CORE][0][1], got[STATE][0][1]), shared, np.concatenate(rare, axis=1) if rare else np.zeros(0), use)
+    whole(s, opened(got[STATE][0][1]), shared, np.concatenate(rare, axis=1) if rare else np.zeros(0), use)
     return s
 
 
@@ -637,7 +704,7 @@ EMPTY = dict(
 )
 
 
-def scores(got: dict, dealer: Dealer, known: tuple[np.ndarray, np.ndarray], read=plain_read, s=None) -> list[tuple]:
+def scores(got: dict, dealer: Dealer, known: tuple[np.ndarray | Places, np.ndarray], read=plain_read, s=None) -> list[tuple]:
     """A part's answers to texts: sums of log10 probabilities by row, and keys whose logarithm is to be added.
 
     ``s`` is the part; it is taken from the mail if it is not given.
@@ -646,24 +713,24 @@ def scores(got: dict, dealer: Dealer, known: tuple[np.ndarray, np.ndarray], read
         return []
     if s is None:
         s = opened(got[STATE][0][1]) if STATE in got else SimpleNamespace(**{k: np.zeros(0, v) for k, v in EMPTY.items()})
-    own1 = np.where(np.isnan(s.p1), at_or(known[1], find(known[0], s.words), np.nan), s.p1)
+    known, p_known = (known[0] if isinstance(known[0], Places) else Places(known[0])), known[1]
+    keys, pairs, contexts, ones, words = (Places(x) for x in (s.key, s.pair_key, s.ctx, s.ones, s.words))
+    own1 = np.where(np.isnan(s.p1), at_or(p_known, known.find(s.words), np.nan), s.p1)
     seen2 = s.own2 + s.weight2[s.pair_one] * own1[s.pair_word]
     seen3 = np.log10(s.own3 + s.weight3[s.row_ctx] * seen2[s.row_pair])
     out = []
     for src, data in got[GRAMS]:
         one, context, word, row = read(data)
-        key = pair_of(context, word)
-        order = np.argsort(key)
-        at = np.empty(len(key), np.int64)
-        at[order] = find(s.key, key[order])
+        at = keys.find(pair_of(context, word))
         value = at_or(seen3, at, 0.0)
         new = np.flatnonzero(at < 0)
         one, context, word = one[new], context[new], word[new]
-        at_ctx, at_one = find(s.ctx, context), find(s.ones, one)
-        p1 = at_or(own1, find(s.words, word), np.nan)
-        p1 = np.where(np.isnan(p1), at_or(known[1], find(known[0], word), np.nan), p1)
+        at_ctx, at_one = contexts.find(context), ones.find(one)
+        p1 = at_or(own1, words.find(word), np.nan)
+        open_ = np.flatnonzero(np.isnan(p1))
+        p1[open_] = at_or(p_known, known.find(word[open_]), np.nan)
         lacks = np.isnan(p1)  # not seen after ``one``, so the shares are none and the logarithm is added later
-        p2 = at_or(s.own2, find(s.pair_key, pair_of(one, word + np.uint64(2))), 0.0)
+        p2 = at_or(s.own2, pairs.find(pair_of(one, word + np.uint64(2))), 0.0)
         p2 = p2 + at_or(s.weight2, at_one, 1.0) * np.where(lacks, 1.0, p1)
         value[new] = np.log10(at_or(s.weight3, at_ctx, 1.0) * p2)
         rows, place = np.unique(row, return_inverse=True)

@@ -22,7 +22,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ from . import contexts
 from .common import bounded_batches, pieces, whole_texts, words_of
 
 KNOWN = 1 << 19
+FEW_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,24 @@ class Settings:
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words.to_numpy(zero_copy_only=False))), ">u8").astype(np.uint64)
+    """Of words of a few bytes all at once, eight bytes at a time."""
+    words = words.cast(pa.binary())
+    begin = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
+    begin, size = begin[:-1], np.diff(begin)
+    data = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # from every byte on
+    found = contexts.mix(size)
+    left = np.flatnonzero(size <= FEW_BYTES)
+    for at in range(0, FEW_BYTES, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        unused = np.maximum(8 - (size[left] - at), 0).astype(np.uint64) << np.uint64(3)
+        found[left] = contexts.mix(found[left] ^ (eight[begin[left] + at] << unused))
+    long_ = np.flatnonzero(size > FEW_BYTES)
+    if len(long_):
+        found[long_] = [xxhash.xxh3_64_intdigest(w) for w in words.take(pa.array(long_)).to_pylist()]
+    return found
 
 
 def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -74,6 +92,10 @@ class Head:
     counts: np.ndarray  # of rank 0, a word that has none, nothing is known
     scores: np.ndarray
 
+    @cached_property
+    def probabilities(self) -> np.ndarray:
+        return 10.0**self.scores
+
 
 # --- jobs ------------------------------------------------------------------------------------------
 
@@ -171,7 +193,6 @@ def learn(docs: DataFrame, use: Settings = Settings()) -> Model:
     base = 1 / (seen["v"] + 2)  # words, the end, and one for every word never seen
     parts, by_key, once, weight = contexts.learned(grams, many, shared, base, alone, tokens, distinct, use)
 
-    by_key = stage(by_key, "by-key")
     value = by_key.filter("word").select("h", "value")
     p = F.when(F.col("c") == 1, once).otherwise(F.coalesce("value", F.lit(0.0))) + F.lit(weight * base)
     counted = words.join(value, "h", "left").select("h", "c", F.log10(p).alias("score"))
@@ -207,18 +228,20 @@ def score(docs: DataFrame, model: Model, use: Settings = Settings()) -> DataFram
         for row, doc_id, piece in numbered_pieces(batches):
             words, code, text = _coded(piece)
             hashes, two, one, own, of = _grams(words, code, text, len(piece))
+            rank = ranks.of(hashes)
             if not wave:
-                data = own_words(row, doc_id, code, text, hashes[:-1])
+                data = own_words(row, doc_id, code, text, hashes[:-1], rank[:-1])
                 yield contexts.mail([(-1 - int(row[0]), contexts.TEXTS, 0, 0.0, contexts.sealed(data))])
             part = dealer.part(hashes[one], hashes[own])
             now = np.flatnonzero(part % WAVES == wave)
             columns = [x[now] for x in (two, one, own, (row - row[0])[of])]
-            yield contexts.dealt(part[now], columns, int(row[0]), ranks.packer(hashes))
+            yield contexts.dealt(part[now], columns, int(row[0]), ranks.packer(hashes, rank))
 
-    def own_words(row: np.ndarray, doc_id: pa.Array, code: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> tuple:
+    def own_words(
+        row: np.ndarray, doc_id: pa.Array, code: np.ndarray, text: np.ndarray, hashes: np.ndarray, rank: np.ndarray
+    ) -> tuple:
         """Texts with counts and scores by the head, and their rare words."""
-        n, (_, ranks), counts = len(row), shared.value, head.value.counts
-        rank = ranks.of(hashes)
+        n, counts = len(row), head.value.counts
         word_base = np.where(rank > 0, base_of(counts[rank]), 0.0)
         sums = lambda values: np.bincount(text, weights=values, minlength=n)
         known = sums((counts[rank] > 0)[code]).astype(np.int64) + (end_count > 0)
@@ -243,7 +266,7 @@ def score(docs: DataFrame, model: Model, use: Settings = Settings()) -> DataFram
             return [(-1 - part, contexts.TEXTS, 0, 0.0, data) for _, data in got[contexts.TEXTS]]
         dealer, ranks = shared.value
         state = contexts.rested(got, dealer, ranks, buckets, use)
-        known = ranks.hashes, 10.0 ** head.value.scores[ranks.ranks]
+        known = ranks.places, head.value.probabilities[ranks.ranks]
         return contexts.scores(got, dealer, known, ranks.read, state)
 
     def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -274,8 +297,7 @@ def score(docs: DataFrame, model: Model, use: Settings = Settings()) -> DataFram
         del grams, mail
         contexts.let_go(spark)
     sums = stage(reduce(DataFrame.unionByName, answers).groupBy("dest").applyInArrow(summed, SUMS), "sums")
-    for table in answers:
-        contexts.removed(table)
+    contexts.removed(*answers)
     whole = sums.filter("asked is null")
     base = F.log10((F.col("c") + 1) / F.lit(float(smoothed)))
     more = lambda of, table, known, base_score, value: sums.filter(F.col("asked") == of).join(table, "h").select(

@@ -22,10 +22,29 @@ DROP = 30.0  # logarithm below the mode from which numbers do not matter
 
 def log_gamma(x):
     x = np.asarray(x, float)
-    y, less = x + 7, np.ones_like(x)
-    for i in range(7):
-        less = less * (x + i)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(less)
+    few = x < 16
+    y = np.where(few, x + 16, x)
+    z = 1 / y
+    out = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + z * (1 / 12 - z * z * (1 / 360 - z * z / 1260))
+    if few.any():
+        some = x[few]
+        less = some.copy()
+        for i in range(1, 16):
+            less *= some + i
+        out[few] -= np.log(less)
+    return out
+
+
+def beyond(m):
+    """What log_gamma(m + 1) has more than Stirling's formula; nothing for very small m."""
+    z = 1 / m
+    out = z * (1 / 12 - z * z * (1 / 360 - z * z / 1260))
+    few = m < 16
+    if few.any():
+        some = m[few]
+        more = log_gamma(some + 1) - (some * np.log(some) - some + 0.5 * np.log(2 * np.pi * some))
+        out[few] = np.where(some < 1e-3, 0.0, more)
+    return out
 
 
 class Stirling:
@@ -61,6 +80,10 @@ class Stirling:
 
     def __call__(self, c, t):
         """For more than EXACT customers; ``t`` from 1 to c, not only whole numbers."""
+        return log_gamma(c + 1) + self.but_for_count(c, t)
+
+    def but_for_count(self, c, t):
+        """The same without what hangs on c alone."""
         d, t = self.d, np.minimum(t, c)
         m = np.maximum(c - t, 1e-6)
         left = np.interp(-np.log(m / t), -self.rise, self.left)
@@ -69,13 +92,12 @@ class Stirling:
         spread = mean * (1 + (1 - d) * z / np.exp(left) - mean)
         spread = np.maximum(spread, 1e-12)
         at = t * np.log1p(-power) - c * np.log(z) - 0.5 * np.log(2 * np.pi * t * spread)
-        near = np.where(m < 1e-3, 0.0, m * np.log(m) - m + 0.5 * np.log(2 * np.pi * m) - log_gamma(m + 1))
-        at = np.where(c - t < 0.5, t * np.log(d), at + near)
+        at = np.where(c - t < 0.5, t * np.log(d), at - beyond(m))
         v = np.log(t) - d * np.log(c)
         fix = np.interp(v, self.place, self.fix)
         if hasattr(self, "slope"):
             fix = fix + np.minimum(v - self.place[0], 0) * self.slope
-        return log_gamma(c + 1) - log_gamma(t + 1) - t * np.log(d) + at + fix
+        return -log_gamma(t + 1) - t * np.log(d) + at + fix
 
 
 @lru_cache(4)
@@ -94,7 +116,11 @@ def draw(count, step, rng, discount, own=None, all_=None) -> np.ndarray:
     tables = np.ones(len(count), np.int64)
     own = np.zeros(len(count)) if own is None else own
     all_ = own if all_ is None else all_
-    size = 2
+    two = np.flatnonzero(count == 2)  # most dishes
+    second = numbers.exact[2, 2] - numbers.exact[2, 1] + step[two]
+    second = np.exp(second) * (own[two] + 1) / (all_[two] + 1)
+    tables[two] += rng.random(len(two)) * (1 + second) > 1
+    size = 4
     while size <= EXACT:
         at = np.flatnonzero((count > size // 2) & (count <= size) & (count > 1))
         for some in np.array_split(at, max(1, len(at) * size // (1 << 20))):
@@ -108,7 +134,7 @@ def draw(count, step, rng, discount, own=None, all_=None) -> np.ndarray:
             tables[some] = 1 + (weight < rng.random(len(some)) * weight[-1]).sum(axis=0)
         size *= 2
     large = np.flatnonzero(count > EXACT)
-    for some in np.array_split(large, max(1, len(large) // 2048)):
+    for some in np.array_split(large, max(1, len(large) // 512)):
         if len(some):
             tables[some] = _large(numbers, count[some].astype(float), step[some], own[some], all_[some], rng)
     return tables
@@ -116,8 +142,8 @@ def draw(count, step, rng, discount, own=None, all_=None) -> np.ndarray:
 
 def _large(numbers, c, step, own, all_, rng):
     def weight(t, i=slice(None)):
-        grown = log_gamma(own[i] + t) - log_gamma(own[i] + 1) - log_gamma(all_[i] + t) + log_gamma(all_[i] + 1)
-        return numbers(c[i], t) + (t - 1) * step[i] + grown
+        grown = log_gamma(own[i] + t) - log_gamma(all_[i] + t)  # but for what hangs on the dish alone
+        return numbers.but_for_count(c[i], t) + (t - 1) * step[i] + grown
 
     def first_where(test, low, high):
         while (high - low).max() >= 1:
@@ -132,11 +158,17 @@ def _large(numbers, c, step, own, all_, rng):
     low = first_where(lambda t: weight(t) > top - DROP, one, mode.copy())
     high = first_where(lambda t: weight(t) < top - DROP, mode.copy(), c.copy())
     gap = np.maximum(1.0, (high - low) / (POINTS - 1))
-    t = low[:, None] + gap[:, None] * np.arange(POINTS)
-    w = weight(np.minimum(t, c[:, None]).ravel(), np.repeat(np.arange(len(c)), POINTS)).reshape(t.shape)
-    w = np.where(t <= high[:, None] + 1e-9, np.exp(w - w.max(axis=1, keepdims=True)), 0)
-    w = np.cumsum(w, axis=1)
-    pick = (w < (rng.random(len(c)) * w[:, -1])[:, None]).sum(axis=1)
-    drawn = t[np.arange(len(c)), pick]
+    points, drawn, size = np.minimum(high - low + 1, POINTS), np.empty(len(c)), 0
+    while size < POINTS:
+        size, least = min(max(16, 2 * size), POINTS), size
+        at = np.flatnonzero((points > least) & (points <= size))
+        if not len(at):
+            continue
+        t = low[at, None] + gap[at, None] * np.arange(size)
+        w = weight(np.minimum(t, c[at, None]).ravel(), np.repeat(at, size)).reshape(t.shape)
+        w = np.where(t <= high[at, None] + 1e-9, np.exp(w - w.max(axis=1, keepdims=True)), 0)
+        w = np.cumsum(w, axis=1)
+        pick = (w < (rng.random(len(at)) * w[:, -1])[:, None]).sum(axis=1)
+        drawn[at] = t[np.arange(len(at)), pick]
     spread = np.where(gap > 1, (rng.random(len(c)) - 0.5) * gap, 0)
     return np.clip(np.rint(drawn + spread), 1, c).astype(np.int64)

@@ -1,4 +1,6 @@
 import math
+import os
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -110,3 +112,41 @@ def test_turns():
     assert own.tolist() == [7, 8, C.END, C.END, 9, C.END] and text.tolist() == [0, 0, 0, 1, 2, 2]
     assert one.tolist() == [C.END, 7, 8, C.END, C.END, 9]
     assert context[0] == context[3] == context[4] != context[1]
+
+
+def test_scoring_gets_only_what_it_reads(docs_of, monkeypatch):
+    """What rounds alone need, and the n-grams as they were dealt, are gone before texts are scored."""
+    staged, stage = {}, C.stage
+
+    def kept(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(C, "stage", kept)
+    model = P.learn(docs_of(["a b c a b c", "b c a b c"] * 5))
+    assert {r["kind"] for r in model.parts.select("kind").distinct().collect()} <= {C.BASE, C.STATE, C.RARE, C.SHARED}
+    for name in ("parts", "core", "known", "moved"):
+        folder = os.path.dirname(urlparse(staged[name].inputFiles()[0]).path)
+        assert not os.path.exists(folder)
+
+
+def test_places_and_order_of_any_hashes():
+    draw = np.random.default_rng(3)
+    some = draw.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    for keys in (some, some >> np.uint64(40), some | np.uint64(1 << 63), some[:1], some[:0], np.repeat(some[:9], 300)):
+        order, found = C.ordered(keys)
+        assert np.array_equal(order, np.argsort(keys, kind="stable")) and np.array_equal(found, keys[order])
+        distinct = np.unique(keys)
+        wanted = np.concatenate([keys, some, np.array([0, 2**64 - 1], np.uint64)])
+        place = {int(k): i for i, k in enumerate(distinct)}
+        assert C.Places(distinct).find(wanted).tolist() == [place.get(int(w), -1) for w in wanted]
+        assert C.find(distinct, wanted).tolist() == [place.get(int(w), -1) for w in wanted]
+
+
+def test_words_of_any_length_have_hashes_of_their_own():
+    words = ["", "a", "ab", "\0", "\0\0", "abcdefgh", "abcdefgh\0", "abcdefghi", "x" * 63, "x" * 64, "x" * 65, "x" * 3000, "ß"]
+    words += [str(i) for i in range(3000)]
+    hashes = P._hashes(P.pa.array(words))
+    assert len(np.unique(hashes)) == len(words)
+    assert np.array_equal(P._hashes(P.pa.array(["other", *words]).slice(1)), hashes)
+    assert len(P._hashes(P.pa.array([], P.pa.string()))) == 0
