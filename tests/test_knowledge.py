@@ -256,3 +256,33 @@ def test_blocks_that_meet_are_spread_over_tasks(spark, monkeypatch):
     assert groups.value >= similarity.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     monkeypatch.setattr(similarity, "_hits", meet)
     assert found == sorted(topk(queries, chunks, 3).collect())
+
+
+def test_blocks_send_a_query_once_however_many_chunks_there_are(spark, monkeypatch):
+    """Ids that repeat or are null are questions of their own, and a block of queries meets chunks in small portions."""
+    queries = spark.range(400).selectExpr(
+        "nullif(id % 390, 7) query_id", "if(id % 3 = 0, 'A', null) carrier",
+        "array(cast(cos(id % 390) as float), cast(sin(id % 390) as float)) vec",
+    )
+    chunks = spark.range(300).selectExpr(
+        "'s' source", "cast(id as string) chunk_id", "if(id % 2 = 0, 'A', 'B') carrier",
+        "array(cos(id / 7), sin(id / 7)) vec",
+    )
+    sent, by_block = spark.sparkContext.accumulator(0), similarity._by_block
+
+    def counted(batches):
+        for table in by_block(batches):
+            sent.add(sum(table["is_query"].to_pylist()))
+            yield table
+
+    monkeypatch.setattr(similarity, "ROWS_OF_GROUP", 50)
+    monkeypatch.setattr(similarity, "_by_block", counted)
+    key = lambda r: (r["query_id"] is not None, r["query_id"] or 0, r["rank"])
+    found = sorted(topk(queries, chunks, 3, max_broadcast=10, block=20).collect(), key=key)
+    assert sent.value == 400
+    alone = spark.range(390).selectExpr(
+        "id query_id", "if(id % 3 = 0, 'A', null) carrier", "array(cast(cos(id) as float), cast(sin(id) as float)) vec"
+    ).filter("id >= 10 and id <> 7")
+    wanted = sorted(topk(alone, chunks, 3).collect(), key=key)
+    assert [r for r in found if (r["query_id"] or 0) >= 10] == wanted
+    assert all(sum(r["query_id"] == q for r in found) == 3 for q in (None, 0, 9))
